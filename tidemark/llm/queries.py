@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import mixing, packing, url_filter
 from .common import table
 
 
+def op3_packing(spark, sf_dir):
+    return packing.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark, sf_dir):
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 

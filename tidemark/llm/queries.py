@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, url_filter
+from . import langid, mixing, packing, url_filter
 from .common import table
 
 
+def op2_language_id(spark, sf_dir):
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark, sf_dir):
     return packing.digest(table(spark, sf_dir, "documents"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, url_filter
+from . import langid, mixing, packing, quality, url_filter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op3_packing(spark, sf_dir):
     return packing.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark, sf_dir):
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 

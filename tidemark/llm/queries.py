@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, quality, url_filter
+from . import jaccard, langid, mixing, packing, quality, url_filter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op8_quality(spark, sf_dir):
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 

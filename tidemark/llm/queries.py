@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, mixing, packing, quality, url_filter
+from . import jaccard, langid, lm_score, mixing, packing, quality, url_filter
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op9_jaccard_join(spark, sf_dir):
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark, sf_dir):
+    return lm_score.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 

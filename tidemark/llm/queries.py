@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, lm_score, mixing, packing, quality, url_filter
+from . import ann, jaccard, langid, lm_score, mixing, packing, quality, url_filter
 from .common import table
 
 
+def op1_nearest(spark, sf_dir):
+    return ann.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_language_id(spark, sf_dir):
     return langid.digest(table(spark, sf_dir, "documents"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, jaccard, langid, lm_score, mixing, packing, quality, url_filter
+from . import ann, jaccard, langid, lm_score, mixing, packing, quality, spotsigs, url_filter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op9_jaccard_join(spark, sf_dir):
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark, sf_dir):
+    return spotsigs.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_lm_score(spark, sf_dir):
     return lm_score.digest(table(spark, sf_dir, "documents"))
 
@@ -43,4 +47,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filters": url_filter.oracle()}
+    return {"op5_fingerprints": spotsigs.oracle(), "op10_url_filters": url_filter.oracle()}

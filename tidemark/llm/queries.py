@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, jaccard, langid, lm_score, mixing, packing, quality, spotsigs, url_filter
+from . import ann, html_text, jaccard, langid, lm_score, mixing, packing, quality, spotsigs, url_filter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op9_jaccard_join(spark, sf_dir):
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark, sf_dir):
+    return html_text.digest(table(spark, sf_dir, "pages"))
+
+
 def op5_fingerprints(spark, sf_dir):
     return spotsigs.digest(table(spark, sf_dir, "documents"))
 

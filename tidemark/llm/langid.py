@@ -179,8 +179,8 @@ def classify(texts: list[str | None], model: dict) -> list[tuple[str, float, boo
     return out
 
 
-def identify(docs: DataFrame, model: dict, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` of docs with lang_pred, score and rejected."""
+def identify(docs: DataFrame, model: dict, keep: list[str], text: str = "text", names: tuple[str, ...] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """Columns ``keep`` of docs with language, cosine and whether it's rejected, under names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     inner = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").cast("string").alias("text"))
 
@@ -196,7 +196,7 @@ def identify(docs: DataFrame, model: dict, keep: list[str], text: str = "text")
 
     kept = [f"k{i} {inner.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))]
     out = inner.mapInArrow(run, ", ".join([*kept, "lang_pred string, score double, rejected boolean"]))
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "rejected")
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *(F.col(c).alias(n) for c, n in zip(("lang_pred", "score", "rejected"), names, strict=True)))
 
 
 def held_out(key: Column) -> Column:

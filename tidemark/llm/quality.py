@@ -158,8 +158,8 @@ def probability(model: dict, text: str | None) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def score(docs: DataFrame, model: dict, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` of docs with score, the probability of label 1."""
+def score(docs: DataFrame, model: dict, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """Columns ``keep`` of docs and, under ``name``, the probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     inner = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").cast("string").alias("text"))
 
@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: dict, keep: list[str], text: str = "text") ->
 
     kept = [f"k{i} {inner.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))]
     out = inner.mapInArrow(run, ", ".join([*kept, "score double"]))
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "score")
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("score").alias(name))
 
 
 def held_out(key: Column) -> Column:

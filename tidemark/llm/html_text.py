@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH_DIM, WORD_DIM, HIDDEN = 256, 32, 16
+WORD_DIM, HIDDEN = 32, 16
 MEASURES = 6
-PAGES, EPOCHS, BATCH, RATE, SEED = 1300, 8, 20, 0.01, 5
+PAGES, EPOCHS, BATCH, RATE, SEED = 1500, 9, 20, 0.01, 5
 MAX_PATH = 64
 
 # HTML element classes.
@@ -41,6 +41,25 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure fo
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table div article section body main aside nav header footer form".split())
 
+# Words that class and id attributes of page parts are made of.
+NAMES = {
+    "nav": "nav navbar navigation menu menubar breadcrumb breadcrumbs topnav mainmenu links pagination pager".split(),
+    "header": "header masthead topbar banner logo branding site tagline".split(),
+    "footer": "footer foot bottom copyright legal colophon credits".split(),
+    "sidebar": "sidebar side aside widget related recommended popular trending archive secondary rail teaser".split(),
+    "ad": "ad ads adv advert advertisement advertising sponsor sponsored promo promotion adbox dfp banner commercial".split(),
+    "notice": "notice cookie cookies consent gdpr alert popup modal overlay newsletter subscribe announcement disclaimer paywall".split(),
+    "comments": "comment comments commentlist discussion replies reply respond disqus reader feedback thread".split(),
+    "form": "form search searchform login signup contact register".split(),
+    "share": "share sharing social follow buttons tools tags meta".split(),
+    "main": "content article post entry story body main text page blog single news prose".split(),
+}
+#: Path tokens with a slot of their own; others share hashed slots.
+KNOWN_TAGS = (*"html body main article section div nav header footer aside form p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th pre blockquote figure figcaption button label dialog ins".split(), *sorted(INLINE - {"ins", "label"}))
+_OWN = {t: i for i, t in enumerate(dict.fromkeys([*KNOWN_TAGS, *("." + w for ws in NAMES.values() for w in ws), *("last " + t for t in KNOWN_TAGS)]))}
+HASHED = 48
+PATH_DIM = len(_OWN) + HASHED
+
 _TAG = re.compile(r"""<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -135,11 +154,10 @@ def _slot(token: str, dim: int, salt: str) -> int:
 def vectors(found: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
     x = np.zeros((len(found), PATH_DIM + WORD_DIM + MEASURES), np.float32)
     for i, (path, text, links) in enumerate(found):
-        for token in path:
-            x[i, _slot(token, PATH_DIM, "p")] = 1
-        last = [t for t in path if t[0] != "."][-1:]
-        for token in last:
-            x[i, _slot(token, PATH_DIM, "l")] = 1
+        last = [t for t in path if t[0] != "." and t not in INLINE][-1:]
+        for token in (*path, *("last " + t for t in last)):
+            own = _OWN.get(token)
+            x[i, len(_OWN) + _slot(token, HASHED, "p") if own is None else own] = 1
         words = text.split(" ")
         n = np.bincount([_slot(w, WORD_DIM, "w") for w in words], minlength=WORD_DIM)
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = n / math.sqrt(float((n * n).sum()))
@@ -270,19 +288,6 @@ def extract(pages: list[str | None], model: dict) -> list[str]:
     return out
 
 
-# Words that class and id attributes of page parts are made of.
-NAMES = {
-    "nav": "nav navbar navigation menu menubar breadcrumb breadcrumbs topnav mainmenu links pagination pager".split(),
-    "header": "header masthead topbar banner logo branding site tagline".split(),
-    "footer": "footer foot bottom copyright legal colophon credits".split(),
-    "sidebar": "sidebar side aside widget related recommended popular trending archive secondary rail teaser".split(),
-    "ad": "ad ads adv advert advertisement advertising sponsor sponsored promo promotion adbox dfp banner commercial".split(),
-    "notice": "notice cookie cookies consent gdpr alert popup modal overlay newsletter subscribe announcement disclaimer paywall".split(),
-    "comments": "comment comments commentlist discussion replies reply respond disqus reader feedback thread".split(),
-    "form": "form search searchform login signup contact register".split(),
-    "share": "share sharing social follow buttons tools tags meta".split(),
-    "main": "content article post entry story body main text page blog single news prose".split(),
-}
 MAIN, OTHER = "", ""
 _UNMARK = {ord(MAIN): " ", ord(OTHER): " "}
 _HINTS = {
@@ -362,7 +367,9 @@ def synthetic_page(rng: np.random.Generator) -> str:
             bits = [f"<header>{bits[0]}</header>"]
         for _ in range(int(rng.integers(1, 9)) if rng.random() < 0.8 else int(rng.integers(9, 30))):
             r = rng.random()
-            if r < 0.68:
+            if r < 0.12:
+                bits.append(para("main", 1, 5))
+            elif r < 0.68:
                 bits.append(para("main", 1, 60 if rng.random() < 0.9 else 300))
             elif r < 0.74:
                 bits.append(f"<h{int(rng.integers(2, 5))}>{text('main', 1, 7)}</h2>")
@@ -376,7 +383,7 @@ def synthetic_page(rng: np.random.Generator) -> str:
                 bits.append(pick([f"<pre>{text('main', 1, 20)}</pre>", f"<figure><img src=x><figcaption>{text('main', 2, 9)}</figcaption></figure>"]))
             elif len(bits) > 2:
                 bits.append(part(pick(["ad", "share", "sidebar", "notice", "form"])))
-        if rng.random() < 0.3:
+        if rng.random() < 0.2:
             bits.append(part(pick(["comments", "comments", "share", "footer"])))
         inner = "".join(bits)
         how = rng.random()

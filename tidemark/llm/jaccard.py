@@ -13,9 +13,10 @@ connected component of the links. No link between different sets is lost:
    of members are multiplied with it (incidence of members by n-grams times that of the centre),
    overlap counts accumulate and pairs below the bound that the sizes imply are discarded, by
    size alone before the product, by overlap after it. Links form components.
-4. Block products. A group whose members are in one component by now can add nothing. The others
-   are cut into blocks of at most ``BLOCK`` members, all pairs of blocks are multiplied, and the
-   links found across components join these.
+4. Block products. A group whose members are in one component by now can add nothing. Others
+   that overlap form a family (one of more than ``FAMILY`` members is left as its groups); it is
+   cut into blocks of about ``BLOCK`` members, all pairs of blocks are multiplied, and the links
+   found across components join these.
 
 So a group of thousands of copies costs a row a copy, not a row a pair, and no task holds more
 than two blocks. Components are found by alternating large and small stars over tables; neither
@@ -43,6 +44,7 @@ NUM, DEN = 90, 100
 CELLS = 1 << 19
 CELL_BLOCKS = 32
 BLOCK = 256
+FAMILY = 4 * BLOCK
 SALTS = 8
 CACHED_WORDS = 500_000
 
@@ -249,12 +251,20 @@ def classes(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN)
     links = blocks.groupBy("centre", "chunk").applyInPandas(_product(num, den), "u long, v long")
     first = components(links, "stars")
 
-    placed = members.join(first, members["cls"] == first["node"], "left").select("gram", "cls", "m", F.coalesce("root", "cls").alias("comp"))
-    open_ = placed.groupBy("gram").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("gram")
+    placed = members.join(first, members["cls"] == first["node"], "left").select("gram", "cls", F.coalesce("root", "cls").alias("comp"))
+    open_ = placed.groupBy("gram").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m"), F.min("cls").alias("least")).filter("a < b").select("gram", "m", "least")
+    rest = materialise(placed.join(open_, "gram"), "open")
+    # groups that overlap are one family: a set goes to it once, however many groups hold it
+    family = components(rest.select(F.col("cls").alias("u"), F.col("least").alias("v")), "families")
+    rest = rest.join(family.withColumnRenamed("root", "family"), rest["cls"] == family["node"])
+    sizes = rest.groupBy("family").agg(F.countDistinct("cls").alias("size"))
+    rest = rest.join(sizes, "family").select(
+        *(F.when(F.col("size") <= FAMILY, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("family", "gram", "group"), ("size", "m", "m"))), (F.col("size") <= FAMILY).alias("whole"), "cls", "comp"
+    ).distinct()
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    rest = placed.join(open_, "gram").withColumn("own", F.pmod(F.xxhash64("cls"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rest = rest.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    more = rest.join(sets, "cls").groupBy("gram", "i", "j").applyInPandas(_product(num, den), "u long, v long")
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("cls"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rest = rest.select("whole", "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+    more = rest.join(sets, "cls").groupBy("whole", "group", "i", "j").applyInPandas(_product(num, den), "u long, v long")
     second = components(more, "blocks")
 
     root = nodes.join(first, nodes["cls"] == first["node"], "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("comp"))

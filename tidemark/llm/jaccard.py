@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
+from .hashing import gram_hashes, mixed, word_hashes
 
 WIDTH = 3
 NUM, DEN = 90, 100
@@ -46,52 +47,33 @@ CELL_BLOCKS = 32
 BLOCK = 256
 FAMILY = 4 * BLOCK
 SALTS = 8
-CACHED_WORDS = 500_000
 
-_words: dict[bytes, int] = {}
+def grams(texts, width: int = WIDTH) -> Iterator[np.ndarray]:
+    """Distinct n-grams of each text, ascending."""
+    for h in word_hashes(texts):
+        yield np.unique(gram_hashes(h, width))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes; kept for the worker's next texts, up to CACHED_WORDS."""
-    from xxhash import xxh3_64_intdigest
-
-    if len(_words) > CACHED_WORDS:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxh3_64_intdigest(w)
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-def grams(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Distinct n-grams of a text, ascending; bytes.split and bytes.lower are the contract's."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = word_hashes(words)
-    n = max(1, len(h) - width + 1)
-    g = np.full(n, min(width, len(h)), np.uint64)
-    for i in range(min(width, len(h))):
-        g = mixed(g * np.uint64(0x100000001B3) + h[i : i + n])
-    return np.unique(g)
+def _texts(column) -> Iterator[str | None]:
+    return (t.as_py() for t in column)
 
 
 def cell_counts(docs: DataFrame, width: int, cells: int = CELLS) -> np.ndarray:
-    """How many documents hold an n-gram of each cell (saturating): cells * 4 bytes."""
+    """How often n-grams of each cell occur in all documents (saturating): cells * 4 bytes."""
     per = max(1, cells // CELL_BLOCKS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(cells, np.int64)
         for b in batches:
-            for t in b.column(0):
-                n += 0
-                at = (grams(t.as_py(), width) % np.uint64(cells)).astype(np.int64)
-                np.add.at(n, at, 1)
+            held, m = [], 0
+            for h in word_hashes(_texts(b.column(0))):
+                held.append(gram_hashes(h, width))
+                m += len(h)
+                if m > cells:
+                    n += np.bincount((np.concatenate(held) % np.uint64(cells)).astype(np.int64), minlength=cells)
+                    held, m = [], 0
+            if held:
+                n += np.bincount((np.concatenate(held) % np.uint64(cells)).astype(np.int64), minlength=cells)
         n = np.minimum(n, 2**31 - 1).astype("<i4")
         parts = [(i, n[i * per : (i + 1) * per]) for i in range(cells // per)]
         parts = [(i, x.tobytes()) for i, x in parts if x.any()]
@@ -116,13 +98,12 @@ def cell_counts(docs: DataFrame, width: int, cells: int = CELLS) -> np.ndarray:
 
 def _described(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """doc_id, n, cls (hash of the set) and index, the n-grams to index the set by."""
-    counts = docs.sparkSession.sparkContext.broadcast(cell_counts(docs, width))
+    counts = docs.sparkSession.sparkContext.broadcast(cell_counts(docs, width))  # 4 * CELLS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, cls, index = [], [], []
-            for t in b.column(1):
-                g = grams(t.as_py(), width)
+            for g in grams(_texts(b.column(1)), width):
                 n.append(len(g))
                 cls.append(int(mixed(mixed(g).sum(keepdims=True) ^ np.uint64(len(g)))[0].astype(np.int64)) if len(g) else None)
                 first = len(g) - -(-num * len(g) // den) + 1
@@ -143,7 +124,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [grams(t.as_py(), width) for t in b.column(1)]
+            sets = list(grams(_texts(b.column(1)), width))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["cls", "n", "grams"])
 
     rows = docs.join(wanted, "doc_id").select("cls", "text").mapInArrow(run, "cls long, n long, grams binary")

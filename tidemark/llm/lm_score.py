@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, materialise
-from .jaccard import mixed, word_hashes
+from .hashing import mixed, word_hashes
 
 BASE = 1.5
 BITS, PROBES = 10, 6
@@ -59,9 +59,10 @@ def _values() -> np.ndarray:
 VALUES = _values()
 
 
-def tokens(text: str | None) -> np.ndarray:
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    return np.append(word_hashes(words), END)
+def tokens(texts) -> Iterator[np.ndarray]:
+    """Hashes of each text's words and the end, in order; texts is a column or a list."""
+    for h in word_hashes(t if t is None or isinstance(t, str) else t.as_py() for t in texts):
+        yield np.append(h, END)
 
 
 def pair_hashes(t: np.ndarray) -> np.ndarray:
@@ -156,8 +157,8 @@ def train(texts: DataFrame) -> DataFrame:
                 )
 
         for b in batches:
-            for t in b.column(0):
-                held.append(tokens(t.as_py()))
+            for t in tokens(b.column(0)):
+                held.append(t)
                 n += len(held[-1])
                 if n > FLUSH:
                     yield from flush()
@@ -193,8 +194,8 @@ def _base_by_join(rows: DataFrame, segments: DataFrame, n: int, v: int) -> DataF
 
     def of_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rid, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                keys, tf = np.unique(tokens(t.as_py()), return_counts=True)
+            for rid, t in zip(b.column(0).to_pylist(), tokens(b.column(1)), strict=True):
+                keys, tf = np.unique(t, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), rid)), pa.array(keys.astype(np.int64)), pa.array(tf.astype(np.int64))], names=["rid", "key", "tf"])
 
     counts = segments.filter("kind = 1").select("keys", "counts").mapInArrow(words, "key long, c long")
@@ -251,7 +252,7 @@ def score(docs: DataFrame, segments: DataFrame, max_group: int = MAX_GROUP, max_
             for b in batches:
                 for at in range(0, b.num_rows, 500):
                     part = b.slice(at, 500)
-                    toks = [tokens(t.as_py()) for t in part.column(1)]
+                    toks = list(tokens(part.column(1)))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(x) for x in _scores(toks, pairs.value, words.value, exact.value if exact else None, n, v, first))], names=["doc_id", "rid", "n_tokens", "n_known", "base_score", "score"])
 
         return run

@@ -1,9 +1,635 @@
-"""Driver queries over the reference's own operators, with their oracle SQL."""
+"""Driver queries over the catalog operators, each with the SQL of its result.
 
+The driver's tables hold no catalogs, so :data:`VIEWS` derives them, by the same SQL text in both
+engines. The queries run the library's operators; the oracle states the result on its own.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import facets, guards, match, normalize, search, snapshot, tables, vocab
+from ..schema import KINDS, PERSONAL, PROBLEM, STATUSES
+
+TODAY = "2024-06-30"
+
+#: name -> (table, SQL over it); read by Spark and DuckDB alike.
+VIEWS = {
+    "bank": (
+        "part",
+        """SELECT p_partkey AS k, p_brand AS c1, CASE WHEN p_partkey % 7 = 0 THEN concat('Brand#', CAST(p_partkey % 25 + 1 AS STRING)) END AS c2,
+                  concat(p_name, ' ', CAST(p_partkey % 50 AS STRING)) AS title,
+                  concat('https://h.example/', replace(lower(p_type), ' ', '-'), '/', CAST(p_partkey % 1500 AS STRING)) AS url,
+                  concat(replace(lower(p_type), ' ', '-'), '/', CAST(p_partkey % 1500 AS STRING)) AS key,
+                  p_type AS format, CAST(DATE '2024-01-01' + CAST(p_partkey % 400 AS INT) AS STRING) AS updated FROM part""",
+    ),
+    "overlay": (
+        "part",
+        """SELECT p_partkey AS k, concat('p/', CAST(p_partkey AS STRING)) AS key,
+                  CASE p_partkey % 5 WHEN 0 THEN 'todo' WHEN 1 THEN 'attempted' WHEN 2 THEN 'solved' WHEN 3 THEN 'revisit' END AS status,
+                  CAST(p_partkey % 3 AS INT) AS difficulty, CASE WHEN p_partkey % 8 = 0 THEN 'n' ELSE '' END AS notes,
+                  concat('t', CAST(p_partkey % 6 AS STRING)) AS tag FROM part WHERE p_partkey % 4 <> 1""",
+    ),
+    "snap_a": (
+        "part",
+        """SELECT p_partkey AS k, concat('p/', CAST(p_partkey AS STRING)) AS key,
+                  CASE WHEN p_partkey % 29 = 0 THEN concat(p_type, ' twin') ELSE concat(p_name, ' ', CAST(p_partkey AS STRING)) END AS title,
+                  CASE WHEN p_partkey % 29 = 0 THEN 'Brand#0' ELSE p_brand END AS c1, CAST(NULL AS STRING) AS c2, p_type AS format,
+                  CASE WHEN p_partkey % 31 = 0 THEN 'removed' ELSE 'active' END AS state,
+                  CASE WHEN p_partkey % 31 = 0 THEN '2024-01-15' END AS removed_on FROM part WHERE p_partkey % 17 <> 0 OR p_partkey % 29 = 0""",
+    ),
+    "snap_b": (
+        "part",
+        """SELECT p_partkey AS k, concat(CASE WHEN p_partkey % 29 = 0 THEN 'r/' WHEN p_partkey % 23 = 0 THEN 'n/' ELSE 'p/' END, CAST(p_partkey AS STRING)) AS key,
+                  CASE WHEN p_partkey % 29 = 0 THEN concat(p_type, ' twin')
+                       WHEN p_partkey % 11 = 0 THEN concat(p_name, ' ', CAST(p_partkey AS STRING), ' again')
+                       ELSE concat(p_name, ' ', CAST(p_partkey AS STRING)) END AS title,
+                  CASE WHEN p_partkey % 29 = 0 THEN 'Brand#0' ELSE p_brand END AS c1,
+                  CASE WHEN p_partkey % 19 = 0 AND p_partkey % 29 <> 0 THEN 'Brand#X' END AS c2, p_type AS format,
+                  'active' AS state, CAST(NULL AS STRING) AS removed_on FROM part WHERE p_partkey % 13 <> 0 OR p_partkey % 29 = 0""",
+    ),
+}
+WITH = "WITH " + ", ".join(f"{n} AS ({sql})" for n, (_, sql) in VIEWS.items())
+NORM_ID = "substr(sha1({}), 1, 12)"
+
+#: The diff of the two snapshots, stated over keys.
+DIFF = (
+    WITH
+    + """, a AS (SELECT *, substr(sha1(key), 1, 12) AS id, array_to_string(list_sort(list_filter([c1, c2], lambda x: x IS NOT NULL)), '|') AS who FROM snap_a),
+    b AS (SELECT *, substr(sha1(key), 1, 12) AS id, array_to_string(list_sort(list_filter([c1, c2], lambda x: x IS NOT NULL)), '|') AS who FROM snap_b),
+    came AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.key = b.key AND a.state <> 'removed')),
+    went AS (SELECT * FROM a WHERE state <> 'removed' AND NOT EXISTS (SELECT 1 FROM b WHERE b.key = a.key)),
+    cs AS (SELECT title, who, format, count(*) AS n_new, min(id) AS new_id, string_agg(id, ',' ORDER BY id) AS new_ids FROM came GROUP BY ALL),
+    ws AS (SELECT title, who, format, count(*) AS n_old, min(id) AS old_id, string_agg(id, ',' ORDER BY id) AS old_ids FROM went GROUP BY ALL),
+    sigs AS (SELECT * FROM cs JOIN ws USING (title, who, format)),
+    relinks AS (SELECT old_id, new_id FROM sigs WHERE n_new = 1 AND n_old = 1),
+    added AS (SELECT came.* FROM came WHERE id NOT IN (SELECT new_id FROM relinks)),
+    removed AS (SELECT went.* FROM went WHERE id NOT IN (SELECT old_id FROM relinks)),
+    stay AS (SELECT b.*, a.title AS old_title, a.who AS old_who FROM b JOIN a USING (key) WHERE a.state <> 'removed'),
+    changes AS (
+      SELECT 'added' AS kind, id, key, title FROM added UNION ALL SELECT 'removed', id, key, title FROM removed
+      UNION ALL SELECT 'retitled', id, key, title FROM stay WHERE title <> old_title
+      UNION ALL SELECT 'recompanied', id, key, title FROM stay WHERE who <> old_who
+      UNION ALL SELECT 'relinked', b.id, b.key, b.title FROM relinks JOIN b ON b.id = new_id)
+    """
+)
+
+_queries: dict[str, Callable] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql:
+            _oracles[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+def view(spark: SparkSession, d: str, name: str) -> DataFrame:
+    table, sql = VIEWS[name]
+    return spark.sql(sql.replace(f"FROM {table}", "FROM {source}"), source=read(spark, d, table))
+
+
+def _who() -> F.Column:
+    return F.array_compact(F.array("c1", "c2"))
+
+
+def bank_rows(spark: SparkSession, d: str) -> DataFrame:
+    b = view(spark, d, "bank")
+    cell = F.concat(F.lit("**"), F.concat_ws(" / ", "c1", "c2"), F.lit("**"))
+    return b.select("k", X.clean_company(cell).alias("company_cell"), "title", "url", "format", "updated", _who().alias("companies"), F.concat(F.lit("s"), (F.col("k") % 3).cast("string")).alias("source"), (F.col("k") % 3).cast("int").alias("source_ord"), F.col("k").alias("line_no"))
+
+
+def problems(v: DataFrame) -> DataFrame:
+    """A snapshot view as records."""
+    full = v.withColumns({"id": X.derive_id(F.col("key")), "companies": _who(), "url": F.concat(F.lit("https://h.example/"), "key"), "first_seen": F.lit("2024-01-01"), "last_seen": F.lit("2024-01-01")})
+    return full.select(*((F.col(f.name) if f.name in full.columns else F.array() if f.name in ("aliases", "sources") else F.lit(None)).cast(f.dataType).alias(f.name) for f in PROBLEM))
+
+
+def personal(spark: SparkSession, d: str) -> DataFrame:
+    o = view(spark, d, "overlay").withColumns({"id": X.derive_id(F.col("key")), "tags": F.array("tag")})
+    return o.select(*((F.col(f.name) if f.name in o.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in PERSONAL))
+
+
+def the_diff(spark: SparkSession, d: str) -> snapshot.Diff:
+    return snapshot.diff(problems(view(spark, d, "snap_a")), problems(view(spark, d, "snap_b")), TODAY)
+
+
+def joined(c: str) -> F.Column:
+    return F.array_join(F.array_sort(F.col(c)), "|")
+
+
+# text functions ---------------------------------------------------------------------------
+
+
+@query(
+    r"""WITH s AS (SELECT page_id, list_filter(string_split(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/'), lambda x: x <> '') AS seg FROM pages),
+    k AS (SELECT page_id, CASE WHEN len(seg) = 1 THEN lower(seg[1]) WHEN len(seg) > 1 THEN lower(seg[1] || '/' || seg[-1]) END AS key FROM s)
+    SELECT page_id, key, substr(sha1(key), 1, 12) AS id FROM k"""
+)
+def derive_key_id(spark, d):
+    key = X.derive_key(F.col("url"))
+    return read(spark, d, "pages").select("page_id", key.alias("key"), X.derive_id(key).alias("id"))
+
+
+@query(r"SELECT page_id, md5(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g')) AS text FROM pages")
+def strip_html_pages(spark, d):
+    return read(spark, d, "pages").select("page_id", F.md5(X.strip_html(F.col("html")).cast("binary")).alias("text"))
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '(?i)<a\s+[^>]*href=["'']([^"'']+)["''][^>]*>', 1) AS url FROM pages""")
+def first_link_pages(spark, d):
+    return read(spark, d, "pages").select("page_id", X.extract_link(F.col("html"))["url"].alias("url"))
+
+
+@query("""SELECT p_partkey AS k, 'Read ' || p_name AS text, 'https://h.example/x' || p_partkey AS url FROM part""")
+def first_link_markdown(spark, d):
+    k = F.col("p_partkey").cast("string")
+    cell = F.concat(F.lit("[![Practice][p]](https://h.example/badge) [top](#top) [<b>Read</b> "), "p_name", F.lit("](https://h.example/x"), k, F.lit(') [b](https://z.example/ "t")'))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("k"), X.extract_link(cell).alias("l")).select("k", "l.text", "l.url")
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def digest_docs(spark, d):
+    return read(spark, d, "documents").select("doc_id", X.source_digest(F.col("text")).alias("digest"))
+
+
+@query(WITH + " SELECT k, concat_ws(' / ', c1, c2) AS company FROM bank")
+def clean_company(spark, d):
+    cell = F.concat(F.lit("<img src='x'>  **"), F.concat_ws("  /  ", "c1", "c2"), F.lit("** "))
+    return view(spark, d, "bank").select("k", X.clean_company(cell).alias("company"))
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 97 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
+def parse_dates(spark, d):
+    k = F.col("o_orderkey")
+    day = F.when(k % 2 == 0, F.date_format("o_orderdate", "MMM d, yyyy")).otherwise(F.date_format("o_orderdate", "MMM, d, yyyy"))
+    cell = F.when(k % 97 == 0, "Feb 30, 2021").otherwise(F.concat(F.lit("\U0001f525 "), day, F.lit(" \U0001f195")))
+    return read(spark, d, "orders").select(k.alias("k"), F.date_format(X.parse_updated(cell), "yyyy-MM-dd").alias("day"))
+
+
+@query(WITH + """ SELECT k, 'https://www.google.com/search?q=%22' || replace(replace(title, ' ', '%20'), '#', '%23') || '%22%20' || replace(c1, '#', '%23') || '%20interview%20question' AS search FROM bank""")
+def search_url(spark, d):
+    return view(spark, d, "bank").select("k", X.search_url(F.col("title"), F.array("c1"), F.col("format")).alias("search"))
+
+
+@query(
+    f"""SELECT event_id, least(date_diff('day', CAST(ts AS DATE), DATE '2024-02-20'), 1 << 30) AS days,
+    CASE WHEN date_diff('day', CAST(ts AS DATE), DATE '2024-02-20') <= 14 THEN 'fire' WHEN date_diff('day', CAST(ts AS DATE), DATE '2024-02-20') <= 45 THEN 'new' END AS fresh FROM events"""
+)
+def freshness_buckets(spark, d):
+    iso, today = F.date_format("ts", "yyyy-MM-dd"), F.lit("2024-02-20").cast("date")
+    return read(spark, d, "events").select("event_id", X.days_since(iso, today).alias("days"), X.freshness(iso, today).alias("fresh"))
+
+
+@query("SELECT event_id, lower(event_type) AS tags, CASE event_type WHEN 'view' THEN 'todo' WHEN 'click' THEN 'solved' END AS next FROM events")
+def tags_and_cycle(spark, d):
+    t = F.col("event_type")
+    status = F.when(t == "click", "attempted").when(t != "view", "revisit")
+    return read(spark, d, "events").select("event_id", F.array_join(X.normal_tags(F.array(F.concat(F.lit(" "), F.upper(t)), t, F.lit(" "))), ",").alias("tags"), X.next_status(status).alias("next"))
+
+
+# tables -----------------------------------------------------------------------------------
+
+HEADER = "| Company | OA / Interview Question | Format | Practice | Updated |"
+
+
+def bank_documents(spark, d, cut: int = 0) -> DataFrame:
+    """One document a brand: its rows as a pipe table; every ``cut``-th row is broken off."""
+    b = view(spark, d, "bank").withColumn("day", F.date_format(F.to_date("updated"), "MMM d, yyyy"))
+    line = F.concat(F.lit("| **"), F.concat_ws(" / ", "c1", "c2"), F.lit("** | ["), "title", F.lit("]("), "url", F.lit(") | "), "format", F.lit(" | [![Practice][p]]("), "url", F.lit(") | "), "day", F.lit(" |"))
+    line = F.when(F.col("k") % cut == 0, F.left(line, F.lit(20))).otherwise(line) if cut else line
+    rows = b.select(F.col("c1").alias("source"), F.struct("k", line.alias("line")).alias("x")).groupBy("source").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return rows.select("source", F.concat_ws("\n", F.lit("# bank"), F.lit(HEADER), F.lit("|---|:---|---|---|---|"), F.array_join("x.line", "\n"), F.lit("end")).alias("text"))
+
+
+def _parsed(spark, docs):
+    meta = docs.select("source", F.lit(0).alias("source_ord"), F.lit(None).cast("string").alias("format_hint"))
+    found, rows = tables.find_tables(docs)
+    chosen = tables.question_tables(found, tables.registry(spark))
+    return tables.raw_rows(rows, chosen, meta), chosen, meta
+
+
+@query(WITH + " SELECT c1 AS source, 3 + row_number() OVER (PARTITION BY c1 ORDER BY k) AS line_no, concat_ws(' / ', c1, c2) AS company_cell, title, url, format, updated FROM bank")
+def md_roundtrip(spark, d):
+    raw, _, _ = _parsed(spark, bank_documents(spark, d))
+    return raw.select("source", "line_no", "company_cell", "title", "url", "format", "updated")
+
+
+@query(
+    r"SELECT doc_id, 2 AS n, md5(regexp_replace(replace(text, chr(10), ' '), '^\s+|\s+$', '', 'g')) AS cell FROM documents WHERE contains(text, '|')"
+)
+def escaped_cells(spark, d):
+    docs = read(spark, d, "documents").filter(F.contains("text", F.lit("|")))
+    line = F.concat(F.lit("| "), F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|")), F.lit(" | x |"))
+    cells = tables.split_row(line)
+    return docs.select("doc_id", F.size(cells).alias("n"), F.md5(F.get(cells, F.lit(0)).cast("binary")).alias("cell"))
+
+
+@query(
+    WITH
+    + """, t AS (SELECT c1, format, count(*) AS n FROM bank GROUP BY ALL),
+    s AS (SELECT *, 1 + coalesce(sum(n + 3) OVER (PARTITION BY c1 ORDER BY format ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_line FROM t)
+    SELECT c1 AS source, n AS n_rows, CAST(at_line AS BIGINT) AS header_line_no FROM s QUALIFY row_number() OVER (PARTITION BY c1 ORDER BY n DESC, format) = 1"""
+)
+def best_table(spark, d):
+    b = view(spark, d, "bank").groupBy("c1", "format").agg(F.count("*").cast("int").alias("n"))
+    text = F.concat_ws("\n", F.lit(HEADER), F.lit("|---|---|---|---|---|"), F.array_join(F.array_repeat(F.lit("| a | b | c | d | e |"), F.col("n")), "\n"), F.lit(""))
+    docs = b.groupBy(F.col("c1").alias("source")).agg(F.array_sort(F.collect_list(F.struct("format", text.alias("t")))).alias("x")).select("source", F.array_join("x.t", "\n").alias("text"))
+    found, _ = tables.find_tables(docs)
+    return tables.question_tables(found, tables.registry(spark)).select("source", "n_rows", F.col("header_line_no").cast("long").alias("header_line_no"))
+
+
+@query(WITH + " SELECT c1 AS source, count(*) AS rows_seen, count(*) FILTER (k % 29 <> 0) AS rows_parsed, count(*) FILTER (k % 29 = 0) AS skipped FROM bank GROUP BY c1")
+def parse_report(spark, d):
+    raw, _, _ = _parsed(spark, bank_documents(spark, d, cut=29))
+    return tables.parse_report(raw)
+
+
+@query(
+    WITH
+    + """, n AS (SELECT c1 AS source, k, 3 + row_number() OVER (PARTITION BY c1 ORDER BY k) AS line_no, format FROM bank),
+    skipped AS (SELECT source, line_no, 'skipped' AS kind FROM n WHERE k % 29 = 0),
+    odd AS (SELECT source, min(line_no) AS line_no, 'warning' AS kind FROM n WHERE k % 29 <> 0 GROUP BY source, format)
+    SELECT * FROM skipped UNION ALL SELECT * FROM odd"""
+)
+def parse_issues(spark, d):
+    return tables.issues(*_parsed(spark, bank_documents(spark, d, cut=29))).select("source", "line_no", "kind")
+
+
+# vocabulary and merging -------------------------------------------------------------------
+
+_NAMES = "SELECT p_partkey AS ord, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name ELSE concat(upper(substr(p_name, 1, 1)), substr(p_name, 2)) END AS name, p_partkey % 5 = 0 AS authoritative FROM part"
+
+
+@query(
+    f"""WITH names AS ({_NAMES}), n AS (SELECT *, lower(name) AS norm, {{'u': -length(regexp_replace(name, '[^A-Z]', '', 'g')), 'n': name}} AS s FROM names),
+    g AS (SELECT norm, min(s) FILTER (NOT authoritative) AS other, arg_max(s, ord) FILTER (authoritative) AS own FROM n GROUP BY norm)
+    SELECT norm, (CASE WHEN other IS NULL OR own < other THEN own WHEN own IS NULL THEN other ELSE least(own, other) END).n AS display FROM g"""
+)
+def vocab_canonical(spark, d):
+    names = spark.sql(_NAMES.replace("FROM part", "FROM {source}"), source=read(spark, d, "part"))
+    return vocab.vocabulary(names).select("norm", "display")
+
+
+def _vocabulary(spark, d):
+    b = view(spark, d, "bank")
+    both = b.filter("k % 14 = 0 AND c2 IS NOT NULL").select(F.concat_ws(" / ", "c1", "c2").alias("name"))
+    names = b.select(F.col("c1").alias("name")).unionByName(both).distinct()
+    return vocab.vocabulary(names.withColumns({"ord": F.lit(0), "authoritative": F.lit(False)}))
+
+
+_SPLIT = (
+    WITH
+    + """, voc AS (SELECT c1 AS name FROM bank UNION SELECT concat_ws(' / ', c1, c2) FROM bank WHERE k % 14 = 0 AND c2 IS NOT NULL)
+    SELECT k, CASE WHEN c2 IS NOT NULL AND concat_ws(' / ', c1, c2) NOT IN (SELECT name FROM voc) THEN c1 || '|' || c2 ELSE concat_ws(' / ', c1, c2) END AS companies,
+           CASE WHEN c2 IS NOT NULL AND concat_ws(' / ', c1, c2) NOT IN (SELECT name FROM voc) AND c2 NOT IN (SELECT name FROM voc) THEN c2 ELSE '' END AS unknown FROM bank"""
+)
+
+
+@query(_SPLIT)
+def split_company(spark, d):
+    return vocab.split_cells(bank_rows(spark, d).drop("companies"), _vocabulary(spark, d)).select("k", F.array_join("companies", "|").alias("companies"), F.array_join("unknown", "|").alias("unknown"))
+
+
+@query(_SPLIT)
+def split_company_joined(spark, d):
+    return vocab.split_cells(bank_rows(spark, d).drop("companies"), _vocabulary(spark, d), limit=0).select("k", F.array_join("companies", "|").alias("companies"), F.array_join("unknown", "|").alias("unknown"))
+
+
+_PLACED = (
+    WITH
+    + """, r AS (SELECT *, substr(sha1(key), 1, 12) AS id, k % 3 AS so FROM bank),
+    p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY so, k) AS arrival, max(updated) OVER (PARTITION BY id ORDER BY so, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM r),
+    q AS (SELECT *, seen IS NULL OR updated > seen AS leads FROM p),
+    o AS (SELECT *, CASE WHEN leads THEN -arrival ELSE 1000000 + arrival END AS place FROM q)"""
+)
+
+
+@query(
+    _PLACED
+    + """ SELECT id, arg_min(key, place) AS key, arg_min(title, place) AS title, arg_min(url, place) AS url,
+    array_to_string(list_sort(list_distinct(flatten(list(list_filter([c1, c2], lambda x: x IS NOT NULL))))), '|') AS companies, arg_min(format, place) AS format,
+    arg_min(updated, place) AS upstream_updated, array_to_string(list_sort(list(DISTINCT 's' || so)), '|') AS sources, count(*) - 1 AS merged_rows FROM o GROUP BY id"""
+)
+def dedupe_merge(spark, d):
+    m = normalize.merged(normalize.with_ids(bank_rows(spark, d)), TODAY)
+    return m.select("id", "key", "title", "url", joined("companies").alias("companies"), "format", "upstream_updated", joined("sources").alias("sources"), "merged_rows")
+
+
+@query(
+    _PLACED
+    + """, c AS (SELECT *, last_value(CASE WHEN leads THEN title END IGNORE NULLS) OVER (PARTITION BY id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS kept FROM o)
+    SELECT key, 'title' AS kind, kept, title AS other, min(arrival) AS arrival FROM c WHERE arrival > 1 AND kept <> title GROUP BY ALL"""
+)
+def dedupe_conflicts(spark, d):
+    return normalize.conflicts(normalize.with_ids(bank_rows(spark, d)))
+
+
+# snapshots --------------------------------------------------------------------------------
+
+
+@query(DIFF + f" SELECT kind, count(changes.id) AS n FROM (SELECT unnest({list(KINDS)}) AS kind) LEFT JOIN changes USING (kind) GROUP BY kind")
+def diff_counts(spark, d):
+    return the_diff(spark, d).counts()
+
+
+def _kind(kind: str):
+    def run(spark, d):
+        return the_diff(spark, d).of_kind(kind).select("kind", "id", "key", "title")
+
+    run.__name__ = f"diff_{kind}"
+    return query(DIFF + f" SELECT kind, id, key, title FROM changes WHERE kind = '{kind}'")(run)
+
+
+for _k in ("added", "removed"):
+    _kind(_k)
+
+
+@query(DIFF + " SELECT id, key, old_title AS before, title AS after FROM stay WHERE title <> old_title")
+def diff_retitled(spark, d):
+    return the_diff(spark, d).of_kind("retitled").select("id", "key", F.col("before.title").alias("before"), F.col("after.title").alias("after"))
+
+
+@query(DIFF + " SELECT id, key, old_who AS before, who AS after FROM stay WHERE who <> old_who")
+def diff_recompanied(spark, d):
+    return the_diff(spark, d).of_kind("recompanied").select("id", "key", joined("before.companies").alias("before"), joined("after.companies").alias("after"))
+
+
+@query(DIFF + " SELECT b.id, b.key, a.id AS previous_id, a.key AS previous_key, 'https://h.example/' || a.key AS before, 'https://h.example/' || b.key AS after FROM relinks JOIN b ON b.id = new_id JOIN a ON a.id = old_id")
+def diff_relinked(spark, d):
+    return the_diff(spark, d).of_kind("relinked").select("id", "key", "previous_id", "previous_key", F.col("before.url").alias("before"), F.col("after.url").alias("after"))
+
+
+@query(DIFF + " SELECT title, new_ids AS added_ids, old_ids AS removed_ids FROM sigs WHERE n_new > 1 OR n_old > 1")
+def diff_ambiguous(spark, d):
+    return the_diff(spark, d).ambiguous.select("title", F.array_join("added_ids", ",").alias("added_ids"), F.array_join("removed_ids", ",").alias("removed_ids"))
+
+
+_NEXT = (
+    DIFF
+    + f""", next AS (
+    SELECT b.id, b.key, b.title, b.who, 'active' AS state, NULL AS removed_on, '{TODAY}' AS last_seen,
+           CASE WHEN a.id IS NOT NULL OR r.old_id IS NOT NULL THEN '2024-01-01' ELSE '{TODAY}' END AS first_seen, coalesce(r.old_id, '') AS aliases
+    FROM b LEFT JOIN a ON a.id = b.id LEFT JOIN relinks r ON r.new_id = b.id
+    UNION ALL SELECT id, key, title, who, 'removed', '{TODAY}', '2024-01-01', '2024-01-01', '' FROM removed
+    UNION ALL SELECT id, key, title, who, 'removed', removed_on, '2024-01-01', '2024-01-01', '' FROM a WHERE state = 'removed' AND id NOT IN (SELECT id FROM b))"""
+)
+
+
+@query(_NEXT + " SELECT id, key, title, who AS companies, state, removed_on, last_seen, first_seen, aliases FROM next")
+def diff_next_state(spark, d):
+    return the_diff(spark, d).snapshot.select("id", "key", "title", joined("companies").alias("companies"), "state", "removed_on", "last_seen", "first_seen", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query(DIFF + f" SELECT id, '{TODAY}' AS removed_on, '' AS aliases FROM removed UNION ALL SELECT old_id, '{TODAY}', new_id FROM relinks")
+def diff_archived(spark, d):
+    return the_diff(spark, d).archived.select("id", "removed_on", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query(DIFF + " SELECT kind, id, key, title, row_number() OVER (PARTITION BY kind ORDER BY key, id) AS place, count(*) OVER (PARTITION BY kind) AS of FROM changes QUALIFY place <= 50")
+def changes_capped(spark, d):
+    return snapshot.capped(the_diff(spark, d).changes, 50).select("kind", "id", "key", "title", "place", "of")
+
+
+@query(
+    DIFF
+    + """ SELECT changes.kind, changes.id, CASE changes.kind WHEN 'removed' THEN changes.title || ' — removed upstream' WHEN 'retitled' THEN s.old_title || ' → ' || s.title
+    WHEN 'recompanied' THEN changes.title || ' — ' || replace(s.old_who, '|', ', ') || ' → ' || array_to_string(list_filter([s.c1, s.c2], lambda x: x IS NOT NULL), ', ')
+    WHEN 'relinked' THEN changes.title || ' — ' || o.key || ' → ' || changes.key
+    ELSE changes.title || ' — ' || array_to_string(list_filter([b.c1, b.c2], lambda x: x IS NOT NULL), ', ') || ' · ' || b.format END AS line
+    FROM changes LEFT JOIN stay s ON s.id = changes.id LEFT JOIN relinks r ON r.new_id = changes.id LEFT JOIN a o ON o.id = r.old_id LEFT JOIN b ON b.id = changes.id"""
+)
+def changes_described(spark, d):
+    x = the_diff(spark, d)
+    return snapshot.described(x.changes, x.snapshot).select("kind", "id", "line")
+
+
+_TOMBS = "SELECT CAST(o_orderkey AS STRING) AS id, CASE WHEN o_orderstatus = 'F' THEN 'removed' ELSE 'active' END AS state, CASE WHEN o_orderstatus = 'F' THEN substr(CAST(o_orderdate AS STRING), 1, 10) END AS removed_on, o_custkey FROM orders"
+
+
+@query(f"WITH t AS ({_TOMBS}) SELECT id FROM t WHERE NOT (state = 'removed' AND removed_on < '1998-01-02' AND o_custkey % 3 <> 0)")
+def tombstone_prune(spark, d):
+    t = spark.sql(_TOMBS.replace("FROM orders", "FROM {source}"), source=read(spark, d, "orders"))
+    return snapshot.prune(t, "1998-07-01", t.filter("o_custkey % 3 = 0").select("id"))[0].select("id")
+
+
+@query(
+    f"""WITH t AS ({_TOMBS}), e AS (SELECT id, removed_on FROM t WHERE o_custkey % 3 = 0), n AS (SELECT DISTINCT id, removed_on FROM t WHERE o_custkey % 2 = 0)
+    SELECT * FROM e UNION ALL SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.id = n.id AND e.removed_on IS NOT DISTINCT FROM n.removed_on)"""
+)
+def archive_append(spark, d):
+    t = spark.sql(_TOMBS.replace("FROM orders", "FROM {source}"), source=read(spark, d, "orders"))
+    take = lambda c: t.filter(c).select("id", "removed_on")
+    more = take("o_custkey % 2 = 0")
+    return snapshot.archive(take("o_custkey % 3 = 0"), more.unionByName(more))
+
+
+@query(
+    """WITH l AS (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey % 7 <> 0), r AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_orderkey % 5 <> 0)
+    SELECT (SELECT count(*) FROM l) AS n_left, (SELECT count(*) FROM r) AS n_right, (SELECT count(*) FROM (FROM l EXCEPT FROM r)) AS only_left, (SELECT count(*) FROM (FROM r EXCEPT FROM l)) AS only_right"""
+)
+def divergence(spark, d):
+    left = read(spark, d, "orders").filter("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("id"))
+    return guards.divergence(left, read(spark, d, "lineitem").filter("l_orderkey % 5 <> 0").select(F.col("l_orderkey").alias("id")))
+
+
+@query(WITH + " SELECT (SELECT count(*) FROM snap_a WHERE state <> 'removed') AS previous_live, count(*) AS current_rows, count(*) FILTER (k % 37 = 0) AS unclassified FROM snap_b")
+def guard_metrics(spark, d):
+    b = view(spark, d, "snap_b").withColumn("format", F.when(F.col("k") % 37 != 0, F.col("format")))
+    return guards.metrics(problems(view(spark, d, "snap_a")), problems(b)).drop("sample")
+
+
+# search -----------------------------------------------------------------------------------
+
+_TOKENS = "WITH t AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents)"
+
+
+def doc_postings(spark, d):
+    return search.postings(read(spark, d, "documents").withColumnRenamed("doc_id", "id"), F.col("text"))
+
+
+@query(_TOKENS + " SELECT token, count(*) AS n, md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id)) AS ids FROM t GROUP BY token")
+def inverted_index(spark, d):
+    i = search.token_index(doc_postings(spark, d))
+    return i.select("token", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").cast("binary")).alias("ids"))
+
+
+@query(
+    """WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS token FROM part),
+    p AS (SELECT token, unnest(range(3, length(token))) AS n FROM t WHERE length(token) > 3)
+    SELECT substr(token, 1, n) AS prefix, string_agg(token, ',' ORDER BY token) AS tokens FROM p GROUP BY ALL"""
+)
+def prefix_index(spark, d):
+    posted = search.postings(read(spark, d, "part").withColumnRenamed("p_partkey", "id"), F.col("p_name"))
+    return search.prefix_index(posted).select("prefix", F.array_join("tokens", ",").alias("tokens"))
+
+
+def _search(name: str, text: str, cond: list[str]):
+    def run(spark, d):
+        return search.search(doc_postings(spark, d), text)
+
+    run.__name__ = name
+    parts = " INTERSECT ".join(f"SELECT id FROM t WHERE {c}" for c in cond)
+    return query(f"{_TOKENS} {parts}")(run)
+
+
+_search("search_and", "The, was THE with", ["token = 'the'", "token = 'was'", "starts_with(token, 'with')"])
+_search("search_prefix", "from tion", ["token = 'from'", "starts_with(token, 'tion')"])
+_search("search_short_last", "and on", ["token = 'and'", "token = 'on'"])
+_search("search_short_prefix", "of tz", ["token = 'of'", "(token = 'tz' OR (starts_with(token, 'tz') AND NOT EXISTS (SELECT 1 FROM t WHERE token = 'tz')))"])
+
+
+# title matching ---------------------------------------------------------------------------
+
+_CATALOGUE = "SELECT p_partkey AS k, concat('s', CAST(p_partkey AS STRING)) AS slug, CASE WHEN p_partkey % 10 = 0 THEN concat('Max ', p_type) ELSE concat('The Number of ', p_name, ' ', CAST(p_partkey AS STRING)) END AS title FROM part WHERE p_partkey % 3 <> 0"
+_TITLES = """SELECT p_partkey AS k, CAST(p_partkey AS STRING) AS id, CASE p_partkey % 6 WHEN 0 THEN concat('THE number-of ', p_name, ' ', CAST(p_partkey AS STRING)) WHEN 1 THEN concat('number ', p_name, ' ', CAST(p_partkey AS STRING))
+    WHEN 2 THEN concat('num of ', p_name, 's ', CAST(p_partkey AS STRING)) WHEN 4 THEN concat('Find ', CAST(p_partkey AS STRING), ' a num ', p_name) WHEN 5 THEN concat('maximum ', p_type) ELSE p_name END AS title FROM part"""
+
+
+def _sql_set(t: str, verb: bool = False, stem: bool = True) -> str:
+    from ..schema import ABBREVIATIONS, LEADING_VERBS, STOPWORDS
+
+    words = f"regexp_extract_all(lower({t}), '[a-z0-9]+')"
+    words = f"(CASE WHEN {words}[1] IN {LEADING_VERBS} THEN {words}[2:] ELSE {words} END)" if verb else words
+    kept = f"list_filter({words}, lambda w: w NOT IN {STOPWORDS})"
+    if stem:
+        full = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ABBREVIATIONS.items()) + " ELSE w END"
+        kept = f"list_transform({kept}, lambda w: regexp_replace({full}, '^(...+)s$', '\\1'))"
+    return f"array_to_string(list_sort(list_distinct({kept})), ' ')"
+
+
+_FULL = "array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' ')"
+
+
+@query(
+    f"""WITH c AS ({_CATALOGUE}), t AS ({_TITLES}), e AS (SELECT slug, 'title' AS i, {_FULL} AS key FROM c UNION ALL SELECT slug, 'signature', {_sql_set("title", stem=False)} FROM c UNION ALL SELECT slug, 'reduced', {_sql_set("title")} FROM c),
+    u AS (SELECT i, key, min(slug) AS slug FROM e WHERE key <> '' GROUP BY ALL HAVING count(*) = 1),
+    p AS (SELECT id, 1 AS tier, 'title' AS i, {_FULL} AS key FROM t UNION ALL SELECT id, 2, 'signature', {_sql_set("title", stem=False)} FROM t
+          UNION ALL SELECT id, 3, 'reduced', {_sql_set("title")} FROM t UNION ALL SELECT id, 4, 'reduced', {_sql_set("title", True)} FROM t)
+    SELECT id, min(tier) AS tier, arg_min(slug, tier) AS slug FROM p JOIN u USING (i, key) GROUP BY id"""
+)
+def title_match_tiers(spark, d):
+    part = read(spark, d, "part")
+    c = spark.sql(_CATALOGUE.replace("FROM part", "FROM {source}"), source=part)
+    t = spark.sql(_TITLES.replace("FROM part", "FROM {source}"), source=part)
+    return match.matched(t, c).select("id", "tier", F.col("entry.slug").alias("slug"))
+
+
+@query(
+    """SELECT 's' || p_partkey AS slug, p_name AS title, p_partkey % 7 = 0 AS paid, CASE p_partkey % 5 WHEN 1 THEN 'Easy' WHEN 2 THEN 'Medium' WHEN 3 THEN 'Hard' END AS difficulty,
+    'https://leetcode.com/problems/s' || p_partkey || '/' AS url FROM part WHERE p_partkey % 11 <> 0"""
+)
+def catalog_json(spark, d):
+    from ..schema import CATALOGUE
+
+    k = F.col("p_partkey")
+    stat = F.struct(F.when(k % 11 != 0, F.col("p_name")).alias("question__title"), F.concat(F.lit("s"), k.cast("string")).alias("question__title_slug"))
+    pair = F.struct(stat.alias("stat"), F.struct((k % 5).cast("int").alias("level")).alias("difficulty"), (k % 7 == 0).alias("paid_only"), F.lit(1).alias("unknown"))
+    text = read(spark, d, "part").groupBy((k % 16).alias("file")).agg(F.to_json(F.struct(F.collect_list(pair).alias("stat_status_pairs"))).alias("text"))
+    return match.entries(text.select(F.from_json("text", CATALOGUE).alias("c")).select("c.*"))
+
+
+# facets and overlay -----------------------------------------------------------------------
+
+
+@query(WITH + ", x AS (SELECT c1 AS company FROM snap_a WHERE state <> 'removed') SELECT company, count(*) AS n FROM x GROUP BY ALL")
+def facet_company(spark, d):
+    return facets.company_counts(problems(view(spark, d, "snap_a")))
+
+
+@query(WITH + " SELECT format, count(*) AS n FROM snap_a WHERE state <> 'removed' GROUP BY ALL")
+def facet_format(spark, d):
+    return facets.format_counts(problems(view(spark, d, "snap_a")))
+
+
+@query(WITH + " SELECT tag, count(*) AS n FROM overlay GROUP BY ALL")
+def facet_tags(spark, d):
+    return facets.tag_counts(personal(spark, d))
+
+
+@query(WITH + f" SELECT status, count(overlay.k) AS n FROM (SELECT unnest({list(STATUSES)}) AS status) LEFT JOIN overlay USING (status) GROUP BY ALL")
+def status_histogram(spark, d):
+    return facets.status_counts(personal(spark, d))
+
+
+@query(
+    WITH
+    + """, r AS (SELECT count(*) AS total, count(*) FILTER (state <> 'removed') AS live, count(*) FILTER (state = 'removed') AS removed FROM snap_a),
+    p AS (SELECT count(*) AS touched, count(*) FILTER (status = 'solved') AS solved FROM overlay) SELECT *, CAST(floor(100 * solved / total + 0.5) AS INT) AS solved_percent FROM r, p"""
+)
+def progress(spark, d):
+    return facets.progress(problems(view(spark, d, "snap_a")), personal(spark, d))
+
+
+@query(
+    WITH
+    + """ SELECT s.key FROM snap_a s LEFT JOIN overlay o USING (key) WHERE (s.state <> 'removed' OR o.key IS NOT NULL) AND s.format IN (SELECT max(format) FROM snap_a UNION SELECT min(format) FROM snap_a)
+    AND s.c1 IN ('Brand#11', 'Brand#0', 'Brand#23', 'Brand#5', 'Brand#7') AND o.status IN ('solved', 'todo') AND o.tag IN ('t1', 't2', 't3', 't0')"""
+)
+def facet_filter(spark, d):
+    rows = problems(view(spark, d, "snap_a"))
+    ends = rows.agg(F.min("format"), F.max("format")).first()
+    q = facets.FacetQuery(formats=[*ends], companies=["Brand#11", "Brand#0", "Brand#23", "Brand#5", "Brand#7"], statuses=["solved", "todo"], tags=["t1", "t2", "t3", "t0"])
+    return facets.select(rows, personal(spark, d), q, TODAY).select("key")
+
+
+@query(WITH + ", d AS (SELECT * FROM snap_a WHERE k % 2 = 0) SELECT s.key FROM d s LEFT JOIN overlay o USING (key) WHERE s.state <> 'removed' AND o.key IS NULL AND s.k % 6 = 0 AND contains(s.title, '1')")
+def facet_untouched(spark, d):
+    rows = problems(view(spark, d, "snap_a").filter("k % 2 = 0"))
+    origins = view(spark, d, "snap_a").filter("k % 6 = 0 AND contains(title, '1')").select(X.derive_id(F.col("key")).alias("id"))
+    q = facets.FacetQuery(untouched_only=True, solvable_only=True, age=200)
+    return facets.select(rows, personal(spark, d), q, TODAY, origins=origins).select("key")
+
+
+@query(WITH + ", x AS (SELECT c1 AS company, count(*) AS n FROM snap_a JOIN overlay USING (key) WHERE status = 'solved' GROUP BY ALL), t AS (SELECT * FROM x ORDER BY n DESC, company LIMIT 12) SELECT company, n, n / max(n) OVER () AS bar FROM t")
+def solved_by_company_top12(spark, d):
+    return facets.solved_by_company(problems(view(spark, d, "snap_a")), personal(spark, d))
+
+
+@query(WITH + ", x AS (SELECT key, updated FROM bank) SELECT key, updated, CAST(row_number() OVER (ORDER BY updated DESC, key) AS INT) AS place FROM (SELECT key, max(updated) AS updated FROM x GROUP BY key) QUALIFY place BETWEEN 21 AND 60")
+def page_slice(spark, d):
+    from pyspark.sql import Window
+
+    rows = view(spark, d, "bank").groupBy("key").agg(F.max("updated").alias("upstream_updated")).withColumn("id", X.derive_id(F.col("key")))
+    got = facets.page(rows, "updated", 20, 40)
+    return got.select("key", F.col("upstream_updated").alias("updated"), (F.row_number().over(Window.orderBy(F.desc("upstream_updated"), "key")) + 20).alias("place"))
+
+
+@query(_NEXT + f", m AS (SELECT n.id, n.aliases AS old FROM next n WHERE n.aliases <> '' AND n.id NOT IN (SELECT {NORM_ID.format('key')} FROM overlay)), o AS (SELECT {NORM_ID.format('key')} AS id, status FROM overlay) SELECT coalesce(m.id, o.id) AS id, status, m.old AS migrated_from FROM o LEFT JOIN m ON m.old = o.id")
+def alias_migrate(spark, d):
+    return facets.migrate(the_diff(spark, d).snapshot, personal(spark, d)).select("id", "status", "migrated_from")
+
+
+@query(WITH + f", o AS (SELECT {NORM_ID.format('key')} AS id, k, status FROM overlay) SELECT id, CASE WHEN k % 2 = 0 THEN 'revisit' ELSE status END AS status FROM o UNION ALL SELECT 'new', 'todo'")
+def overlay_import(spark, d):
+    mine = personal(spark, d)
+    theirs = view(spark, d, "overlay").filter("k % 2 = 0").select(X.derive_id(F.col("key")).alias("id")).unionByName(spark.createDataFrame([("new",)], "id string"))
+    theirs = theirs.select(*((F.col("id") if f.name == "id" else F.when(F.col("id") == "new", "todo").otherwise("revisit") if f.name == "status" else F.lit(None)).cast(f.dataType).alias(f.name) for f in PERSONAL))
+    return facets.imported(mine, theirs).select("id", "status")
+
+
+@query(WITH + f", o AS (SELECT {NORM_ID.format('key')} AS id, k, status, difficulty, notes, tag FROM overlay) SELECT id, CASE WHEN k % 3 = 0 THEN 'solved' ELSE status END AS status, difficulty FROM o")
+def overlay_upsert(spark, d):
+    patches = view(spark, d, "overlay").filter("k % 3 = 0").select(X.derive_id(F.col("key")).alias("id"), F.lit("solved").alias("status"))
+    none = spark.createDataFrame([("untouched", "")], "id string, status string")
+    return facets.upsert(personal(spark, d), patches.unionByName(none)).select("id", "status", "difficulty")
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_oracles)

@@ -36,18 +36,25 @@ ROW_DROP_LIMIT = 0.10
 DIVERGENCE_FLOOR, DIVERGENCE_FRACTION = 25, 0.01
 MIN_PREFIX = 3
 
-_strings = T.ArrayType(T.StringType())
-RAW_ROW = T.StructType.fromDDL("company_cell string, title string, url string, format string, updated string, source string, source_ord int, line_no int")
-PROBLEM = T.StructType.fromDDL(
-    "id string, key string, title string, url string, companies array<string>, format string, upstream_updated string, first_seen string, "
-    "last_seen string, state string, removed_on string, aliases array<string>, sources array<string>"
-)
-CHANGE = T.StructType.fromDDL(
-    "kind string, id string, key string, title string, before struct<title:string,companies:array<string>,url:string,key:string>, "
-    "after struct<title:string,companies:array<string>,url:string,key:string>, previous_id string, previous_key string"
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "strings": T.ArrayType(T.StringType())}
+
+
+def _struct(fields: str) -> T.StructType:
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split(":") for f in fields.split())])
+
+
+RAW_ROW = _struct("company_cell:string title:string url:string format:string updated:string source:string source_ord:int line_no:int")
+PROBLEM = _struct(
+    "id:string key:string title:string url:string companies:strings format:string upstream_updated:string first_seen:string "
+    "last_seen:string state:string removed_on:string aliases:strings sources:strings"
 )
-PERSONAL = T.StructType.fromDDL("id string, status string, difficulty int, notes string, solution_url string, tags array<string>, updated_at string, migrated_from string")
-ORIGIN = T.StructType.fromDDL("id string, site string, url string, title string, difficulty string, paid boolean")
-CATALOGUE = T.StructType.fromDDL(
-    "stat_status_pairs array<struct<stat:struct<question__title:string,question__title_slug:string>,difficulty:struct<level:int>,paid_only:boolean>>"
+PERSONAL = _struct("id:string status:string difficulty:int notes:string solution_url:string tags:strings updated_at:string migrated_from:string")
+ORIGIN = _struct("id:string site:string url:string title:string difficulty:string paid:boolean")
+_ENTRY = T.StructType(
+    [
+        T.StructField("stat", _struct("question__title:string question__title_slug:string")),
+        T.StructField("difficulty", _struct("level:int")),
+        T.StructField("paid_only", T.BooleanType()),
+    ]
 )
+CATALOGUE = T.StructType([T.StructField("stat_status_pairs", T.ArrayType(_ENTRY))])

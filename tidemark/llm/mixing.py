@@ -100,11 +100,14 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, cap: int = MAX_REPEATS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Every row of docs as struct ``row`` with size, source_size, target and times (0 to cap)."""
+def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, cap: int = MAX_REPEATS, key: str = "doc_id", text: str = "text", source: str = "source", carry: list[str] | None = None) -> DataFrame:
+    """Every row of docs with size, source_size, target and times (0 to cap).
+
+    The struct ``row`` holds the columns named in carry, or all: these are what is shuffled.
+    """
     src = F.col(f"`{source}`").cast("string")
     rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.struct(*(F.col(f"`{c}`") for c in (docs.columns if carry is None else carry))).alias("row"),
         F.when(src.isNull(), "0").otherwise(F.concat(F.lit("1"), src)).alias("skey"),
         n_words(F.col(f"`{text}`").cast("string")).alias("size"),
         F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string")).alias("h"),
@@ -154,7 +157,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    slim = docs.select("doc_id", "text", "source")
-    return mix(slim).select(
+    return mix(docs, carry=["doc_id"]).select(
         F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times"
     )

@@ -93,19 +93,18 @@ class Filter:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """What the filter knows of each key's count; 0 where its segment is empty or elsewhere."""
-        uniq, back = np.unique(keys, return_inverse=True)
-        level = np.zeros(len(uniq), np.int64)
-        open_ = np.flatnonzero(self.has(uniq))
+        level = np.zeros(len(keys), np.int64)
+        open_ = np.flatnonzero(self.has(keys))
         for q in range(1, MAX_LEVEL + 1):
-            open_ = self._set(open_, uniq, q)
+            open_ = self._set(open_, keys, q)
             if not len(open_):
                 break
             level[open_] = q
-        return VALUES[level][back]
+        return VALUES[level]
 
-    def _set(self, open_: np.ndarray, uniq: np.ndarray, q: int) -> np.ndarray:
-        """Of open_, the keys whose bits of level q are all set; each probe asks for what is left."""
-        k = uniq[open_]
+    def _set(self, open_: np.ndarray, keys: np.ndarray, q: int) -> np.ndarray:
+        """Of open_, the places of keys whose bits of level q are all set; each probe asks for what is left."""
+        k = keys[open_]
         seg = (k % np.uint64(self.of)).astype(np.int64)
         a, b = _hashes(k, q)
         bits, offset = self.bits[seg], self.offset[seg]
@@ -250,8 +249,8 @@ def score(docs: DataFrame, segments: DataFrame, max_group: int = MAX_GROUP, max_
     def scorer(pairs, first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for at in range(0, b.num_rows, 500):
-                    part = b.slice(at, 500)
+                for at in range(0, b.num_rows, 1000):
+                    part = b.slice(at, 1000)
                     toks = list(tokens(part.column(1)))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(x) for x in _scores(toks, pairs.value, words.value, exact.value if exact else None, n, v, first))], names=["doc_id", "rid", "n_tokens", "n_known", "base_score", "score"])
 
@@ -274,7 +273,8 @@ def _scores(toks: list[np.ndarray], pairs: Filter, words: Filter, exact, n: int,
     lengths = np.array([len(t) for t in toks])
     start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     t = np.concatenate(toks)
-    c = words.counts(t)
+    uniq, back = np.unique(t, return_inverse=True)
+    c = words.counts(uniq)[back]
     unigram = (c + 1) / (n + v + 1)
     p = np.log10(unigram)
     inner = np.ones(len(t), bool)
@@ -292,10 +292,11 @@ def _scores(toks: list[np.ndarray], pairs: Filter, words: Filter, exact, n: int,
     known = base = np.zeros(len(t))
     if exact is not None and first:
         k, counts = exact
-        i = np.searchsorted(k, t)
-        found = (i < len(k)) & (k[np.minimum(i, max(0, len(k) - 1))] == t) if len(k) else np.zeros(len(t), bool)
-        exact_c = np.where(found, counts[np.minimum(i, max(0, len(k) - 1))] if len(k) else 0, 0)
-        known, base = found.astype(float), np.log10((exact_c + 1) / (n + v + 1))
+        exact_c = np.zeros(len(uniq), np.int64)
+        if len(k):
+            i = np.minimum(np.searchsorted(k, uniq), len(k) - 1)
+            exact_c = np.where(k[i] == uniq, counts[i], 0)
+        known, base = (exact_c > 0).astype(float)[back], np.log10((exact_c + 1) / (n + v + 1))[back]
     add = lambda x: np.add.reduceat(x, start)
     return [lengths * int(first), add(known).astype(np.int64), add(base), add(p)]
 

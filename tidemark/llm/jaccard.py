@@ -11,16 +11,18 @@ connected component of the links. No link between different sets is lost:
    members are one group.
 3. Star products. In each group the member that shares most with others is its centre; blocks
    of members are multiplied with it (incidence of members by n-grams times that of the centre),
-   overlap counts accumulate and pairs below the bound that the sizes imply are discarded, by
-   size alone before the product, by overlap after it. Links form components.
+   overlap counts accumulate and pairs below the bound that the sizes imply are discarded: by
+   size alone and by parity bitmaps before the product, by overlap after it. Bitmaps hold the
+   parity of a set's n-grams in each of at least 2 n cells: the cells where two differ are at
+   most the n-grams where the sets do, so no pair that links is lost. Links form components.
 4. Block products. A group whose members are in one component by now can add nothing. Others
    that overlap form a family (one of more than ``FAMILY`` members is left as its groups); it is
    cut into blocks of about ``BLOCK`` members, all pairs of blocks are multiplied, and the links
-   found across components join these.
+   found across components join these. Only sets that pass by their bitmaps are multiplied.
 
 So a group of thousands of copies costs a row a copy, not a row a pair, and no task holds more
-than two blocks. Components are found by alternating large and small stars over tables; neither
-links nor components come to the driver. Intermediate tables are written to the shared folder.
+than two blocks. Components of many links are found by alternating large and small stars over
+tables, those of up to ``ONE_TASK`` links in one task; neither come to the driver. Intermediate tables are written to the shared folder.
 
 Defined results: null or wordless text has no n-grams, links with nothing and is a class of its
 own; fewer words than n are one n-gram; a null doc_id links with nothing and has a null class;
@@ -47,6 +49,8 @@ CELL_BLOCKS = 32
 BLOCK = 256
 FAMILY = 4 * BLOCK
 SALTS = 8
+BROADCAST = 500_000
+ONE_TASK = 1_000_000
 
 def grams(texts, width: int = WIDTH) -> Iterator[np.ndarray]:
     """Distinct n-grams of each text, ascending."""
@@ -102,10 +106,11 @@ def _described(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, cls, index = [], [], []
+            n, cls, index, bits = [], [], [], []
             for g in grams(_texts(b.column(1)), width):
                 n.append(len(g))
                 cls.append(int(mixed(mixed(g).sum(keepdims=True) ^ np.uint64(len(g)))[0].astype(np.int64)) if len(g) else None)
+                bits.append(parities(g))
                 first = len(g) - -(-num * len(g) // den) + 1
                 if len(g) and first < len(g):
                     rare = counts.value[(g % np.uint64(len(counts.value))).astype(np.int64)]
@@ -114,22 +119,83 @@ def _described(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     g = np.concatenate([under, ties[: first - len(under)]])
                 index.append(g.astype(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, index)]), pa.int32()), pa.array(np.concatenate(index) if index else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), lists], names=["doc_id", "n", "cls", "index"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), lists, pa.array(bits, pa.binary())], names=["doc_id", "n", "cls", "index", "bits"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, cls long, index array<long>, bits binary")
+
+
+def parities(g: np.ndarray) -> bytes:
+    """Bitmap of the parities of a set in cells, a power of two of them; it can be folded."""
+    cells = max(64, 1 << (2 * len(g) - 1).bit_length())
+    n = np.bincount(((g >> np.uint64(20)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((n & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Cells in which the bitmaps of a and b differ, the larger folded to the smaller one's size."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    for x in np.unique(la):
+        for y in np.unique(lb):
+            i, j = np.flatnonzero(la == x), np.flatnonzero(lb == y)
+            size = min(x, y)
+            fold = lambda rows, at: np.bitwise_xor.reduce(np.frombuffer(b"".join(rows[k] for k in at), np.uint64).reshape(len(at), -1, size // 8), axis=1)
+            left, right = fold(a, i), fold(b, j)
+            for k, row in zip(i, left, strict=True):
+                out[k, j] = np.bitwise_count(right ^ row).sum(1)
+    return out
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    pdf = pdf.drop_duplicates(["side", "cls"]).sort_values("cls")
+    if (pdf["side"] == 2).all():
+        return pdf, pdf
+    return pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+
+
+def _open(a: pd.DataFrame, b: pd.DataFrame, num: int, den: int) -> np.ndarray:
+    """Pairs of different components whose sizes alone don't rule a link out."""
+    na, nb = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
+    return (den * np.minimum(na, nb) >= num * np.maximum(na, nb)) & (a["comp"].to_numpy()[:, None] != b["comp"].to_numpy()[None, :])
+
+
+def _screen(num: int, den: int):
+    """The rows of a block pair that have a partner by size and bitmap."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = _sides(pdf)
+        keep: set[int] = set()
+        if len(a) and len(b):
+            open_ = _open(a, b, num, den)
+            rows, cols = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+            if len(rows):
+                na, nb = a["n"].to_numpy()[rows][:, None], b["n"].to_numpy()[cols][None, :]
+                most = (na + nb - _differing([a["bits"].iloc[i] for i in rows], [b["bits"].iloc[i] for i in cols])) // 2
+                open_ = open_[np.ix_(rows, cols)] & (den * most >= num * (na + nb - most))
+                keep.update(a.index[rows[open_.any(1)]])
+                keep.update(b.index[cols[open_.any(0)]])
+        return pdf.loc[sorted(keep)].drop(columns=["bits", "n"])
+
+    return run
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, index array<long>")
 
+def _with_sets(rows: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """rows with n and grams of their cls, from the texts of just these documents.
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """cls, n and grams of the wanted(doc_id, cls), from the texts of just these documents."""
+    Up to BROADCAST wanted documents are sent to the scan of docs; more are joined with it.
+    """
+    wanted = materialise(nodes.join(rows.select("cls").distinct(), "cls", "left_semi").select("doc_id", "cls", F.col("n").alias("size")), "wanted")
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = list(grams(_texts(b.column(1)), width))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["cls", "n", "grams"])
+            sets = list(grams(_texts(b.column(2)), width))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["cls", "size", "n", "grams"])
 
-    rows = docs.join(wanted, "doc_id").select("cls", "text").mapInArrow(run, "cls long, n long, grams binary")
-    # a doc_id that is there twice with other texts has other sets: these are of another size or are dropped by cls
-    return rows
+    sets = docs.join(wanted, "doc_id").select("cls", "size", "text").mapInArrow(run, "cls long, size long, n long, grams binary")
+    # of a doc_id that is there again with another text the set of the right size is taken
+    return rows.join(sets.filter("n = size").select("cls", "n", "grams"), "cls")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -151,15 +217,12 @@ def _product(num: int, den: int):
     """Links between the two sides of a block pair (side 2: within the block), a forest of them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["side", "cls"]).sort_values("cls")
-        within = (pdf["side"] == 2).all()
-        a = pdf if within else pdf[pdf["side"] == 0]
-        b = pdf if within else pdf[pdf["side"] == 1]
+        a, b = _sides(pdf)
         found = []
         if len(a) and len(b):
             na, nb = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
             ca, cb = a["comp"].to_numpy()[:, None], b["comp"].to_numpy()[None, :]
-            open_ = (den * np.minimum(na, nb) >= num * np.maximum(na, nb)) & (ca != cb)
+            open_ = _open(a, b, num, den)
             rows, cols = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
             if len(rows):
                 sets = lambda x, at: [np.frombuffer(x["grams"].iloc[i], np.uint64) for i in at]
@@ -182,15 +245,38 @@ def _product(num: int, den: int):
     return run
 
 
-def components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """node, root (the smallest node reachable) for nodes of edges(u, v), by alternating stars."""
+def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for pdf in batches:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+            x, y = top(u), top(v)
+            root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    yield pd.DataFrame({"node": nodes, "root": [top(x) for x in nodes]}, dtype="int64")
+
+
+def components(edges: DataFrame, name: str = "cc", one_task: int = ONE_TASK) -> DataFrame:
+    """node, root (the smallest node reachable) for nodes of edges(u, v).
+
+    Up to ``one_task`` edges, two numbers each, are united in one task; more by alternating large
+    and small stars, until the edges stay the same.
+    """
     now = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     mark = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     before = mark(now)
-    while before[0]:
+    if before[0] <= one_task:
+        return materialise(now.coalesce(1).mapInPandas(_union_find, "node long, root long"), name)
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct()
         now = materialise(small, name)
@@ -201,12 +287,20 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _screened(rows: DataFrame, by: list[str], nodes: DataFrame, num: int, den: int) -> DataFrame:
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by, "cls", "comp", "side").schema)
+    out = rows.select(*by, "cls", "comp", "side").join(nodes.select("cls", "n", "bits"), "cls").groupBy(*by).applyInPandas(_screen(num, den), schema)
+    return materialise(out, "screened")
+
+
 def classes(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs(doc_id, text)."""
     docs = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
     seen = materialise(_described(docs, width, num, den), "sets")
     known = seen.filter("doc_id IS NOT NULL AND n > 0")
-    nodes = materialise(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "nodes")
+    least = known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    nodes = least.join(known.select("cls", "doc_id", "bits"), ["cls", "doc_id"]).dropDuplicates(["cls"])
+    nodes = materialise(nodes, "nodes")
 
     entries = known.select("cls", F.explode("index").alias("gram"))
     several = entries.groupBy("gram").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b").select("gram")
@@ -221,15 +315,12 @@ def classes(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN)
     centres = centres.join(nodes.select(F.col("cls").alias("centre"), F.col("n").alias("cn")), "centre")
     pairs = members.join(centres, "gram").filter((F.col("cls") != F.col("centre")) & (F.lit(den) * F.least("n", "cn") >= F.lit(num) * F.greatest("n", "cn")))
     pairs = materialise(pairs.select("centre", "cls").distinct(), "pairs")
-    used = members.select("cls").distinct()
-    sets = _sets(docs, nodes.join(used, "cls", "left_semi").select("doc_id", "cls"), width)
-    sets = materialise(sets.join(nodes.select("cls", F.col("n").alias("_n")), "cls").filter("n = _n").drop("_n").dropDuplicates(["cls"]), "members-sets")
-
     chunks = pairs.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
     right = pairs.join(chunks, "centre").select("centre", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int").alias("chunk"), "cls", F.lit(1).alias("side"))
     left = chunks.select("centre", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("centre").alias("cls"), F.lit(0).alias("side"))
-    blocks = left.unionByName(right).join(sets, "cls").withColumn("comp", F.col("cls"))
-    links = blocks.groupBy("centre", "chunk").applyInPandas(_product(num, den), "u long, v long")
+    blocks = left.unionByName(right).withColumn("comp", F.col("cls"))
+    blocks = _screened(blocks, ["centre", "chunk"], nodes, num, den)
+    links = _with_sets(blocks, docs, nodes, width).groupBy("centre", "chunk").applyInPandas(_product(num, den), "u long, v long")
     first = components(links, "stars")
 
     placed = members.join(first, members["cls"] == first["node"], "left").select("gram", "cls", F.coalesce("root", "cls").alias("comp"))
@@ -245,7 +336,8 @@ def classes(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN)
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     rest = rest.withColumn("own", F.pmod(F.xxhash64("cls"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rest = rest.select("whole", "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    more = rest.join(sets, "cls").groupBy("whole", "group", "i", "j").applyInPandas(_product(num, den), "u long, v long")
+    rest = _screened(rest, ["whole", "group", "i", "j"], nodes, num, den)
+    more = _with_sets(rest, docs, nodes, width).groupBy("whole", "group", "i", "j").applyInPandas(_product(num, den), "u long, v long")
     second = components(more, "blocks")
 
     root = nodes.join(first, nodes["cls"] == first["node"], "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("comp"))

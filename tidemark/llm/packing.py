@@ -5,8 +5,9 @@
    of a text are those of its white-space-delimited chunks, one after the other.
 2. Pieces are dealt evenly over partitions of at most ``PARTITION`` pieces; each runs best-fit
    decreasing and compares its bins with lower bounds from dual feasible functions
-   (:func:`lower_bound`). Partitions that meet the bound are certified; they give up their
-   emptiest bin only. The others give up their emptiest bins.
+   (:func:`lower_bound`); one that meets them is certified: its own pieces take no fewer bins.
+   A partition that is full but for less than a bin gives up its emptiest bin; one with more
+   gaps gives up a share of its emptiest bins, certified or not, as others' pieces may fill them.
 3. What was given up is pooled, whole bins at a time, dealt anew over fewer partitions and
    packed again (the old bins stay if the new ones aren't fewer), until one partition is left
    or nothing is given up.
@@ -33,7 +34,7 @@ from .common import materialise
 CAPACITY = 2048
 PARTITION = 20_000
 CACHED_WORDS = 600_000
-#: Shares of the bins that an uncertified partition gives up at most.
+#: Share of the bins that a partition with gaps gives up.
 GIVEN_UP = 0.25
 MAX_ROUNDS = 8
 
@@ -171,7 +172,8 @@ def _pack_partition(capacity: int, last: bool, round_: int):
         if not last:
             gaps = capacity - np.array(fills)
             order = np.argsort(-gaps, kind="stable")
-            most = 1 if len(fills) == bound else max(1, int(len(fills) * GIVEN_UP))
+            tight = len(fills) == -(-int(lengths.sum()) // capacity)
+            most = 1 if tight else max(1, int(len(fills) * GIVEN_UP))
             given[order[:most]] = gaps[order[:most]] > 0
         return pdf.drop(columns="part").assign(sequence_id=ids, offset=offsets, given_up=given[bins], bins=len(fills), bound=bound)
 

@@ -225,7 +225,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, success: float = SU
     others = min(k, n - 1)
     best = materialise(best, "ann")
     enough = best.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= others).select(F.col("query_id").alias("vec_id"))
-    short = queries.join(enough, "vec_id", "left_anti")
+    short = materialise(queries.join(enough, "vec_id", "left_anti"), "ann-short")
     if others > 0 and not short.isEmpty():
         whole = clean.withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int")).withColumn("code", F.lit(0).cast("long"))
         again = short.select(F.col("vec_id").alias("query_id"), "v", F.array(F.lit(-1).cast("long")).alias("codes"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))

@@ -42,7 +42,7 @@ class Dataset:
     right: DataFrame
 
 
-def build(spark: SparkSession, docs: DataFrame, today: str, sources=files.SOURCES) -> Dataset:
+def build(spark: SparkSession, docs: DataFrame, today: str, keep=DataFrame.persist, sources=files.SOURCES) -> Dataset:
     """Records of the day and what was odd about them, from documents(source, text)."""
     meta = files.registry(spark, sources)
     texts = docs.join(F.broadcast(meta.select("source")), "source")
@@ -57,7 +57,7 @@ def build(spark: SparkSession, docs: DataFrame, today: str, sources=files.SOURCE
     names = vocab.json_names(docs.filter(F.col("source") == files.VOCABULARY)).withColumn("authoritative", F.lit(True))
     names = names.unionByName(vocab.listed_names(lines).select("name", "ord", F.lit(False).alias("authoritative")), allowMissingColumns=True)
     good = vocab.split_cells(raw.filter("problem IS NULL"), vocab.vocabulary(names))
-    ids = normalize.with_ids(good).persist()
+    ids = keep(normalize.with_ids(good))
     group = ids.join(F.broadcast(meta.select("source", "group")), "source")
     odd = tables.issues(raw, chosen, meta)
     unknown = ids.select("source", "line_no", F.explode("unknown").alias("name")).groupBy("name").agg(F.min_by("source", "line_no").alias("source"), F.min("line_no").alias("line_no"))
@@ -71,9 +71,23 @@ def sync(spark: SparkSession, root: str, folder: str, today: str | None = None,
     meta = files.read_meta(spark, f"{root}/meta.json")
     if not force and meta and meta.get("version") == version:
         return Outcome(version, skipped=True)
-    docs = files.read_documents(spark, folder).persist()
-    data = build(spark, docs, today)
-    current = data.current.persist()
+    held: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return df
+
+    try:
+        return _sync(spark, root, folder, today, version, changelog, dry_run, keep)
+    finally:  # after an abort too: a later sync must not see this one's documents
+        for df in held:
+            df.unpersist()
+
+
+def _sync(spark, root: str, folder: str, today: str, version: str, changelog: str | None, dry_run: bool, keep) -> Outcome:
+    docs = keep(files.read_documents(spark, folder))
+    data = build(spark, docs, today, keep)
+    current = keep(data.current)
     previous = files.table_or_empty(spark, f"{root}/problems", PROBLEM)
     old_archive = files.table_or_empty(spark, f"{root}/archive", PROBLEM)
     warnings = guards.check(previous, current, data.left, data.right)
@@ -82,10 +96,8 @@ def sync(spark: SparkSession, root: str, folder: str, today: str | None = None,
 
     # the previous snapshot is about to be replaced: what is derived from it is kept first
     d = snapshot.diff(previous, current, today)
-    d.snapshot.persist().count()
-    d.changes.persist().count()
-    d.archived.persist().count()
-    d.ambiguous.persist().count()
+    for df in (d.snapshot, d.changes, d.archived, d.ambiguous):
+        keep(df).count()
     out = Outcome(version, warnings=warnings, counts={r["kind"]: r["n"] for r in d.counts().collect()})
     if dry_run:
         return out
@@ -95,8 +107,8 @@ def sync(spark: SparkSession, root: str, folder: str, today: str | None = None,
             out.written.append(name)
             out.changed |= counts
 
-    posted = search.postings(d.snapshot).persist()
-    archive = snapshot.archive(old_archive, d.archived).persist()
+    posted = keep(search.postings(d.snapshot))
+    archive = keep(snapshot.archive(old_archive, d.archived))
     archive.count()
     record("problems", sinks.write_table(d.snapshot, f"{root}/problems", sinks.VOLATILE, [F.col("key"), F.col("id")]))
     record("postings", sinks.write_table(posted, f"{root}/postings", sort=[F.col("token"), F.col("id")]))
@@ -112,8 +124,6 @@ def sync(spark: SparkSession, root: str, folder: str, today: str | None = None,
     now = datetime.datetime.now(datetime.UTC).replace(microsecond=0).isoformat()
     doc = {"version": version, "synced_at": now, "sources": digests, "counts": {"live": live, "tombstoned": total - live, "total": total, **out.counts}, "warnings": warnings}
     record("meta.json", files.write_text(spark, f"{root}/meta.json", sinks.compact(doc)), counts=False)
-    for df in (docs, data.rows, current, d.snapshot, d.changes, d.archived, d.ambiguous, posted, archive):
-        df.unpersist()
     return out
 
 

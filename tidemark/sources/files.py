@@ -110,7 +110,7 @@ def read_documents(spark: SparkSession, folder: str, sources=SOURCES, vocabulary
     read = spark.read.text([f"{folder}/{n}" for n in by_name], wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
     names = spark.createDataFrame(list(by_name.items()), "name string, source string")
     docs = read.join(F.broadcast(names), "name").select("source", "text")
-    empty = [r[0] for r in docs.filter("trim(text) = ''").select("source").collect()]
+    empty = [r[0] for r in docs.filter(F.regexp_like("text", F.lit(r"^\s*$"))).select("source").collect()]
     if empty:
         raise SourceError(f"empty: {', '.join(sorted(empty))}")
     return docs

@@ -49,6 +49,7 @@ CELL_BLOCKS = 32
 BLOCK = 256
 FAMILY = 4 * BLOCK
 SALTS = 8
+DEAL = 2000
 BROADCAST = 500_000
 ONE_TASK = 1_000_000
 
@@ -146,35 +147,44 @@ def _differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
-def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    pdf = pdf.drop_duplicates(["side", "cls"]).sort_values("cls")
-    if (pdf["side"] == 2).all():
-        return pdf, pdf
-    return pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+def _pairable(side: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a unit's two sides; within one block (side 2) both are the whole."""
+    if side[0] == 2:
+        return (whole := np.arange(at, at + len(side))), whole
+    return at + np.flatnonzero(side == 0), at + np.flatnonzero(side == 1)
 
 
-def _open(a: pd.DataFrame, b: pd.DataFrame, num: int, den: int) -> np.ndarray:
-    """Pairs of different components whose sizes alone don't rule a link out."""
-    na, nb = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
-    return (den * np.minimum(na, nb) >= num * np.maximum(na, nb)) & (a["comp"].to_numpy()[:, None] != b["comp"].to_numpy()[None, :])
+def _units(pdf: pd.DataFrame, by: list[str], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each unit in pdf, sorted by ``by``: places of both sides, and which pairs are open, that
+    is of different components and of sizes that don't rule a link out."""
+    keys = pdf[by].to_numpy(np.int64)
+    n, comp, side = (pdf[c].to_numpy() for c in ("n", "comp", "side"))
+    starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
+    for s, e in zip(starts, [*starts[1:], len(pdf)], strict=True):
+        if e - s < 2:
+            continue
+        a, b = _pairable(side[s:e], s)
+        na, nb = n[a][:, None], n[b][None, :]
+        open_ = (den * np.minimum(na, nb) >= num * np.maximum(na, nb)) & (comp[a][:, None] != comp[b][None, :])
+        if open_.any():
+            rows, cols = open_.any(1), open_.any(0)
+            yield a[rows], b[cols], open_[np.ix_(rows, cols)]
 
 
-def _screen(num: int, den: int):
-    """The rows of a block pair that have a partner by size and bitmap."""
+def _screen(by: list[str], num: int, den: int):
+    """The rows of block pairs that have a partner by size and bitmap."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = _sides(pdf)
-        keep: set[int] = set()
-        if len(a) and len(b):
-            open_ = _open(a, b, num, den)
-            rows, cols = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
-            if len(rows):
-                na, nb = a["n"].to_numpy()[rows][:, None], b["n"].to_numpy()[cols][None, :]
-                most = (na + nb - _differing([a["bits"].iloc[i] for i in rows], [b["bits"].iloc[i] for i in cols])) // 2
-                open_ = open_[np.ix_(rows, cols)] & (den * most >= num * (na + nb - most))
-                keep.update(a.index[rows[open_.any(1)]])
-                keep.update(b.index[cols[open_.any(0)]])
-        return pdf.loc[sorted(keep)].drop(columns=["bits", "n"])
+        pdf = pdf.sort_values([*by, "cls"])
+        n, bits = pdf["n"].to_numpy(), pdf["bits"].to_list()
+        keep = np.zeros(len(pdf), bool)
+        for a, b, open_ in _units(pdf, by, num, den):
+            both = n[a][:, None] + n[b][None, :]
+            most = (both - _differing([bits[i] for i in a], [bits[i] for i in b])) // 2
+            open_ &= den * most >= num * (both - most)
+            keep[a[open_.any(1)]] = True
+            keep[b[open_.any(0)]] = True
+        return pdf[keep].drop(columns=["bits", "n", "deal"])
 
     return run
 
@@ -213,33 +223,29 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _product(num: int, den: int):
-    """Links between the two sides of a block pair (side 2: within the block), a forest of them."""
+def _product(by: list[str], num: int, den: int):
+    """Links between the two sides of block pairs, or within one: of each a forest over components."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = _sides(pdf)
+        pdf = pdf.drop_duplicates([*by, "side", "cls"]).sort_values([*by, "cls"])
+        n, comp, raw = pdf["n"].to_numpy(), pdf["comp"].to_numpy(), pdf["grams"].to_list()
         found = []
-        if len(a) and len(b):
-            na, nb = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
-            ca, cb = a["comp"].to_numpy()[:, None], b["comp"].to_numpy()[None, :]
-            open_ = _open(a, b, num, den)
-            rows, cols = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
-            if len(rows):
-                sets = lambda x, at: [np.frombuffer(x["grams"].iloc[i], np.uint64) for i in at]
-                shared = overlaps(sets(a, rows), sets(b, cols))
-                linked = open_[np.ix_(rows, cols)] & (den * shared >= num * (na[rows] + nb[:, cols] - shared))
-                root: dict[int, int] = {}
-
-                def top(x: int) -> int:
-                    while root.get(x, x) != x:
-                        x = root[x]
-                    return x
-
-                for i, j in zip(*np.nonzero(linked), strict=True):
-                    u, v = int(ca[rows[i], 0]), int(cb[0, cols[j]])
-                    if (x := top(u)) != (y := top(v)):
-                        root[max(x, y)] = min(x, y)
-                        found.append((u, v))
+        for a, b, open_ in _units(pdf, by, num, den):
+            sets = lambda at: [np.frombuffer(raw[i], np.uint64) for i in at]
+            shared = overlaps(sets(a), sets(b))
+            linked = open_ & (den * shared >= num * (n[a][:, None] + n[b][None, :] - shared))
+            root: dict[int, int] = {}
+
+            def top(x: int, root=root) -> int:
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                u, v = int(comp[a[i]]), int(comp[b[j]])
+                if (x := top(u)) != (y := top(v)):
+                    root[max(x, y)] = min(x, y)
+                    found.append((u, v))
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     return run
@@ -287,10 +293,15 @@ def components(edges: DataFrame, name: str = "cc", one_task: int = ONE_TASK) ->
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _screened(rows: DataFrame, by: list[str], nodes: DataFrame, num: int, den: int) -> DataFrame:
+def _dealt(rows: DataFrame, by: list[str], deals: int):
+    """Units dealt over tasks' groups of about DEAL rows, so that small units share a call."""
+    return rows.withColumn("deal", F.pmod(F.xxhash64(*by), F.lit(deals)).cast("int")).groupBy("deal")
+
+
+def _screened(rows: DataFrame, by: list[str], nodes: DataFrame, num: int, den: int, deals: int) -> DataFrame:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by, "cls", "comp", "side").schema)
-    out = rows.select(*by, "cls", "comp", "side").join(nodes.select("cls", "n", "bits"), "cls").groupBy(*by).applyInPandas(_screen(num, den), schema)
-    return materialise(out, "screened")
+    out = rows.select(*by, "cls", "comp", "side").join(nodes.select("cls", "n", "bits"), "cls")
+    return materialise(_dealt(out, by, deals).applyInPandas(_screen(by, num, den), schema), "screened")
 
 
 def classes(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -319,8 +330,10 @@ def classes(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN)
     right = pairs.join(chunks, "centre").select("centre", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int").alias("chunk"), "cls", F.lit(1).alias("side"))
     left = chunks.select("centre", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("centre").alias("cls"), F.lit(0).alias("side"))
     blocks = left.unionByName(right).withColumn("comp", F.col("cls"))
-    blocks = _screened(blocks, ["centre", "chunk"], nodes, num, den)
-    links = _with_sets(blocks, docs, nodes, width).groupBy("centre", "chunk").applyInPandas(_product(num, den), "u long, v long")
+    by = ["centre", "chunk"]
+    deals = -(-members.count() // DEAL) or 1
+    blocks = _screened(blocks, by, nodes, num, den, deals)
+    links = _dealt(_with_sets(blocks, docs, nodes, width), by, deals).applyInPandas(_product(by, num, den), "u long, v long")
     first = components(links, "stars")
 
     placed = members.join(first, members["cls"] == first["node"], "left").select("gram", "cls", F.coalesce("root", "cls").alias("comp"))
@@ -336,8 +349,9 @@ def classes(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN)
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     rest = rest.withColumn("own", F.pmod(F.xxhash64("cls"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rest = rest.select("whole", "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    rest = _screened(rest, ["whole", "group", "i", "j"], nodes, num, den)
-    more = _with_sets(rest, docs, nodes, width).groupBy("whole", "group", "i", "j").applyInPandas(_product(num, den), "u long, v long")
+    by = ["whole", "group", "i", "j"]
+    rest = _screened(rest, by, nodes, num, den, deals)
+    more = _dealt(_with_sets(rest, docs, nodes, width), by, deals).applyInPandas(_product(by, num, den), "u long, v long")
     second = components(more, "blocks")
 
     root = nodes.join(first, nodes["cls"] == first["node"], "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("comp"))

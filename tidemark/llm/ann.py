@@ -197,11 +197,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, success: float = SU
     queries = clean.filter(is_query).dropDuplicates(["vec_id"])
     # buckets larger than a cell are dealt over several
     hot = rows.groupBy("tab", "code").agg(F.count("*").alias("n")).filter(F.col("n") > CELL)
-    hot = hot.select("tab", "code", F.ceil(F.col("n") / CELL).cast("int").alias("parts")).collect() if n > CELL else []
+    parts = materialise(hot.select("tab", "code", F.ceil(F.col("n") / CELL).cast("int").alias("parts")), "ann-hot") if n > CELL else None
+    hot = parts is not None and not parts.isEmpty()
     cell = F.pmod(F.xxhash64("tab", "code"), F.lit(cells)).cast("int")
 
     if hot:
-        parts = spark.createDataFrame(hot, "tab int, code long, parts int")
         salted = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int")).join(salted, ["tab", "code", "salt"], "left")
         rows = rows.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.col("parts")).cast("int")))

@@ -124,7 +124,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text:
     idf = np.log((1 + docs) / (1 + df)) + 1
     each = min(sample, max(1, SAMPLE_ALL // len(per)))
     share = F.create_map(*(F.lit(v) for k, n in sorted(per.items()) for v in (k, min(1.0, each / n))))
-    chosen = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    chosen = rows.filter(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -132,7 +132,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text:
             yield pd.DataFrame({"lang": pdf["lang"], "key": pdf["key"].fillna(""), "f": [a.astype("<i4").tobytes() for a, _ in got], "n": [n.astype("<i4").tobytes() for _, n in got]})
 
     found: dict[str, list] = {}
-    for r in chosen.mapInPandas(vectors, "lang string, key string, f binary, n binary").collect():
+    # a row that is there very often adds no more than the bound
+    for r in chosen.mapInPandas(vectors, "lang string, key string, f binary, n binary").limit(2 * SAMPLE_ALL).collect():
         found.setdefault(r["lang"], []).append((r["key"], bytes(r["f"]), bytes(r["n"])))
     langs, owner, centroids, limits = sorted(found), [], [], {}
     for i, name in enumerate(langs):

@@ -39,7 +39,7 @@ BLOCKLIST = tuple(f"{name}.example.{top}" for name in SPAM_NAMES for top in ("co
 
 BITS_PER_KEY = 12
 PROBES = 6
-MAX_LEVEL_BYTES = 64 << 20
+MAX_LEVEL_BYTES = 4 << 20
 MAX_LABELS = 127  # a DNS name has no more labels
 
 
@@ -83,19 +83,16 @@ def _passes(key: Column, level: int, bitmap: bytes) -> Column:
 
 
 def _bitmap(keys: DataFrame, level: int, n_keys: int) -> bytes:
-    """Bloom filter of keys(key), gathered byte by byte: at most MAX_LEVEL_BYTES to the driver."""
-    n_bytes = max(8, -(-n_keys * BITS_PER_KEY // 8))
-    if n_bytes > MAX_LEVEL_BYTES:
-        raise ValueError(f"level {level} of the cascade takes {n_bytes} bytes, the bound is {MAX_LEVEL_BYTES}")
-    at = F.explode(F.array(*(_bit(F.col("key"), level, p, n_bytes * 8) for p in range(PROBES))))
-    rows = (
-        keys.select(at.alias("at"))
-        .groupBy(F.floor(F.col("at") / 8).alias("byte"))
-        .agg(F.bit_or(F.pow(F.lit(2), F.col("at") % 8).cast("int")).alias("bits"))
-    )
-    out = bytearray(n_bytes)
+    """Bloom filter of keys(key), gathered as 64-bit words: at most MAX_LEVEL_BYTES to the driver."""
+    n_words = max(1, -(-n_keys * BITS_PER_KEY // 64))
+    if 8 * n_words > MAX_LEVEL_BYTES:
+        raise ValueError(f"level {level} of the cascade takes {8 * n_words} bytes, the bound is {MAX_LEVEL_BYTES}")
+    at = F.explode(F.array(*(_bit(F.col("key"), level, p, n_words * 64) for p in range(PROBES))))
+    one = F.expr("shiftleft(1L, CAST(pmod(at, 64) AS INT))")
+    rows = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).cast("long").alias("word")).agg(F.bit_or(one).alias("bits"))
+    out = bytearray(8 * n_words)
     for r in rows.collect():
-        out[r["byte"]] = r["bits"]
+        out[8 * r["word"] : 8 * r["word"] + 8] = r["bits"].to_bytes(8, "little", signed=True)
     return bytes(out)
 
 

@@ -34,6 +34,8 @@ SAMPLE = 700
 SAMPLE_BYTES = 6_000
 THRESHOLD = 0.7
 EPOCHS, BATCH, RATE, SEED = 8, 16, 0.01, 7
+#: Windows that a text's mean is shrunk by, so that a few words aren't judged like a page.
+SHRINK = 24
 
 
 def windows(text: str | None) -> np.ndarray:
@@ -68,7 +70,7 @@ def pooled(model: dict, w: np.ndarray) -> tuple[np.ndarray, tuple]:
         total += a.sum(0)
         acts.append(a)
     tops = np.array(tops)
-    feats = np.concatenate([tops.max(0), tops.mean(0), total / len(w)]).astype(np.float32)
+    feats = np.concatenate([tops.max(0), tops.mean(0), total / (len(w) + SHRINK)]).astype(np.float32)
     return feats, (tops, np.array(arg), acts)
 
 
@@ -80,7 +82,7 @@ def _gradients(model: dict, w: np.ndarray, label: float, grads: dict) -> None:
     grads["out_bias"] += d
     g_max, g_mean, g_all = np.split(d * model["out"], 3)
     for c, a in enumerate(acts):
-        da = np.broadcast_to(g_all / len(w), a.shape).copy()
+        da = np.broadcast_to(g_all / (len(w) + SHRINK), a.shape).copy()
         g = g_mean / len(acts) + g_max * (tops.argmax(0) == c)
         da[arg[c] - c * CHUNK, np.arange(FILTERS)] += g
         da *= a > 0

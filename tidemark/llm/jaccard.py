@@ -13,7 +13,7 @@ connected component of the links. No link between different sets is lost:
    of members are multiplied with it (incidence of members by n-grams times that of the centre),
    overlap counts accumulate and pairs below the bound that the sizes imply are discarded: by
    size alone and by parity bitmaps before the product, by overlap after it. Bitmaps hold the
-   parity of a set's n-grams in each of at least 2 n cells: the cells where two differ are at
+   parity of a set's n-grams in each of a number of cells: the cells where two differ are at
    most the n-grams where the sets do, so no pair that links is lost. Links form components.
 4. Block products. A group whose members are in one component by now can add nothing. Others
    that overlap form a family (one of more than ``FAMILY`` members is left as its groups); it is
@@ -44,7 +44,7 @@ from .hashing import gram_hashes, mixed, word_hashes
 
 WIDTH = 3
 NUM, DEN = 90, 100
-CELLS = 1 << 19
+CELLS = 1 << 20
 CELL_BLOCKS = 32
 BLOCK = 256
 FAMILY = 4 * BLOCK
@@ -111,7 +111,7 @@ def _described(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             for g in grams(_texts(b.column(1)), width):
                 n.append(len(g))
                 cls.append(int(mixed(mixed(g).sum(keepdims=True) ^ np.uint64(len(g)))[0].astype(np.int64)) if len(g) else None)
-                bits.append(parities(g))
+                bits.append(parities(g, num, den))
                 first = len(g) - -(-num * len(g) // den) + 1
                 if len(g) and first < len(g):
                     rare = counts.value[(g % np.uint64(len(counts.value))).astype(np.int64)]
@@ -125,9 +125,14 @@ def _described(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, cls long, index array<long>, bits binary")
 
 
-def parities(g: np.ndarray) -> bytes:
-    """Bitmap of the parities of a set in cells, a power of two of them; it can be folded."""
-    cells = max(64, 1 << (2 * len(g) - 1).bit_length())
+def parities(g: np.ndarray, num: int = NUM, den: int = DEN) -> bytes:
+    """Bitmap of the parities of a set in cells, a power of two of them; it can be folded.
+
+    There are five cells or more for each n-gram in which a set of this size and one that links
+    with it may differ, so that half the cells, as of unrelated sets, are clearly too many.
+    """
+    differ = 2 * len(g) * (den - num) // (den + num)
+    cells = max(128, 1 << (5 * differ).bit_length())
     n = np.bincount(((g >> np.uint64(20)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
     return np.packbits((n & 1).astype(np.uint8), bitorder="little").tobytes()
 

@@ -287,6 +287,7 @@ def test_small_blocks_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 3)
     monkeypatch.setattr(jaccard, "FAMILY", 5)
     monkeypatch.setattr(jaccard, "BROADCAST", 0)
+    monkeypatch.setattr(jaccard, "ISIN", 0)
     rows = near_rows(7)
     got = collections.Counter(tuple(x) for x in jaccard.classes(documents(spark, rows)).collect())
     assert got == brute_classes(rows, 3, 90, 100)

@@ -52,6 +52,7 @@ SALTS = 8
 DEAL = 2000
 BROADCAST = 500_000
 ONE_TASK = 1_000_000
+ISIN = 6_000_000
 
 def grams(texts, width: int = WIDTH) -> Iterator[np.ndarray]:
     """Distinct n-grams of each text, ascending."""
@@ -309,6 +310,28 @@ def _screened(rows: DataFrame, by: list[str], nodes: DataFrame, num: int, den: i
     return materialise(_dealt(out, by, deals).applyInPandas(_screen(by, num, den), schema), "screened")
 
 
+def _entries_of(known: DataFrame, entries: DataFrame, several: DataFrame) -> DataFrame:
+    """gram, cls of the entries whose gram is among several, where sets can meet.
+
+    Up to ISIN of these are sent to the scan of the index, so that what can't meet isn't shuffled
+    again; more are joined.
+    """
+    if several.count() > ISIN:
+        return entries.join(several, "gram")
+    wanted = known.sparkSession.sparkContext.broadcast(np.sort(np.array(several.toArrow()["gram"].to_numpy())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = wanted.value
+        for b in batches:
+            lists = b.column(1)
+            gram, cls = lists.flatten().to_numpy(), np.repeat(b.column(0).to_numpy(), lists.value_lengths().to_numpy())
+            if len(w) and len(gram):
+                hit = w[np.minimum(np.searchsorted(w, gram), len(w) - 1)] == gram
+                yield pa.RecordBatch.from_arrays([pa.array(gram[hit]), pa.array(cls[hit])], names=["gram", "cls"])
+
+    return known.select("cls", "index").mapInArrow(run, "gram long, cls long")
+
+
 def classes(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs(doc_id, text)."""
     docs = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
@@ -320,7 +343,8 @@ def classes(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN)
 
     entries = known.select("cls", F.explode("index").alias("gram"))
     several = entries.groupBy("gram").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b").select("gram")
-    members = materialise(entries.join(several, "gram").distinct(), "members")
+    several = materialise(several, "grams")
+    members = materialise(_entries_of(known, entries, several).distinct(), "members")
     # groups of the same members are one
     who = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("y"), F.min("cls").alias("a"), F.max("cls").alias("b")]
     groups = members.groupBy("gram").agg(*who).groupBy("m", "x", "y", "a", "b").agg(F.min("gram").alias("gram"))

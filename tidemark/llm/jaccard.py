@@ -371,7 +371,7 @@ def classes(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN)
     # groups that overlap are one family: a set goes to it once, however many groups hold it
     family = components(rest.select(F.col("cls").alias("u"), F.col("least").alias("v")), "families")
     rest = rest.join(family.withColumnRenamed("root", "family"), rest["cls"] == family["node"])
-    sizes = rest.groupBy("family").agg(F.countDistinct("cls").alias("size"))
+    sizes = family.groupBy(F.col("root").alias("family")).agg(F.count("*").alias("size"))
     rest = rest.join(sizes, "family").select(
         *(F.when(F.col("size") <= FAMILY, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("family", "gram", "group"), ("size", "m", "m"))), (F.col("size") <= FAMILY).alias("whole"), "cls", "comp"
     ).distinct()

@@ -77,6 +77,10 @@ def test_language(spark, odd, none):
     assert langid.digest(none).count() == 0
 
 
+def test_letters():
+    assert [langid.has_letter(t) for t in ("1 ²Ⅷ_", "²a", "東", "!!", "é")] == [False, True, True, False, True]
+
+
 def test_language_held_out(spark):
     rng = random.Random(0)
     kinds = {"x": "abcde", "y": "vwxyz", "z": "abxyz"}

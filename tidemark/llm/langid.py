@@ -47,6 +47,11 @@ _BYTES[ord("A") : ord("Z") + 1] = np.arange(1, 27)
 _BYTES[128:] = np.arange(27, 155)
 
 
+def has_letter(text: str) -> bool:
+    found = _LETTER.search(text)  # also numerals such as ² or Ⅷ, which are no letters
+    return bool(found) and (found[0].isalpha() or any(map(str.isalpha, text)))
+
+
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature numbers of a text, ascending, and their counts."""
     b = _BYTES[np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)]
@@ -165,7 +170,7 @@ def classify(texts: list[str | None], model: dict) -> list[tuple[str, float, boo
     c, owner, idf = model["centroids"], model["owner"], model["idf"]
     out = []
     for text in texts:
-        if not text or not len(c) or not _LETTER.search(text):
+        if not text or not len(c) or not has_letter(text):
             out.append(("und", 0.0, True))
             continue
         at, n = features(text)

@@ -36,7 +36,7 @@ SAMPLE = 500
 SAMPLE_ALL = 20_000
 MAX_LANGUAGES = 1000
 #: Rejected below this share of the lowest percentile of the training cosines.
-REJECT_SHARE = 0.5
+REJECT_SHARE = 0.4
 #: Texts are compared with training texts of as many n-grams: upper ends of the classes.
 LENGTH_CLASSES = (8, 16, 32, 64, 128, 512)
 

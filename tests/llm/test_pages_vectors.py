@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,31 @@ def test_ties_and_copies(spark):
     assert found(spark, rows) == brute(rows, range(0, 70, 10))
 
 
+@pytest.mark.parametrize("cell", [8192, 30])
+def test_repeated_rows_take_no_place(spark, monkeypatch, cell):
+    monkeypatch.setattr(ann, "CELL", cell)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(60)]
+    nearest = {q: near[0] for q, near in brute(rows, range(0, 60, 10)).items()}
+    again = [(i, v) for i, v in rows if i in nearest.values() for _ in range(9)]
+    # and one vec_id of many vectors, all nearer to the query 0 than any other
+    near = [(61, [x + 0.001 * j for x in rows[0][1]]) for j in range(1, 12)]
+    got = found(spark, [*rows, *again, *near])
+    assert set(got) == set(range(0, 60, 10)) and all(len(v) == len(set(v)) == 5 for v in got.values())
+    assert got[0][0] == 61
+    if cell == 8192:
+        want, got = brute(rows, range(0, 60, 10)), found(spark, [*rows, *again])
+        assert all(len(set(v)) == 5 and v[0] == want[q][0] for q, v in got.items())
+        assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
+
+
+def test_best_keeps_distinct_ids():
+    rows = pd.DataFrame({"code": [1] * 8 + [2] * 8, "vec_id": [7] * 8 + [7] * 6 + [8, 9], "v": [[1.0, 0.1 * j] for j in range(14)] + [[1.0, 2.0], [1.0, 3.0]]})
+    asked = pd.DataFrame({"query_id": [1], "v": [[1.0, 0.0]], "codes": [[1, 2]]})
+    got = ann._best(2)((0,), rows, asked)
+    assert got["vec_id"].to_list() == [7, 8] and got["score"].to_list()[0] == 1.0
+
+
 def test_large_buckets_are_split(spark, monkeypatch):
     monkeypatch.setattr(ann, "CELL", 50)
     rng = np.random.default_rng(3)

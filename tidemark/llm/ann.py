@@ -9,18 +9,19 @@ Search. If a neighbour has cosine c with the query, its projection is normal aro
 query's with variance 1 - c^2, so the chance that it lies in a given bucket is known. A query
 visits the buckets next to its own (perturbed slots) in falling order of that chance, until the
 tables together hold a neighbour as near as c with chance ``SUCCESS``. c is the query's k-th best
-cosine in a sample of at most ``SAMPLE`` rows: the true k-th neighbour is at least as near, so
+cosine in a sample of at most ``SAMPLE`` vec_ids, a vector each: the true k-th neighbour is at least as near, so
 the chance is a lower estimate. What the buckets hold is compared exactly, tables are merged.
 
 Scale. Buckets are dealt over cells of about ``CELL`` index rows; a query goes once to each cell
-where it visits buckets, and a cell answers with its k best. A bucket above ``CELL`` rows is split
+where it visits buckets, and a cell answers with its k best vec_ids. A bucket above ``CELL`` rows is split
 over several cells, whatever share of the rows it has. Only the sample is broadcast.
 
-A query that finds fewer than k of the other vectors is run again over all cells, exactly.
+A query that finds fewer than k of the other vec_ids is run again over all cells, exactly.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, or have
-another length than most of the sample, take no part; rows of one vec_id and vector are one;
-ties go to the smaller vec_id; fewer than k other vectors: all of them.
+another length than most of the sample, take no part; rows of one vec_id and vector are one; a
+vec_id with several vectors is as near as its nearest, and asks with its least (in the order of
+arrays); ties go to the smaller vec_id; fewer than k other vec_ids: all of them.
 """
 
 from __future__ import annotations
@@ -113,6 +114,17 @@ def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q * v).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((v * v).sum(axis=1)))
 
 
+def _of_ids(cos: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best cosine of each vec_id, and its place; ids ascend along the columns of cos."""
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    at = np.broadcast_to(np.arange(len(ids)), cos.shape)
+    if len(first) == len(ids):
+        return cos, at
+    best = np.maximum.reduceat(cos, first, axis=1)
+    hit = cos == np.repeat(best, np.diff(np.append(first, len(ids))), axis=1)
+    return best, np.minimum.reduceat(np.where(hit, at, len(ids)), first, axis=1)
+
+
 def _best(k: int):
     def run(key, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
@@ -137,13 +149,19 @@ def _best(k: int):
                 i = np.array(who[w : w + 512])
                 cos = np.round(q[i] @ v[a:b].T, 12)
                 cos[qid[i][:, None] == ids[None, a:b]] = -9
+                cos, at = _of_ids(cos, ids[a:b])
                 top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-                found.append(np.stack([np.repeat(i, top.shape[1]), top.ravel() + a, np.take_along_axis(cos, top, 1).ravel()]))
+                found.append(np.stack([np.repeat(i, top.shape[1]), np.take_along_axis(at, top, 1).ravel() + a, np.take_along_axis(cos, top, 1).ravel()]))
         if not found:
             return empty
         qi, vi, cos = np.concatenate(found, axis=1)
-        qi, vi = qi.astype(int)[cos > -2], vi.astype(int)[cos > -2]
-        order = np.lexsort((ids[vi], -cos[cos > -2], qi))
+        qi, vi, cos = qi.astype(int)[cos > -2], vi.astype(int)[cos > -2], cos[cos > -2]
+        # a vec_id with vectors in several buckets counts once, by its nearest
+        order = np.lexsort((-cos, ids[vi], qi))
+        qi, vi, cos = qi[order], vi[order], cos[order]
+        new = np.append(True, (qi[1:] != qi[:-1]) | (ids[vi[1:]] != ids[vi[:-1]]))[: len(qi)]
+        qi, vi, cos = qi[new], vi[new], cos[new]
+        order = np.lexsort((ids[vi], -cos, qi))
         qi, vi = qi[order], vi[order]
         place = np.arange(len(qi)) - np.maximum.accumulate(np.where(np.append(True, qi[1:] != qi[:-1]), np.arange(len(qi)), 0)) if len(qi) else qi
         qi, vi = qi[place < k], vi[place < k]
@@ -159,14 +177,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, success: float = SU
     """
     spark = vectors.sparkSession
     clean = vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("v")).filter(valid(F.col("v")) & F.col("vec_id").isNotNull())
-    sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    n = clean.count()
+    clean = materialise(clean.distinct(), "ann-vectors")
+    drawn = clean.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
+    sample = clean.join(F.broadcast(drawn), "vec_id").groupBy("vec_id").agg(F.min("v").alias("v")).collect()
     empty = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return spark.createDataFrame([], empty)
     dims = [len(r["v"]) for r in sample]
     dim = max(set(dims), key=lambda d: (dims.count(d), d))
     clean = clean.filter(F.size("v") == dim)
+    n, n_ids = clean.agg(F.count("*"), F.countDistinct("vec_id")).first()
     held = [(r["vec_id"], np.array(r["v"])) for r in sample if len(r["v"]) == dim]
     shared = spark.sparkContext.broadcast((np.array([i for i, _ in held]), unit(np.stack([v for _, v in held])), *directions(dim)))
     cells = max(1, -(-n // CELL))
@@ -194,7 +214,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, success: float = SU
             yield pd.DataFrame({"query_id": [o[0] for o in out], "tab": [o[1] for o in out], "code": code(np.array([o[2] for o in out]).reshape(-1, min(FUNCTIONS, dim)))}).drop_duplicates()
 
     rows = clean.mapInPandas(index, "vec_id long, v array<double>, tab int, code long")
-    queries = clean.filter(is_query).dropDuplicates(["vec_id"])
+    queries = clean.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     # buckets larger than a cell are dealt over several
     hot = rows.groupBy("tab", "code").agg(F.count("*").alias("n")).filter(F.col("n") > CELL)
     parts = materialise(hot.select("tab", "code", F.ceil(F.col("n") / CELL).cast("int").alias("parts")), "ann-hot") if n > CELL else None
@@ -203,8 +223,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, success: float = SU
 
     if hot:
         salted = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int")).join(salted, ["tab", "code", "salt"], "left")
-        rows = rows.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.col("parts")).cast("int")))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), F.lit(SALTS)).cast("int")).join(salted, ["tab", "code", "salt"], "left")
+        rows = rows.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(F.lit(5), "vec_id", "v"), F.col("parts")).cast("int")))
         rows = rows.select("tab", cell.alias("cell"), "part", "vec_id", "v", "code")
     else:
         rows = rows.select("tab", cell.alias("cell"), F.lit(0).alias("part"), "vec_id", "v", "code")
@@ -222,12 +242,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, success: float = SU
     found = rows.groupBy(*by).cogroup(asked.select(*by, "query_id", "v", "codes").groupBy(*by)).applyInPandas(_best(k), schema)
     best = _merged(found, k)
 
-    others = min(k, n - 1)
+    others = min(k, n_ids - 1)
     best = materialise(best, "ann")
     enough = best.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= others).select(F.col("query_id").alias("vec_id"))
     short = materialise(queries.join(enough, "vec_id", "left_anti"), "ann-short")
     if others > 0 and not short.isEmpty():
-        whole = clean.withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int")).withColumn("code", F.lit(0).cast("long"))
+        whole = clean.withColumn("cell", F.pmod(F.xxhash64("vec_id", "v"), F.lit(cells)).cast("int")).withColumn("code", F.lit(0).cast("long"))
         again = short.select(F.col("vec_id").alias("query_id"), "v", F.array(F.lit(-1).cast("long")).alias("codes"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
         exact = whole.select("cell", "vec_id", "v", "code").groupBy("cell").cogroup(again.groupBy("cell")).applyInPandas(_best(k), schema)
         best = best.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(_merged(exact, k))
@@ -236,7 +256,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, success: float = SU
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def digest(vectors: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ columns of clashing names; and against brute force."""
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -235,6 +236,26 @@ def test_mixing_hits_the_target(spark):
     assert all(abs(taken[s] - goal[s]) <= 1 for s in goal)
 
 
+def test_fit_of_long_documents():
+    sums = lambda lengths, counts, budget: max(x for x in map(sum, itertools.product(*([n * k for k in range(c + 1)] for n, c in zip(lengths, counts, strict=True)))) if x <= budget)
+    rng = random.Random(6)
+    cases = [([45_000, 100_000], [1, 1], 50_000), ([35_000, 45_000, 50_000], [1, 1, 1], 80_000), ([300_000, 700_001], [3, 2], 1_000_000)]
+    cases += [(rng.sample(range(24_500, 400_000), 5), [rng.randint(1, 3) for _ in range(5)], rng.randint(25_000, 900_000)) for _ in range(10)]
+    for lengths, counts, budget in cases:
+        got = mixing.fit(np.array(lengths), np.array(counts), min(budget, int(np.dot(lengths, counts))))
+        assert (got <= counts).all() and int((got * lengths).sum()) == sums(lengths, counts, budget)
+    many = np.array(sorted(rng.sample(range(24_500, 120_000), 2000)))
+    assert (mixing.fit(many, np.ones(2000, int), 70_000_001) * many).sum() == 70_000_001
+    # beyond REACH a document that fits isn't left out
+    assert mixing.fit(np.array([45_000_000, 100_000_000]), np.array([1, 1]), 50_000_000).tolist() == [1, 0]
+
+
+def test_mixing_of_long_documents(spark):
+    rows = [(1, "w " * 45_000, "en", "a"), (2, "w " * 100_000, "en", "a"), (3, "w " * 95_000, "en", "b")]
+    got = {r["row"]["doc_id"]: r for r in mixing.mix(documents(spark, rows), weights=(5, 19), carry=["doc_id"]).collect()}
+    assert round(got[1]["target"]) == 50_000 and {i: r["times"] for i, r in got.items()} == {1: 1, 2: 0, 3: 2}
+
+
 # near duplicates --------------------------------------------------------------------------
 
 

@@ -4,7 +4,9 @@ Documents are counted by exact length in words. Every source's target is met wit
 documents: all of them ``target // source_size`` times, and once more a subset whose lengths
 sum to what is left of the budget. That subset is fitted per source over the histogram of
 lengths (never over documents): an even share of each length, then the longest that fit, then
-an exact bounded-knapsack dynamic program over the last ``KNAPSACK`` words. Which documents of
+an exact bounded-knapsack dynamic program over the last ``KNAPSACK`` words. Where that misses
+(long documents, few lengths) the program is run over up to all of the budget, or over its last
+``REACH`` words: a budget of up to ``REACH`` words is fitted exactly, whatever the lengths. Which documents of
 a length are taken is decided by a seeded hash of doc_id.
 
 Scale: the histogram is pre-aggregated before its shuffle and has a row per source, length and
@@ -19,6 +21,8 @@ doc_id and length tie: either may be taken, with the same result); an empty tabl
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +33,8 @@ from .common import WORD, materialise
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 KNAPSACK = 1 << 14
+#: Words that the dynamic program gets at most where KNAPSACK doesn't do.
+REACH = 1 << 23
 SALTS = 8
 SEED = 20240101
 
@@ -55,48 +61,84 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, cap: int = MAX_REPEAT
     return out
 
 
+def _places(bits: int) -> np.ndarray:
+    raw = np.frombuffer(bits.to_bytes(-(-bits.bit_length() // 8), "little"), np.uint8)
+    at = np.flatnonzero(raw)
+    byte, bit = np.nonzero(np.unpackbits(raw[at, None], axis=1, bitorder="little"))
+    return at[byte] * 8 + bit
+
+
 def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each length give the largest sum within budget (bounded subset sum, exact)."""
-    reach, steps = 1, []
-    mask = (1 << (budget + 1)) - 1
-    for i, (size, n) in enumerate(zip(lengths, counts, strict=True)):
+    """How many of each length give the largest sum within budget (bounded subset sum, exact).
+
+    It holds 4 bytes for each sum up to budget, in units of the lengths' common divisor.
+    """
+    unit = math.gcd(*lengths) or 1
+    sizes, budget = [x // unit for x in lengths], budget // unit
+    reach, mask, steps = 1, (1 << (budget + 1)) - 1, []
+    first = np.zeros(budget + 1, np.int32)  # the step that reached a sum first
+    for i, (size, n) in enumerate(zip(sizes, counts, strict=True)):
         n = min(n, budget // size)
         take = 1
         while n > 0 and not reach >> budget & 1:
             take = min(take, n)
-            steps.append((i, take, reach))
-            reach |= (reach << (take * size)) & mask
+            more = (reach << (take * size)) & mask
+            more ^= more & reach
+            if more:
+                first[_places(more)] = len(steps)
+                steps.append((i, take))
+                reach |= more
             n -= take
             take *= 2
     at, out = reach.bit_length() - 1, [0] * len(lengths)
-    for i, take, before in reversed(steps):
-        if not before >> at & 1:
-            at -= take * lengths[i]
-            out[i] += take
+    while at:
+        i, take = steps[first[at]]
+        at -= take * sizes[i]
+        out[i] += take
     return out
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length make up budget; lengths distinct, budget <= their sum."""
+    """How many documents of each length make up budget; lengths distinct, budget <= their sum.
+
+    Where the last ``KNAPSACK`` words don't come out even, the dynamic program gets more room: all
+    of the budget, or its last ``REACH`` words.
+    """
+    there = [int(x) for x, n in zip(lengths, counts, strict=True) if n and x]
+    goal = budget - budget % (math.gcd(*there) or 1)
+    best, room = _fit(lengths, counts, budget, budget, KNAPSACK), KNAPSACK
+    while (best * lengths).sum() < goal and room < min(budget, REACH):
+        room = min(8 * room, REACH)
+        out = _fit(lengths, counts, budget, max(0, budget - room), room)
+        if (out * lengths).sum() > (best * lengths).sum():
+            best = out
+    return best
+
+
+def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, even: int, room: int) -> np.ndarray:
+    """An even share of ``even`` words, the longest that fit, the dynamic program over about room words."""
     out = np.zeros(len(lengths), dtype=np.int64)
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
         return out
-    out[:] = [int(c) * budget // total if n else 0 for n, c in zip(lengths, counts, strict=True)]
+    out[:] = [int(c) * even // total if n else 0 for n, c in zip(lengths, counts, strict=True)]
     left = budget - int((out * lengths).sum())
-    for i in np.argsort(-lengths, kind="stable"):
-        if left <= KNAPSACK:
+    longest = np.argsort(-lengths, kind="stable")
+    for i in longest:
+        if left <= room:
             break
         if lengths[i]:
-            more = int(min(counts[i] - out[i], (left - KNAPSACK // 2) // lengths[i]))
+            more = int(min(counts[i] - out[i], (left - room // 2) // lengths[i]))
             if more > 0:
                 out[i] += more
                 left -= more * int(lengths[i])
-    if left <= 2 * KNAPSACK:
-        fits = [i for i in np.argsort(-lengths, kind="stable") if 0 < lengths[i] <= left and counts[i] > out[i]]
+    fits = [i for i in longest if 0 < lengths[i] <= left and counts[i] > out[i]]
+    if left <= 2 * room:
         got = knapsack([int(lengths[i]) for i in fits], [int(counts[i] - out[i]) for i in fits], left)
-        for i, n in zip(fits, got, strict=True):
-            out[i] += n
+    else:  # what fits is longer than left - room / 2 here: one document, the longest
+        got = [int(k == 0) for k in range(len(fits))]
+    for i, n in zip(fits, got, strict=True):
+        out[i] += n
     return out
 
 

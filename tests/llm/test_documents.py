@@ -318,6 +318,26 @@ def test_small_blocks_lose_nothing(spark, monkeypatch):
     assert got == brute_classes(rows, 3, 90, 100)
 
 
+def repeated_rows(seed=4):
+    """A third of the rows under doc_id 0, of different texts with as many shingles each, and near copies of these."""
+    rng = random.Random(seed)
+    bases = [[f"b{g}x{i}" for i in range(60)] for g in range(8)]
+    near = lambda g, k: " ".join([*bases[g][:-1], f"{k}"])
+    rows = [(0, near(g, f"z{k}"), "en", "s") for g in range(8) for k in range(2)]
+    rows += [(1 + 10 * g + k, near(g, f"y{k}"), "en", "s") for g in range(8) for k in range(3)]
+    rows += [(500 + k, " ".join(f"u{k}x{i}" for i in range(60)), "en", "s") for k in range(5)] + [rows[0], rows[20], (0, "", "en", "s"), (None, rows[0][1], "en", "s")]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("broadcast", [jaccard.BROADCAST, 0])
+def test_one_doc_id_with_several_texts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(jaccard, "BROADCAST", broadcast)
+    rows = repeated_rows()
+    got = collections.Counter(tuple(x) for x in jaccard.classes(documents(spark, rows).repartition(4)).collect())
+    assert got == brute_classes(rows, 3, 90, 100)
+
+
 def test_components(spark):
     r = random.Random(1)
     e = spark.createDataFrame([(r.randint(0, 300), r.randint(0, 300)) for _ in range(150)] + [(400 + i, 401 + i) for i in range(20)] + [(5, 5)], "u long, v long")

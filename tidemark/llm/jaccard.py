@@ -60,6 +60,11 @@ def grams(texts, width: int = WIDTH) -> Iterator[np.ndarray]:
         yield np.unique(gram_hashes(h, width))
 
 
+def set_hash(g: np.ndarray) -> int | None:
+    """Names a set of n-grams: its class; none for the empty set."""
+    return int(mixed(mixed(g).sum(keepdims=True) ^ np.uint64(len(g)))[0].astype(np.int64)) if len(g) else None
+
+
 def _texts(column) -> Iterator[str | None]:
     return (t.as_py() for t in column)
 
@@ -111,7 +116,7 @@ def _described(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             n, cls, index, bits = [], [], [], []
             for g in grams(_texts(b.column(1)), width):
                 n.append(len(g))
-                cls.append(int(mixed(mixed(g).sum(keepdims=True) ^ np.uint64(len(g)))[0].astype(np.int64)) if len(g) else None)
+                cls.append(set_hash(g))
                 bits.append(parities(g, num, den))
                 first = len(g) - -(-num * len(g) // den) + 1
                 if len(g) and first < len(g):
@@ -198,20 +203,27 @@ def _screen(by: list[str], num: int, den: int):
 def _with_sets(rows: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """rows with n and grams of their cls, from the texts of just these documents.
 
-    Up to BROADCAST wanted documents are sent to the scan of docs; more are joined with it.
+    Up to BROADCAST wanted documents are sent to the scan of docs; more are joined with it. Which
+    class a text is of is told by its own set, as a doc_id can be there with several texts.
     """
-    wanted = materialise(nodes.join(rows.select("cls").distinct(), "cls", "left_semi").select("doc_id", "cls", F.col("n").alias("size")), "wanted")
+    wanted = materialise(nodes.join(rows.select("cls").distinct(), "cls", "left_semi").select("doc_id").distinct(), "wanted")
     if wanted.count() <= BROADCAST:
         wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int | None] = {None}
         for b in batches:
-            sets = list(grams(_texts(b.column(2)), width))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["cls", "size", "n", "grams"])
-
-    sets = docs.join(wanted, "doc_id").select("cls", "size", "text").mapInArrow(run, "cls long, size long, n long, grams binary")
-    # of a doc_id that is there again with another text the set of the right size is taken
-    return rows.join(sets.filter("n = size").select("cls", "n", "grams"), "cls")
+            cls, sets = [], []
+            for g in grams(_texts(b.column(0)), width):
+                c = set_hash(g)
+                if c not in done:  # once a task, however often the row is there
+                    done.add(c)
+                    cls.append(c)
+                    sets.append(g)
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([len(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["cls", "n", "grams"])
+
+    sets = docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(run, "cls long, n long, grams binary")
+    return rows.join(sets, "cls")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

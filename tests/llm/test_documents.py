@@ -361,6 +361,49 @@ def test_deduplicated(spark, odd, none):
     assert jaccard.classes(none).count() == 0 and jaccard.deduplicated(none).count() == 0
 
 
+def brute_components(rows, width, num, den):
+    """Lists of the places in rows of each component; of texts without n-grams, those of each doc_id."""
+    sets, out = [], []
+    for i, t in rows:
+        w = words(t)
+        sets.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
+    for k, (i, _) in enumerate(rows):
+        linked = lambda m, k=k: den * len(sets[k] & sets[m]) >= num * len(sets[k] | sets[m]) if sets[k] and sets[m] else not sets[k] and not sets[m] and rows[k][0] == rows[m][0]
+        if i is not None:
+            near = [c for c in out if any(linked(m) for m in c)]
+            out = [c for c in out if c not in near] + [[k, *(m for c in near for m in c)]]
+    return out
+
+
+def check_distinct(before, after, width=5, num=80, den=100):
+    """One row of each component, of its smallest doc_id; all rows without doc_id."""
+    left = collections.Counter(after)
+    for c in brute_components(before, width, num, den):
+        least = min(before[k][0] for k in c)
+        options = {before[k] for k in c if before[k][0] == least}
+        assert sum(left.pop(o, 0) for o in options) == 1
+    assert left == collections.Counter(r for r in before if r[0] is None)
+
+
+def test_pipeline(spark, odd, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(i, t, "en", random.Random(k).choice("ab")) for k, (i, t, _, _) in enumerate([*repeated_rows(), *near_rows()])]
+    docs = documents(spark, rows).unionByName(odd)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(600)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    seen, write = {"stage-": docs}, corpus_pipeline.materialise
+    monkeypatch.setattr(corpus_pipeline, "materialise", lambda df, name: seen.setdefault(name, write(df, name)))
+    monkeypatch.setattr(quality, "THRESHOLD", 0.0)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    all_, lang, good, apart, mix = ([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()] for df in seen.values())
+    assert not collections.Counter(lang) - collections.Counter(all_) and collections.Counter(good) == collections.Counter(lang) and len(good) > 100
+    check_distinct(good, apart)
+    assert set(mix) <= set(apart) and max(collections.Counter(mix).values()) <= 3 * max(collections.Counter(apart).values())
+    assert collections.Counter(r["doc_id"] for r in got if r["piece"] == 0) == collections.Counter(i for i, _ in mix)
+    check_sequences(got)
+
+
 # fingerprints -----------------------------------------------------------------------------
 
 

@@ -108,7 +108,7 @@ def cell_counts(docs: DataFrame, width: int, cells: int = CELLS) -> np.ndarray:
 
 
 def _described(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, cls (hash of the set) and index, the n-grams to index the set by."""
+    """doc_id, n, cls (hash of the set), index, the n-grams to index the set by, bits, and the columns of docs after doc_id and text."""
     counts = docs.sparkSession.sparkContext.broadcast(cell_counts(docs, width))  # 4 * CELLS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +126,10 @@ def _described(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     g = np.concatenate([under, ties[: first - len(under)]])
                 index.append(g.astype(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, index)]), pa.int32()), pa.array(np.concatenate(index) if index else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), lists, pa.array(bits, pa.binary())], names=["doc_id", "n", "cls", "index", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), lists, pa.array(bits, pa.binary()), *b.columns[2:]], names=["doc_id", "n", "cls", "index", "bits", *b.schema.names[2:]])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, index array<long>, bits binary")
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
+    return docs.mapInArrow(run, "doc_id long, n long, cls long, index array<long>, bits binary" + more)
 
 
 def parities(g: np.ndarray, num: int = NUM, den: int = DEN) -> bytes:
@@ -344,9 +345,8 @@ def _entries_of(known: DataFrame, entries: DataFrame, several: DataFrame) -> Dat
     return known.select("cls", "index").mapInArrow(run, "gram long, cls long")
 
 
-def classes(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs(doc_id, text)."""
-    docs = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
+def _linked(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of _described, and cls, doc_id (the least of it), comp of every set; docs as there."""
     seen = materialise(_described(docs, width, num, den), "sets")
     known = seen.filter("doc_id IS NOT NULL AND n > 0")
     least = known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
@@ -396,7 +396,13 @@ def classes(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN)
     second = components(more, "blocks")
 
     root = nodes.join(first, nodes["cls"] == first["node"], "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("comp"))
-    root = root.join(second, root["comp"] == second["node"], "left").select("cls", "doc_id", F.coalesce("root", "comp").alias("comp"))
+    return seen, root.join(second, root["comp"] == second["node"], "left").select("cls", "doc_id", F.coalesce("root", "comp").alias("comp"))
+
+
+def classes(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs(doc_id, text)."""
+    docs = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
+    seen, root = _linked(docs, width, num, den)
     smallest = root.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = root.join(smallest, "comp").select("cls", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = seen.select("doc_id", "n", "cls", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
@@ -405,17 +411,23 @@ def classes(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN)
     )
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents that link with one of a smaller doc_id's class.
+def deduplicated(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
+    """docs with one row of each component of texts that link.
 
-    Of each class the row of the smallest doc_id stays, one if it is there twice; rows without
-    doc_id stay.
+    It is a row of the smallest doc_id, and of that the text of the smallest hash. Texts without
+    n-grams link with none: of these one of each doc_id stays. Rows without doc_id stay.
     """
     names = docs.columns
-    found = classes(docs, **options).filter("doc_id IS NOT NULL")
-    keep = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg((F.count("*") > 1).alias("_again"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("`doc_id`").cast("long").alias("_id"))
-    kept = rows.join(keep, rows["_id"] == keep["_keep"])
+    doc_id, text = F.col("`doc_id`").cast("long"), F.col("`text`").cast("string")
+    seen, root = _linked(docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")), width, num, den)
+    texts = seen.filter("doc_id IS NOT NULL").groupBy("doc_id", "h").agg(F.min("cls").alias("cls"), (F.count("*") > 1).alias("again"))
+    least = F.min(F.struct("doc_id", "h", "again")).alias("least")
+    sets = texts.filter("cls IS NOT NULL").groupBy("cls").agg(least)  # before the join: many texts may be of one set
+    sets = sets.join(root.select("cls", "comp"), "cls").groupBy("comp").agg(F.min("least").alias("least"))
+    keep = sets.select("least.*").unionByName(texts.filter("cls IS NULL").groupBy("doc_id").agg(F.min(F.struct("h", "again")).alias("least")).select("doc_id", "least.*"))
+    keep = keep.select(F.col("doc_id").alias("_keep"), F.col("h").alias("_kept"), F.col("again").alias("_again"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), doc_id.alias("_id"), F.xxhash64(text).alias("_h"))
+    kept = rows.join(keep, (rows["_id"] == keep["_keep"]) & (rows["_h"] == keep["_kept"]))
     once = kept.filter(~F.col("_again")).select("row")
-    again = kept.filter("_again").groupBy("_id", F.xxhash64("row.text")).agg(F.first("row").alias("row")).select("row")
+    again = kept.filter("_again").groupBy("_id", "_h").agg(F.first("row").alias("row")).select("row")
     return once.unionByName(again).unionByName(rows.filter("_id IS NULL").select("row")).select("row.*")

@@ -18,14 +18,16 @@ over several cells, whatever share of the rows it has. Only the sample is broadc
 
 A query that finds fewer than k of the other vec_ids is run again over all cells, exactly.
 
-Defined results: vectors that are null, zero or hold null or non-finite components, or have
-another length than most of the sample, take no part; rows of one vec_id and vector are one; a
-vec_id with several vectors is as near as its nearest, and asks with its least (in the order of
-arrays); ties go to the smaller vec_id; fewer than k other vec_ids: all of them.
+Defined results: vectors that are null, zero or hold null or non-finite components take no part;
+vectors of other lengths than the query's aren't compared with it, and each length has an index of
+its own; rows of one vec_id and vector are one; a vec_id with several vectors is as near as its
+nearest, and asks with its least (in the order of arrays); ties go to the smaller vec_id; fewer
+than k other vec_ids of that length: all of them.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 from collections.abc import Iterator
@@ -53,6 +55,7 @@ def valid(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
 
 
+@functools.lru_cache(8)
 def directions(dim: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     rng = np.random.default_rng(SEED)
     n = min(FUNCTIONS, dim)
@@ -183,73 +186,74 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, success: float = SU
     empty = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return spark.createDataFrame([], empty)
-    dims = [len(r["v"]) for r in sample]
-    dim = max(set(dims), key=lambda d: (dims.count(d), d))
-    clean = clean.filter(F.size("v") == dim)
-    n, n_ids = clean.agg(F.count("*"), F.countDistinct("vec_id")).first()
-    held = [(r["vec_id"], np.array(r["v"])) for r in sample if len(r["v"]) == dim]
-    shared = spark.sparkContext.broadcast((np.array([i for i, _ in held]), unit(np.stack([v for _, v in held])), *directions(dim)))
+    clean = clean.withColumn("dim", F.size("v"))
+    held: dict[int, list] = {}
+    for r in sample:
+        held.setdefault(len(r["v"]), []).append((r["vec_id"], np.array(r["v"])))
+    shared = spark.sparkContext.broadcast({d: (np.array([i for i, _ in rs]), unit(np.stack([v for _, v in rs]))) for d, rs in held.items()})
+    n = clean.count()
     cells = max(1, -(-n // CELL))
     each = 1 - (1 - success) ** (1 / TABLES)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, _, axes, shifts = shared.value
         for pdf in batches:
-            if len(pdf):
-                x = unit(_stack(pdf["v"]))
-                yield pd.concat([pdf.assign(tab=t, code=code(slots(x, axes[t], shifts[t]))) for t in range(TABLES)])
+            for dim, own in pdf.groupby("dim"):
+                x, (axes, shifts) = unit(_stack(own["v"])), directions(int(dim))
+                yield pd.concat([own.assign(tab=t, code=code(slots(x, axes[t], shifts[t]))) for t in range(TABLES)])
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x, axes, shifts = shared.value
         for pdf in batches:
-            out = []
+            out = [np.zeros((0, 4), np.int64)]
             for query, v in zip(pdf["vec_id"], pdf["v"], strict=True):
                 u = unit(np.asarray(v, np.float64)[None])[0]
+                ids, x = shared.value.get(len(u), (np.zeros(0), np.zeros((0, len(u)))))
                 near = np.sort((x @ u)[ids != query])[::-1]
                 if len(near) < k:
                     continue  # too few to tell: the exact run takes this query
+                axes, shifts = directions(len(u))
                 for t in range(TABLES):
-                    for b in probes(u @ axes[t], shifts[t], float(near[k - 1]), each):
-                        out.append((query, t, b))
-            yield pd.DataFrame({"query_id": [o[0] for o in out], "tab": [o[1] for o in out], "code": code(np.array([o[2] for o in out]).reshape(-1, min(FUNCTIONS, dim)))}).drop_duplicates()
+                    codes = np.unique(code(np.array(probes(u @ axes[t], shifts[t], float(near[k - 1]), each))))
+                    out.append(np.stack([np.full(len(codes), query), np.full(len(codes), len(u)), np.full(len(codes), t), codes], 1))
+            yield pd.DataFrame(np.concatenate(out), columns=["query_id", "dim", "tab", "code"])
 
-    rows = clean.mapInPandas(index, "vec_id long, v array<double>, tab int, code long")
-    queries = clean.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = clean.mapInPandas(index, "vec_id long, v array<double>, dim int, tab int, code long")
+    queries = clean.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     # buckets larger than a cell are dealt over several
-    hot = rows.groupBy("tab", "code").agg(F.count("*").alias("n")).filter(F.col("n") > CELL)
-    parts = materialise(hot.select("tab", "code", F.ceil(F.col("n") / CELL).cast("int").alias("parts")), "ann-hot") if n > CELL else None
+    hot = rows.groupBy("dim", "tab", "code").agg(F.count("*").alias("n")).filter(F.col("n") > CELL)
+    parts = materialise(hot.select("dim", "tab", "code", F.ceil(F.col("n") / CELL).cast("int").alias("parts")), "ann-hot") if n > CELL else None
     hot = parts is not None and not parts.isEmpty()
-    cell = F.pmod(F.xxhash64("tab", "code"), F.lit(cells)).cast("int")
+    cell = F.pmod(F.xxhash64("dim", "tab", "code"), F.lit(cells)).cast("int")
 
     if hot:
         salted = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), F.lit(SALTS)).cast("int")).join(salted, ["tab", "code", "salt"], "left")
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), F.lit(SALTS)).cast("int")).join(salted, ["dim", "tab", "code", "salt"], "left")
         rows = rows.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(F.lit(5), "vec_id", "v"), F.col("parts")).cast("int")))
-        rows = rows.select("tab", cell.alias("cell"), "part", "vec_id", "v", "code")
+        rows = rows.select("dim", "tab", cell.alias("cell"), "part", "vec_id", "v", "code")
     else:
-        rows = rows.select("tab", cell.alias("cell"), F.lit(0).alias("part"), "vec_id", "v", "code")
+        rows = rows.select("dim", "tab", cell.alias("cell"), F.lit(0).alias("part"), "vec_id", "v", "code")
 
-    asked = queries.select("vec_id", "v").repartition(max(8, cells)).mapInPandas(ask, "query_id long, tab int, code long")
+    asked = queries.select("vec_id", "v").repartition(max(8, cells)).mapInPandas(ask, "query_id long, dim int, tab int, code long")
     if hot:
-        asked = asked.join(parts, ["tab", "code"], "left").withColumn("part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.col("parts")))))
+        asked = asked.join(parts, ["dim", "tab", "code"], "left").withColumn("part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.col("parts")))))
     else:
         asked = asked.withColumn("part", F.lit(0))
-    asked = asked.groupBy("query_id", "tab", cell.alias("cell"), "part").agg(F.collect_list("code").alias("codes"))
+    asked = asked.groupBy("query_id", "dim", "tab", cell.alias("cell"), "part").agg(F.collect_list("code").alias("codes"))
     asked = asked.join(queries.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
 
     schema = "query_id long, vec_id long, score double"
-    by = ["tab", "cell", "part"]
+    by = ["dim", "tab", "cell", "part"]
     found = rows.groupBy(*by).cogroup(asked.select(*by, "query_id", "v", "codes").groupBy(*by)).applyInPandas(_best(k), schema)
     best = _merged(found, k)
 
-    others = min(k, n_ids - 1)
     best = materialise(best, "ann")
-    enough = best.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= others).select(F.col("query_id").alias("vec_id"))
-    short = materialise(queries.join(enough, "vec_id", "left_anti"), "ann-short")
-    if others > 0 and not short.isEmpty():
+    others = clean.groupBy("dim").agg((F.countDistinct("vec_id") - 1).alias("others"))
+    got = best.groupBy("query_id").agg(F.count("*").alias("n")).withColumnRenamed("query_id", "vec_id")
+    wanting = F.coalesce("n", F.lit(0)) < F.least(F.lit(k), "others")
+    short = materialise(queries.join(got, "vec_id", "left").join(others, "dim").filter(wanting).select("vec_id", "v", "dim"), "ann-short")
+    if not short.isEmpty():
         whole = clean.withColumn("cell", F.pmod(F.xxhash64("vec_id", "v"), F.lit(cells)).cast("int")).withColumn("code", F.lit(0).cast("long"))
-        again = short.select(F.col("vec_id").alias("query_id"), "v", F.array(F.lit(-1).cast("long")).alias("codes"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
-        exact = whole.select("cell", "vec_id", "v", "code").groupBy("cell").cogroup(again.groupBy("cell")).applyInPandas(_best(k), schema)
+        again = short.select(F.col("vec_id").alias("query_id"), "v", "dim", F.array(F.lit(-1).cast("long")).alias("codes"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+        exact = whole.select("dim", "cell", "vec_id", "v", "code").groupBy("dim", "cell").cogroup(again.groupBy("dim", "cell")).applyInPandas(_best(k), schema)
         best = best.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(_merged(exact, k))
     return best
 

@@ -5,13 +5,15 @@ lower case, bytes of other letters as they are; every other character is a word
 weighted 1 + ln(count) times idf and normalised. Every language has several centroids, from
 spherical k-means over its sampled vectors. A text takes the language of the nearest centroid by
 cosine and is rejected if it is farther than that language's limit for a text with so many
-n-grams, a share of what its training texts have.
+n-grams. A limit stands between two samples of cosines: those that texts of the language and
+excerpts of every length have, and those of the same texts with their letters scrambled, which
+are in no language. It is never under ``FLOOR``, where texts of other scripts are.
 
 Fitting. Document frequencies are counted over all training rows, by features of which there
 are ``FEATURES``: that table is what the driver gets. Centroids and limits are fitted on a sample
-bounded by ``SAMPLE`` rows a language and ``SAMPLE_ALL`` in all, chosen by a hash of doc_id
-before anything is collected, as sparse vectors. The broadcast model has at most
-``CENTROIDS`` x ``MAX_LANGUAGES`` vectors of ``FEATURES`` floats.
+bounded by ``SAMPLE`` texts a language and ``SAMPLE_ALL`` in all: those of the smallest hashes
+of doc_id and text, each distinct one once, so refits agree. They come as sparse vectors. The
+broadcast model has at most ``CENTROIDS`` x ``MAX_LANGUAGES`` vectors of ``FEATURES`` floats.
 
 Defined results: a text that is null, empty or without letters is ``und`` with score 0, and
 rejected; without training rows every text is ``und``; ties go to the language first in code
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold
@@ -35,8 +37,13 @@ CENTROIDS = 4
 SAMPLE = 500
 SAMPLE_ALL = 20_000
 MAX_LANGUAGES = 1000
-#: Rejected below this share of the lowest percentile of the training cosines.
-REJECT_SHARE = 0.4
+#: Rejected below this share of the lowest percentile of the language's cosines, or less where
+#: scrambled texts stay farther away than that, but not below the least share.
+REJECT_SHARE, LEAST_SHARE = 0.75, 0.5
+FLOOR = 0.04
+#: Share of a language's sample that excerpts and scrambled texts are made of.
+EXCERPTED = 0.25
+SEED = 3
 #: Texts are compared with training texts of as many n-grams: upper ends of the classes.
 LENGTH_CLASSES = (8, 16, 32, 64, 128, 512)
 
@@ -93,6 +100,33 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return df, docs
 
 
+def _excerpts(text: str, seed: int) -> Iterator[tuple[int, str]]:
+    """(1, excerpt) of each length class and (2, the same with its letters scrambled)."""
+    rng = np.random.default_rng([SEED, seed & (2**63 - 1)])
+    words = text.split()
+    letters = [w for w in words if w[:1].isalpha()] or words
+    for n in (1, *(c // 10 for c in LENGTH_CLASSES if c > 10), len(letters)):
+        if not 0 < n <= len(letters):
+            continue
+        start = int(rng.integers(0, len(letters) - n + 1))
+        part = " ".join(letters[start : start + n])
+        yield 1, part
+        yield 2, "".join(np.array(list(part))[rng.permutation(len(part))])
+
+
+def _limits(cos: np.ndarray, classes: np.ndarray, kinds: np.ndarray) -> list[float]:
+    """Of each length class, the cosine under which a text is rejected; a class with few texts takes the shorter one's."""
+    out, low = [], FLOOR
+    for k in range(len(LENGTH_CLASSES) + 1):
+        own, not_own = cos[(classes == k) & (kinds < 2)], cos[(classes == k) & (kinds == 2)]
+        if len(own) >= 10:
+            least = float(np.percentile(own, 1))
+            far = float(np.percentile(not_own, 99)) if len(not_own) >= 10 else 1.0
+            low = max(FLOOR, min(REJECT_SHARE * least, max(LEAST_SHARE * least, far)))
+        out.append(low)
+    return out
+
+
 def _length_class(n: float) -> int:
     return int(np.searchsorted(LENGTH_CLASSES, n))
 
@@ -119,8 +153,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text:
     """Model from all rows of labelled with a text and a language."""
     rows = labelled.select(
         F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{key}`").cast("string").alias("key")
-    ).filter("text IS NOT NULL AND lang IS NOT NULL")
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    ).filter("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("key", "text"))
+    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(per) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not per:
@@ -128,39 +162,45 @@ def train(labelled: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text:
     df, docs = document_frequencies(rows.select("text"))
     idf = np.log((1 + docs) / (1 + df)) + 1
     each = min(sample, max(1, SAMPLE_ALL // len(per)))
-    share = F.create_map(*(F.lit(v) for k, n in sorted(per.items()) for v in (k, min(1.0, each / n))))
-    chosen = rows.filter(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    # twice as many by chance, then the first of each language by hash: the bound holds whatever is repeated
+    share = F.create_map(*(F.lit(v) for k, n in sorted(per.items()) for v in (k, min(1.0, 2 * each / max(1, n)))))
+    chosen = rows.filter(F.pmod("h", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    chosen = chosen.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    chosen = chosen.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("place") <= each)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"lang": pdf["lang"], "key": pdf["key"].fillna(""), "f": [a.astype("<i4").tobytes() for a, _ in got], "n": [n.astype("<i4").tobytes() for _, n in got]})
+            out = []
+            for lang, h, place, t in zip(pdf["lang"], pdf["h"], pdf["place"], pdf["text"], strict=True):
+                made = [(0, t)] + ([*_excerpts(t, h)] if place <= max(20, EXCERPTED * each) else [])
+                for kind, made_text in made:
+                    at, n = features(made_text)
+                    out.append((lang, h, kind, at.astype("<i4").tobytes(), n.astype("<i4").tobytes()))
+            yield pd.DataFrame(out, columns=["lang", "h", "kind", "f", "n"])
 
     found: dict[str, list] = {}
-    # a row that is there very often adds no more than the bound
-    for r in chosen.mapInPandas(vectors, "lang string, key string, f binary, n binary").limit(2 * SAMPLE_ALL).collect():
-        found.setdefault(r["lang"], []).append((r["key"], bytes(r["f"]), bytes(r["n"])))
+    for r in chosen.mapInPandas(vectors, "lang string, h long, kind int, f binary, n binary").collect():
+        found.setdefault(r["lang"], []).append((r["h"], r["kind"], bytes(r["f"]), bytes(r["n"])))
     langs, owner, centroids, limits = sorted(found), [], [], {}
     for i, name in enumerate(langs):
-        x, size = [], []
-        for _, f, n in sorted(found[name])[: 2 * each]:
+        x, size, kinds = [], [], []
+        for _, kind, f, n in sorted(found[name]):
             at, n = np.frombuffer(f, "<i4"), np.frombuffer(n, "<i4")
             if len(at):
                 row = np.zeros(FEATURES, np.float32)
                 row[at] = _vector(at, n, idf)
                 x.append(row)
                 size.append(int(n.sum()))
-        if not x:
+                kinds.append(kind)
+        kinds = np.array(kinds)
+        if not (kinds == 0).any():
             continue
-        x, size = np.array(x), np.array(size)
-        c = k_means(x, CENTROIDS)
+        x = np.array(x)
+        c = k_means(x[kinds == 0], CENTROIDS)
         owner += [i] * len(c)
         centroids.append(c)
         cos, classes = (x @ c.T).max(1), np.searchsorted(LENGTH_CLASSES, size)
-        low = 0.0
-        for k in range(len(LENGTH_CLASSES) + 1):  # a class with few texts takes the shorter one's limit
-            if (classes == k).sum() >= 10:
-                low = REJECT_SHARE * float(np.percentile(cos[classes == k], 1))
+        for k, low in enumerate(_limits(cos, classes, kinds)):
             limits[i, k] = low
     return {"langs": langs, "owner": np.array(owner, int), "centroids": np.concatenate(centroids) if centroids else np.zeros((0, FEATURES), np.float32), "idf": idf, "limits": limits}
 

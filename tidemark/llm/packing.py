@@ -5,12 +5,16 @@
    of a text are those of its white-space-delimited chunks, one after the other.
 2. Pieces are dealt evenly over partitions of at most ``PARTITION`` pieces; each runs best-fit
    decreasing and compares its bins with lower bounds from dual feasible functions
-   (:func:`lower_bound`); one that meets them is certified: its own pieces take no fewer bins.
-   A partition that is full but for less than a bin gives up its emptiest bin; one with more
-   gaps gives up a share of its emptiest bins, certified or not, as others' pieces may fill them.
+   (:func:`lower_bound`). One that meets them is certified: its pieces alone can't take fewer
+   bins. If its gaps are less than a bin it gives up its emptiest bin only; otherwise others'
+   pieces may fill its gaps, and it gives up a share of its emptiest bins; one that isn't certified
+   may be packed better and gives up a larger share.
 3. What was given up is pooled, whole bins at a time, dealt anew over fewer partitions and
-   packed again (the old bins stay if the new ones aren't fewer), until one partition is left
-   or nothing is given up.
+   packed again (the old bins stay if the new ones aren't fewer), until one partition is left,
+   nothing is given up, or all bins together meet the bound of all pieces: that certifies the
+   whole packing, and no exchange could save a bin.
+
+Each piece says whether the partition that closed its bin, or the whole, was certified.
 
 No task holds more than about ``PARTITION`` pieces, whatever the documents. The packed pieces
 hold no text. Defined results: null text is empty (one piece, the id 0); repeated rows are
@@ -33,9 +37,10 @@ from .common import materialise
 
 CAPACITY = 2048
 PARTITION = 20_000
-CACHED_WORDS = 600_000
-#: Share of the bins that a partition with gaps gives up.
-GIVEN_UP = 0.25
+#: Bytes of words and their ids that a worker holds.
+CACHED_BYTES = 96 << 20
+#: Shares of the bins that certified partitions with gaps and others give up.
+GIVEN_UP, UNSURE = 0.25, 0.5
 MAX_ROUNDS = 8
 
 _tokenizers: dict[str, tuple] = {}
@@ -55,18 +60,19 @@ def encoder(path: str):
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        _tokenizers[path] = (tok, {})
-    tok, cache = _tokenizers[path]
+        _tokenizers[path] = (tok, {}, [0])
+    tok, cache, held = _tokenizers[path]
 
     def encode_all(words: list[bytes]) -> None:
         for w, e in zip(words, tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
             cache[w] = np.array(e.ids, dtype="<u4").tobytes()
+            held[0] += len(w) + len(cache[w]) + 150
 
     def learn(chunks: set[bytes]) -> None:
         whole, split = set(), []
         for c in chunks:
             word = c.rstrip(b".,!*%$&#?;:")
-            if word and len(word) < len(c) and word.decode().isalpha():
+            if len(word) < len(c) and word.isalpha():  # ASCII letters only: others may compose with what follows
                 split.append((c, word, c[len(word):]))
                 whole.update(split[-1][1:])
             else:
@@ -74,11 +80,14 @@ def encoder(path: str):
         encode_all(list(whole.difference(cache)))
         for c, word, rest in split:
             cache[c] = cache[word] + cache[rest]
+            held[0] += len(c) + len(cache[c]) + 150
 
     def encode(text: str | None) -> bytes:
-        chunks = (text or "").encode("utf-8", "replace").lower().split()
-        if len(cache) > CACHED_WORDS:
+        raw = (text or "").encode("utf-8", "replace")
+        chunks = (raw.lower() if raw.isascii() else raw).split()  # T with a mark may compose otherwise than t with it
+        if held[0] > CACHED_BYTES:
             cache.clear()
+            held[0] = 0
         if new := set(chunks).difference(cache):
             learn(new)
         return b"".join(map(cache.__getitem__, chunks)) + b"\0\0\0\0"
@@ -133,8 +142,8 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets, fills
 
 
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Bins that any packing needs: the best of two families of dual feasible functions.
+def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY, counts: np.ndarray | None = None) -> int:
+    """Bins that any packing of the lengths (each as often as counts say) needs: the best of two families of dual feasible functions.
 
     f_t (t up to half the capacity): items above capacity - t count as full, items below t not
     at all. u_k: an item x counts as floor((k + 1) x / capacity) / k, or as x / capacity where
@@ -142,7 +151,8 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     """
     if not len(lengths):
         return 0
-    n = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    n = np.zeros(capacity + 1, np.int64)
+    np.add.at(n, lengths, 1 if counts is None else counts)
     size = np.arange(capacity + 1)
     words, count = np.cumsum(n * size), np.cumsum(n)
     best = -(-int(words[-1]) // capacity)
@@ -173,22 +183,24 @@ def _pack_partition(capacity: int, last: bool, round_: int):
             gaps = capacity - np.array(fills)
             order = np.argsort(-gaps, kind="stable")
             tight = len(fills) == -(-int(lengths.sum()) // capacity)
-            most = 1 if tight else max(1, int(len(fills) * GIVEN_UP))
+            most = 1 if tight else max(1, int(len(fills) * (GIVEN_UP if len(fills) == bound else UNSURE)))
             given[order[:most]] = gaps[order[:most]] > 0
-        return pdf.drop(columns="part").assign(sequence_id=ids, offset=offsets, given_up=given[bins], bins=len(fills), bound=bound)
+        return pdf.drop(columns="part").assign(sequence_id=ids, offset=offsets, given_up=given[bins], certified=len(fills) == bound)
 
     return run
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, partition: int = PARTITION) -> DataFrame:
-    """pieces (with a length of 1 to capacity) plus sequence_id and offset."""
+    """pieces (with a length of 1 to capacity) plus sequence_id, offset and certified."""
     base = pieces.schema
     pool = materialise(
         pieces.withColumns({"piece_id": F.monotonically_increasing_id(), "sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}), "pieces"
     )
-    n, parts, done = pool.count(), None, []
+    lengths = pool.groupBy("length").agg(F.count("*").alias("n")).toPandas().sort_values("length")  # at most capacity rows
+    n, parts, done, closed = int(lengths["n"].sum()), None, [], 0
+    bound = lower_bound(lengths["length"].to_numpy(np.int64), capacity, lengths["n"].to_numpy(np.int64))
     columns = [*base.names, "piece_id", "sequence_id", "offset"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pool.schema) + ", given_up boolean, bins long, bound long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pool.schema) + ", given_up boolean, certified boolean"
     for round_ in range(MAX_ROUNDS):
         before, parts = parts, max(1, -(-n // partition))
         last = parts == 1 or round_ == MAX_ROUNDS - 1 or before is not None and parts > 0.9 * before
@@ -196,8 +208,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition: int = PARTITION
         dealt = pool.withColumn("part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
         out = dealt.groupBy("part").applyInPandas(_pack_partition(capacity, last, round_), schema)
         if last and not done:
-            return out.select(*base.names, "sequence_id", "offset")
+            return out.select(*base.names, "sequence_id", "offset", "certified")
         out = materialise(out, f"packed-{round_}")
+        bins = out.filter("offset = 0").groupBy("given_up").count().collect()
+        if closed + sum(r["count"] for r in bins) <= bound:
+            done = [d.withColumn("certified", F.lit(True)) for d in [*done, out]]
+            break
+        closed += sum(r["count"] for r in bins if not r["given_up"])
         done.append(out.filter(~F.col("given_up")))
         pool = out.filter("given_up").select(*columns)
         n = 0 if last else pool.count()
@@ -206,7 +223,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition: int = PARTITION
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
-    return result.select(*base.names, "sequence_id", "offset")
+    return result.select(*base.names, "sequence_id", "offset", "certified")
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:

@@ -17,6 +17,7 @@ that is cut off or wrongly nested is read as far as it goes; repeated rows are r
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 
 WORD_DIM, HIDDEN = 32, 16
 MEASURES = 6
+#: Blocks of a page that are held as vectors at once.
+STEPS = 4096
 PAGES, EPOCHS, BATCH, RATE, SEED = 1500, 9, 20, 0.01, 5
-MAX_PATH = 64
 
 # HTML element classes.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -60,18 +62,86 @@ _OWN = {t: i for i, t in enumerate(dict.fromkeys([*KNOWN_TAGS, *("." + w for ws
 HASHED = 48
 PATH_DIM = len(_OWN) + HASHED
 
-_TAG = re.compile(r"""<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"""[>"']""")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path tokens, text, share of link text) of each leaf block, in page order."""
+class _Tags:
+    """Finds where tags end, in time linear in the page however it is broken.
+
+    A tag ends at the first ``>`` outside quotes, or where a quote is never closed at the first
+    ``>`` of all. Quotes from which no such end was reached are remembered.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.next, self.dead = page, 0, set()
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends at ``at``; -1: none."""
+        if self.next >= 0 and self.next < at:
+            self.next = self.page.find(">", at)
+        if self.next < 0:
+            return -1
+        seen, i = [], at
+        while (m := _STOP.search(self.page, i)) and m[0] != ">" and m.start() not in self.dead:
+            seen.append(m.start())
+            i = self.page.find(m[0], m.end()) + 1
+            if not i:
+                break
+        if i and m and m[0] == ">":
+            return m.start()
+        self.dead.update(seen)
+        return self.next
+
+
+class _Open:
+    """The elements that are open, and their path as counts of its tokens' slots."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, list[int]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.solid: list[str] = []  # those that aren't inline
+        self.slots = np.zeros(PATH_DIM, np.int32)
+
+    def push(self, name: str, slots: list[int]) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, slots))
+        if name not in INLINE:
+            self.solid.append(name)
+        for s in slots:
+            self.slots[s] += 1
+
+    def close(self, names, scope=frozenset()) -> None:
+        """Close the innermost element of names and all within it, unless one of scope is nearer."""
+        last = lambda ns: max((self.places[n][-1] for n in ns if self.places.get(n)), default=-1)
+        at = last(names)
+        if at < 0 or at < last(scope):
+            return
+        while len(self.stack) > at:
+            name, slots = self.stack.pop()
+            self.places[name].pop()
+            if name not in INLINE:
+                self.solid.pop()
+            for s in slots:
+                self.slots[s] -= 1
+
+    def path(self) -> np.ndarray:
+        """Whether each slot is on the path; the innermost block element has a slot of its own."""
+        out = self.slots > 0
+        if self.solid:
+            out[_path_slot("last " + self.solid[-1])] = True
+        return out
+
+
+def blocks(page: str | None) -> list[tuple[np.ndarray, str, float]]:
+    """(slots of the path, text, share of link text) of each leaf block, in page order."""
     page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    out: list[tuple[tuple[str, ...], str, float]] = []
+    open_, tags = _Open(), _Tags(page)
+    out: list[tuple[np.ndarray, str, float]] = []
     held: list[str] = []
-    linked, path = 0, ()
+    linked, path = 0, open_.path()
 
     def flush() -> None:
         nonlocal linked
@@ -82,14 +152,6 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
             held.clear()
         linked = 0
 
-    def close(names, scope=frozenset()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in scope:
-                return
-
     def add(text: str) -> None:
         nonlocal linked, path
         if not text:
@@ -97,43 +159,48 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         if not held:
             if text.isspace():
                 return
-            path = tuple(t for _, own in (stack if len(stack) <= MAX_PATH else stack[: MAX_PATH // 2] + stack[-MAX_PATH // 2 :]) for t in own)
+            path = open_.path()
         held.append(text)
-        if any(name == "a" for name, _ in stack):
+        if open_.places.get("a"):
             linked += len(text.strip())
 
-    at = 0
-    while m := _TAG.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        if m[0] == "<!--":
-            end = page.find("-->", at)
-            at = len(page) if end < 0 else end + 3
+    at = i = 0
+    while (i := page.find("<", i)) >= 0:
+        if page.startswith(("<!", "<?"), i):
+            add(page[at:i])
+            comment = page.startswith("<!--", i)
+            end = page.find("-->", i + 4) if comment else page.find(">", i + 2)
+            at = i = len(page) if end < 0 else end + 3 * comment + (not comment)
             continue
-        if m[0] in ("<!", "<?"):
-            end = page.find(">", at)
-            at = len(page) if end < 0 else end + 1
+        closing = page.startswith("/", i + 1)
+        named = _NAME.match(page, i + 1 + closing)
+        if not named:
+            i += 1
             continue
-        closing, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        name = name.lower()
+        end = tags.end(named.end())
+        if end < 0:
+            break  # no tag ends any more: the rest is text
+        add(page[at:i])
+        name, rest = named[0].lower(), page[named.end() : end]
+        at = i = end + 1
         if not closing and name in UNREAD and not rest.endswith("/"):
             if name not in INLINE:
                 flush()
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            over = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            at = i = over.end() if over else len(page)
             continue
         if name not in INLINE:
             flush()
         if closing:
-            close((name,))
+            open_.close((name,))
         elif name not in VOID:
             if name in CLOSES_P:
-                close(("p",), SCOPES)
+                open_.close(("p",), SCOPES)
             if name in SIBLINGS:
-                close(SIBLINGS[name], SCOPES - {"div"} if name == "li" else SCOPES)
+                open_.close(SIBLINGS[name], SCOPES - {"div"} if name == "li" else SCOPES)
             if not rest.endswith("/"):
-                words = ["." + w.lower() for found in _NAMED.findall(rest) for w in _PARTS.findall("".join(found))]
-                stack.append((name, (name, *words)))
+                words = ("." + w.lower() for found in _NAMED.findall(rest) for w in _PARTS.findall("".join(found)))
+                open_.push(name, [_path_slot(t) for t in (name, *words)])
     add(page[at:])
     flush()
     return out
@@ -151,17 +218,21 @@ def _slot(token: str, dim: int, salt: str) -> int:
     return _slots[key]
 
 
-def vectors(found: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+def _path_slot(token: str) -> int:
+    own = _OWN.get(token)
+    return len(_OWN) + _slot(token, HASHED, "p") if own is None else own
+
+
+def vectors(found: list[tuple[np.ndarray, str, float]], first: int = 0, of: int | None = None) -> np.ndarray:
+    """Vectors of blocks, the first of which is number ``first`` of the page's ``of``."""
     x = np.zeros((len(found), PATH_DIM + WORD_DIM + MEASURES), np.float32)
+    of = of or len(found)
     for i, (path, text, links) in enumerate(found):
-        last = [t for t in path if t[0] != "." and t not in INLINE][-1:]
-        for token in (*path, *("last " + t for t in last)):
-            own = _OWN.get(token)
-            x[i, len(_OWN) + _slot(token, HASHED, "p") if own is None else own] = 1
+        x[i, :PATH_DIM] = path
         words = text.split(" ")
         n = np.bincount([_slot(w, WORD_DIM, "w") for w in words], minlength=WORD_DIM)
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = n / math.sqrt(float((n * n).sum()))
-        x[i, PATH_DIM + WORD_DIM :] = (math.log1p(len(words)) / 4, links, text[-1] in ".!?", sum(map(text.count, ",;.")) / len(words) / 2, i / len(found), 1)
+        x[i, PATH_DIM + WORD_DIM :] = (math.log1p(len(words)) / 4, links, text[-1] in ".!?", sum(map(text.count, ",;.")) / len(words) / 2, (first + i) / of, 1)
     return x
 
 
@@ -179,11 +250,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _lstm(x: np.ndarray, mask: np.ndarray, w, u, b, keep: bool):
+def _lstm(x: np.ndarray, mask: np.ndarray, w, u, b, keep: bool, state=None):
     """States of one direction over x (pages, steps, d); padded steps carry the state on."""
     n, steps, _ = x.shape
     gates_in = x @ w + b
-    h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+    h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
     out, cache = np.zeros((n, steps, HIDDEN), np.float32), []
     for t in range(steps):
         a = gates_in[:, t] + h @ u
@@ -196,7 +267,7 @@ def _lstm(x: np.ndarray, mask: np.ndarray, w, u, b, keep: bool):
             cache.append((i, f, o, g, c, tc, h))
         c, h = np.where(m, new, c), np.where(m, o * tc, h)
         out[:, t] = h
-    return out, cache
+    return out, cache if keep else (h, c)
 
 
 def _lstm_back(dout: np.ndarray, x, mask, w, u, cache):
@@ -271,6 +342,20 @@ def train(pages: int = PAGES, seed: int = SEED) -> dict[str, np.ndarray]:
     return model
 
 
+def _long(model: dict, found: list) -> np.ndarray:
+    """Chances of the blocks of one page of any length, whose vectors are made STEPS at a time."""
+    n, states = len(found), {}
+    for way, starts in (("f", range(0, n, STEPS)), ("b", reversed(range(0, n, STEPS)))):
+        states[way], state = np.zeros((n, HIDDEN), np.float32), None
+        turn = 1 if way == "f" else -1
+        for at in starts:
+            x = vectors(found[at : at + STEPS], at, n)[None, ::turn]
+            h, state = _lstm(x, np.ones(x.shape[:2], bool), model["w" + way], model["u" + way], model["b" + way], False, state)
+            states[way][at : at + STEPS] = h[0, ::turn]
+    out = [np.concatenate([states["f"][at : at + STEPS], states["b"][at : at + STEPS], vectors(found[at : at + STEPS], at, n)], 1) @ model["o"] + model["ob"] for at in range(0, n, STEPS)]
+    return _sigmoid(np.concatenate(out))
+
+
 def extract(pages: list[str | None], model: dict) -> list[str]:
     """Main text of each page."""
     found = [blocks(p) for p in pages]
@@ -278,9 +363,13 @@ def extract(pages: list[str | None], model: dict) -> list[str]:
     order = sorted((i for i, b in enumerate(found) if b), key=lambda i: len(found[i]))
     at = 0
     while at < len(order):
-        n = max(1, min(64, 4096 // len(found[order[at]])))
+        n = max(1, min(64, STEPS // len(found[order[at]])))
         part = order[at : at + n]
         at += n
+        if len(found[part[0]]) > STEPS:
+            p = _long(model, found[part[0]])
+            out[part[0]] = " ".join(t for (_, t, _), y in zip(found[part[0]], p, strict=True) if y >= 0.5)
+            continue
         x, mask = _batch([vectors(found[i]) for i in part])
         p = _forward(model, x, mask)[0]
         for row, i in enumerate(part):
@@ -411,9 +500,15 @@ def synthetic_page(rng: np.random.Generator) -> str:
     return f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{margin:0}}</style></head><body>{''.join(top)}{script}{story()}{''.join(tail)}</body></html>"
 
 
+@functools.cache
+def fitted() -> dict[str, np.ndarray]:
+    """The network, fitted once in a driver: the seed is fixed, so every fit is the same."""
+    return train()
+
+
 def main_text(pages: DataFrame, model: dict | None = None, key: str = "page_id") -> DataFrame:
     """page_id, url, text, n_chars of every row."""
-    shared = pages.sparkSession.sparkContext.broadcast(model or train())
+    shared = pages.sparkSession.sparkContext.broadcast(model or fitted())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

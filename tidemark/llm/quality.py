@@ -1,20 +1,23 @@
 """Quality classifier: a byte-level convolutional network, trained and run in numpy.
 
-A text's UTF-8 bytes are embedded and cut into chunks of ``CHUNK`` windows; chunks overlap by
-the window's width, so the windows of ``WIDTH`` bytes, ``STRIDE`` apart, cover the whole text
-to its last byte, texts of any length. Every window meets ``FILTERS`` learned filters (ReLU).
-Each chunk is max-pooled; a text's features are the maximum and the mean over its chunks'
-maxima, and the mean over all windows, combined by a logistic unit into one probability.
+A text's UTF-8 bytes are embedded and cut into chunks, of ``CHUNK`` and of ``SMALL`` windows;
+chunks overlap by the window's width, so the windows of ``WIDTH`` bytes, ``STRIDE`` apart, cover
+the whole text to its last byte, texts of any length. Every window meets ``FILTERS`` learned
+filters (ReLU) and each chunk is max-pooled; a text's features are the maximum and the mean of
+its chunks' maxima and the mean of its small chunks' maxima, combined by a logistic unit into
+one probability.
 
 Fitting. All labelled training rows give the base rate of label 1. The weights are learned from
-a sample bounded by ``SAMPLE`` rows of each label with texts of at most ``SAMPLE_BYTES`` bytes,
-chosen by a hash of doc_id before anything is collected (such a bound only chooses training
-rows; scoring reads every text whole). The sample holds both labels alike; the bias is then set
-back to the base rate. The seed is fixed, so refits agree. The model takes some 30 kB.
+a sample bounded by ``sample`` rows of each label, chosen by a hash of doc_id before anything is
+collected, and ``sample_bytes`` of each row: of a longer text, ``SPANS`` seeded spans dealt over
+the whole of it. (Scoring reads every text whole.) The sample holds both labels alike; the
+bias is then set back to the base rate. The seed is fixed, so refits agree. The model takes some
+30 kB.
 
 Defined results: null and empty texts are scored as one window of padding; without training
 rows, or with one label only, every score is the base rate (1 if unknown); repeated rows are
-scored each for itself, a doc_id labelled twice counts twice.
+scored each for itself, a doc_id labelled twice counts twice in the base rate; of a doc_id with
+several texts one is learned from.
 """
 
 from __future__ import annotations
@@ -24,27 +27,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold
 
-EMBED, WIDTH, STRIDE, FILTERS, CHUNK = 8, 8, 2, 24, 512
+EMBED, WIDTH, STRIDE, FILTERS, CHUNK, SMALL = 8, 8, 2, 24, 512, 16
+#: Windows that are multiplied at once.
+STEP = 8 * CHUNK
 SAMPLE = 700
 SAMPLE_BYTES = 6_000
+SPANS = 6
 THRESHOLD = 0.7
-EPOCHS, BATCH, RATE, SEED = 8, 16, 0.01, 7
-#: Windows that a text's mean is shrunk by, so that a few words aren't judged like a page.
-SHRINK = 24
+EPOCHS, BATCH, RATE, SEED = 6, 16, 0.01, 7
+#: Small chunks that a text's mean is shrunk by, so that a few words aren't judged like a page.
+SHRINK = 2
 
 
-def windows(text: str | None) -> np.ndarray:
-    """Byte windows of a text: n x WIDTH, the last one padded with zeros."""
-    raw = (text or "").encode("utf-8", "replace")
+def padded(text: str | bytes | None) -> np.ndarray:
+    """A text's bytes, with zeros up to the end of the last window."""
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")
     n = max(1, -(-max(0, len(raw) - WIDTH) // STRIDE) + 1)
     b = np.zeros((n - 1) * STRIDE + WIDTH, np.uint8)
     b[: len(raw)] = np.frombuffer(raw, np.uint8)
-    return np.lib.stride_tricks.sliding_window_view(b, WIDTH)[::STRIDE]
+    return b
+
+
+def windows(b: np.ndarray) -> np.ndarray:
+    """The windows of padded bytes, or of their vectors: one below the other."""
+    w = np.lib.stride_tricks.sliding_window_view(b, WIDTH, axis=0)[::STRIDE]
+    return w if b.ndim == 1 else np.ascontiguousarray(w.transpose(0, 2, 1)).reshape(len(w), -1)
 
 
 def initial(rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -58,63 +70,69 @@ def initial(rng: np.random.Generator) -> dict[str, np.ndarray]:
     }
 
 
-def pooled(model: dict, w: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Features of a text's windows, chunk by chunk, and what a gradient needs."""
-    tops, arg, total, acts = [], [], np.zeros(FILTERS, np.float64), []
-    for at in range(0, len(w), CHUNK):
-        x = model["embed"][w[at : at + CHUNK]].reshape(-1, WIDTH * EMBED)
+def pooled(model: dict, b: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Features of a text's padded bytes, and what a gradient needs: where each chunk has its maxima."""
+    tops, args, wide = [], [], []
+    for at in range(0, (len(b) - WIDTH) // STRIDE + 1, STEP):
+        x = windows(model["embed"][b[at * STRIDE : (at + STEP - 1) * STRIDE + WIDTH]])
         a = np.maximum(x @ model["filters"] + model["bias"], 0)
-        top = a.argmax(0)
-        tops.append(a[top, np.arange(FILTERS)])
-        arg.append(top + at)
-        total += a.sum(0)
-        acts.append(a)
-    tops = np.array(tops)
-    feats = np.concatenate([tops.max(0), tops.mean(0), total / (len(w) + SHRINK)]).astype(np.float32)
-    return feats, (tops, np.array(arg), acts)
-
-
-def _gradients(model: dict, w: np.ndarray, label: float, grads: dict) -> None:
-    feats, (tops, arg, acts) = pooled(model, w)
+        n = -(-len(a) // SMALL)
+        if len(a) < n * SMALL:
+            a = np.concatenate([a, np.zeros((n * SMALL - len(a), FILTERS), np.float32)])
+        small = a.reshape(n, SMALL, FILTERS)
+        arg = small.argmax(1)
+        tops.append(np.take_along_axis(small, arg[:, None], 1)[:, 0])
+        args.append(arg + np.arange(n)[:, None] * SMALL + at)
+        wide.append(np.maximum.reduceat(tops[-1], np.arange(0, n, CHUNK // SMALL), axis=0))
+    tops, args, wide = np.concatenate(tops), np.concatenate(args), np.concatenate(wide)
+    feats = np.concatenate([wide.max(0), wide.mean(0), tops.sum(0, dtype=np.float64) / (len(tops) + SHRINK)]).astype(np.float32)
+    return feats, (tops, args, wide)
+
+
+def _gradients(model: dict, b: np.ndarray, label: float, weight: float, grads: dict) -> None:
+    feats, (tops, args, wide) = pooled(model, b)
     z = float(feats @ model["out"] + model["out_bias"][0])
-    d = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - label
+    d = weight * (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - label)
     grads["out"] += d * feats
     grads["out_bias"] += d
-    g_max, g_mean, g_all = np.split(d * model["out"], 3)
-    for c, a in enumerate(acts):
-        da = np.broadcast_to(g_all / (len(w) + SHRINK), a.shape).copy()
-        g = g_mean / len(acts) + g_max * (tops.argmax(0) == c)
-        da[arg[c] - c * CHUNK, np.arange(FILTERS)] += g
-        da *= a > 0
-        part = w[c * CHUNK : c * CHUNK + len(a)]
-        x = model["embed"][part].reshape(-1, WIDTH * EMBED)
-        grads["filters"] += x.T @ da
-        grads["bias"] += da.sum(0)
-        dx = (da @ model["filters"].T).reshape(-1, EMBED)
-        flat = part.reshape(-1)
-        for j in range(EMBED):
-            grads["embed"][:, j] += np.bincount(flat, dx[:, j], 256)
-
-
-def fit(texts: list[str], labels: list[int], base_rate: float) -> dict:
-    """Adam on batches of whole texts; both labels weigh alike."""
+    g_max, g_wide, g_small = np.split(d * model["out"], 3)
+    dt = np.tile(g_small / (len(tops) + SHRINK), (len(tops), 1))  # of each small chunk's maximum
+    per, cols = CHUNK // SMALL, np.arange(FILTERS)
+    gw = np.tile(g_wide / len(wide), (len(wide), 1))
+    gw[wide.argmax(0), cols] += g_max
+    for c in range(len(wide)):
+        part = tops[c * per : (c + 1) * per]
+        dt[c * per + part.argmax(0), cols] += gw[c]
+    dt *= tops > 0
+    x = windows(model["embed"][b])
+    da = np.zeros((len(tops) * SMALL, FILTERS), np.float32)
+    da[args, cols] = dt
+    da = da[: len(x)]
+    grads["filters"] += x.T @ da
+    grads["bias"] += dt.sum(0)
+    dx = (da @ model["filters"].T).reshape(-1, WIDTH, EMBED)
+    of_byte = np.zeros((len(b), EMBED), np.float32)
+    for k in range(WIDTH):
+        of_byte[k : k + STRIDE * len(x) : STRIDE][: len(x)] += dx[:, k]
+    for j in range(EMBED):
+        grads["embed"][:, j] += np.bincount(b, of_byte[:, j], 256)
+
+
+def fit(texts: list[bytes], labels: list[int], base_rate: float) -> dict:
+    """Adam on batches of texts; both labels weigh alike."""
     rng = np.random.default_rng(SEED)
     model = initial(rng)
-    w = [windows(t) for t in texts]
+    w = [padded(t) for t in texts]
     y = np.array(labels, float)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    m, v, step = ({k: np.zeros_like(x) for k, x in model.items()} for _ in range(2)), None, 0
-    m, v = m
+    m, v, step = {k: np.zeros_like(x) for k, x in model.items()}, {k: np.zeros_like(x) for k, x in model.items()}, 0
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS) + RATE / 20
         order = rng.permutation(len(w))
         for at in range(0, len(order), BATCH):
             total = {k: np.zeros_like(x) for k, x in model.items()}
             for i in order[at : at + BATCH]:
-                one = {k: np.zeros_like(x) for k, x in model.items()}
-                _gradients(model, w[i], y[i], one)
-                for k in total:
-                    total[k] += weight[i] * one[k]
+                _gradients(model, w[i], y[i], weight[i], total)
             step += 1
             for k, x in model.items():
                 g = total[k] / BATCH + 1e-4 * x * (k in ("filters", "out"))
@@ -126,7 +144,18 @@ def fit(texts: list[str], labels: list[int], base_rate: float) -> dict:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, trains: Column, sample: int = SAMPLE) -> dict:
+def excerpt(text: str | None, size: int, seed: int) -> bytes:
+    """A text's bytes, or of a longer one ``SPANS`` spans of ``size`` bytes in all, dealt over the whole of it."""
+    raw = (text or "").encode("utf-8", "replace")
+    if len(raw) <= size:
+        return raw
+    rng = np.random.default_rng([SEED, seed & (2**63 - 1)])
+    part, span = len(raw) // SPANS, size // SPANS
+    starts = [i * part + int(rng.integers(0, part - span + 1)) for i in range(SPANS)]
+    return b"".join(raw[at : at + span] for at in starts)
+
+
+def train(docs: DataFrame, labels: DataFrame, trains: Column, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> dict:
     """docs and labels with doc_id; trains: a condition on the column ``key`` (doc_id)."""
     d = docs.select(F.col("`doc_id`").alias("key"), F.col("`text`").cast("string").alias("text"))
     lab = labels.select(F.col("`doc_id`").alias("key"), F.col("`quality`").cast("int").alias("y")).filter("y in (0, 1) AND key IS NOT NULL").filter(trains)
@@ -134,31 +163,29 @@ def train(docs: DataFrame, labels: DataFrame, trains: Column, sample: int = SAMP
     base = per.get(1, 0) / sum(per.values()) if per else 1.0
     if len(per) < 2:
         return {"constant": base}
-    salted = F.pmod(F.xxhash64(F.lit(SEED), "key"), F.lit(1 << 20))
-    share = F.when(F.col("y") == 1, min(1.0, 2 * sample / per[1])).otherwise(min(1.0, 2 * sample / per[0]))
-    few = lab.filter(salted < share * (1 << 20))
-    rows = (
-        d.filter(F.octet_length("text") <= SAMPLE_BYTES)
-        .join(F.broadcast(few), "key")  # about 4 * SAMPLE rows of two numbers, whatever the input
-        .orderBy(F.xxhash64(F.lit(SEED), "key", "text"))
-        .limit(8 * sample)  # a doc_id that is there very often adds no more
-        .collect()
-    )
-    rows = sorted(rows, key=lambda r: (str(r["key"]), r["text"]))
-    rng = np.random.default_rng(SEED)
-    chosen = []
-    for y in (0, 1):
-        own = [r for r in rows if r["y"] == y]
-        chosen += [own[i] for i in rng.permutation(len(own))[:sample]]
-    if len({r["y"] for r in chosen}) < 2:
+    h = F.xxhash64(F.lit(SEED), F.col("key").cast("string"))
+    # pairs of doc_id and label once each; the first of each label by hash: 4 * sample rows of two numbers are sent
+    few = lab.select("key", "y", h.alias("h")).distinct().withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy("h", "key"))).filter(F.col("place") <= 2 * sample)
+    few = d.sparkSession.createDataFrame(few.select("key", "y", "h").collect(), few.select("key", "y", "h").schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [excerpt(t.as_py(), sample_bytes, seed) for t, seed in zip(b["text"], b["h"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["y"], b["h"], pa.array(raw, pa.binary())], names=["y", "h", "raw"])
+
+    rows = d.join(F.broadcast(few), "key").select("text", "y", "h").mapInArrow(cut, "y int, h long, raw binary")
+    # of a doc_id with several texts, the least; of each label, the first by hash
+    rows = rows.groupBy("y", "h").agg(F.min("raw").alias("raw")).withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy("h"))).filter(F.col("place") <= sample)
+    chosen = sorted((r["h"], r["y"], bytes(r["raw"])) for r in rows.collect())
+    if len({y for _, y, _ in chosen}) < 2:
         return {"constant": base}
-    return fit([r["text"] for r in chosen], [r["y"] for r in chosen], base)
+    return fit([raw for _, _, raw in chosen], [y for _, y, _ in chosen], base)
 
 
 def probability(model: dict, text: str | None) -> float:
     if "constant" in model:
         return float(model["constant"])
-    z = float(pooled(model, windows(text))[0] @ model["out"] + model["out_bias"][0])
+    z = float(pooled(model, padded(text))[0] @ model["out"] + model["out_bias"][0])
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 

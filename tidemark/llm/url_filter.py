@@ -9,9 +9,9 @@ levels) is listed.
 
 What is broadcast is the levels' bitmaps, as binary literals of the plan. Level 0 has
 ``BITS_PER_KEY`` bits for each listed key that occurs in the corpus; each further level holds a
-small share of its predecessor's domain. ``MAX_LEVEL_BYTES`` bounds a level; a larger one is
-refused with an error, as the list, a parameter, is then to be split over several passes
-(:func:`judge` may be called with one part of the list after the other).
+small share of its predecessor's domain. Keys are cut by hash into as many segments as keep each
+level within ``MAX_LEVEL_BYTES``; every segment has a cascade of its own, and segments are asked
+one after the other, in a pass over the rows each.
 
 Null urls and urls without ``://`` have an empty host and path, match no rule and are allowed.
 """
@@ -40,7 +40,6 @@ BLOCKLIST = tuple(f"{name}.example.{top}" for name in SPAM_NAMES for top in ("co
 BITS_PER_KEY = 12
 PROBES = 6
 MAX_LEVEL_BYTES = 4 << 20
-MAX_LABELS = 127  # a DNS name has no more labels
 
 
 def host_of(url: Column) -> Column:
@@ -57,13 +56,17 @@ def rule_fits(host: Column, path: Column, rule_host: str, rule_path: str) -> Col
     return ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
 
 
-def suffixes(host: Column) -> Column:
-    """The host and its parent domains, most specific first."""
-    labels = F.split(host, r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MAX_LABELS))),
-        lambda i: F.call_function("substring_index", host, F.lit("."), -i),
-    )
+def suffixes(host: Column, labels: int) -> Column:
+    """The host and its parent domains of at most so many labels, most specific first.
+
+    labels is that of the longest key on the list: a longer domain can't be on it.
+    """
+    n = F.least(F.size(F.split(host, r"\.")), F.lit(max(1, labels)))
+    return F.transform(F.sequence(n, F.lit(1), F.lit(-1)), lambda i: F.call_function("substring_index", host, F.lit("."), -i))
+
+
+def _segment(key: Column, of: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("segment"), key), F.lit(of))
 
 
 def _bit(key: Column, level: int, probe: int, n_bits: int) -> Column:
@@ -83,10 +86,8 @@ def _passes(key: Column, level: int, bitmap: bytes) -> Column:
 
 
 def _bitmap(keys: DataFrame, level: int, n_keys: int) -> bytes:
-    """Bloom filter of keys(key), gathered as 64-bit words: at most MAX_LEVEL_BYTES to the driver."""
+    """Bloom filter of keys(key), gathered as 64-bit words: some MAX_LEVEL_BYTES to the driver."""
     n_words = max(1, -(-n_keys * BITS_PER_KEY // 64))
-    if 8 * n_words > MAX_LEVEL_BYTES:
-        raise ValueError(f"level {level} of the cascade takes {8 * n_words} bytes, the bound is {MAX_LEVEL_BYTES}")
     at = F.explode(F.array(*(_bit(F.col("key"), level, p, n_words * 64) for p in range(PROBES))))
     one = F.expr("shiftleft(1L, CAST(pmod(at, 64) AS INT))")
     rows = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).cast("long").alias("word")).agg(F.bit_or(one).alias("bits"))
@@ -118,26 +119,40 @@ def is_listed(key: Column, levels: list[bytes]) -> Column:
     return out
 
 
-def judge(pages: DataFrame, rules=RULES, blocklist=BLOCKLIST, key: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, blocklist=BLOCKLIST, key: str = "page_id", max_level_bytes: int = MAX_LEVEL_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict and listed_key (the listed domain, else null) of every row.
 
     The longest fitting rule decides (ties, of which equal rules alone have any: the earlier);
-    where none fits, a url is blocked if its host or a parent domain is on the block list.
+    where none fits, a url is blocked if its host or a parent domain is on the block list, of which
+    listed_key is the longest.
     Repeated rows are judged each for itself; a null key stays null.
     """
     spark = pages.sparkSession
     split = pages.select(F.col(f"`{key}`").alias("page_id"), F.col("`url`").cast("string").alias("_url")).select(
         "page_id", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path")
     )
-    universe = split.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key")).distinct()
+    depth = max((k.count(".") + 1 for k in blocklist), default=1)
+    universe = split.select("host").distinct().select(F.explode(suffixes(F.col("host"), depth)).alias("key")).distinct()
     listed = spark.createDataFrame([(k,) for k in sorted(set(blocklist))], "key string")
-    levels = build_cascade(universe, listed)
-    hit = F.get(F.filter(suffixes(F.col("host")), lambda k: is_listed(k, levels)), F.lit(0))
+    of = -(-len(set(blocklist)) * BITS_PER_KEY // (8 * max_level_bytes)) or 1
+    if of > 1:
+        universe = materialise(universe, "cascade-keys")
+    for s in range(of):
+        own = (lambda k: F.lit(True)) if of == 1 else (lambda k, s=s: _segment(k, of) == s)
+        levels = build_cascade(universe.filter(own(F.col("key"))), listed.filter(own(F.col("key"))))
+        hit = F.get(F.filter(suffixes(F.col("host"), depth), lambda k: own(k) & is_listed(k, levels)), F.lit(0))  # noqa: B023
+        if s:
+            longer = F.length("found") > F.coalesce(F.length("listed_key"), F.lit(-1))
+            split = split.withColumn("found", hit).withColumn("listed_key", F.when(longer, F.col("found")).otherwise(F.col("listed_key"))).drop("found")
+        else:
+            split = split.withColumn("listed_key", hit)
+        if s % 16 == 15:  # passes pile up in one plan
+            split = materialise(split, "judged")
     rule, verdict = F.lit(None).cast("string"), F.when(F.col("listed_key").isNotNull(), "block").otherwise("allow")
     for what, host, path in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = rule_fits(F.col("host"), F.col("path"), host, path)
         rule, verdict = F.when(fits, host + path).otherwise(rule), F.when(fits, what).otherwise(verdict)
-    return split.withColumn("listed_key", hit).select(
+    return split.select(
         "page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "listed_key"
     )
 

@@ -91,9 +91,79 @@ def test_language_held_out(spark):
     assert sum(r["rejected"] for r in got.values()) == 0
 
 
+WORDS = {"x": "the quick brown fox runs over lazy dogs and then sleeps under green trees while rain falls", "y": "der schnelle braune fuchs läuft über faule hunde und schläft dann unter grünen bäumen bei regen"}
+
+
+def test_unknown_languages_are_rejected(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(WORDS[k].split()) for _ in range(rng.choice([1, 2, 5, 12, 40, 200]))).capitalize() + ".", k, "s") for i in range(1500) for k in "xy"]
+    rows = [(n, *r[1:]) for n, r in enumerate(rows)]
+    random_text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(n))
+    foreign = ["Это предложение на русском языке и оно довольно длинное", "Ελληνικά είναι μια γλώσσα που μιλιέται στην Ελλάδα", "这是一个中文句子它相当长没有空格", "Ez egy magyar mondat, amely elég hosszú ahhoz, hogy felismerjük", "To jest polskie zdanie napisane po polsku"]
+    foreign += [" ".join(f"{rng.getrandbits(128):032x}" for _ in range(n)) for n in (3, 30)] + [random_text(n) for n in (90, 400, 3000)]
+    got = {r["doc_id"]: r for r in langid.digest(documents(spark, [*rows, *((10_000 + i, t, None, "s") for i, t in enumerate(foreign))])).collect()}
+    assert all(got[10_000 + i]["rejected"] and got[10_000 + i]["lang_pred"] in ("x", "y") for i in range(len(foreign)))
+    known = [(got[i], k) for i, _, k, _ in rows if got[i]["held_out"]]
+    assert np.mean([not r["rejected"] for r, _ in known]) >= 0.99 and np.mean([r["lang_pred"] == k for r, k in known]) > 0.97
+
+
+def test_language_sample_is_fair(spark):
+    """A row that is there thousands of times takes one place; refits agree."""
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts(3, 40))] + [(50, "pasta rizo largo", "es", "s")] * 3000 + [(60 + i, t.replace("a", "ü"), "de", "s") for i, t in enumerate(texts(4, 40))]
+    docs = documents(spark, rows)
+    one, two = langid.train(docs, sample=30), langid.train(docs.repartition(7), sample=30)
+    assert one["langs"] == ["de", "en", "es"] and one["limits"] == two["limits"] and (one["centroids"] == two["centroids"]).all()
+
+
+def test_languages_equal_plain_loops(spark, odd):
+    model = langid.train(odd.withColumn("lang", F.coalesce("lang", F.lit("de"))))
+    t = [r[1] for r in odd.rows]
+    for text, (lang, score, rejected) in zip(t, langid.classify(t, model), strict=True):
+        if not text or not langid.has_letter(text):
+            assert (lang, score, rejected) == ("und", 0.0, True)
+            continue
+        at, n = langid.features(text)
+        v = {int(a): (1 + math.log(c)) * model["idf"][a] for a, c in zip(at, n, strict=True)}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(float(c[a]) * x for a, x in v.items()) / norm for c in model["centroids"]]
+        best = max(range(len(cos)), key=lambda k: cos[k])
+        assert score == pytest.approx(max(0, cos[best]), abs=1e-5) and lang == model["langs"][model["owner"][best]]
+
+
 # quality ----------------------------------------------------------------------------------
 
 
+def test_quality_of_long_texts(spark):
+    rng = random.Random(3)
+    word = lambda good: "".join(rng.choice("aeioulnrst" if good else "AEIOU0189!") for _ in range(5))
+    rows = [(i, " ".join(word(i % 2) for _ in range(rng.randint(1200, 1900))), "en", "s") for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] * 2, "doc_id long, quality int")
+    got = [r for r in quality.digest(documents(spark, rows), labels).collect() if r["held_out"]]
+    assert len(got) > 10 and all(r["predicted"] == r["doc_id"] % 2 for r in got)
+
+
+def test_scores_equal_plain_loops():
+    rng = np.random.default_rng(1)
+    model = quality.initial(rng)
+    model["bias"] += rng.normal(size=quality.FILTERS).astype(np.float32) / 4
+    for text in (None, "", "a", "Some words. " * 9, "é" * 700, "lorem ipsum " * 900):
+        raw = (text or "").encode()
+        n = max(1, math.ceil(max(0, len(raw) - quality.WIDTH) / quality.STRIDE) + 1)
+        raw += b"\0" * ((n - 1) * quality.STRIDE + quality.WIDTH - len(raw))
+        acts = np.array([[max(0.0, float(x)) for x in np.concatenate([model["embed"][c] for c in raw[i * quality.STRIDE : i * quality.STRIDE + quality.WIDTH]]).astype(float) @ model["filters"] + model["bias"]] for i in range(n)])
+        chunk = lambda size: np.array([acts[i : i + size].max(0) for i in range(0, n, size)])
+        wide, small = chunk(quality.CHUNK), chunk(quality.SMALL)
+        z = np.concatenate([wide.max(0), wide.mean(0), small.sum(0) / (len(small) + quality.SHRINK)]) @ model["out"] + float(model["out_bias"][0])
+        assert quality.probability(model, text) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
+def test_excerpts_cover_the_text():
+    raw = "".join(chr(97 + i % 26) for i in range(50_000))
+    got = quality.excerpt(raw, 600, 5)
+    assert len(got) == 600 and quality.excerpt(raw[:600], 600, 5) == raw[:600].encode() and quality.excerpt(None, 10, 1) == b""
+
+
+
 def test_quality(spark, odd, none):
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)] + [(None, 1), (103, None), (3, 1)], "doc_id long, quality int")
     got = quality.digest(odd, labels).collect()
@@ -114,7 +184,7 @@ def test_quality_held_out(spark):
 
 def test_windows_cover_the_text():
     for n in (0, 1, 7, 8, 9, 10, 511, 4099):
-        w = quality.windows("a" * n)
+        w = quality.windows(quality.padded("a" * n))
         assert (w > 0).any(1).sum() * quality.STRIDE >= n - quality.WIDTH and (n == 0 or w[-1].any())
         assert len(w) == max(1, math.ceil(max(0, n - quality.WIDTH) / quality.STRIDE) + 1)
 
@@ -139,6 +209,60 @@ def test_packing(spark, odd, none):
     assert packing.digest(none).count() == 0
 
 
+def test_ids_of_any_text():
+    """Round trip of the word cache against the tokenizer over letters, marks, signs and spaces of all scripts."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    tok.encode_special_tokens = True
+    rng = random.Random(11)
+    ranges = [(33, 127)] * 5 + [(0xC0, 0x250), (0x300, 0x370), (0x370, 0x530), (0x600, 0x700), (0x1E00, 0x2000), (0x2000, 0x2070), (0x4E00, 0x4F00), (0xAC00, 0xAD00), (0x1F600, 0x1F640)]
+    pieces = ["İ,", "ΑΣ", "'s", "'LL", "don't", ".,!", "ﬁ", "a\u0301.", "\u0301", "\u200d", "Ǆ", "ß", "\x00", "\x1f", "\x85", "\u2028", "\xa0"]
+    encode = packing.encoder(packing.default_tokenizer())
+
+    def word():
+        low, high = rng.choice(ranges)
+        return rng.choice(pieces) if rng.random() < 0.15 else "".join(chr(rng.randrange(low, high)) for _ in range(rng.randint(1, 5))) + rng.choice(["", "", ".", ",", "!?"])
+
+    for _ in range(10_000):
+        text = "".join(word() + rng.choice([" ", " ", "", "\n", "\t "]) for _ in range(rng.randint(1, 12)))
+        assert list(np.frombuffer(encode(text), "<u4")) == [*tok.encode(text, add_special_tokens=False).ids, 0], repr(text)
+
+
+def test_word_cache_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_BYTES", 50_000)
+    encode = packing.encoder(packing.default_tokenizer())
+    for i in range(300):
+        encode(f"{i:x}" * 300)
+    _, cache, held = packing._tokenizers[packing.default_tokenizer()]
+    assert sum(len(k) + len(v) for k, v in cache.items()) <= held[0] < 60_000
+
+
+def test_the_bound_decides_what_is_given_up():
+    import pandas as pd
+
+    def given_up(lengths):
+        out = packing._pack_partition(10, False, 0)((0,), pd.DataFrame({"length": lengths, "sequence_id": 0, "offset": 0, "part": 0}))
+        assert out["certified"].nunique() == 1
+        return bool(out["certified"].iloc[0]), out[out["given_up"]]["sequence_id"].nunique()
+
+    assert given_up([7] * 40) == (True, 10)  # no two of them fit: certified by what counts as full, but with gaps
+    assert given_up([5] * 40) == (True, 0) and given_up([5] * 39) == (True, 1)
+    assert given_up([5, 4, 3, 3, 3, 2]) == (False, 1)  # 5 4, 3 3 3, 2 for what fits in 5 3 2, 4 3 3
+
+
+@pytest.mark.parametrize(("lengths", "certified", "rounds"), [([100] * 400, True, 1), ([70] * 400, True, 1), ([51, 27, 26, 23, 25, 24, 24] * 150, None, None)])
+def test_a_certified_packing_is_not_exchanged(spark, monkeypatch, lengths, certified, rounds):
+    tables, write = [], packing.materialise
+    monkeypatch.setattr(packing, "materialise", lambda df, name: tables.append(name) or write(df, name))
+    got = packing.pack(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, length long"), capacity=100, partition=200).collect()
+    bound = packing.lower_bound(np.array(lengths), 100)
+    assert check_sequences(got, 100) >= bound and len(got) == len(lengths)
+    if certified:
+        assert check_sequences(got, 100) == bound and {r["certified"] for r in got} == {True}
+        assert sum(t.startswith("packed") for t in tables) == rounds
+
+
 def check_sequences(rows, capacity=2048):
     by = collections.defaultdict(list)
     for r in rows:

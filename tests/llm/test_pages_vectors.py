@@ -1,7 +1,10 @@
 """Nearest neighbours, main text and url filters."""
 
 import collections
+import math
 import random
+import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -20,6 +23,7 @@ def model():
 
 
 def brute(rows, queries, k=5):
+    """Of vec_ids with one vector each."""
     good = {i: np.array(v, float) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     out = {}
     for q in queries:
@@ -55,6 +59,23 @@ def test_odd_vectors(spark):
     assert found(spark, [(10, [1.0, 2.0]), (11, [2.0, 1.0])]) == {10: [11]} and found(spark, [(10, [1.0, 2.0])]) == {}
 
 
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=[2, 3, 3, 7][i % 4])]) for i in range(200)] + [(200, [1.0]), (210, [1.0, 2.0, 3.0, 4.0]), (211, [1.0, 2.0, 3.0, 5.0])]
+    want, got = brute(rows, range(0, 220, 10)), found(spark, rows)
+    assert got.pop(210) == [211] == want[210] and set(got) == {q for q, near in want.items() if near} - {210}
+    assert all(len(v) == 5 for v in got.values()) and np.mean([len(set(got[q]) & set(want[q])) / 5 for q in got]) >= 0.9
+
+
+def test_scores_are_cosines(spark):
+    rng = np.random.default_rng(7)
+    rows = {i: rng.normal(size=5).astype(np.float32).astype(float) for i in range(80)}
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows.items()], "vec_id long, embedding array<float>")
+    for r in ann.search(df, F.col("vec_id") % 10 == 0).collect():
+        a, b = rows[r["query_id"]], rows[r["vec_id"]]
+        assert abs(r["score"] - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-12
+
+
 def test_ties_and_copies(spark):
     rows = [(i, [1.0, 0.5, 0.25]) for i in range(40)] + [(i, [2.0, 1.0, 0.5]) for i in range(40, 60)] + [(i, [0.0, 1.0, float(i)]) for i in range(60, 70)]
     assert found(spark, rows) == brute(rows, range(0, 70, 10))
@@ -106,13 +127,70 @@ def test_probes_fall_in_chance():
 def test_blocks():
     b = html_text.blocks("<html><head><title>no</title><script>var a='<p>x</p>';</script></head><body>a<b>b</b>c<p>one<p>two &amp; &lt;three&gt;<br>four<!-- <p>no</p> --><ul><li>x<li>y</ul><a title=\"a>b\" href=x>link</a></body>")
     assert [t for _, t, _ in b] == ["abc", "one", "two & <three>", "four", "x", "y", "link"]
-    assert b[1][0] == b[2][0] == ("html", "body", "p") and b[-1][2] == 1.0
+    slots = {html_text._path_slot(t) for t in ("html", "body", "p", "last p")}
+    assert set(np.flatnonzero(b[1][0])) == set(np.flatnonzero(b[2][0])) == slots and b[-1][2] == 1.0
     for cut in ("<p>a <b", "<p>a <!-- x", "<p>a <script>x", '<p>a <a href="x', "<", "</", "a < b"):
-        assert html_text.blocks(cut)[0][1].startswith("a") if "a" in cut else html_text.blocks(cut) in ([], [((), cut, 0.0)])
+        assert html_text.blocks(cut)[0][1].startswith("a") if "a" in cut else [t for _, t, _ in html_text.blocks(cut)] == [cut]
     assert html_text.blocks(None) == [] == html_text.blocks("  ")
     assert len(html_text.blocks("<div>" * 3000 + "x" + "</div>" * 3000)) == 1
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 330_000, "<a href='" * 110_000, "<a '\"> \" >" * 90_000, '<a "> ' * 160_000, "<a \">' " * 140_000, "<p>" + "<b>" * 200_000 + "<h1>" * 40_000, "<div>" * 90_000 + "</x>" * 90_000, "<div class='" + "a b " * 240_000 + "'>x"],
+)
+def test_broken_pages_take_linear_time(page):
+    start = time.process_time()
+    html_text.blocks(page)
+    assert time.process_time() - start < 8  # some 0.5 s; a scan from each tag took hours
+
+
+def test_tag_ends():
+    rng = random.Random(2)
+    tag = re.compile(r"""<(?:(?:[^>"']|"[^"]*"|'[^']*')*)>|<[^>]*>""")
+    for _ in range(3000):
+        page = "<" + "".join(rng.choice(["<", ">", "'", '"', "a"]) for _ in range(rng.randint(1, 14)))
+        tags, at = html_text._Tags(page), 0
+        while (i := page.find("<", at)) >= 0:
+            want = tag.match(page, i)
+            assert tags.end(i + 1) == (want.end() - 1 if want else -1)
+            at = want.end() if want else i + 1
+
+
+def test_long_pages_are_labelled_in_steps(model, monkeypatch):
+    page = "<nav><a>Menu</a></nav><article>" + "<p>Some words here.</p>" * 300 + "</article><footer>end</footer>"
+    whole = html_text.extract([page], model)
+    found = html_text.blocks(page)
+    x, mask = html_text._batch([html_text.vectors(found)])
+    monkeypatch.setattr(html_text, "STEPS", 64)
+    assert np.abs(html_text._long(model, found) - html_text._forward(model, x, mask)[0][0]).max() < 1e-5
+    assert html_text.extract([page], model) == whole
+
+
+def brute_chances(model, found):
+    """The network over one page, in plain loops."""
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    m = {k: v.astype(float) for k, v in model.items()}
+    xs, h_of = [v.astype(float) for v in html_text.vectors(found)], {}
+    n = html_text.HIDDEN
+    for way, order in (("f", range(len(xs))), ("b", reversed(range(len(xs))))):
+        h, c = [0.0] * n, [0.0] * n
+        for t in order:
+            a = [sum(xs[t][d] * m["w" + way][d, j] for d in np.flatnonzero(xs[t])) + sum(h[k] * m["u" + way][k, j] for k in range(n)) + m["b" + way][j] for j in range(4 * n)]
+            c = [sig(a[n + j]) * c[j] + sig(a[j]) * math.tanh(a[3 * n + j]) for j in range(n)]
+            h = [sig(a[2 * n + j]) * math.tanh(c[j]) for j in range(n)]
+            h_of[way, t] = h
+    return [sig(sum(v * o for v, o in zip([*h_of["f", t], *h_of["b", t], *xs[t]], m["o"], strict=True)) + m["ob"][0]) for t in range(len(xs))]
+
+
+def test_labels_equal_plain_loops(model):
+    rng = np.random.default_rng(17)
+    pages = [html_text.synthetic_page(rng).translate(html_text._UNMARK) for _ in range(3)]
+    for page, text in zip(pages, html_text.extract(pages, model), strict=True):
+        found = html_text.blocks(page)
+        assert text == " ".join(t for (_, t, _), y in zip(found, brute_chances(model, found), strict=True) if y >= 0.5)
+
+
 def test_held_out_pages(model):
     rng = np.random.default_rng(99)
     wrong = total = 0
@@ -170,6 +248,17 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_listed_key_is_the_longest(spark):
+    deep = "x." * 400 + "deep.example"
+    urls = ["http://x.a.com/", "http://y.a.com", "http://b.x.a.com", f"http://{deep}/", "http://nothing.org", None]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = ["a.com", "x.a.com", "deep.example", "a.b.c.d.not.there"]
+    want = ["x.a.com", "a.com", "x.a.com", "deep.example", None, None]
+    for level in (url_filter.MAX_LEVEL_BYTES, 1):  # also in several segments
+        got = url_filter.judge(rows, rules=(), blocklist=listed, max_level_bytes=level).orderBy("page_id").collect()
+        assert [r["listed_key"] for r in got] == want and [r["verdict"] for r in got] == ["block" if k else "allow" for k in want]
+
+
 def test_cascade_is_exact(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BITS_PER_KEY", 2)
     monkeypatch.setattr(url_filter, "PROBES", 1)

@@ -596,22 +596,68 @@ def test_lm_score(spark, odd, none):
     assert lm_score.digest(none).count() == 0
 
 
-def test_lm_passes_and_join_agree(spark, odd):
+def lm_of(seg):
+    """Filters and counts of segments, and N, V."""
+    rows = seg.collect()
+    words, pairs = (lm_score.Filter({r["seg"]: len(r["filter"]) for r in rows if r["kind"] == k}, rows[0]["of"]) for k in (1, 2))
+    for r in rows:
+        (words if r["kind"] == 1 else pairs).put(r["seg"], r["filter"])
+    return words, pairs, *(sum(r[c] for r in rows if r["kind"] == 1) for c in ("total", "n"))
+
+
+def test_lm_broadcast_and_probes_agree(spark, odd, monkeypatch):
     seg = lm_score.train(odd.select("text"))
-    key = lambda df: sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in df.collect())
+    key = lambda df: sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in df.collect())
     one = key(lm_score.score(odd, seg))
-    biggest = max(r[0] for r in seg.select(F.octet_length("filter")).collect())
-    word_bytes = seg.filter("kind = 1").agg(F.sum(F.octet_length("filter"))).first()[0]
-    assert key(lm_score.score(odd, seg, max_group=max(biggest, word_bytes), max_vocabulary=0)) == one
-    with pytest.raises(ValueError, match="bound"):
-        lm_score.score(odd, seg, max_group=1)
+    assert key(lm_score.score(odd, seg, max_broadcast=0)) == one
+    monkeypatch.setattr(lm_score, "SLICE", 100)
+    assert key(lm_score.score(odd, seg)) == one
+    monkeypatch.setattr(lm_score, "FLUSH", 30)
+    assert key(lm_score.score(odd, seg, max_broadcast=0)) == one
+    assert lm_score.score(odd.limit(0), seg, max_broadcast=0).count() == 0
+    none = lm_score.train(odd.limit(0).select("text"))
+    assert {(r["n_known"], r["train_tokens"]) for r in lm_score.score(odd, none).collect()} == {(0, 0)}
+
+
+def test_lm_score_equals_plain_loops(spark, odd):
+    seg = lm_score.train(odd.select("text"))
+    words_, pairs, n, v = lm_of(seg)
+    c1, c2 = collections.Counter(), collections.Counter()
+    for t in lm_score.tokens([r[1] for r in odd.rows]):
+        c1.update(t.tolist())
+        c2.update(zip(t.tolist(), t[1:].tolist(), strict=False))
+    quantised = lambda x: float(lm_score.VALUES[lm_score.levels_of(np.array([x]))[0]]) if x else 0.0
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm_score.score(odd, seg).collect()}
+    far = []
+    for i, text, _, _ in odd.rows:
+        t = next(lm_score.tokens([text])).tolist()
+        one = lambda f, k: float(f.counts(np.array([k], np.uint64))[0])
+        pair = lambda a, b: int(lm_score.pair_hashes(np.array([a, b], np.uint64))[0])
+        probed = exact = 0.0
+        for k, w in enumerate(t[:300]):
+            for known in (False, True):
+                c = (lambda x: quantised(c1[x])) if known else (lambda x: one(words_, x))
+                uni = (c(w) + 1) / (n + v + 1)
+                if k:
+                    seen = quantised(c2[t[k - 1], w]) if known else one(pairs, pair(t[k - 1], w))
+                    uni = (min(seen, c(t[k - 1])) + lm_score.MU * uni) / (c(t[k - 1]) + lm_score.MU)
+                if known:
+                    exact += math.log10(uni)
+                else:
+                    probed += math.log10(uni)
+        if len(t) <= 300:
+            assert got[i, len(t)] == pytest.approx(probed, abs=1e-6)
+            far.append(abs(probed - exact) / abs(exact))
+    assert np.mean(far) < 0.02  # what the filter's false positives change
 
 
 def test_bloom_levels():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64))
     counts = rng.zipf(1.7, len(keys)).clip(1, 10**6)
-    f = lm_score.Filter({0: lm_score.make_filter(keys, counts)}, 1)
+    raw = lm_score.make_filter(keys, counts)
+    f = lm_score.Filter({0: len(raw)}, 1)
+    f.put(0, raw)
     got = f.counts(keys)
     exact = lm_score.VALUES[lm_score.levels_of(counts)]
     assert (got >= exact).all() and (got == exact).mean() > 0.97

@@ -11,10 +11,12 @@ with C what probes find, N training tokens and V distinct ones. A text's score s
 
 Scale. The filter grows with the corpus: BITS bits for each level of each n-gram, in segments by
 the n-gram's hash, sized so that each is made by one task from counts that were added up before
-the shuffle. Segments are broadcast in groups of at most ``MAX_GROUP`` bytes, the size being
-read before anything is sent; a corpus whose pairs take more is scored in several passes, a
-group each, whose sums are added. Exact counts of words, for the unsmoothed base score, are
-broadcast if they take at most ``MAX_VOCABULARY`` bytes and are joined by word otherwise.
+the shuffle. Exact counts of words, for the unsmoothed base score, stand beside the words'
+segments. If all of it takes at most ``MAX_BROADCAST`` bytes, which is read before anything is
+sent, it comes to the driver in slices of ``SLICE`` bytes, is broadcast, and the broadcast is
+destroyed when the scores are written. Otherwise it stays in its table and the probes travel: the
+distinct n-grams of every ``FLUSH`` tokens of text go to their segments, once, and the counts
+found there come back to the texts. Both ways ask the same filter and give the same scores.
 
 Defined results: null and wordless texts are the end token alone; without training texts N and
 V are 0; repeated rows count, and are scored, each for itself; null doc_ids are kept.
@@ -25,7 +27,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +40,8 @@ BASE = 1.5
 BITS, PROBES = 10, 6
 MU = 50.0
 SEGMENT_TEXT = 8 << 20
-MAX_GROUP = 192 << 20
-MAX_VOCABULARY = 96 << 20
+MAX_BROADCAST = 192 << 20
+SLICE = 12 << 20
 FLUSH = 2_000_000
 END = np.uint64(0x656E64206F662074)
 MAX_LEVEL = 110  # BASE ** MAX_LEVEL > 2 ** 63
@@ -75,24 +79,27 @@ def _hashes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Filter:
-    """Bloom filter segments: bytes one after the other, chosen by n-gram hash."""
+    """Bloom filter segments, one after the other in raw, chosen by n-gram hash."""
 
-    def __init__(self, segments: dict[int, bytes], of: int, elsewhere: list[int] = ()):
+    def __init__(self, sizes: dict[int, int], of: int):
+        """Room for segments of so many bytes."""
         self.of = of
-        self.elsewhere = np.zeros(of, bool)  # segments that other passes hold
-        self.elsewhere[list(elsewhere)] = True
         self.offset, self.bits = np.zeros(of, np.uint64), np.zeros(of, np.uint64)
         at = 0
-        for s, raw in sorted(segments.items()):
-            self.offset[s], self.bits[s] = at * 8, len(raw) * 8
-            at += len(raw)
-        self.raw = np.frombuffer(b"".join(raw for _, raw in sorted(segments.items())), np.uint8)
+        for s, n in sorted(sizes.items()):
+            self.offset[s], self.bits[s] = at * 8, n * 8
+            at += n
+        self.raw = np.zeros(at, np.uint8)
+
+    def put(self, seg: int, raw: bytes) -> None:
+        at = int(self.offset[seg]) // 8
+        self.raw[at : at + len(raw)] = np.frombuffer(raw, np.uint8)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         return self.bits[(keys % np.uint64(self.of)).astype(np.int64)] > 0
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """What the filter knows of each key's count; 0 where its segment is empty or elsewhere."""
+        """What the filter knows of each key's count; 0 where its segment is empty."""
         level = np.zeros(len(keys), np.int64)
         open_ = np.flatnonzero(self.has(keys))
         for q in range(1, MAX_LEVEL + 1):
@@ -183,122 +190,147 @@ def train(texts: DataFrame) -> DataFrame:
     return materialise(counted.mapInArrow(build, "kind int, seg int, of int, n long, total long, filter binary, keys binary, counts binary"), "lm")
 
 
-def _base_by_join(rows: DataFrame, segments: DataFrame, n: int, v: int) -> DataFrame:
-    """rid, base_score and n_known where the vocabulary is too large to be broadcast."""
+class Sorted:
+    """Counts by key."""
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for keys, c in zip(b.column(0), b.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_py(), np.int64)), pa.array(np.frombuffer(c.as_py(), np.int64))], names=["key", "c"])
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], counts[order]
 
-    def of_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), self.values.dtype)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], 0)
+
+
+def _fetched(segments: DataFrame, of: int) -> tuple[Filter, Filter, Sorted]:
+    """The words' and pairs' filters and the words' counts, fetched in slices."""
+    sizes = sorted((r["kind"], r["seg"], r["bytes"], r["n"]) for r in segments.select("kind", "seg", F.octet_length("filter").alias("bytes"), "n").collect())
+    words, pairs = (Filter({s: b for k, s, b, _ in sizes if k == kind}, of) for kind in (1, 2))
+    v = sum(n for k, _, _, n in sizes if k == 1)
+    keys, counts, at = np.zeros(v, np.uint64), np.zeros(v, np.int64), 0
+    slices: list[list[tuple]] = []
+    held = SLICE
+    for kind, seg, n_bytes, n in sizes:
+        n_bytes += 16 * n * (kind == 1)
+        if held + n_bytes > SLICE or slices[-1][0][0] != kind:
+            slices.append([])
+            held = 0
+        slices[-1].append((kind, seg))
+        held += n_bytes
+    for part in slices:
+        kind, low, high = part[0][0], part[0][1], part[-1][1]
+        for r in segments.filter((F.col("kind") == kind) & F.col("seg").between(low, high)).select("seg", "filter", "keys", "counts").collect():
+            (words if kind == 1 else pairs).put(r["seg"], r["filter"])
+            if kind == 1:
+                n = len(r["keys"]) // 8
+                keys[at : at + n], counts[at : at + n] = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64)
+                at += n
+    return words, pairs, Sorted(keys, counts)
+
+
+OUT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _by_broadcast(rows: DataFrame, segments: DataFrame, of: int, n: int, v: int) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(_fetched(segments, of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs, exact = shared.value
         for b in batches:
-            for rid, t in zip(b.column(0).to_pylist(), tokens(b.column(1)), strict=True):
-                keys, tf = np.unique(t, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), rid)), pa.array(keys.astype(np.int64)), pa.array(tf.astype(np.int64))], names=["rid", "key", "tf"])
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                got = _scores(list(tokens(part.column(1))), words.counts, pairs.counts, exact.counts, n, v)
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, got)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    counts = segments.filter("kind = 1").select("keys", "counts").mapInArrow(words, "key long, c long")
-    texts = rows.select("rid", "text").mapInArrow(of_text, "rid long, key long, tf long")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    return texts.join(counts, "key", "left").groupBy("rid").agg(
-        F.sum(F.col("tf") * F.log10((c + 1) / F.lit(float(n + v + 1)))).alias("base_score"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known")
-    )
+    out = materialise(rows.mapInArrow(run, OUT), "lm-scores")
+    shared.destroy()
+    return out
 
 
-def score(docs: DataFrame, segments: DataFrame, max_group: int = MAX_GROUP, max_vocabulary: int = MAX_VOCABULARY) -> DataFrame:
+def _by_probes(rows: DataFrame, segments: DataFrame, of: int, n: int, v: int) -> DataFrame:
+    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 33, 0
+        for b in batches:
+            numbers = []
+            for size in b.column(1).cast(pa.binary()).to_pylist():
+                held += len(size or b"") // 4 + 1
+                numbers.append(number)
+                if held > FLUSH:
+                    number, held = number + 1, 0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int64())], names=["doc_id", "text", "batch"])
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            numbers = b.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                if at == end:
+                    continue
+                toks = list(tokens(b.column(1).slice(at, end - at)))
+                for kind, keys in ((1, np.unique(np.concatenate(toks))), (2, np.unique(np.concatenate([pair_hashes(t) for t in toks])))):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(keys), kind, np.int32)), pa.array((keys % np.uint64(of)).astype(np.int32)), pa.array(keys.astype(np.int64)), pa.array(np.full(len(keys), numbers[at]))], names=["kind", "seg", "key", "batch"]
+                    )
+
+    def answer(key, asked: pd.DataFrame, segment: pd.DataFrame) -> pd.DataFrame:
+        keys = asked["key"].to_numpy().astype(np.uint64)
+        found, exact = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+        for raw, k, c in zip(segment["filter"], segment["keys"], segment["counts"], strict=True):
+            f = Filter({key[1]: len(raw)}, of)
+            f.put(key[1], raw)
+            found = f.counts(keys)
+            if key[0] == 1:
+                exact = Sorted(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)).counts(keys)
+        return pd.DataFrame({"batch": asked["batch"], "kind": np.int32(key[0]), "key": asked["key"], "found": found, "exact": exact})
+
+    def scored(key, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(texts):
+            return pd.DataFrame({c: [] for c in ("doc_id", "n_tokens", "n_known", "base_score", "score")})
+        answers = answers.drop_duplicates(["kind", "key"])
+        of_kind = {k: answers[answers["kind"] == k] for k in (1, 2)}
+        lookup = lambda k, c: Sorted(of_kind[k]["key"].to_numpy().astype(np.uint64), of_kind[k][c].to_numpy()).counts
+        got = _scores(list(tokens(texts["text"])), lookup(1, "found"), lookup(2, "found"), lookup(1, "exact"), n, v)
+        return pd.DataFrame(dict(zip(("doc_id", "n_tokens", "n_known", "base_score", "score"), (texts["doc_id"].astype("Int64"), *got), strict=True)))
+
+    texts = materialise(rows.mapInArrow(batched, "doc_id long, text string, batch long"), "lm-texts")
+    asked = texts.mapInArrow(probes, "kind int, seg int, key long, batch long")
+    held = segments.select("kind", "seg", "filter", "keys", "counts")
+    answers = asked.groupBy("kind", "seg").cogroup(held.groupBy("kind", "seg")).applyInPandas(answer, "batch long, kind int, key long, found double, exact long")
+    return materialise(texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(scored, OUT), "lm-scores")
+
+
+def score(docs: DataFrame, segments: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
-    sc = docs.sparkSession.sparkContext
-    sizes = segments.select("kind", "seg", "of", "n", "total", F.octet_length("filter").alias("bytes")).collect()
-    n, v = (sum(r[k] for r in sizes if r["kind"] == 1) for k in ("total", "n"))
-    of = sizes[0]["of"] if sizes else 1
-
-    def fetched(kind: int, segs: list[int], *columns: str) -> list:
-        got = segments.filter((F.col("kind") == kind) & F.col("seg").isin(segs)).select("seg", *columns).toArrow()
-        return list(zip(*(c.to_pylist() for c in got.columns), strict=True))
-
-    own = [r["seg"] for r in sizes if r["kind"] == 1]
-    word_bytes = sum(r["bytes"] for r in sizes if r["kind"] == 1)
-    if word_bytes > max_group:
-        raise ValueError(f"the words' filter takes {word_bytes} bytes, the bound is {max_group}")
-    words = sc.broadcast(Filter(dict(fetched(1, own, "filter")), of))
-    small = 16 * v <= max_vocabulary
-    exact = None
-    if small:
-        got = sorted(fetched(1, own, "keys", "counts"))
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for _, k, _ in got]) if got else np.zeros(0, np.uint64)
-        counts = np.concatenate([np.frombuffer(c, np.int64) for _, _, c in got]) if got else np.zeros(0, np.int64)
-        order = np.argsort(keys)
-        exact = sc.broadcast((keys[order], counts[order]))
-    groups: list[list[int]] = [[]]
-    held = 0
-    for r in sorted(sizes, key=lambda r: r["seg"]):
-        if r["kind"] == 2:
-            if groups[-1] and held + r["bytes"] > max_group:
-                groups.append([])
-                held = 0
-            groups[-1].append(r["seg"])
-            held += r["bytes"]
-
+    word = F.col("kind") == 1
+    size = segments.agg(
+        F.sum(F.when(word, F.col("total"))).alias("n"), F.sum(F.when(word, F.col("n"))).alias("v"), F.max("of").alias("of"), F.sum(F.octet_length("filter") + F.octet_length("keys") + F.octet_length("counts")).alias("bytes")
+    ).first()
+    n, v, of = size["n"] or 0, size["v"] or 0, size["of"] or 1
     rows = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
-    several = len(groups) > 1 or not small
-    if several:
-        rows = materialise(rows.withColumn("rid", F.monotonically_increasing_id()), "lm-texts")
-    else:
-        rows = rows.withColumn("rid", F.lit(0).cast("long"))
-
-    def scorer(pairs, first: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for at in range(0, b.num_rows, 1000):
-                    part = b.slice(at, 1000)
-                    toks = list(tokens(part.column(1)))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(x) for x in _scores(toks, pairs.value, words.value, exact.value if exact else None, n, v, first))], names=["doc_id", "rid", "n_tokens", "n_known", "base_score", "score"])
-
-        return run
-
-    schema = "doc_id long, rid long, n_tokens long, n_known long, base_score double, score double"
-    passes = [rows.select("doc_id", "text", "rid").mapInArrow(scorer(sc.broadcast(Filter(dict(fetched(2, g, "filter")), of, [s for o in groups if o is not g for s in o])), i == 0), schema) for i, g in enumerate(groups)]
-    out = passes[0]
-    for p in passes[1:]:
-        out = out.unionByName(p)
-    if len(passes) > 1:
-        out = out.groupBy("doc_id", "rid").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
-    if not small:
-        out = out.drop("n_known", "base_score").join(_base_by_join(rows, segments, n, v), "rid")
+    out = (_by_broadcast if (size["bytes"] or 0) <= max_broadcast else _by_probes)(rows, segments, of, n, v)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _scores(toks: list[np.ndarray], pairs: Filter, words: Filter, exact, n: int, v: int, first: bool) -> list[np.ndarray]:
-    """Sums over each text; all but the pairs of this group are counted in the first pass only."""
+def _scores(toks: list[np.ndarray], words, pairs, exact, n: int, v: int) -> list[np.ndarray]:
+    """Tokens, known ones, base score and score of each text; words, pairs and exact give counts of keys."""
     lengths = np.array([len(t) for t in toks])
     start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     t = np.concatenate(toks)
     uniq, back = np.unique(t, return_inverse=True)
-    c = words.counts(uniq)[back]
+    c, known = words(uniq)[back], exact(uniq)[back]
     unigram = (c + 1) / (n + v + 1)
     p = np.log10(unigram)
     inner = np.ones(len(t), bool)
     inner[start] = False
     at = np.flatnonzero(inner)
-    keys = pair_hashes(t)[at - 1]
-    seg = (keys % np.uint64(pairs.of)).astype(np.int64)
-    here = pairs.bits[seg] > 0 if not first else ~pairs.elsewhere[seg]  # empty segments: in the first pass
+    keys, again = np.unique(pair_hashes(t)[at - 1], return_inverse=True)
     history = c[at - 1]
-    both = np.minimum(pairs.counts(keys), history)
-    smoothed = np.log10((both + MU * unigram[at]) / (history + MU))
-    p[at] = np.where(here, smoothed, 0.0)
-    if not first:
-        p[start] = 0.0
-    known = base = np.zeros(len(t))
-    if exact is not None and first:
-        k, counts = exact
-        exact_c = np.zeros(len(uniq), np.int64)
-        if len(k):
-            i = np.minimum(np.searchsorted(k, uniq), len(k) - 1)
-            exact_c = np.where(k[i] == uniq, counts[i], 0)
-        known, base = (exact_c > 0).astype(float)[back], np.log10((exact_c + 1) / (n + v + 1))[back]
+    both = np.minimum(pairs(keys)[again], history)
+    p[at] = np.log10((both + MU * unigram[at]) / (history + MU))
     add = lambda x: np.add.reduceat(x, start)
-    return [lengths * int(first), add(known).astype(np.int64), add(base), add(p)]
+    return [lengths, add((known > 0).astype(np.int64)), add(np.log10((known + 1) / (n + v + 1))), add(p)]
 
 
 def held_out(key: Column) -> Column:

@@ -38,7 +38,8 @@ CHAIN = 2
 SPLIT = r"[^\p{L}\p{N}]+"
 HASH = 12
 BUCKET = 64
-FAN = 4096
+#: A bucket of more rows holds repeated doc_ids; its rows are dealt by ranges instead.
+FULL = 4096
 THRESHOLD = 0.8
 
 
@@ -103,46 +104,71 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN
     return pairs.select("a", "b", jaccard(F.col("sa"), F.col("sb"), threshold).alias("likeness")).filter(F.col("likeness") >= threshold)
 
 
-def _following(numbers: DataFrame, at: str, levels: int = 2) -> DataFrame:
+def _following(numbers: DataFrame, at: str) -> DataFrame:
     """Distinct numbers(at) with ``following``, the next number that there is (null after the last).
 
-    Numbers are looked up within blocks of FAN, then blocks within blocks of blocks: a window
-    sorts at most FAN rows; the last one has a row for each FAN ** levels numbers.
+    Numbers are dealt by ranges; only the ranges' first numbers, one a partition, meet in one task.
     """
-    block, head, after = f"block{levels}", f"head{levels}", f"after{levels}"
-    if not levels:
-        return numbers.withColumn("following", F.lead(at).over(Window.orderBy(at)))
-    out = numbers.select(at, F.floor(F.col(at) / FAN).alias(block))
-    heads = out.groupBy(block).agg(F.min(at).alias(head))
-    chain = _following(heads.select(block), block, levels - 1).withColumnRenamed("following", after)
-    ahead = chain.join(heads.withColumnRenamed(block, after), after).select(block, head)
-    return out.withColumn("following", F.lead(at).over(Window.partitionBy(block).orderBy(at))).join(ahead, block, "left").select(at, F.coalesce("following", head).alias("following"))
+    ranged = materialise(numbers.select(at).repartitionByRange(at).withColumn("range", F.spark_partition_id()), "ranged")
+    ahead = ranged.groupBy("range").agg(F.min(at).alias("head")).select("range", F.lead("head").over(Window.orderBy("range")).alias("ahead"))
+    within = F.lead(at).over(Window.partitionBy("range").orderBy(at))
+    return ranged.withColumn("following", within).join(F.broadcast(ahead), "range").select(at, F.coalesce("following", "ahead").alias("following"))
+
+
+def _led(rows: DataFrame, chain: int) -> DataFrame:
+    """rows(bucket, doc_id, text) with their and the next row's text and signatures, where a bucket has a next one."""
+    order = Window.partitionBy("bucket").orderBy("doc_id", "text")
+    led = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("s", signatures(F.col("text"), chain))
+    return led.select("bucket", "doc_id", "text", "s", "next_text", F.lead("s").over(order).alias("next_s"), F.lit(1).cast("long").alias("times"))
+
+
+def _led_by_range(rows: DataFrame, chain: int) -> DataFrame:
+    """The same for buckets of very many rows, that is of repeated doc_ids: each distinct row once, as often as it's there.
+
+    Rows are dealt by ranges of doc_id and text, whatever the buckets.
+    """
+    once = rows.groupBy("bucket", "doc_id", "text").agg(F.count("*").alias("n"))
+    once = materialise(once.repartitionByRange("doc_id", "text").withColumn("range", F.spark_partition_id()), "repeated")
+    item = F.struct("bucket", "text")
+    order = Window.partitionBy("range").orderBy("doc_id", "text")
+    ahead = once.groupBy("range").agg(F.min_by(item, F.struct("doc_id", "text")).alias("head")).select("range", F.lead("head").over(Window.orderBy("range")).alias("ahead"))
+    led = once.withColumn("next", F.lead(item).over(order)).join(F.broadcast(ahead), "range").withColumn("next", F.coalesce("next", "ahead"))
+    last = F.struct(F.when(F.col("next.bucket") == F.col("bucket"), F.col("next.text")).alias("next_text"), F.lit(1).cast("long").alias("times"))
+    copies = F.struct(F.col("text").alias("next_text"), (F.col("n") - 1).alias("times"))
+    led = led.select("bucket", "doc_id", "text", F.explode(F.when(F.col("n") > 1, F.array(last, copies)).otherwise(F.array(last))).alias("then")).select("bucket", "doc_id", "text", "then.*")
+    return led.select("bucket", "doc_id", "text", signatures(F.col("text"), chain).alias("s"), "next_text", F.when(F.col("next_text").isNotNull(), signatures(F.col("next_text"), chain)).alias("next_s"), "times")
 
 
 def edited(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     """Every row with its own, the edited text's and the next document's likeness."""
     text = F.coalesce(F.col("`text`").cast("string"), F.lit(""))
     base = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), text.alias("text")).withColumn("bucket", F.floor(F.col("doc_id") / BUCKET))
-    base = base.withColumns({"n_chars": F.char_length("text").cast("long"), "s": signatures(F.col("text"), chain)})
-    order = Window.partitionBy("bucket").orderBy("doc_id", "text")
-    known = base.filter("doc_id IS NOT NULL").withColumns({k: F.lead(v).over(order) for k, v in (("next_text", "text"), ("next_s", "s"))})
+    known = base.filter("doc_id IS NOT NULL")
+    numbers = docs.select(F.floor(F.col("`doc_id`").cast("long") / BUCKET).alias("bucket")).filter("bucket IS NOT NULL")
+    numbers = materialise(numbers.groupBy("bucket").agg(F.count("*").alias("n")), "buckets")
+    full = numbers.filter(F.col("n") > FULL).select("bucket")
+    repeated = not full.isEmpty()
+    led = _led(known.join(full, "bucket", "left_anti") if repeated else known, chain)
+    if repeated:
+        led = led.unionByName(_led_by_range(known.join(full, "bucket", "left_semi"), chain))
 
     # the last of each bucket is followed by the first of the next bucket, or of all
-    heads = base.filter("doc_id IS NOT NULL").groupBy("bucket").agg(F.min_by(F.struct("text", "s"), F.struct("doc_id", "text")).alias("head"))
-    numbers = docs.select(F.floor(F.col("`doc_id`").cast("long") / BUCKET).alias("bucket")).filter("bucket IS NOT NULL").distinct()
+    heads = known.groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).alias("head")).select(F.col("bucket").alias("following"), F.col("head.text").alias("head"), signatures(F.col("head.text"), chain).alias("head_s"))
     least = numbers.agg(F.min("bucket").alias("least"))
-    follows = _following(materialise(numbers, "buckets"), "bucket").crossJoin(F.broadcast(least)).select("bucket", F.coalesce("following", "least").alias("following"))
-    ahead = follows.join(heads.withColumnRenamed("bucket", "following"), "following").select("bucket", "head")
-    known = known.join(ahead, "bucket").withColumns({"next_text": F.coalesce("next_text", "head.text"), "next_s": F.coalesce("next_s", "head.s")})
+    follows = _following(numbers, "bucket").crossJoin(F.broadcast(least)).select("bucket", F.coalesce("following", "least").alias("following"))
+    ahead = follows.join(heads, "following").select("bucket", "head", "head_s")
+    led = led.join(ahead, "bucket").withColumns({"next_text": F.coalesce("next_text", "head"), "next_s": F.coalesce("next_s", "head_s"), "n_chars": F.char_length("text").cast("long")})
 
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     new = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("next_text", F.lit(1), cut))
-    known = known.select("doc_id", "n_chars", "s", "next_s", new.alias("edited")).withColumn("edited_s", signatures(F.col("edited"), chain))
-    result = known.select(
+    led = led.select("doc_id", "n_chars", "s", "next_s", new.alias("edited"), "times").withColumn("edited_s", signatures(F.col("edited"), chain))
+    result = led.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("s")).alias("fingerprint"), fingerprint(F.col("edited_s")).alias("edited_fingerprint"),
-        jaccard(F.col("s"), F.col("edited_s")).alias("near_edited"), jaccard(F.col("s"), F.col("next_s")).alias("near_next"),
+        jaccard(F.col("s"), F.col("edited_s")).alias("near_edited"), jaccard(F.col("s"), F.col("next_s")).alias("near_next"), "times",
     )
-    none = base.filter("doc_id IS NULL").select("doc_id", "n_chars", F.lit(None).cast("string").alias("edited_sha256"), fingerprint(F.col("s")).alias("fingerprint"), F.lit(None).cast("string").alias("edited_fingerprint"), F.lit(None).cast("double").alias("near_edited"), F.lit(None).cast("double").alias("near_next"))
+    result = result.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("copy", "times") if repeated else result.drop("times")
+    none = base.filter("doc_id IS NULL").select("doc_id", F.char_length("text").cast("long").alias("n_chars"), signatures(F.col("text"), chain).alias("s"))
+    none = none.select("doc_id", "n_chars", F.lit(None).cast("string").alias("edited_sha256"), fingerprint(F.col("s")).alias("fingerprint"), F.lit(None).cast("string").alias("edited_fingerprint"), F.lit(None).cast("double").alias("near_edited"), F.lit(None).cast("double").alias("near_next"))
     return result.unionByName(none)
 
 

@@ -367,7 +367,8 @@ def _linked(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame,
     centres = centres.join(nodes.select(F.col("cls").alias("centre"), F.col("n").alias("cn")), "centre")
     pairs = members.join(centres, "gram").filter((F.col("cls") != F.col("centre")) & (F.lit(den) * F.least("n", "cn") >= F.lit(num) * F.greatest("n", "cn")))
     pairs = materialise(pairs.select("centre", "cls").distinct(), "pairs")
-    chunks = pairs.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    # what is counted by a key is written before it's joined by that key: a join beside its count can't be split where a key is hot
+    chunks = materialise(pairs.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")), "chunks")
     right = pairs.join(chunks, "centre").select("centre", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int").alias("chunk"), "cls", F.lit(1).alias("side"))
     left = chunks.select("centre", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("centre").alias("cls"), F.lit(0).alias("side"))
     blocks = left.unionByName(right).withColumn("comp", F.col("cls"))
@@ -379,11 +380,12 @@ def _linked(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame,
 
     placed = members.join(first, members["cls"] == first["node"], "left").select("gram", "cls", F.coalesce("root", "cls").alias("comp"))
     open_ = placed.groupBy("gram").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m"), F.min("cls").alias("least")).filter("a < b").select("gram", "m", "least")
+    open_ = materialise(open_, "open-groups")
     rest = materialise(placed.join(open_, "gram"), "open")
     # groups that overlap are one family: a set goes to it once, however many groups hold it
     family = components(rest.select(F.col("cls").alias("u"), F.col("least").alias("v")), "families")
     rest = rest.join(family.withColumnRenamed("root", "family"), rest["cls"] == family["node"])
-    sizes = family.groupBy(F.col("root").alias("family")).agg(F.count("*").alias("size"))
+    sizes = materialise(family.groupBy(F.col("root").alias("family")).agg(F.count("*").alias("size")), "sizes")
     rest = rest.join(sizes, "family").select(
         *(F.when(F.col("size") <= FAMILY, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("family", "gram", "group"), ("size", "m", "m"))), (F.col("size") <= FAMILY).alias("whole"), "cls", "comp"
     ).distinct()

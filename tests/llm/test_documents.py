@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import hashing, jaccard, langid, lm_score, mixing, packing, quality, spotsigs
+from tidemark.llm import common, hashing, jaccard, langid, lm_score, mixing, packing, quality, spotsigs
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, size string, part string, cls string, key string, score string, bucket string, n string, k0 string, s string, rank string, salt int, times int, piece_id string"
 LONG = "lorem ipsum dolor sit amet consectetur " * 2000
@@ -516,11 +517,24 @@ def test_pipeline(spark, odd, tmp_path, monkeypatch):
     docs = documents(spark, rows).unionByName(odd)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(600)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    seen, write = {"stage-": docs}, corpus_pipeline.materialise
-    monkeypatch.setattr(corpus_pipeline, "materialise", lambda df, name: seen.setdefault(name, write(df, name)))
+    pairs = lambda df: [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    seen, paths, write = [pairs(docs)], [], corpus_pipeline.written
+
+    def watched(df, name):
+        out, path = write(df, name)
+        assert out.columns == docs.columns
+        seen.append(pairs(out))
+        paths.append(path)
+        return out, path
+
+    monkeypatch.setattr(corpus_pipeline, "written", watched)
     monkeypatch.setattr(quality, "THRESHOLD", 0.0)
+    before = set(os.listdir(common.checkpoint_dir(spark).removeprefix("file:")))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    all_, lang, good, apart, mix = ([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()] for df in seen.values())
+    left = set(os.listdir(common.checkpoint_dir(spark).removeprefix("file:"))) - before
+    assert {os.path.basename(p) for p in paths} & left == {os.path.basename(paths[-1])}
+    assert not [x for x in left if not x.startswith(("stage-mixture", "pieces", "packed"))]
+    all_, lang, good, apart, mix = seen
     assert not collections.Counter(lang) - collections.Counter(all_) and collections.Counter(good) == collections.Counter(lang) and len(good) > 100
     check_distinct(good, apart)
     assert set(mix) <= set(apart) and max(collections.Counter(mix).values()) <= 3 * max(collections.Counter(apart).values())
@@ -528,6 +542,42 @@ def test_pipeline(spark, odd, tmp_path, monkeypatch):
     check_sequences(got)
 
 
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, _quality double, _rejected boolean, _lang_pred string, _cosine double, row string, size string, k0 string, rejected string, score string, h long, _id long, _keep long, times int, cls string"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, lang, s, len(t or ""), 0.1, True, "x", 0.0, "r", "s", "k", "y", "z", 5, 6, 7, 8, "c") for i, t, lang, s in rows], CLASHES)
+
+
+def test_stages_on_odd_tables(spark, odd, tmp_path):
+    """Each stage alone: clashing names, nulls, empty and long texts, repeated rows, and no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    known = [(1000 + i, " ".join(rng.choice(WORDS[k].split()) for _ in range(30)), k, "ab"[i % 2]) for i in range(60) for k in "xy"[i % 2]]
+    rows = [*odd.rows, *known, known[0], (3000, "Это предложение на русском языке и оно довольно длинное", None, "a"), (3001, "q" * 30_000, None, "b")]
+    spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(2000)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, empty = clashing(spark, rows).repartition(3), clashing(spark, [])
+    count = lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+    whole = count(docs)
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, str(tmp_path)), stage(spark, empty, str(tmp_path))
+        assert none.count() == 0 and none.columns == out.columns, name
+        if name == "packing":
+            check_sequences(out.collect())
+            continue
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        got = count(out)
+        assert not (set(got) - set(whole)), name
+        if name == "language":
+            assert not got - whole and got[known[0][:2]] == 2 and not any(i in (100, 101, 102, 106, 3000, 3001) for i, _ in got)
+            assert sum(got[r[:2]] for r in known[1:]) >= 58
+        if name == "near_duplicates":
+            check_distinct([(i, t) for i, t, _, _ in rows], got.elements())
+        if name == "mixture":
+            assert all(n <= 3 * whole[r] for r, n in got.items())
+
+
 # fingerprints -----------------------------------------------------------------------------
 
 
@@ -546,8 +596,22 @@ def brute_signatures(text):
     return {hashlib.md5(s.encode()).hexdigest()[: spotsigs.HASH] for s in out}
 
 
-def test_fingerprints(spark, odd, none):
-    rows = sorted((r for r in odd.rows if r[0] is not None), key=lambda r: (r[0], r[1] or ""))
+@pytest.mark.parametrize("full", [spotsigs.FULL, 6, 0])
+def test_fingerprints(spark, odd, none, monkeypatch, full):
+    monkeypatch.setattr(spotsigs, "FULL", full)
+    check_fingerprints(spark, odd.rows, odd)
+    assert spotsigs.edited(none).count() == 0
+
+
+def test_fingerprints_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "FULL", 10)
+    t = texts(12, 12)
+    rows = [(7, t[k % 5], "en", "s") for k in range(40)] + [(i * 100, x, "en", "s") for i, x in enumerate(t)] + [(8, t[0], "en", "s")] * 3
+    check_fingerprints(spark, rows, documents(spark, rows).repartition(3))
+
+
+def check_fingerprints(spark, all_rows, docs):
+    rows = sorted((r for r in all_rows if r[0] is not None), key=lambda r: (r[0], r[1] or ""))
     want = collections.Counter()
     for k, (i, t, _, _) in enumerate(rows):
         t, nxt = t or "", rows[(k + 1) % len(rows)][1] or ""
@@ -555,10 +619,9 @@ def test_fingerprints(spark, odd, none):
         e = t[: len(t) - cut] + nxt[:cut]
         a, b, c = (brute_signatures(x) for x in (t, e, nxt))
         want[i, len(t), hashlib.sha256(e.encode()).hexdigest(), "".join(sorted(a)), "".join(sorted(b)), round(len(a & b) / len(a | b), 9), round(len(a & c) / len(a | c), 9)] += 1
-    got = spotsigs.edited(odd).collect()
-    assert len(got) == len(odd.rows)
+    got = spotsigs.edited(docs).collect()
+    assert len(got) == len(all_rows)
     assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got if r["doc_id"] is not None) == want
-    assert spotsigs.edited(none).count() == 0
 
 
 def test_next_of_sparse_numbers(spark):

@@ -11,8 +11,10 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,12 +48,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: any executor may be lost."""
+_scratch: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a table of the shared folder, and its path."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: any executor may be lost."""
+    out, path = written(df, name)
+    if _scratch:
+        _scratch[-1].append(path)
+    return out
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write inside are deleted at the end, when their result has been written."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            drop(spark, path)
 
 
 def prefixed(df: DataFrame, wanted: dict[str, str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, langid, mixing, packing, quality
-from tidemark.llm.common import materialise, table
+from tidemark.llm.common import drop, scratch, table, written
 
 #: SQL can't express a trained model's decisions, hash-seeded choices or the tokenizer.
 ORACLE_SQL = None
@@ -19,30 +19,50 @@ ORACLE_SQL = None
 NEAR = {"width": 5, "num": 80, "den": 100}
 
 
+def _rows(docs: DataFrame, *others: str) -> DataFrame:
+    """Every row whole, as the struct ``row``, beside the columns that an operator reads."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(F.col(f"`{c}`") for c in others))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those that the classifier rejects go."""
+    """Documents whose language is known; those that the classifier rejects go.
+
+    Null and empty texts and texts without letters go; of repeated rows all go or stay; without
+    labelled rows nothing is known, and all go; no rows give no rows.
+    """
     model = langid.train(docs)
-    return langid.identify(docs, model, docs.columns, names=("_lang_pred", "_cosine", "_rejected")).filter("NOT _rejected").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return langid.identify(_rows(docs, "text"), model, ["row"]).filter("NOT rejected").select("row.*")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a quality of at least the classifier's threshold; the others go."""
+    """Documents of a quality of at least the classifier's threshold; the others go.
+
+    Null texts are judged as empty ones, and a row without doc_id like any other; a score equal to
+    the threshold stays; of repeated rows all go or stay; no rows give no rows.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return quality.score(docs, model, docs.columns, name="_quality").filter(F.col("_quality") >= quality.THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return quality.score(_rows(docs, "text"), model, ["row"]).filter(F.col("score") >= quality.THRESHOLD).select("row.*")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates."""
+    """One document, that of the smallest doc_id, of each group of near duplicates.
+
+    Where that doc_id has several texts in the group, the one of the smallest hash stays; of
+    repeated rows one. Null and wordless texts are near no other doc_id's; rows without doc_id stay.
+    """
     return jaccard.deduplicated(docs, **NEAR)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them, up to three times."""
+    """Documents as often as the mix of sources takes them, up to three times.
+
+    A null source is a source, null texts are of size 0, repeated rows are taken each for itself.
+    """
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 tokens."""
+    """Pieces of the documents in sequences of at most 2048 tokens; a null text is one piece, its end."""
     return packing.digest(docs)
 
 
@@ -50,8 +70,15 @@ STAGES = [("language", language), ("quality", good), ("near_duplicates", distinc
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what each returns is written and read again.
+
+    What a stage wrote besides, and its input, is deleted when its result has been written.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):
+            docs, path = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last:
+            drop(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -56,13 +56,17 @@ def test_days(spark, tmp_path):
     out = sync(spark, root, docs, "2024-02-03", "version-3")
     assert out.counts == {"added": 1, "removed": 1, "retitled": 1, "relinked": 1, "recompanied": 0}
     assert spark.read.parquet(f"{root}/archive").count() == 2 and spark.read.parquet(f"{root}/problems").count() == 15
+    order = lambda name, *by: [tuple(r[c] or "" for c in by) for r in spark.read.parquet(f"{root}/{name}").collect()]
+    assert [k for k, *_ in order("changes/date=2024-02-03", "kind", "key", "id")] == ["added", "removed", "retitled", "relinked"] == [k for k, in order("changes/latest", "kind")]
+    assert order("archive", "removed_on", "key") == sorted(order("archive", "removed_on", "key")) and order("problems", "key", "id") == sorted(order("problems", "key", "id"))
+    assert not [x for x in os.listdir(root) if x.endswith((".old", ".tmp")) or "staged" in x]
     log = open(f"{root}/CHANGELOG.md", encoding="utf-8").read()
     assert log.index("## 2024-02-03") < log.index("## 2024-02-01") and "- Two Sum → Two Sum II" in log and "- Join — problems/join → problems/joined" in log
 
     catalogue = {"stat_status_pairs": [{"stat": {"question__title": "Two Sum II", "question__title_slug": "two-sum-ii"}, "difficulty": {"level": 2}, "paid_only": True, "x": 1}]}
     with open(f"{docs}/catalogue.json", "w") as f:
         json.dump(catalogue, f)
-    assert resolve_origins(spark, root, f"{docs}/catalogue.json") == (1, True) and resolve_origins(spark, root, f"{docs}/catalogue.json") == (1, False)
+    assert resolve_origins(spark, root, f"{docs}/catalogue.json") == (1, 1, True) and resolve_origins(spark, root, f"{docs}/catalogue.json") == (1, 1, False)
     row = spark.read.parquet(f"{root}/origins").first()
     assert (row["url"], row["difficulty"], row["paid"]) == ("https://leetcode.com/problems/two-sum-ii/", "Medium", True)
     with pytest.raises(OriginError):
@@ -95,6 +99,70 @@ def test_aborts_write_nothing(spark, tmp_path_factory, change, error):
     assert contents(f"{base}/data") == before
 
 
+@pytest.mark.parametrize("stop", ["changes/date=2024-02-03", "problems"])
+def test_a_sync_that_stops_is_made_up_for(spark, tmp_path, monkeypatch, stop):
+    """The driver dies within a swap; cached blocks are lost between writes. The next sync ends in the same state."""
+    root, docs = str(tmp_path / "data"), str(tmp_path / "docs")
+    write(docs, ROWS)
+    sync(spark, root, docs, "2024-02-01", "version-1")
+    write(docs, [("Acme", "Two Sum II", "problems/two-sum", "Coding"), *ROWS[1:-1], ("Acme", "New", "project-coding/new", "AI coding")])
+    swap = files.swap
+
+    def torn(spark, staged, target):
+        spark.catalog.clearCache()
+        for df in list(spark.sparkContext._jsc.getPersistentRDDs().values()):
+            df.unpersist(True)
+        if not target.endswith(stop):
+            return swap(spark, staged, target)
+        if os.path.exists(target):
+            os.rename(target, target + ".old")
+        raise RuntimeError("the driver is gone")
+
+    monkeypatch.setattr(files, "swap", torn)
+    with pytest.raises(RuntimeError):
+        sync(spark, root, docs, "2024-02-03", "version-2")
+    monkeypatch.setattr(files, "swap", swap)
+    out = sync(spark, root, docs, "2024-02-03", "version-2")
+    assert out.counts == {"added": 1, "removed": 1, "retitled": 1, "relinked": 0, "recompanied": 0}
+    assert [r["key"] for r in spark.read.parquet(f"{root}/archive").collect()] == ["project-coding/ai"]
+    assert spark.read.parquet(f"{root}/changes/date=2024-02-03").count() == 3 == spark.read.parquet(f"{root}/changes/latest").count()
+    assert spark.read.parquet(f"{root}/problems").count() == len(ROWS) + 1
+    log = open(f"{root}/CHANGELOG.md", encoding="utf-8").read()
+    assert "## 2024-02-01" in log and log.count("## 2024-02-03") == 1
+
+
+def test_bundle(spark, tmp_path):
+    root, docs = str(tmp_path / "data"), str(tmp_path / "docs")
+    with pytest.raises(files.SourceError):
+        files.load_bundle(spark, root)
+    write(docs, ROWS)
+    sync(spark, root, docs, "2024-02-01", "version-1")
+    b = files.load_bundle(spark, root)
+    assert b.rows.count() == len(ROWS) == b.latest.count() and b.origins.count() == 0 and b.meta["version"] == "version-1" and b.postings.count() > 0
+    files.write_text(spark, f"{root}/meta.json", "{")
+    os.rename(f"{root}/changes", f"{root}/gone")
+    b = files.load_bundle(spark, root)
+    assert b.meta is None and b.latest.count() == 0
+
+
+def test_warnings_are_counted(spark, monkeypatch):
+    from tidemark.plans import sync as plan
+
+    monkeypatch.setattr(plan, "MOST_WARNINGS", 2)
+    issues = spark.createDataFrame([("s", i, f"m{i}") for i in range(5)], "source string, line_no int, message string")
+    conflicts = spark.createDataFrame([("k", "title", "a", "b", 1)], "key string, kind string, kept string, other string, arrival int")
+    assert plan._warnings(issues, conflicts) == ["m0", "m1", "and 3 more", "k: title 'a' / 'b'"]
+
+
+def test_ci_flags(tmp_path, monkeypatch):
+    from tidemark.cli import _tell_ci
+
+    monkeypatch.setenv("GITHUB_OUTPUT", str(tmp_path / "out"))
+    _tell_ci(dataset_changed=True, upstream_sha="abc")
+    assert open(tmp_path / "out").read() == "dataset_changed=true\nupstream_sha=abc\n"
+    assert sinks.indented({"a": [1]}) == '{\n  "a": [\n    1\n  ]\n}\n'
+
+
 def test_files(spark, tmp_path):
     p = str(tmp_path / "a" / "x.txt")
     assert files.read_text(spark, p) is None and files.write_text(spark, p, "é\nx") and files.read_text(spark, p) == "é\nx" and not files.write_text(spark, p, "é\nx")

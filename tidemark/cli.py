@@ -40,15 +40,15 @@ def main(argv: list[str] | None = None) -> int:
     spark = local_session()
     try:
         if args.command == "origins":
-            n, changed = resolve_origins(spark, args.data, args.catalog)
-            _tell_ci(changed=changed, count=n)
-            print(f"{n} origins, {'written' if changed else 'unchanged'}")
+            n, paid, changed = resolve_origins(spark, args.data, args.catalog)
+            _tell_ci(origins_changed=changed, origins_count=n)
+            print(f"{n} origins ({paid} paid), {'written' if changed else 'unchanged'}")
             return 0
         out = sync(spark, args.data, args.offline, args.today, args.sha, args.force, args.changelog, args.dry_run)
     except (Abort, OriginError, UnknownSchema, SourceError) as e:
         print(f"aborted: {e}", file=sys.stderr)
         return 1
-    _tell_ci(changed=out.changed, sha=out.version)
+    _tell_ci(dataset_changed=out.changed, upstream_sha=out.version)
     for w in out.warnings:
         print(f"warning: {w}")
     print("skipped: same version" if out.skipped else f"{out.counts} written: {', '.join(out.written) or 'nothing'}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schema import PERSONAL, STATUSES
+from ..sources import files
 from . import search as S
 
 OVERLAY = ("status", "difficulty", "notes", "solution_url", "tags")
@@ -124,13 +125,21 @@ def solved_by_company(rows: DataFrame, personal: DataFrame, most: int = 12) -> D
 def migrate(rows: DataFrame, personal: DataFrame) -> DataFrame:
     """The overlay after relinks: a row without an entry takes that of its first alias with one.
 
-    An entry goes to the first row, in dataset order, that lists it. Aliases of a diff belong to
-    one row each; where rows share an alias, the row that loses it doesn't look for another.
+    An entry goes to the first row, in dataset order, that wants it; a row that loses it wants its
+    next alias. A round takes from every row what it wants and loses; rounds go on while rows lose.
     """
     by_row, by_old = Window.partitionBy("id").orderBy("place"), Window.partitionBy("old").orderBy("key", "id")
     empty = rows.join(personal.select("id"), "id", "left_anti").select("id", "key", F.posexplode("aliases").alias("place", "old"))
-    claims = empty.join(personal.select(F.col("id").alias("old")), "old").withColumn("n", F.row_number().over(by_row)).filter("n = 1")
-    claims = claims.withColumn("n", F.row_number().over(by_old)).filter("n = 1").select("id", "old")
+    pairs = empty.join(personal.select(F.col("id").alias("old")), "old")
+    made: list[str] = []
+    while True:
+        wanted = pairs.withColumn("n", F.row_number().over(by_row)).filter("n = 1").drop("n")
+        wanted = files.kept(wanted.withColumn("n", F.row_number().over(by_old)), "claims", made)
+        lost = wanted.filter("n > 1").select("id", "place")
+        if lost.isEmpty():
+            break
+        pairs = files.kept(pairs.join(lost, ["id", "place"], "left_anti"), "pairs", made)
+    claims = wanted.filter("n = 1").select("id", "old")
     have = personal.select(*PERSONAL.fieldNames())
     moved = have.withColumnRenamed("id", "old").join(claims, "old").withColumn("migrated_from", F.col("old")).select(*PERSONAL.fieldNames())
     return have.join(claims.select(F.col("old").alias("id")), "id", "left_anti").unionByName(moved)
@@ -150,6 +159,21 @@ def imported(personal: DataFrame, incoming: DataFrame) -> DataFrame:
     return personal.join(incoming.select("id"), "id", "left_anti").select(*personal.columns).unionByName(incoming.select(*personal.columns))
 
 
+def shown(rows: DataFrame, most: int = 3) -> DataFrame:
+    """rows with ``companies`` cut to the few that a list shows."""
+    return rows.withColumn("companies", F.slice("companies", 1, most))
+
+
+def lookup(rows: DataFrame, id_: str) -> DataFrame:
+    """The one row of an id, or none, of the rows that a selection shows."""
+    return rows.filter(F.col("id") == id_).limit(1)
+
+
+def with_origin(rows: DataFrame, origins: DataFrame) -> DataFrame:
+    """rows with the struct ``origin``, null where there is none."""
+    return rows.join(origins.select("id", F.struct(*(c for c in origins.columns if c != "id")).alias("origin")), "id", "left")
+
+
 def retitled_origins(rows: DataFrame, origins: DataFrame) -> DataFrame:
     """Rows whose origin goes by another title, to be looked at."""
     o = origins.select("id", F.col("title").alias("origin_title"))

@@ -44,6 +44,11 @@ def matched(titles: DataFrame, entries_: DataFrame, id_: str = "id", title: str
     return asked.join(keys(entries_), ["index", "key"]).withColumn("place", F.row_number().over(first)).filter("place = 1").select("id", "tier", "entry")
 
 
+def totals(origins_: DataFrame) -> DataFrame:
+    """resolved and paid, as one row."""
+    return origins_.agg(F.count("*").alias("resolved"), F.count_if(F.coalesce("paid", F.lit(False))).alias("paid"))
+
+
 def origins(snapshot: DataFrame, entries_: DataFrame, site: str = "leetcode") -> DataFrame:
     """Origin records of eligible rows, tombstones included."""
     found = matched(snapshot.filter(F.col("format").isin(*ELIGIBLE)), entries_)

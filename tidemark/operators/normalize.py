@@ -45,6 +45,11 @@ def merged(rows: DataFrame, today: str) -> DataFrame:
     )
 
 
+def merged_rows(rows: DataFrame) -> DataFrame:
+    """source, merged_rows: how many of a source's rows came after another of their id."""
+    return _placed(rows).groupBy("source").agg(F.count_if(F.col("arrival") > 1).alias("merged_rows"))
+
+
 def conflicts(rows: DataFrame) -> DataFrame:
     """key, kind, kept, other, arrival: rows at odds with the record as it was when they came.
 

@@ -10,9 +10,9 @@ from ..schema import MIN_PREFIX
 
 
 def postings(rows: DataFrame, *texts: Column) -> DataFrame:
-    """token, id: each once. texts default to title and companies."""
+    """token, id: each once, of rows with an id each. texts default to title and companies."""
     parts = texts or (F.col("title"), F.array_join("companies", " "))
-    return rows.select("id", F.explode(F.array_distinct(X.tokenize(F.concat_ws(" ", *parts)))).alias("token")).distinct()
+    return rows.select("id", F.explode(F.array_distinct(X.tokenize(F.concat_ws(" ", *parts)))).alias("token"))
 
 
 def token_index(posted: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Snapshots hold one row an id (schema PROBLEM), removed rows as tombstones. One full outer join
 by id finds what came, went and stayed; rows that came and went pair up as relinks where exactly
-one of each shares title, company set and format.
+one of each shares title, company set and format. The pairs, few rows, are joined to it by id.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..schema import KINDS, PROBLEM, RETENTION_DAYS
 
 FIELDS = PROBLEM.fieldNames()
-NONE = "CAST(NULL AS STRING)"
 
 
 @dataclass
@@ -42,19 +41,30 @@ def live(snapshot: DataFrame) -> DataFrame:
     return snapshot.filter("state <> 'removed'")
 
 
-def _pairs(previous: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(relinks(old_id, new_id), groups of more than one on either side)."""
-    alive = live(previous)
-    sig = F.struct("title", company_set(F.col("companies")).alias("who"), F.coalesce(F.concat(F.lit("="), "format"), F.lit("")).alias("fmt"))
-    came = current.join(alive.select("id"), "id", "left_anti").groupBy(sig.alias("sig"))
-    went = alive.join(current.select("id"), "id", "left_anti").groupBy(sig.alias("sig"))
-    came = came.agg(F.array_sort(F.collect_list("id")).alias("added_ids"))
-    went = went.agg(F.array_sort(F.collect_list("id")).alias("removed_ids"))
-    both = came.join(went, "sig")
-    single = (F.size("added_ids") == 1) & (F.size("removed_ids") == 1)
-    relinks = both.filter(single).select(F.get("removed_ids", F.lit(0)).alias("old_id"), F.get("added_ids", F.lit(0)).alias("new_id"))
+def _signature(row: str) -> Column:
+    return F.struct(F.col(f"{row}.title").alias("title"), company_set(F.col(f"{row}.companies")).alias("who"), F.coalesce(F.concat(F.lit("="), f"{row}.format"), F.lit("")).alias("fmt"))
+
+
+def _pairs(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links of rows that moved, groups of more than one on either side) of previous and current, joined.
+
+    Links are id, o (the row it was, of one that came) and to_id (what it's now, of one that
+    went). Signatures are counted with what one row of each side holds, however many share them.
+    """
+    came = F.col("c").isNotNull() & (F.col("p").isNull() | (F.col("p.state") == "removed"))
+    went = F.col("c").isNull() & (F.col("p.state") != "removed")
+    moved = joined.filter(came | went).select("id", "p", came.alias("came"), F.when(came, _signature("c")).otherwise(_signature("p")).alias("sig"))
+    found = moved.groupBy("sig").agg(
+        F.count_if("came").alias("n_new"), F.count_if(~F.col("came")).alias("n_old"), F.max(F.when(F.col("came"), F.col("id"))).alias("new_id"), F.max(F.when(~F.col("came"), F.col("p"))).alias("o")
+    )
+    single = found.filter("n_new = 1 AND n_old = 1")
+    no_row = F.lit(None).cast(found.schema["o"].dataType)
+    ends = F.array(F.struct(F.col("new_id").alias("id"), "o", F.lit(None).cast("string").alias("to_id")), F.struct(F.col("o.id").alias("id"), no_row.alias("o"), F.col("new_id").alias("to_id")))
+    links = single.select(F.explode(ends).alias("e")).select("e.*")
+    many = found.filter("n_new > 0 AND n_old > 0 AND n_new + n_old > 2").select("sig")
+    groups = moved.join(many, "sig").groupBy("sig").agg(*(F.array_sort(F.collect_list(F.when(w, F.col("id")))).alias(n) for n, w in (("added_ids", F.col("came")), ("removed_ids", ~F.col("came")))))
     reason = F.format_string("%d added and %d removed rows share one (title, companies, format) signature", F.size("added_ids"), F.size("removed_ids"))
-    return relinks, both.filter(~single).select("added_ids", "removed_ids", F.col("sig.title").alias("title"), reason.alias("reason"))
+    return links, groups.select("added_ids", "removed_ids", F.col("sig.title").alias("title"), reason.alias("reason"))
 
 
 def _state(**members: Column) -> Column:
@@ -64,18 +74,15 @@ def _state(**members: Column) -> Column:
 
 
 def diff(previous: DataFrame, current: DataFrame, today: str) -> Diff:
-    previous, current = previous.select(*FIELDS), current.select(*FIELDS)
-    relinks, ambiguous = _pairs(previous, current)
-    p = previous.select(F.struct(*FIELDS).alias("p"), F.col("id").alias("pid"))
-    c = current.select(F.struct(*FIELDS).alias("c"), F.col("id").alias("cid"))
-    old = previous.select(F.struct(*FIELDS).alias("o"), F.col("id").alias("oid"))
-    come_from = relinks.join(old, relinks["old_id"] == old["oid"]).select("new_id", "o")
-    gone_to = relinks.select(F.col("old_id").alias("gone_id"), F.col("new_id").alias("to_id"))
-    j = p.join(c, F.col("pid") == F.col("cid"), "full_outer").join(come_from, F.col("cid") == F.col("new_id"), "left").join(gone_to, F.col("pid") == F.col("gone_id"), "left")
+    p = previous.select("id", F.struct(*FIELDS).alias("p"))
+    c = current.select("id", F.struct(*FIELDS).alias("c"))
+    j = p.join(c, "id", "full_outer")
+    links, ambiguous = _pairs(j)
+    j = j.join(links, "id", "left")
     here, was, alive = F.col("c").isNotNull(), F.col("p").isNotNull(), F.col("p.state") != "removed"
     relinked, tomb = F.col("o").isNotNull(), was & ~alive
     kept = here & was & alive & ~relinked
-    j = j.withColumn("case", F.when(here & relinked, "relinked").when(here & (~was | ~alive), "added").when(kept, "kept").when(was & alive & F.col("gone_id").isNotNull(), "left").when(was & alive, "removed").otherwise("tombstone"))
+    j = j.withColumn("case", F.when(here & relinked, "relinked").when(here & (~was | ~alive), "added").when(kept, "kept").when(was & alive & F.col("to_id").isNotNull(), "left").when(was & alive, "removed").otherwise("tombstone"))
 
     def row(base: str, **new: Column) -> Column:
         return F.struct(*((new[f] if f in new else F.col(f"{base}.{f}")).cast(PROBLEM[f].dataType).alias(f) for f in FIELDS))
@@ -123,8 +130,14 @@ def change_counts(changes: DataFrame) -> DataFrame:
     return kinds.join(changes.groupBy("kind").agg(F.count("*").alias("n")), "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def ordered_changes(changes: DataFrame) -> DataFrame:
-    return changes.orderBy(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), "key", "id")
+def change_order() -> list[Column]:
+    return [F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.col("key"), F.col("id")]
+
+
+def is_bootstrap(counts: DataFrame, rows: DataFrame) -> DataFrame:
+    """bootstrap: whether a load added at least as many rows as there are: it's the first, and nothing is news."""
+    added = counts.agg(F.coalesce(F.sum(F.when(F.col("kind") == "added", F.col("n"))), F.lit(0)).alias("added"))
+    return added.crossJoin(rows.agg(F.count("*").alias("rows"))).select((F.col("added") >= F.col("rows")).alias("bootstrap"))  # one row by one row
 
 
 def prune(snapshot: DataFrame, today: str, referenced: DataFrame | None, days: int = RETENTION_DAYS) -> tuple[DataFrame, DataFrame]:
@@ -139,6 +152,11 @@ def prune(snapshot: DataFrame, today: str, referenced: DataFrame | None, days: i
     return snapshot.join(dropped.select("id"), "id", "left_anti"), dropped
 
 
+def archive_order() -> list[Column]:
+    """Order of the stored archive, missing values first."""
+    return [F.coalesce("removed_on", F.lit("")), F.coalesce("key", F.lit(""))]
+
+
 def archive(existing: DataFrame, additions: DataFrame) -> DataFrame:
     """existing and what of additions it lacks, by (id, removed_on)."""
     by = ["id", "removed_on"]
@@ -147,8 +165,6 @@ def archive(existing: DataFrame, additions: DataFrame) -> DataFrame:
     return existing.unionByName(new.select(*existing.columns))
 
 
-def ordered_archive(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(F.coalesce("removed_on", F.lit("")), F.coalesce("key", F.lit("")))
 
 
 def described(changes: DataFrame, snapshot: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ engines. The queries run the library's operators; the oracle states the result o
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -585,12 +586,105 @@ def facet_filter(spark, d):
     return facets.select(rows, personal(spark, d), q, TODAY).select("key")
 
 
-@query(WITH + ", d AS (SELECT * FROM snap_a WHERE k % 2 = 0) SELECT s.key FROM d s LEFT JOIN overlay o USING (key) WHERE s.state <> 'removed' AND o.key IS NULL AND s.k % 6 = 0 AND contains(s.title, '1')")
+def _origins(spark, d) -> DataFrame:
+    """Origins of every third row of the snapshot, some under another title."""
+    a = view(spark, d, "snap_a").filter("k % 3 = 0")
+    title = F.when(F.col("k") % 4 == 0, F.concat("title", F.lit(" II"))).otherwise(F.col("title"))
+    return a.select(X.derive_id(F.col("key")).alias("id"), F.lit("leetcode").alias("site"), F.concat(F.lit("https://o.example/"), "key").alias("url"), title.alias("title"), F.lit("Easy").alias("difficulty"), (F.col("k") % 5 == 0).alias("paid"))
+
+
+def _aged(spark, d) -> DataFrame:
+    """The snapshot with days of first sight up to 400 days before TODAY, some without."""
+    rows = problems(view(spark, d, "snap_a"))
+    k = F.split("key", "/")[1].cast("int")
+    return rows.withColumn("first_seen", F.when(k % 9 != 0, F.date_format(F.date_sub(F.lit(TODAY).cast("date"), k % 400), "yyyy-MM-dd")))
+
+
+@query(WITH + " SELECT s.key FROM snap_a s LEFT JOIN overlay o USING (key) WHERE s.state <> 'removed' AND o.key IS NULL AND s.k % 3 = 0 AND s.k % 9 <> 0 AND s.k % 400 < 200")
 def facet_untouched(spark, d):
-    rows = problems(view(spark, d, "snap_a").filter("k % 2 = 0"))
-    origins = view(spark, d, "snap_a").filter("k % 6 = 0 AND contains(title, '1')").select(X.derive_id(F.col("key")).alias("id"))
     q = facets.FacetQuery(untouched_only=True, solvable_only=True, age=200)
-    return facets.select(rows, personal(spark, d), q, TODAY, origins=origins).select("key")
+    return facets.select(_aged(spark, d), personal(spark, d), q, TODAY, origins=_origins(spark, d)).select("key")
+
+
+@query(WITH + " SELECT key FROM snap_a WHERE state <> 'removed' AND k % 9 <> 0 AND k % 400 < 30 UNION ALL SELECT key FROM snap_a JOIN overlay USING (key) WHERE snap_a.state = 'removed' AND snap_a.k % 9 <> 0 AND snap_a.k % 400 < 30")
+def facet_age(spark, d):
+    return facets.select(_aged(spark, d), personal(spark, d), facets.FacetQuery(age=30), TODAY).select("key")
+
+
+@query(WITH + " SELECT key, state FROM snap_a WHERE format IN (SELECT max(format) FROM snap_a)")
+def facet_removed_shown(spark, d):
+    rows = problems(view(spark, d, "snap_a"))
+    q = facets.FacetQuery(show_removed=True, formats=[rows.agg(F.max("format")).first()[0]])
+    return facets.select(rows, personal(spark, d), q, TODAY).select("key", "state")
+
+
+@query(WITH + " SELECT count(*) AS n FROM snap_a WHERE state <> 'removed' AND k % 3 = 0")
+def solvable_total(spark, d):
+    return facets.solvable_count(problems(view(spark, d, "snap_a")), _origins(spark, d))
+
+
+@query(WITH + " SELECT key, CASE WHEN k % 3 = 0 THEN 'https://o.example/' || key END AS origin FROM snap_a")
+def origin_of_rows(spark, d):
+    return facets.with_origin(problems(view(spark, d, "snap_a")), _origins(spark, d)).select("key", F.col("origin.url").alias("origin"))
+
+
+@query(WITH + " SELECT key, title || ' II' AS origin_title FROM snap_a WHERE k % 12 = 0")
+def origins_retitled(spark, d):
+    return facets.retitled_origins(problems(view(spark, d, "snap_a")), _origins(spark, d)).select("key", "origin_title")
+
+
+@query(WITH + " SELECT count(*) AS resolved, count(*) FILTER (k % 5 = 0) AS paid FROM snap_a WHERE k % 3 = 0")
+def origin_totals(spark, d):
+    return match.totals(_origins(spark, d))
+
+
+@query(DIFF + f", o AS (SELECT {NORM_ID.format('key')} AS id FROM overlay) SELECT r.id, o.id IS NOT NULL AS noted FROM changes r LEFT JOIN o USING (id) WHERE kind = 'removed'")
+def removals_noted(spark, d):
+    return facets.noted_removals(the_diff(spark, d).changes, personal(spark, d)).select("id", "noted")
+
+
+@query(WITH + ", x AS (SELECT title AS company FROM snap_a WHERE state <> 'removed') SELECT company, count(*) AS n FROM x GROUP BY ALL ORDER BY n DESC, company LIMIT 40")
+def facet_first_names(spark, d):
+    rows = problems(view(spark, d, "snap_a").withColumn("c1", F.col("title")))
+    return facets.shown_companies(facets.company_counts(rows))
+
+
+@query(WITH + ", x AS (SELECT title AS company FROM snap_a WHERE state <> 'removed') SELECT company, count(*) AS n FROM x WHERE contains(lower(company), 'twin') GROUP BY ALL")
+def facet_names_by_needle(spark, d):
+    rows = problems(view(spark, d, "snap_a").withColumn("c1", F.col("title")))
+    return facets.shown_companies(facets.company_counts(rows), "TWin")
+
+
+@query(WITH + " SELECT key, title FROM snap_a WHERE k = (SELECT min(k) FROM snap_a WHERE state <> 'removed' AND k > 20)")
+def row_lookup(spark, d):
+    a = view(spark, d, "snap_a")
+    k = a.filter("state <> 'removed' AND k > 20").agg(F.min(F.struct("k", "key"))["key"]).first()[0]
+    rows = facets.select(problems(a), personal(spark, d), facets.FacetQuery(), TODAY)
+    return facets.lookup(rows, hashlib.sha1(k.encode()).hexdigest()[:12]).select("key", "title")
+
+
+@query(WITH + " SELECT key, c1 || '|Brand#2|Brand#3' AS companies FROM snap_a")
+def first_companies(spark, d):
+    rows = problems(view(spark, d, "snap_a")).withColumn("companies", F.concat("companies", F.array(*map(F.lit, ["Brand#2", "Brand#3", "Brand#4"]))))
+    return facets.shown(rows).select("key", F.array_join("companies", "|").alias("companies"))
+
+
+def _sorted_page(sort: str, order: str):
+    def run(spark, d):
+        from pyspark.sql import Window
+
+        rows = _aged(spark, d).filter("state <> 'removed'")
+        got = facets.page(rows, sort, 10, 25)
+        return got.select("key", (F.row_number().over(Window.orderBy(*facets.sort_keys(sort))) + 10).alias("place"))
+
+    run.__name__ = f"page_by_{sort}"
+    seen = "CASE WHEN k % 9 <> 0 THEN CAST(k % 400 AS INT) ELSE 1000 END"
+    return query(WITH + f" SELECT key, CAST(row_number() OVER (ORDER BY {order.format(seen=seen)}, key) AS INT) AS place FROM snap_a WHERE state <> 'removed' QUALIFY place BETWEEN 11 AND 35")(run)
+
+
+_sorted_page("first_seen", "{seen}")
+_sorted_page("title", "lower(title)")
+_sorted_page("company", "c1")
 
 
 @query(WITH + ", x AS (SELECT c1 AS company, count(*) AS n FROM snap_a JOIN overlay USING (key) WHERE status = 'solved' GROUP BY ALL), t AS (SELECT * FROM x ORDER BY n DESC, company LIMIT 12) SELECT company, n, n / max(n) OVER () AS bar FROM t")
@@ -627,6 +721,208 @@ def overlay_upsert(spark, d):
     return facets.upsert(personal(spark, d), patches.unionByName(none)).select("id", "status", "difficulty")
 
 
+# what the others leave out ----------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS k, 'untitled:' || least(lower(c_mktsegment), 'mm co') || '+' || greatest(lower(c_mktsegment), 'mm co') || ':' || lower(c_name) || ' x' AS key FROM customer")
+def fallback_keys(spark, d):
+    title = F.concat(F.lit("  "), F.upper("c_name"), F.lit(" \t\n X "))
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("k"), X.fallback_key(title, F.array("c_mktsegment", F.lit("Mm Co"))).alias("key"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1073741824 ELSE date_diff('day', CAST(ts AS DATE), DATE '2024-02-20') END AS days, CASE WHEN event_id % 3 = 0 THEN '—' ELSE strftime(ts, '%b ') || day(ts) || ', ' || year(ts) END AS long,
+    CASE WHEN event_id % 3 = 0 THEN '—' WHEN year(ts) = 2023 THEN strftime(ts, '%b ') || day(ts) ELSE strftime(ts, '%b ''%y') END AS short FROM events"""
+)
+def dates_shown(spark, d):
+    day = F.when(F.col("event_id") % 3 != 0, F.to_date("ts"))
+    iso = F.when(F.col("event_id") % 3 != 0, F.date_format("ts", "yyyy-MM-dd")).when(F.col("event_id") % 2 == 0, "2024-02-31")
+    return read(spark, d, "events").select("event_id", X.days_since(iso, F.lit("2024-02-20").cast("date")).alias("days"), X.long_date(day).alias("long"), X.short_date(day, F.lit("2023-05-05").cast("date")).alias("short"))
+
+
+@query(WITH + """ SELECT k, 'https://www.google.com/search?q=%22' || replace(replace(title, ' ', '%20'), '#', '%23') || '%22%20' || CASE WHEN k % 3 = 0 THEN 'leetcode' ELSE 'interview%20question' END AS search FROM bank""")
+def search_url_coding(spark, d):
+    kind = F.when(F.col("k") % 6 == 0, "Coding").when(F.col("k") % 3 == 0, "SQL").otherwise("System design")
+    return view(spark, d, "bank").select("k", X.search_url(F.col("title"), F.array().cast("array<string>"), kind).alias("search"))
+
+
+@query(
+    WITH
+    + """, n AS (SELECT c1 AS source, k, 3 + row_number() OVER (PARTITION BY c1 ORDER BY k) AS line_no, format, c2 FROM bank),
+    skipped AS (SELECT source, line_no, source || ':' || line_no || ' expected 5 cells, got ' || CASE WHEN c2 IS NULL THEN 2 ELSE 1 END AS message FROM n WHERE k % 29 = 0),
+    odd AS (SELECT source, min(line_no) AS line_no, 'unknown format label ' || chr(39) || format || chr(39) || ' (kept verbatim)' AS message FROM n WHERE k % 29 <> 0 GROUP BY source, format)
+    SELECT * FROM skipped UNION ALL SELECT * FROM odd"""
+)
+def issue_messages(spark, d):
+    return tables.issues(*_parsed(spark, bank_documents(spark, d, cut=29))).select("source", "line_no", "message")
+
+
+_PAGES = [("a", "Hinted"), ("b", None), ("c", None)]
+
+
+@query(
+    WITH
+    + """ SELECT k, CASE WHEN k % 3 = 0 THEN 'Hinted' WHEN k % 3 = 2 THEN NULLIF(CASE WHEN k % 2 = 0 THEN format ELSE '' END, '')
+    ELSE CASE k % 4 WHEN 0 THEN 'Coding' WHEN 1 THEN 'System design' WHEN 2 THEN 'AI coding' END END AS format FROM bank"""
+)
+def format_sources(spark, d):
+    """The format from the source's hint (a), from the key's route (b), from a column that may be empty (c)."""
+    k = F.col("k")
+    route = F.element_at(F.array(*map(F.lit, ["problems", "system-design", "project-coding", "other"])), (k % 4).cast("int") + 1)
+    link = F.concat(F.lit("[t]("), F.lit("https://h.example/"), route, F.lit("/"), k.cast("string"), F.lit(")"))
+    label = F.when(k % 2 == 0, F.concat(F.lit("<b>"), "format", F.lit("</b>"))).otherwise(F.lit(""))
+    line = F.when(k % 3 == 2, F.concat(F.lit("| x | "), link, F.lit(" | "), label, F.lit(" | p | Jan 2, 2024 |"))).otherwise(F.concat(F.lit("| x | "), link, F.lit(" | p | Jan 2, 2024 |")))
+    head = F.when(k % 3 == 2, HEADER).otherwise("| Company | OA / Interview Question | Practice | Updated |")
+    rows = view(spark, d, "bank").select("k", F.concat(F.lit("abc"), F.lit("")).alias("_"), F.element_at(F.array(*map(F.lit, "abc")), (k % 3).cast("int") + 1).alias("source"), head.alias("head"), line.alias("line"))
+    docs = rows.groupBy("source").agg(F.max("head").alias("head"), F.array_sort(F.collect_list(F.struct("k", "line"))).alias("x"))
+    docs = docs.select("source", F.concat_ws("\n", "head", F.lit("|---|---|"), F.array_join("x.line", "\n")).alias("text"))
+    meta = spark.createDataFrame([(s, i, h) for i, (s, h) in enumerate(_PAGES)], "source string, source_ord int, format_hint string")
+    found, body = tables.find_tables(docs)
+    raw = tables.raw_rows(body, tables.question_tables(found, tables.registry(spark)), meta)
+    return raw.select(F.element_at(F.split("url", "/"), -1).cast("long").alias("k"), "format")
+
+
+@query(WITH + ", h AS (SELECT DISTINCT c1 AS source, k FROM bank) SELECT source, CASE WHEN max(k) % 2 = 0 THEN '| Nobody | knows |' ELSE '' END AS headers FROM h GROUP BY source")
+def unread_documents(spark, d):
+    b = view(spark, d, "bank").groupBy(F.col("c1").alias("source")).agg(F.max("k").alias("k"))
+    docs = b.select("source", F.when(F.col("k") % 2 == 0, "x\n| Nobody | knows |\n|---|---|\n| a | b |").otherwise("no table").alias("text"))
+    found, _ = tables.find_tables(docs)
+    return tables.unread_sources(docs, found, tables.registry(spark)).select("source", F.array_join("headers", ",").alias("headers"))
+
+
+@query(WITH + " SELECT c1 AS source, 1 AS line_no, 'header column count 5 does not match registered roles 4' AS message FROM bank GROUP BY c1")
+def odd_headers(spark, d):
+    docs = view(spark, d, "bank").groupBy(F.col("c1").alias("source")).agg(F.lit(HEADER + "\n|---|---|---|---|---|\n| a | [t](u) | f | p |").alias("text"))
+    headers = tables.registry(spark, {HEADER: ("company", "question", "practice", "updated")})
+    found, rows = tables.find_tables(docs)
+    chosen = tables.question_tables(found, headers)
+    meta = docs.select("source", F.lit(0).alias("source_ord"), F.lit(None).cast("string").alias("format_hint"))
+    return tables.issues(tables.raw_rows(rows, chosen, meta), chosen, meta).select("source", "line_no", "message")
+
+
+@query(WITH + " SELECT k, CASE WHEN k % 5 = 0 THEN '' WHEN k % 5 = 1 THEN c1 ELSE c1 || '|' || c1 || 'x' END AS companies FROM bank")
+def sentinel_cells(spark, d):
+    k = F.col("k")
+    cell = F.when(k % 10 == 0, " UNattributed ").when(k % 5 == 0, "Unknown  Company").when(k % 5 == 1, F.concat("c1", F.lit(" / unattributed"))).otherwise(F.concat(F.lower("c1"), F.lit("  / Unattributed / "), "c1", F.lit("x")))
+    names = view(spark, d, "bank").select(F.col("c1").alias("name")).distinct().withColumns({"ord": F.lit(0), "authoritative": F.lit(False)})
+    rows = view(spark, d, "bank").select("k", cell.alias("company_cell"))
+    return vocab.split_cells(rows, vocab.vocabulary(names)).select("k", F.array_join("companies", "|").alias("companies"))
+
+
+@query("SELECT p_partkey AS k, CAST(i AS INT) AS ord, p_name || '/' || i AS name FROM part, range(3) AS t(i) WHERE p_partkey % 4 <> 0")
+def json_vocabulary(spark, d):
+    n = F.col("p_name")
+    text = F.concat(F.lit('{"'), n, F.lit('/0": 1, "'), n, F.lit('/1": {"a": []}, "'), n, F.lit('/2": null}'))
+    docs = read(spark, d, "part").select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 8 == 0, "[1, 2]").when(F.col("p_partkey") % 4 == 0, "{not json").otherwise(text).alias("text"))
+    names = vocab.json_names(docs)
+    return docs.filter("k % 4 <> 0").select("k", F.posexplode(F.json_object_keys("text")).alias("ord", "name")).join(names.select("ord", "name").distinct(), ["ord", "name"], "left_semi").select("k", "ord", "name")
+
+
+@query("SELECT p_partkey AS source, CAST(i AS INT) AS ord, p_brand || ' ' || i AS name FROM part, range(11) AS t(i) WHERE p_partkey % 3 <> 2")
+def listed_vocabulary(spark, d):
+    k = F.col("p_partkey")
+    names = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.concat("p_brand", F.lit(" "), i.cast("string"))), ", "), F.lit("."))
+    far = F.array_repeat(F.lit("a, b"), 8)  # beyond the seven lines after the marker
+    lines = F.when(k % 3 == 0, F.array(F.lit("x"), F.lit("## full COMPANY list:"), F.lit(""), names)).when(k % 3 == 1, F.concat(F.array(F.lit("Full company list")), far, F.array(F.lit("Full company list"), names))).otherwise(F.concat(F.array(F.lit("Full company list")), far, F.array(names)))
+    rows = read(spark, d, "part").select(k.alias("source"), F.posexplode(lines).alias("line_no", "line"))
+    return vocab.listed_names(rows).select("source", "ord", "name")
+
+
+@query(_PLACED + " SELECT 's' || so AS source, count(*) FILTER (arrival > 1) AS merged_rows FROM o GROUP BY so")
+def merge_report(spark, d):
+    return normalize.merged_rows(normalize.with_ids(bank_rows(spark, d)))
+
+
+@query(
+    _PLACED
+    + """, c AS (SELECT id, place, unnest(list_filter([c1, c2], lambda x: x IS NOT NULL)) AS company, unnest(range(len(list_filter([c1, c2], lambda x: x IS NOT NULL)))) AS i FROM o),
+    f AS (SELECT id, company, min(place * 10 + i) AS first FROM c GROUP BY ALL), s AS (SELECT id, 's' || so AS source, min(place) AS first FROM o GROUP BY ALL)
+    SELECT * FROM (SELECT id, string_agg(company, '|' ORDER BY first) AS companies FROM f GROUP BY id) JOIN (SELECT id, string_agg(source, '|' ORDER BY first) AS sources FROM s GROUP BY id) USING (id)"""
+)
+def merge_order(spark, d):
+    m = normalize.merged(normalize.with_ids(bank_rows(spark, d)), TODAY)
+    return m.select("id", F.array_join("companies", "|").alias("companies"), F.array_join("sources", "|").alias("sources"))
+
+
+@query(DIFF + ", c AS (SELECT count(*) AS n FROM changes WHERE kind = 'added'), r AS (SELECT count(*) AS n FROM b) SELECT c.n >= r.n AS bootstrap FROM c, r")
+def bootstrap_day(spark, d):
+    x = the_diff(spark, d)
+    return snapshot.is_bootstrap(x.counts(), problems(view(spark, d, "snap_b")))
+
+
+@query(WITH + " SELECT string_agg(id, ',' ORDER BY id) AS sample FROM (SELECT substr(sha1(key), 1, 12) AS id FROM snap_b WHERE k % 37 = 0 ORDER BY id LIMIT 5)")
+def guard_sample(spark, d):
+    b = view(spark, d, "snap_b").withColumn("format", F.when(F.col("k") % 37 != 0, F.col("format")))
+    return guards.metrics(problems(view(spark, d, "snap_a")), problems(b)).select(F.array_join("sample", ",").alias("sample"))
+
+
+@query("""SELECT '{"k":' || n_nationkey || ',"name":"' || n_name || '","none":null}' AS kept, '{"k":' || n_nationkey || ',"name":"' || n_name || '"}' AS dropped FROM nation""")
+def json_records(spark, d):
+    from ..sources import sinks
+
+    rows = read(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("none"))
+    both = sinks.json_rows(rows).select(F.col("value").alias("kept")), sinks.json_rows(rows, nulls=False).select(F.col("value").alias("dropped"))
+    number = lambda df, c: df.withColumn("n", F.regexp_extract(c, r'"k":(\d+)', 1))
+    return number(both[0], "kept").join(number(both[1], "dropped"), "n").select("kept", "dropped")
+
+
+@query(
+    DIFF
+    + f""", l AS (SELECT c.kind, c.key, c.id, CASE c.kind WHEN 'removed' THEN c.title || ' — removed upstream' WHEN 'retitled' THEN s.old_title || ' → ' || s.title
+    WHEN 'recompanied' THEN c.title || ' — ' || replace(s.old_who, '|', ', ') || ' → ' || array_to_string(list_filter([s.c1, s.c2], lambda x: x IS NOT NULL), ', ')
+    WHEN 'relinked' THEN c.title || ' — ' || o.key || ' → ' || c.key
+    ELSE c.title || ' — ' || array_to_string(list_filter([b.c1, b.c2], lambda x: x IS NOT NULL), ', ') || ' · ' || b.format END AS line
+    FROM changes c LEFT JOIN stay s ON s.id = c.id LEFT JOIN relinks r ON r.new_id = c.id LEFT JOIN a o ON o.id = r.old_id LEFT JOIN b ON b.id = c.id),
+    p AS (SELECT *, CAST(list_position({list(KINDS)}, kind) AS INT) AS section, CAST(row_number() OVER (PARTITION BY kind ORDER BY key, id) AS INT) AS place FROM l),
+    n AS (SELECT kind, section, count(*) AS n FROM p GROUP BY ALL), amb AS (SELECT * FROM sigs WHERE n_new > 1 OR n_old > 1)
+    SELECT '{TODAY}' AS date, section, 0 AS place, '### ' || CASE kind WHEN 'recompanied' THEN 'Company changed' ELSE upper(kind[1]) || kind[2:] END || ' (' || n || ')' AS line FROM n
+    UNION ALL SELECT '{TODAY}', section, place, '- ' || line FROM p WHERE place <= 20
+    UNION ALL SELECT '{TODAY}', section, 21, '- …and ' || (n - 20) || ' more (see `data/changes/{TODAY}.json`)' FROM n WHERE n > 20
+    UNION ALL SELECT '{TODAY}', 6, 0, '### Needs confirmation (' || count(*) || ')' FROM amb HAVING count(*) > 0
+    UNION ALL SELECT '{TODAY}', 6, CAST(row_number() OVER (ORDER BY title, new_ids) AS INT), '- ' || title || ' — ' || n_new || ' added / ' || n_old || ' removed share one signature; not merged' FROM amb"""
+)
+def changelog_day(spark, d):
+    from ..sources import sinks
+
+    x = the_diff(spark, d)
+    return sinks.changelog_lines(x.changes, x.ambiguous, x.snapshot, TODAY, most=20)
+
+
+@query(f"WITH c AS ({_CATALOGUE}) SELECT count(*) AS size FROM c WHERE {_FULL} <> ''")
+def catalogue_entries(spark, d):
+    return match.catalogue_size(spark.sql(_CATALOGUE.replace("FROM part", "FROM {source}"), source=read(spark, d, "part")).withColumn("title", F.col("title")))
+
+
+@query(
+    f"""WITH c AS ({_CATALOGUE}), t AS (SELECT p_partkey AS k, CAST(p_partkey AS STRING) AS id, concat('The Number of ', p_name, ' ', CAST(p_partkey AS STRING)) AS title, CASE p_partkey % 4 WHEN 0 THEN 'Coding' WHEN 1 THEN 'SQL' WHEN 2 THEN 'System design' END AS format FROM part)
+    SELECT t.id, 'leetcode' AS site, slug FROM t JOIN c ON c.k = t.k WHERE t.k % 10 <> 0 AND t.k % 4 < 2"""
+)
+def origins_eligible(spark, d):
+    part = read(spark, d, "part")
+    c = spark.sql(_CATALOGUE.replace("FROM part", "FROM {source}"), source=part).withColumns({"url": F.lit("u"), "difficulty": F.lit("Easy"), "paid": F.lit(False)}).withColumn("url", F.col("slug"))
+    k = F.col("p_partkey")
+    t = part.select(k.cast("string").alias("id"), F.concat(F.lit("The Number of "), "p_name", F.lit(" "), k.cast("string")).alias("title"), F.when(k % 4 == 0, "Coding").when(k % 4 == 1, "SQL").when(k % 4 == 2, "System design").alias("format"))
+    return match.origins(t, c).select("id", "site", F.col("url").alias("slug"))
+
+
+_search("search_repeated", "the THE, with the", ["token = 'the'", "token = 'with'", "starts_with(token, 'the')"])
+
+
+@query(
+    WITH
+    + """, e AS (SELECT * FROM overlay WHERE k % 5 = 0), r AS (SELECT k, k // 5 AS g FROM snap_a WHERE k % 5 <> 0),
+    p AS (SELECT g, min(k) AS k FROM r WHERE g * 5 IN (SELECT k FROM e) GROUP BY g) SELECT p.k, p.g * 5 AS old FROM p"""
+)
+def alias_shared(spark, d):
+    """Rows of one group share the alias of the group's entry, behind one that nobody has: the first takes it."""
+    a = view(spark, d, "snap_a").filter("k % 5 <> 0")
+    name = lambda c: F.lpad(c.cast("string"), 9, "0")
+    rows = a.select(name(F.col("k")).alias("id"), name(F.col("k")).alias("key"), F.array(F.lit("none"), name(F.floor(F.col("k") / 5) * 5)).alias("aliases"))
+    mine = view(spark, d, "overlay").filter("k % 5 = 0").select(name(F.col("k")).alias("id"), F.lit("todo").alias("status"))
+    mine = mine.select(*((F.col(f.name) if f.name in mine.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in PERSONAL))
+    return facets.migrate(rows, mine).filter("migrated_from IS NOT NULL").select(F.col("id").cast("long").alias("k"), F.col("migrated_from").cast("long").alias("old"))
+
+
 def queries() -> dict[str, Callable]:
     return dict(_queries)
 

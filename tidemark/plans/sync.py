@@ -1,7 +1,10 @@
-"""The daily sync: documents -> snapshot -> diff -> artifacts, in one lineage with one barrier.
+"""The daily sync: documents -> snapshot -> diff -> artifacts, with one barrier before the first write.
 
-All of parse, merge and diff is lazy; the guards' counts are the only job before the first
-write. Inputs that must be right (previous snapshot, archive) are checked before it too.
+Parse and merge are lazy up to the guards' counts. Inputs that must be right (previous snapshot,
+archive) are checked before it too. What is derived from the previous snapshot is written to the
+shared folder before anything of the dataset changes, and the snapshot itself is replaced after
+all that follows from it: a sync that stops on the way, for a lost executor or driver, is made
+up for by the next one.
 """
 
 from __future__ import annotations
@@ -18,6 +21,10 @@ from ..schema import PROBLEM
 from ..sources import files, sinks
 
 
+#: Warnings of a kind that the metadata lists.
+MOST_WARNINGS = 1000
+
+
 class UnknownSchema(Exception):
     """A document has no table with a known header."""
 
@@ -72,32 +79,45 @@ def sync(spark: SparkSession, root: str, folder: str, today: str | None = None,
     if not force and meta and meta.get("version") == version:
         return Outcome(version, skipped=True)
     held: list[DataFrame] = []
+    made: list[str] = []
 
     def keep(df: DataFrame) -> DataFrame:
         held.append(df.persist())
         return df
 
     try:
-        return _sync(spark, root, folder, today, version, changelog, dry_run, keep)
+        return _sync(spark, root, folder, today, version, changelog, dry_run, keep, made)
     finally:  # after an abort too: a later sync must not see this one's documents
         for df in held:
             df.unpersist()
+        for path in made:
+            files.delete(spark, path)
+
+
+def _warnings(issues: DataFrame, conflicts: DataFrame) -> list[str]:
+    """Up to MOST_WARNINGS of each, in order, and how many more there are."""
+    out = []
+    said = F.concat_ws("", "key", F.lit(": "), "kind", F.lit(" '"), "kept", F.lit("' / '"), "other", F.lit("'"))
+    for df, by, what in ((issues, ("source", "line_no"), F.col("message")), (conflicts, ("key", "arrival"), said)):
+        found = [r[0] for r in df.orderBy(*by).select(what).limit(MOST_WARNINGS + 1).collect()]
+        out += found[:MOST_WARNINGS]
+        if len(found) > MOST_WARNINGS:
+            out.append(f"and {df.count() - MOST_WARNINGS} more")
+    return out
 
 
-def _sync(spark, root: str, folder: str, today: str, version: str, changelog: str | None, dry_run: bool, keep) -> Outcome:
+def _sync(spark, root: str, folder: str, today: str, version: str, changelog: str | None, dry_run: bool, keep, made: list[str]) -> Outcome:
     docs = keep(files.read_documents(spark, folder))
     data = build(spark, docs, today, keep)
-    current = keep(data.current)
+    current = files.kept(data.current, "current", made)
     previous = files.table_or_empty(spark, f"{root}/problems", PROBLEM)
     old_archive = files.table_or_empty(spark, f"{root}/archive", PROBLEM)
     warnings = guards.check(previous, current, data.left, data.right)
-    warnings += [r["message"] for r in data.issues.orderBy("source", "line_no").toLocalIterator()]
-    warnings += [f"{r['key']}: {r['kind']} {r['kept']!r} / {r['other']!r}" for r in data.conflicts.orderBy("key", "arrival").toLocalIterator()]
+    warnings += _warnings(data.issues, data.conflicts)
 
-    # the previous snapshot is about to be replaced: what is derived from it is kept first
+    # the previous snapshot is about to be replaced: what is derived from it is written first
     d = snapshot.diff(previous, current, today)
-    for df in (d.snapshot, d.changes, d.archived, d.ambiguous):
-        keep(df).count()
+    d = snapshot.Diff(*(files.kept(df, "diff", made) for df in (d.snapshot, d.changes, d.ambiguous, d.archived)))
     out = Outcome(version, warnings=warnings, counts={r["kind"]: r["n"] for r in d.counts().collect()})
     if dry_run:
         return out
@@ -107,18 +127,18 @@ def _sync(spark, root: str, folder: str, today: str, version: str, changelog: st
             out.written.append(name)
             out.changed |= counts
 
-    posted = keep(search.postings(d.snapshot))
-    archive = keep(snapshot.archive(old_archive, d.archived))
-    archive.count()
-    record("problems", sinks.write_table(d.snapshot, f"{root}/problems", sinks.VOLATILE, [F.col("key"), F.col("id")]))
-    record("postings", sinks.write_table(posted, f"{root}/postings", sort=[F.col("token"), F.col("id")]))
-    record("prefixes", sinks.write_table(search.prefixes(posted), f"{root}/prefixes", sort=[F.col("prefix"), F.col("token")]))
-    record("archive", sinks.write_table(archive, f"{root}/archive"))
+    posted = search.postings(d.snapshot)
+    archive = files.kept(snapshot.archive(old_archive, d.archived), "archive", made)
+    record("archive", sinks.write_table(archive, f"{root}/archive", sort=snapshot.archive_order()))
     if any(out.counts.values()) or not d.ambiguous.isEmpty():
-        record(f"changes/date={today}", sinks.write_table(d.changes, f"{root}/changes/date={today}"))
-        record(f"ambiguous/date={today}", sinks.write_table(d.ambiguous, f"{root}/ambiguous/date={today}"))
+        record(f"changes/date={today}", sinks.write_table(d.changes, f"{root}/changes/date={today}", sort=snapshot.change_order()))
+        record("changes/latest", sinks.write_table(d.changes, f"{root}/changes/latest", sort=snapshot.change_order()))
+        record(f"ambiguous/date={today}", sinks.write_table(d.ambiguous, f"{root}/ambiguous/date={today}", sort=[F.col("title"), F.col("added_ids")]))
         lines = sinks.changelog_lines(d.changes, d.ambiguous, d.snapshot, today)
         record("changelog", sinks.update_changelog(spark, changelog or f"{root}/CHANGELOG.md", today, lines))
+    record("postings", sinks.write_table(posted, f"{root}/postings", sort=[F.col("token"), F.col("id")]))
+    record("prefixes", sinks.write_table(search.prefixes(posted), f"{root}/prefixes", sort=[F.col("prefix"), F.col("token")]))
+    record("problems", sinks.write_table(d.snapshot, f"{root}/problems", sinks.VOLATILE, [F.col("key"), F.col("id")]))
     live, total = d.snapshot.agg(F.count_if(F.col("state") != "removed"), F.count("*")).first()
     digests = {r["source"]: r["d"] for r in docs.select("source", source_digest(F.col("text")).alias("d")).orderBy("source").collect()}
     now = datetime.datetime.now(datetime.UTC).replace(microsecond=0).isoformat()
@@ -127,11 +147,11 @@ def _sync(spark, root: str, folder: str, today: str, version: str, changelog: st
     return out
 
 
-def resolve_origins(spark: SparkSession, root: str, catalogue: str) -> tuple[int, bool]:
-    """Match the stored snapshot against a catalogue; how many rows have an origin, and if that's new."""
+def resolve_origins(spark: SparkSession, root: str, catalogue: str) -> tuple[int, int, bool]:
+    """Match the stored snapshot against a catalogue; how many rows have an origin, how many of these are paid, and if that's new."""
     rows = files.table_or_empty(spark, f"{root}/problems", PROBLEM)
     if rows.isEmpty():
         raise match.OriginError(f"{root} holds no snapshot")
     found = match.origins(rows, match.entries(files.read_catalogue(spark, catalogue))).persist()
-    n = found.count()
-    return n, sinks.write_table(found, f"{root}/origins", sort=[F.col("id")])
+    n, paid = match.totals(found).first()
+    return n, paid, sinks.write_table(found, f"{root}/origins", sort=[F.col("id")])

@@ -4,6 +4,8 @@ file systems, so that any store that Spark reads will do."""
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,10 +44,38 @@ def _fs(spark: SparkSession, path: str):
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there; one that an interrupted swap left aside is put back."""
     fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        _, old = _fs(spark, path + ".old")
+        if fs.exists(old):
+            fs.rename(old, p)
     return fs.exists(p)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def kept(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """df as a table of the shared folder: it stays whatever becomes of executors or of what it was read from.
+
+    The folder is that of spark.checkpoint.dir; a temporary one is set only where none is. The
+    table's path is added to made.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-kept-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if made is not None:
+        made.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file's whole text, None where there is none."""
     if not exists(spark, path):
@@ -58,26 +88,30 @@ def write_text(spark: SparkSession, path: str, text: str) -> bool:
     """Write through a temporary name, only if the text differs; whether it was written."""
     if read_text(spark, path) == text:
         return False
-    fs, p = _fs(spark, path)
-    _, tmp = _fs(spark, path + ".tmp")
+    fs, tmp = _fs(spark, path + ".tmp")
     out = fs.create(tmp, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    fs.delete(p, False)
-    fs.rename(tmp, p)
+    swap(spark, path + ".tmp", path)
     return True
 
 
 def swap(spark: SparkSession, staged: str, target: str) -> None:
-    """Put a staged folder in a target's place."""
+    """Put a staged file or folder in a target's place.
+
+    The old one is set aside until the new one is in its place: wherever this stops, :func:`exists`
+    finds one of the two.
+    """
+    there = exists(spark, target)
     fs, s = _fs(spark, staged)
     _, t = _fs(spark, target)
     _, old = _fs(spark, target + ".old")
-    fs.delete(old, True)
-    if fs.exists(t):
+    if there:
+        fs.delete(old, True)
         fs.rename(t, old)
     fs.mkdirs(t.getParent())
-    fs.rename(s, t)
+    if not fs.rename(s, t):
+        raise SourceError(f"{staged} can't be moved to {target}")
     fs.delete(old, True)
 
 
@@ -154,6 +188,35 @@ def read_meta(spark: SparkSession, path: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
+@dataclass
+class Bundle:
+    """What a reader of the dataset starts from; all but rows and postings may be empty."""
+
+    rows: DataFrame
+    postings: DataFrame
+    latest: DataFrame
+    origins: DataFrame
+    meta: dict | None
+
+
+def load_bundle(spark: SparkSession, root: str) -> Bundle:
+    """The dataset's artifacts: snapshot and postings must be there, the rest degrades to empty."""
+    from ..schema import CHANGE, ORIGIN, POSTING, PROBLEM
+
+    for name in ("problems", "postings"):
+        if not exists(spark, f"{root}/{name}"):
+            raise SourceError(f"{root} holds no {name}")
+
+    def optional(name: str, schema: T.StructType) -> DataFrame:
+        try:
+            return table_or_empty(spark, f"{root}/{name}", schema)
+        except Exception:  # whatever ails an optional artifact, the rest is of use without it
+            return spark.createDataFrame([], schema)
+
+    must = lambda name, schema: table_or_empty(spark, f"{root}/{name}", schema)
+    return Bundle(must("problems", PROBLEM), must("postings", POSTING), optional("changes/latest", CHANGE), optional("origins", ORIGIN), read_meta(spark, f"{root}/meta.json"))
+
+
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     from ..operators.match import OriginError
     from ..schema import CATALOGUE

@@ -14,7 +14,9 @@ from . import files
 VOLATILE = ("last_seen",)
 CHANGELOG_TITLE = "# Changelog"
 CHANGELOG_MOST = 50
-# Headings of the changelog.
+#: Ambiguous relinks that the changelog lists; all are in their table.
+AMBIGUOUS_MOST = 1000
+# Headings of the changelog, whose lines are a fixed output format too.
 HEADINGS = {"added": "Added", "removed": "Removed", "retitled": "Retitled", "relinked": "Relinked", "recompanied": "Company changed"}
 
 
@@ -56,6 +58,10 @@ def compact(doc: dict) -> str:
     return json.dumps(doc, ensure_ascii=False, separators=(",", ":")) + "\n"
 
 
+def indented(doc: dict) -> str:
+    return json.dumps(doc, ensure_ascii=False, indent=2) + "\n"
+
+
 def changelog_lines(changes: DataFrame, ambiguous: DataFrame, snapshot: DataFrame, date: str, most: int = CHANGELOG_MOST) -> DataFrame:
     """date, section, place, line of one day's entry."""
     from ..operators.snapshot import capped, described
@@ -71,7 +77,11 @@ def changelog_lines(changes: DataFrame, ambiguous: DataFrame, snapshot: DataFram
     many = ambiguous.agg(F.count("*").alias("n")).filter("n > 0").select(F.lit(n).alias("section"), F.lit(0).alias("place"), F.format_string("### Needs confirmation (%d)", "n").alias("line"))
     order = F.row_number().over(_by("title", "added_ids"))
     said = F.format_string("- %s — %d added / %d removed share one signature; not merged", "title", F.size("added_ids"), F.size("removed_ids"))
-    unsure = ambiguous.select(F.lit(n).alias("section"), order.alias("place"), said.alias("line"))
+    listed = ambiguous.orderBy("title", "added_ids").limit(AMBIGUOUS_MOST)
+    unsure = listed.select(F.lit(n).alias("section"), order.alias("place"), said.alias("line"))
+    more = ambiguous.agg(F.count("*").alias("n")).filter(F.col("n") > AMBIGUOUS_MOST)
+    more = more.select(F.lit(n).alias("section"), F.lit(AMBIGUOUS_MOST + 1).alias("place"), F.format_string("- …and %d more in the table of ambiguous relinks", F.col("n") - AMBIGUOUS_MOST).alias("line"))
+    unsure = unsure.unionByName(more)
     out = heads.unionByName(body).unionByName(rest).unionByName(many).unionByName(unsure)
     return out.select(F.lit(date).alias("date"), "section", "place", "line")
 
@@ -89,7 +99,7 @@ def update_changelog(spark: SparkSession, path: str, date: str, lines: DataFrame
     text = files.read_text(spark, path) or ""
     sections = dict(re.findall(r"(?ms)^## (\d{4}-\d{2}-\d{2})\n(.*?)(?=^## |\Z)", text))
     parts: dict[int, list[str]] = {}
-    for r in lines.orderBy("section", "place").collect():  # some 50 lines a kind
+    for r in lines.orderBy("section", "place").collect():  # 50 lines a kind and AMBIGUOUS_MOST at most
         parts.setdefault(r["section"], []).append(r["line"])
     sections[date] = "\n" + "\n\n".join("\n".join([p[0], "", *p[1:]]) for _, p in sorted(parts.items()))
     body = [f"## {d}\n{s.rstrip()}" for d, s in sorted(sections.items(), reverse=True)]

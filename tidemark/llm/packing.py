@@ -24,6 +24,7 @@ packed each for itself; null doc_ids stay null; an empty table gives no pieces.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -44,6 +45,16 @@ GIVEN_UP, UNSURE = 0.25, 0.5
 MAX_ROUNDS = 8
 
 _tokenizers: dict[str, tuple] = {}
+#: Bytes of characters from U+0300 on, where combining marks are, but for U+2000 to U+203F: dashes, quotes and the like.
+_MARKS = re.compile(rb"[\xcc-\xe1\xe3-\xff]|\xe2[^\x80]")
+
+
+def _is_plain(word: bytes) -> bool:
+    """Whether a word is of letters without marks that stay such in lower case: no mark can join what follows."""
+    if not word or _MARKS.search(word):
+        return False
+    text = word.decode()
+    return text.isalpha() and text.lower().isalpha()
 
 
 def default_tokenizer() -> str:
@@ -72,7 +83,7 @@ def encoder(path: str):
         whole, split = set(), []
         for c in chunks:
             word = c.rstrip(b".,!*%$&#?;:")
-            if len(word) < len(c) and word.isalpha():  # ASCII letters only: others may compose with what follows
+            if len(word) < len(c) and (word.isalpha() or _is_plain(word)):
                 split.append((c, word, c[len(word):]))
                 whole.update(split[-1][1:])
             else:
@@ -84,7 +95,7 @@ def encoder(path: str):
 
     def encode(text: str | None) -> bytes:
         raw = (text or "").encode("utf-8", "replace")
-        chunks = (raw.lower() if raw.isascii() else raw).split()  # T with a mark may compose otherwise than t with it
+        chunks = (raw if _MARKS.search(raw) else raw.lower()).split()  # T with a mark may compose otherwise than t with it
         if held[0] > CACHED_BYTES:
             cache.clear()
             held[0] = 0

@@ -82,8 +82,8 @@ class _Tags:
         """The place of the ``>`` that ends the tag whose name ends at ``at``; -1: none."""
         if self.next >= 0 and self.next < at:
             self.next = self.page.find(">", at)
-        if self.next < 0:
-            return -1
+        if self.next < 0 or self.page.find('"', at, self.next) < 0 and self.page.find("'", at, self.next) < 0:
+            return self.next
         seen, i = [], at
         while (m := _STOP.search(self.page, i)) and m[0] != ">" and m.start() not in self.dead:
             seen.append(m.start())
@@ -115,9 +115,11 @@ class _Open:
 
     def close(self, names, scope=frozenset()) -> None:
         """Close the innermost element of names and all within it, unless one of scope is nearer."""
-        last = lambda ns: max((self.places[n][-1] for n in ns if self.places.get(n)), default=-1)
-        at = last(names)
-        if at < 0 or at < last(scope):
+        at = -1
+        for n in names:
+            if (places := self.places.get(n)) and places[-1] > at:
+                at = places[-1]
+        if at < 0 or any(places[-1] > at for n in scope if (places := self.places.get(n))):
             return
         while len(self.stack) > at:
             name, slots = self.stack.pop()

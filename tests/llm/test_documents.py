@@ -630,15 +630,31 @@ def test_next_of_sparse_numbers(spark):
     assert got == dict(zip(n, [*n[1:], None], strict=True))
 
 
-def test_near_pairs(spark):
+@pytest.mark.parametrize("part", [spotsigs.PART, 3])
+def test_near_pairs(spark, odd, none, monkeypatch, part):
+    monkeypatch.setattr(spotsigs, "PART", part)
     rows = [(i, t.replace("io", "the"), "en", "s") for i, t in enumerate(texts(9, 30))]
     rows += [(100 + i, t + " extra", "en", "s") for i, t, _, _ in rows[:15]] + [(200, rows[0][1], "en", "s")]
-    sets = {}
-    for i, t, _, _ in sorted(rows):
-        sets.setdefault(frozenset(brute_signatures(t)), i)
-    want = {(a, b) for x, a in sets.items() for y, b in sets.items() if a < b and len(x & y) >= 0.6 * len(x | y)}
-    got = {(r["a"], r["b"]) for r in spotsigs.near_pairs(documents(spark, rows), 0.6).collect()}
-    assert got == want and want
+    rows += [(3, t + " the same passage", "en", "s") for i, t, _, _ in rows[:6]]  # one doc_id, several texts
+    rows += [(300 + i, "of boiler plate the " + " the ".join(f"w{i}{k} x{i}{k}" for k in range(9)), "en", "s") for i in range(12)]  # one signature in all
+    rows += [r for r in odd.rows if r[0] is None]
+    for threshold in (0.6, 0.8):
+        sets = {}
+        for i, t, _, _ in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or "")):
+            sets.setdefault(frozenset(brute_signatures(t)), i)
+        found = [(x, y) for x, y in itertools.combinations(sets, 2) if len(x & y) / len(x | y) >= threshold]
+        want = collections.Counter((*sorted((sets[x], sets[y])), round(len(x & y) / len(x | y), 9)) for x, y in found)
+        got = collections.Counter((r["a"], r["b"], round(r["likeness"], 9)) for r in spotsigs.near_pairs(documents(spark, rows).repartition(3), threshold).collect())
+        assert got == want and want
+    assert spotsigs.near_pairs(none).count() == 0
+
+
+@pytest.mark.parametrize("threshold, small, large", [(0.55, 55, 100), (0.1, 1, 10), (0.1, 100, 1000), (0.7, 70, 100)])
+def test_near_pairs_at_the_bound(spark, threshold, small, large):
+    """Sets whose likeness is the threshold itself, where products and logarithms are rounded."""
+    text = lambda n: " ".join(f"the a{k} b{k}" for k in range(n))
+    rows = [(1, text(large), "en", "s"), (2, text(small), "en", "s")]
+    assert [(r["a"], r["b"]) for r in spotsigs.near_pairs(documents(spark, rows), threshold).collect()] == [(1, 2)]
 
 
 # language model ---------------------------------------------------------------------------

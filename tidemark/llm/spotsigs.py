@@ -41,6 +41,10 @@ BUCKET = 64
 #: A bucket of more rows holds repeated doc_ids; its rows are dealt by ranges instead.
 FULL = 4096
 THRESHOLD = 0.8
+#: Sets that meet at one signature and size range in one part of the join's one side.
+PART = 1024
+#: Bounds that a product of doubles misses by its rounding are still met.
+SLACK = 1e-9
 
 
 def signatures(text: Column, chain: int = CHAIN, anchors: tuple[str, ...] = ANCHORS) -> Column:
@@ -78,7 +82,7 @@ def jaccard(a: Column, b: Column, floor: float = 0.0) -> Column:
     """Likeness of two sets; 0 by their sizes alone where it can't reach floor."""
     shared = F.size(F.array_intersect(a, b))
     whole = shared / (F.size(a) + F.size(b) - shared)
-    return whole if not floor else F.when(F.least(F.size(a), F.size(b)) < floor * F.greatest(F.size(a), F.size(b)), 0.0).otherwise(whole)
+    return whole if not floor else F.when(F.least(F.size(a), F.size(b)) < floor * F.greatest(F.size(a), F.size(b)) - SLACK, 0.0).otherwise(whole)
 
 
 def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
@@ -89,18 +93,34 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
 
 
 def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN) -> DataFrame:
-    """Representatives a < b of different fingerprints with likeness >= threshold, and likeness.
+    """Representatives a <= b of different fingerprints with likeness >= threshold, and likeness.
 
-    A fingerprint's representative is the smallest doc_id that has it.
+    A fingerprint's representative is the smallest doc_id that has it (a = b where that is one doc_id
+    with several texts); rows without doc_id take no part, repeated rows count once. Sets meet at their rarest signatures, by the number of sets that
+    have them, so one that many share is seldom among these; a meeting of many sets is dealt over
+    parts of about ``PART`` of one side each. Only ids and sizes are dealt; the sets are fetched for
+    pairs that pass by size.
     """
     sets = fingerprints(docs, chain).filter("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.first("signatures").alias("s"))
-    level = F.floor(F.log(F.size("s").cast("double")) / F.log(F.lit(1 / threshold))).cast("int")
-    needed = F.size("s") - F.ceil(F.size("s") * threshold).cast("int") + 1
-    entries = sets.select("id", "s", level.alias("level"), F.explode(F.slice("s", F.lit(1), needed)).alias("sig"))
-    left = entries.select(F.col("id").alias("a"), F.col("s").alias("sa"), "sig", F.explode(F.array("level", F.col("level") - 1, F.col("level") + 1)).alias("level"))
-    right = entries.select(F.col("id").alias("b"), F.col("s").alias("sb"), "sig", "level")
-    close = F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb"))
-    pairs = left.join(right, ["sig", "level"]).filter((F.col("a") < F.col("b")) & close).dropDuplicates(["a", "b"])
+    # two sets of one doc_id are told apart by their fingerprint's hash
+    sets = materialise(sets.select("id", F.xxhash64("fingerprint").alias("h"), "s"), "signature-sets")
+    every = sets.select("id", "h", F.size("s").alias("n"), F.explode("s").alias("sig"))
+    counts = materialise(every.groupBy("sig").agg(F.count("*").alias("df")), "signature-counts")
+    needed = F.col("n") - F.ceil(F.col("n") * threshold - SLACK).cast("int") + 1
+    rarest = every.join(counts, "sig").groupBy("id", "h", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("x"))
+    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + SLACK).cast("int")
+    entries = rarest.select("id", "h", "n", level.alias("level"), F.explode(F.slice("x", F.lit(1), needed)).alias("x"))
+    entries = materialise(entries.filter("x.df > 1").select("id", "h", "n", "level", F.col("x.sig").alias("sig")), "signature-index")
+    parts = materialise(entries.groupBy("sig", "level").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "signature-parts")
+
+    right = entries.join(parts, ["sig", "level"]).select("sig", "level", F.pmod(F.col("h"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("b"), F.col("h").alias("hb"), F.col("n").alias("nb"))
+    left = entries.withColumn("level", F.explode(F.array("level", F.col("level") - 1, F.col("level") + 1))).join(parts, ["sig", "level"])
+    left = left.select("sig", "level", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("a"), F.col("h").alias("ha"), F.col("n").alias("na"))
+    close = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - SLACK
+    pairs = left.join(right, ["sig", "level", "part"]).filter((F.struct("a", "ha") < F.struct(F.col("b").alias("a"), F.col("hb").alias("ha"))) & close)
+    pairs = pairs.select("a", "ha", "b", "hb").distinct()
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("h").alias(f"h{x}"), F.col("s").alias(f"s{x}"))
+    pairs = pairs.join(side("a"), ["a", "ha"]).join(side("b"), ["b", "hb"])
     return pairs.select("a", "b", jaccard(F.col("sa"), F.col("sb"), threshold).alias("likeness")).filter(F.col("likeness") >= threshold)
 
 

@@ -99,6 +99,21 @@ def test_repeated_rows_take_no_place(spark, monkeypatch, cell):
         assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
 
 
+@pytest.mark.parametrize("most", [16384, 3])
+def test_many_copies_of_one_vector(spark, monkeypatch, most):
+    """A third of all rows share a vector, and queries of one cell are dealt over several tasks."""
+    monkeypatch.setattr(ann, "ASKED", most)
+    monkeypatch.setattr(ann, "CELL", 64)
+    rng = np.random.default_rng(9)
+    hot, pair = ([float(x) for x in rng.normal(size=8)] for _ in range(2))
+    rows = [(i, hot if i % 3 == 0 else pair if i in (40, 80) else [float(x) for x in rng.normal(size=8)]) for i in range(240)]
+    want, got = brute(rows, range(0, 240, 10)), found(spark, rows)
+    assert set(got) == set(want) and all(len(v) == 5 and q not in v for q, v in got.items())
+    assert all(got[q] == want[q] for q in want if q % 3 == 0)
+    assert got[40][0] == 80 and got[80][0] == 40
+    assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
+
+
 def test_best_keeps_distinct_ids():
     rows = pd.DataFrame({"code": [1] * 8 + [2] * 8, "vec_id": [7] * 8 + [7] * 6 + [8, 9], "v": [[1.0, 0.1 * j] for j in range(14)] + [[1.0, 2.0], [1.0, 3.0]]})
     asked = pd.DataFrame({"query_id": [1], "v": [[1.0, 0.0]], "codes": [[1, 2]]})

@@ -13,8 +13,15 @@ cosine in a sample of at most ``SAMPLE`` vec_ids, a vector each: the true k-th n
 the chance is a lower estimate. What the buckets hold is compared exactly, tables are merged.
 
 Scale. Buckets are dealt over cells of about ``CELL`` index rows; a query goes once to each cell
-where it visits buckets, and a cell answers with its k best vec_ids. A bucket above ``CELL`` rows is split
-over several cells, whatever share of the rows it has. Only the sample is broadcast.
+where it visits buckets, and a cell answers with its best vec_ids. A bucket above ``CELL`` rows is split
+over several cells, whatever share of the rows it has, and more than ``ASKED`` queries of one cell
+are dealt over several tasks that hold its rows each. Only the sample is broadcast.
+
+Copies. Rows of one vector tie, and ties go to the smaller vec_id, so of these only the k + 1
+smallest vec_ids can be among the k nearest of a query (one may be its own): the index holds each
+vector with these, the rest by them. Queries of one vector have the same nearest but for their own
+vec_id: one asks for k + 1, and each takes the first k others. A vector that a third of all rows
+share is thus compared a few times, with the same result as if each of its rows were.
 
 A query that finds fewer than k of the other vec_ids is run again over all cells, exactly.
 
@@ -44,6 +51,7 @@ TABLES, FUNCTIONS, SLOT = 4, 8, 2.0
 SAMPLE = 4096
 SUCCESS = 0.95
 CELL = 8192
+ASKED = 1 << 14
 SEED = 11
 SALTS = 16
 #: Farther slots than this, from the middle, share the outermost number.
@@ -150,15 +158,13 @@ def _best(k: int):
                 continue
             for w in range(0, len(who), 512):
                 i = np.array(who[w : w + 512])
-                cos = np.round(q[i] @ v[a:b].T, 12)
-                cos[qid[i][:, None] == ids[None, a:b]] = -9
-                cos, at = _of_ids(cos, ids[a:b])
+                cos, at = _of_ids(np.round(q[i] @ v[a:b].T, 12), ids[a:b])
                 top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
                 found.append(np.stack([np.repeat(i, top.shape[1]), np.take_along_axis(at, top, 1).ravel() + a, np.take_along_axis(cos, top, 1).ravel()]))
         if not found:
             return empty
         qi, vi, cos = np.concatenate(found, axis=1)
-        qi, vi, cos = qi.astype(int)[cos > -2], vi.astype(int)[cos > -2], cos[cos > -2]
+        qi, vi = qi.astype(int), vi.astype(int)
         # a vec_id with vectors in several buckets counts once, by its nearest
         order = np.lexsort((-cos, ids[vi], qi))
         qi, vi, cos = qi[order], vi[order], cos[order]
@@ -173,6 +179,30 @@ def _best(k: int):
     return run
 
 
+def _index(clean: DataFrame, k: int) -> DataFrame:
+    """Each vector of clean(vec_id, v, h, dim) with its k + 1 smallest vec_ids."""
+    crowd = clean.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > k + 1).select("h", F.lit(True).alias("crowd"))
+    crowd = materialise(crowd, "ann-copies")
+    if crowd.isEmpty():
+        return clean
+    told = clean.join(crowd, "h", "left")
+    order = Window.partitionBy("v").orderBy("vec_id")
+    least = told.filter("crowd").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
+    return materialise(told.filter("crowd IS NULL").select(*clean.columns).unionByName(least.select(*clean.columns)), "ann-index")
+
+
+def _dealt(rows: DataFrame, asked: DataFrame, by: list[str], leads: int) -> tuple[DataFrame, DataFrame]:
+    """rows and asked with a column ``block``: groups of more than ASKED queries in several, the rows in each."""
+    if leads <= ASKED:
+        return rows.withColumn("block", F.lit(0)), asked.withColumn("block", F.lit(0))
+    asked = materialise(asked, "ann-asked")
+    crowded = asked.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > ASKED)
+    crowded = materialise(crowded.select(*by, F.ceil(F.col("n") / ASKED).cast("int").alias("blocks")), "ann-crowded")
+    own = F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit(7), "query_id"), F.col("blocks"))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+    return rows.join(crowded, by, "left").withColumn("block", every).drop("blocks"), asked.join(crowded, by, "left").withColumn("block", own).drop("blocks")
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = K, success: float = SUCCESS, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: k nearest of each query among all rows of vectors.
 
@@ -180,18 +210,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, success: float = SU
     """
     spark = vectors.sparkSession
     clean = vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("v")).filter(valid(F.col("v")) & F.col("vec_id").isNotNull())
-    clean = materialise(clean.distinct(), "ann-vectors")
+    clean = materialise(clean.distinct().withColumns({"h": F.xxhash64("v"), "dim": F.size("v")}), "ann-vectors")
     drawn = clean.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
     sample = clean.join(F.broadcast(drawn), "vec_id").groupBy("vec_id").agg(F.min("v").alias("v")).collect()
     empty = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return spark.createDataFrame([], empty)
-    clean = clean.withColumn("dim", F.size("v"))
     held: dict[int, list] = {}
     for r in sample:
         held.setdefault(len(r["v"]), []).append((r["vec_id"], np.array(r["v"])))
     shared = spark.sparkContext.broadcast({d: (np.array([i for i, _ in rs]), unit(np.stack([v for _, v in rs]))) for d, rs in held.items()})
-    n = clean.count()
+    kept = _index(clean, k)
+    n = kept.count()
     cells = max(1, -(-n // CELL))
     each = 1 - (1 - success) ** (1 / TABLES)
 
@@ -204,20 +234,25 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, success: float = SU
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = [np.zeros((0, 4), np.int64)]
-            for query, v in zip(pdf["vec_id"], pdf["v"], strict=True):
+            for query, alone, v in zip(pdf["query_id"], pdf["alone"], pdf["v"], strict=True):
                 u = unit(np.asarray(v, np.float64)[None])[0]
                 ids, x = shared.value.get(len(u), (np.zeros(0), np.zeros((0, len(u)))))
-                near = np.sort((x @ u)[ids != query])[::-1]
-                if len(near) < k:
+                near = np.sort((x @ u)[ids != query] if alone else x @ u)[::-1]
+                nth = k - 1 if alone else k  # another query of this vector may be in the sample itself
+                if len(near) <= nth:
                     continue  # too few to tell: the exact run takes this query
                 axes, shifts = directions(len(u))
                 for t in range(TABLES):
-                    codes = np.unique(code(np.array(probes(u @ axes[t], shifts[t], float(near[k - 1]), each))))
+                    codes = np.unique(code(np.array(probes(u @ axes[t], shifts[t], float(near[nth]), each))))
                     out.append(np.stack([np.full(len(codes), query), np.full(len(codes), len(u)), np.full(len(codes), t), codes], 1))
             yield pd.DataFrame(np.concatenate(out), columns=["query_id", "dim", "tab", "code"])
 
-    rows = clean.mapInPandas(index, "vec_id long, v array<double>, dim int, tab int, code long")
-    queries = clean.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    rows = kept.select("vec_id", "v", "dim").mapInPandas(index, "vec_id long, v array<double>, dim int, tab int, code long")
+    queries = materialise(clean.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-queries")
+    # one query of each vector asks for all of them
+    leads = materialise(queries.groupBy("v").agg(F.min("vec_id").alias("query_id"), (F.count("*") == 1).alias("alone")).withColumn("dim", F.size("v")), "ann-leads")
+    members = queries.join(leads.select("v", "dim", F.col("query_id").alias("lead")), "v").select("vec_id", "lead", "dim")
+    members, n_leads = materialise(members, "ann-members"), leads.count()
     # buckets larger than a cell are dealt over several
     hot = rows.groupBy("dim", "tab", "code").agg(F.count("*").alias("n")).filter(F.col("n") > CELL)
     parts = materialise(hot.select("dim", "tab", "code", F.ceil(F.col("n") / CELL).cast("int").alias("parts")), "ann-hot") if n > CELL else None
@@ -232,35 +267,41 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, success: float = SU
     else:
         rows = rows.select("dim", "tab", cell.alias("cell"), F.lit(0).alias("part"), "vec_id", "v", "code")
 
-    asked = queries.select("vec_id", "v").repartition(max(8, cells)).mapInPandas(ask, "query_id long, dim int, tab int, code long")
+    asked = leads.select("query_id", "alone", "v").repartition(max(8, cells)).mapInPandas(ask, "query_id long, dim int, tab int, code long")
     if hot:
         asked = asked.join(parts, ["dim", "tab", "code"], "left").withColumn("part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.col("parts")))))
     else:
         asked = asked.withColumn("part", F.lit(0))
     asked = asked.groupBy("query_id", "dim", "tab", cell.alias("cell"), "part").agg(F.collect_list("code").alias("codes"))
-    asked = asked.join(queries.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
-
-    schema = "query_id long, vec_id long, score double"
     by = ["dim", "tab", "cell", "part"]
-    found = rows.groupBy(*by).cogroup(asked.select(*by, "query_id", "v", "codes").groupBy(*by)).applyInPandas(_best(k), schema)
-    best = _merged(found, k)
+    rows, asked = _dealt(rows, asked, by, n_leads)
+    asked, by = asked.join(leads.select("query_id", "v"), "query_id"), [*by, "block"]
 
-    best = materialise(best, "ann")
+    schema = "query_id long, vec_id long, score double"
+    found = rows.groupBy(*by).cogroup(asked.select(*by, "query_id", "v", "codes").groupBy(*by)).applyInPandas(_best(k + 1), schema)
+    best = materialise(_merged(found, members, k), "ann")
     others = clean.groupBy("dim").agg((F.countDistinct("vec_id") - 1).alias("others"))
     got = best.groupBy("query_id").agg(F.count("*").alias("n")).withColumnRenamed("query_id", "vec_id")
     wanting = F.coalesce("n", F.lit(0)) < F.least(F.lit(k), "others")
-    short = materialise(queries.join(got, "vec_id", "left").join(others, "dim").filter(wanting).select("vec_id", "v", "dim"), "ann-short")
+    short = materialise(members.join(got, "vec_id", "left").join(others, "dim").filter(wanting).select("vec_id", "lead"), "ann-short")
     if not short.isEmpty():
-        whole = clean.withColumn("cell", F.pmod(F.xxhash64("vec_id", "v"), F.lit(cells)).cast("int")).withColumn("code", F.lit(0).cast("long"))
-        again = short.select(F.col("vec_id").alias("query_id"), "v", "dim", F.array(F.lit(-1).cast("long")).alias("codes"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
-        exact = whole.select("dim", "cell", "vec_id", "v", "code").groupBy("dim", "cell").cogroup(again.groupBy("dim", "cell")).applyInPandas(_best(k), schema)
-        best = best.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(_merged(exact, k))
+        whole = kept.select("dim", F.pmod(F.xxhash64("vec_id", "v"), F.lit(cells)).cast("int").alias("cell"), "vec_id", "v", F.lit(0).cast("long").alias("code"))
+        again = leads.join(short.select(F.col("lead").alias("query_id")).distinct(), "query_id", "left_semi").select("query_id", "dim")
+        again = again.select("*", F.array(F.lit(-1).cast("long")).alias("codes"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+        whole, again = _dealt(whole, again, ["dim", "cell"], n_leads)
+        again, by = again.join(leads.select("query_id", "v"), "query_id"), ["dim", "cell", "block"]
+        exact = whole.groupBy(*by).cogroup(again.select(*by, "query_id", "v", "codes").groupBy(*by)).applyInPandas(_best(k + 1), schema)
+        best = best.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(_merged(exact, short, k))
     return best
 
 
-def _merged(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def _merged(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """The k nearest others of each of members(vec_id, lead) by what their leads found."""
+    lead = Window.partitionBy("lead").orderBy(F.desc("score"), "vec_id")
+    each = found.groupBy(F.col("query_id").alias("lead"), "vec_id").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(lead)).filter(F.col("place") <= k + 1)
+    each = members.select(F.col("vec_id").alias("query_id"), "lead").join(each, "lead").filter("query_id <> vec_id")
+    order = Window.partitionBy("query_id").orderBy("place")
+    return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def digest(vectors: DataFrame) -> DataFrame:

@@ -361,6 +361,17 @@ def test_mixing_hits_the_target(spark):
     assert all(abs(taken[s] - goal[s]) <= 1 for s in goal)
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Rows of one doc_id and length share a hash; as many of them are taken as the quota says."""
+    rows = [(7, "w w", "en", "a")] * 301 + [(8, "w w", "en", "a")] * 40 + [(i, "w w w", "en", "b") for i in range(100, 400)]
+    got = mixing.digest(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for words, goal in {(r["source_size"], r["target"]) for r in got}:
+        assert abs(sum(r["taken"] for r in got if r["source_size"] == words) - goal) <= 3
+    assert len({r["times"] for r in got if r["doc_id"] == 7} | {r["times"] for r in got if r["doc_id"] == 8}) == 2
+    assert sorted(map(str, got)) == sorted(map(str, mixing.digest(documents(spark, rows[::-1]).repartition(7)).collect()))
+
+
 def test_fit_of_long_documents():
     sums = lambda lengths, counts, budget: max(x for x in map(sum, itertools.product(*([n * k for k in range(c + 1)] for n, c in zip(lengths, counts, strict=True)))) if x <= budget)
     rng = random.Random(6)

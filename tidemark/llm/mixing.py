@@ -9,10 +9,13 @@ an exact bounded-knapsack dynamic program over the last ``KNAPSACK`` words. Wher
 ``REACH`` words: a budget of up to ``REACH`` words is fitted exactly, whatever the lengths. Which documents of
 a length are taken is decided by a seeded hash of doc_id.
 
-Scale: the histogram is pre-aggregated before its shuffle and has a row per source, length and
-hash bucket. Ranking by hash needs only the one bucket in which a length's quota ends, so a
-length or source with a third of all rows is never sorted in one task; the join of documents
-with quotas is salted. The driver holds one row for each source.
+Scale: texts are read twice, once for lengths and hashes and once for the result, and whole rows
+are shuffled once. The histogram is pre-aggregated before its shuffle and has a row per source,
+length and hash bucket. Ranking by hash needs only the one bucket in which a length's quota ends,
+so a length or source with a third of all rows is never sorted in one task, and gives the hash up
+to which documents are taken; the join of documents with quotas is salted. Where rows of one
+doc_id and length share that last hash and only some are taken, these alone are numbered. The
+driver holds one row for each source.
 
 Defined results: null text has size 0; null source is a source of its own, last in order; words
 of a source of size 0 are 0; repeated rows count and are taken each for itself (rows of equal
@@ -155,7 +158,8 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, cap: int = MAX_REPEA
         F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string")).alias("h"),
     ).withColumn("bucket", F.shiftrightunsigned("h", 52).cast("int"))
 
-    hist = materialise(rows.groupBy("skey", "size", "bucket").agg(F.count("*").alias("n")), "mix-hist")
+    thin = materialise(rows.select("skey", "size", "h", "bucket"), "mix-thin")
+    hist = materialise(thin.groupBy("skey", "size", "bucket").agg(F.count("*").alias("n")), "mix-hist")
     sizes = {r["skey"]: r["words"] for r in hist.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()}
     goal = targets({None if k == "0" else k[1:]: v for k, v in sizes.items()}, weights, cap)
     plan = {k: (v, goal[None if k == "0" else k[1:]]) for k, v in sizes.items()}
@@ -179,17 +183,25 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, cap: int = MAX_REPEA
         .groupBy("skey", "size", "k", "base", "source_size", "target")
         .agg(F.max(F.when(F.col("before") < F.col("k"), F.struct("bucket", "before"))).alias("last"))
         .select("skey", "size", "base", "source_size", "target", F.coalesce("last.bucket", F.lit(-1)).alias("cut"), (F.col("k") - F.col("last.before")).alias("within"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    dealt = rows.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(cut, ["skey", "size", "salt"])
-    ranked = (
-        dealt.filter(F.col("bucket") == F.col("cut"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("skey", "size").orderBy("h")))
-        .withColumn("extra", (F.col("rank") <= F.col("within")).cast("int"))
-        .drop("rank")
-    )
-    rest = dealt.filter(F.col("bucket") != F.col("cut")).withColumn("extra", (F.col("bucket") < F.col("cut")).cast("int"))
-    return rest.unionByName(ranked).select("row", "size", "source_size", "target", (F.col("base") + F.col("extra")).alias("times"))
+    cut = materialise(cut, "mix-cut")
+    # the hash at which it ends there, how many rows have it, and how many of these are taken
+    there = thin.join(cut.filter("within IS NOT NULL").select("skey", "size", F.col("cut").alias("bucket"), "within"), ["skey", "size", "bucket"])
+    there = there.groupBy("skey", "size", "bucket", "within", "h").agg(F.count("*").alias("n"))
+    lower = Window.partitionBy("skey", "size", "bucket").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    there = there.withColumn("most", F.col("within") - F.coalesce(F.sum("n").over(lower), F.lit(0))).filter("most BETWEEN 1 AND n")
+    cut = materialise(cut.drop("within").join(there.select("skey", "size", F.col("h").alias("end"), "n", "most"), ["skey", "size"], "left"), "mix-ends")
+
+    salted = cut.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted, ["skey", "size", "salt"])
+    ended = (F.col("bucket") == F.col("cut")) & (F.col("h") <= F.col("end"))  # hashes of a bucket are of one sign
+    dealt = dealt.withColumn("extra", ((F.col("bucket") < F.col("cut")) | F.coalesce(ended, F.lit(False))).cast("int"))
+    if not cut.filter("most < n").isEmpty():
+        tied = F.coalesce((F.col("h") == F.col("end")) & (F.col("most") < F.col("n")), F.lit(False))
+        place = F.row_number().over(Window.partitionBy("skey", "size").orderBy("h"))
+        some = dealt.filter(tied).withColumn("place", place).withColumn("extra", (F.col("place") <= F.col("most")).cast("int")).drop("place")
+        dealt = dealt.filter(~tied).unionByName(some)
+    return dealt.select("row", "size", "source_size", "target", (F.col("base") + F.col("extra")).alias("times"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -39,7 +39,7 @@ from .common import materialise
 CAPACITY = 2048
 PARTITION = 20_000
 #: Bytes of words and their ids that a worker holds.
-CACHED_BYTES = 96 << 20
+CACHED_BYTES = 32 << 20
 #: Shares of the bins that certified partitions with gaps and others give up.
 GIVEN_UP, UNSURE = 0.25, 0.5
 MAX_ROUNDS = 8
@@ -116,6 +116,7 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
+        pa.default_memory_pool().release_unused()  # what earlier stages left in this worker
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):

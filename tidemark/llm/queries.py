@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, html_text, jaccard, langid, lm_score, mixing, packing, quality, spotsigs, url_filter
+from . import ann, html_text, jaccard, langid, lexical, lm_score, mixing, packing, quality, repeats, spotsigs, url_filter, vector_codes
 from .common import table
 
 
@@ -46,9 +46,26 @@ def op10_url_filters(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_repeats(spark, sf_dir):
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark, sf_dir):
+    return lexical.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_fingerprints": spotsigs.oracle(), "op10_url_filters": url_filter.oracle()}
+    return {
+        "op5_fingerprints": spotsigs.oracle(),
+        "op10_url_filters": url_filter.oracle(),
+        "op11_vector_codes": vector_codes.oracle(),
+        "op13_ranked_search": lexical.oracle(),
+    }

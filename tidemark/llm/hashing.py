@@ -46,6 +46,11 @@ def _powers_up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[n]
 
 
+def release() -> None:
+    """Give up the powers that this worker holds; they are made anew when needed."""
+    _powers.clear()
+
+
 def _hashed(raw: list[bytes]) -> list[np.ndarray]:
     buf = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
     up, down = _powers_up_to(len(buf))

@@ -34,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import hashing
 from .common import materialise
 
 CAPACITY = 2048
 PARTITION = 20_000
-#: Bytes of words and their ids that a worker holds.
-CACHED_BYTES = 96 << 20
+#: Bytes of words and their ids in a generation of a worker's cache.
+CACHED_BYTES = 16 << 20
 #: Shares of the bins that certified partitions with gaps and others give up.
 GIVEN_UP, UNSURE = 0.25, 0.5
 MAX_ROUNDS = 8
@@ -64,20 +65,31 @@ def default_tokenizer() -> str:
 
 
 def encoder(path: str):
-    """text -> ids as little-endian unsigned 32-bit bytes; words are cached in the worker."""
+    """text -> ids as little-endian unsigned 32-bit bytes.
+
+    Words are kept in two generations: a full young one becomes the old one, and a word found there
+    moves up, so common words stay and what is held never exceeds twice ``CACHED_BYTES``.
+    """
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        _tokenizers[path] = (tok, {}, [0])
-    tok, cache, held = _tokenizers[path]
+        _tokenizers[path] = (tok, {"young": {}, "old": {}, "held": 0})
+    tok, words = _tokenizers[path]
+
+    def put(word: bytes, ids: bytes) -> None:
+        words["young"][word] = ids
+        words["held"] += len(word) + len(ids) + 150
 
-    def encode_all(words: list[bytes]) -> None:
-        for w, e in zip(words, tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-            held[0] += len(w) + len(cache[w]) + 150
+    def recall(chunks: set[bytes]) -> set[bytes]:
+        """Those of chunks that no generation has; what the old one has moves up."""
+        missing = chunks.difference(words["young"])
+        for w in missing.intersection(words["old"]):
+            put(w, words["old"][w])
+            missing.discard(w)
+        return missing
 
     def learn(chunks: set[bytes]) -> None:
         whole, split = set(), []
@@ -88,20 +100,20 @@ def encoder(path: str):
                 whole.update(split[-1][1:])
             else:
                 whole.add(c)
-        encode_all(list(whole.difference(cache)))
+        new = list(recall(whole))
+        for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            put(w, np.array(e.ids, dtype="<u4").tobytes())
         for c, word, rest in split:
-            cache[c] = cache[word] + cache[rest]
-            held[0] += len(c) + len(cache[c]) + 150
+            put(c, words["young"][word] + words["young"][rest])
 
     def encode(text: str | None) -> bytes:
         raw = (text or "").encode("utf-8", "replace")
         chunks = (raw if _MARKS.search(raw) else raw.lower()).split()  # T with a mark may compose otherwise than t with it
-        if held[0] > CACHED_BYTES:
-            cache.clear()
-            held[0] = 0
-        if new := set(chunks).difference(cache):
+        if words["held"] > CACHED_BYTES:
+            words.update(young={}, old=words["young"], held=0)
+        if new := recall(set(chunks)):
             learn(new)
-        return b"".join(map(cache.__getitem__, chunks)) + b"\0\0\0\0"
+        return b"".join(map(words["young"].__getitem__, chunks)) + b"\0\0\0\0"
 
     return encode
 
@@ -116,7 +128,8 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        pa.default_memory_pool().release_unused()  # what earlier stages left in this worker
+        hashing.release()  # what earlier stages left in this worker
+        pa.default_memory_pool().release_unused()
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):

@@ -7,17 +7,17 @@ filters (ReLU) and each chunk is max-pooled; a text's features are the maximum a
 its chunks' maxima and the mean of its small chunks' maxima, combined by a logistic unit into
 one probability.
 
-Fitting. All labelled training rows give the base rate of label 1. The weights are learned from
-a sample bounded by ``sample`` rows of each label, chosen by a hash of doc_id before anything is
-collected, and ``sample_bytes`` of each row: of a longer text, ``SPANS`` seeded spans dealt over
-the whole of it. (Scoring reads every text whole.) The sample holds both labels alike; the
+Fitting. All labelled training documents that are there give the base rate of label 1. The weights
+are learned from a sample bounded by ``sample`` of them for each label, chosen by a hash of doc_id
+before anything is collected, and ``2 * sample * sample_bytes`` bytes in all, an equal share each: of
+a longer text, ``SPANS`` seeded spans dealt over the whole of it. (Scoring reads every text whole.) The sample holds both labels alike; the
 bias is then set back to the base rate. The seed is fixed, so refits agree. The model takes some
 30 kB.
 
 Defined results: null and empty texts are scored as one window of padding; without training
 rows, or with one label only, every score is the base rate (1 if unknown); repeated rows are
-scored each for itself, a doc_id labelled twice counts twice in the base rate; of a doc_id with
-several texts one is learned from.
+scored each for itself; a doc_id counts once for each label that it has, labels of documents that
+aren't there count for nothing; of a doc_id with several texts one is learned from.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, materialise
 
 EMBED, WIDTH, STRIDE, FILTERS, CHUNK, SMALL = 8, 8, 2, 24, 512, 16
 #: Windows that are multiplied at once.
@@ -159,18 +159,20 @@ def train(docs: DataFrame, labels: DataFrame, trains: Column, sample: int = SAMP
     """docs and labels with doc_id; trains: a condition on the column ``key`` (doc_id)."""
     d = docs.select(F.col("`doc_id`").alias("key"), F.col("`text`").cast("string").alias("text"))
     lab = labels.select(F.col("`doc_id`").alias("key"), F.col("`quality`").cast("int").alias("y")).filter("y in (0, 1) AND key IS NOT NULL").filter(trains)
-    per = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    # ids and labels of documents that are there, once each; every bound below is taken of these
+    there = materialise(d.select("key").join(lab.distinct(), "key").distinct().withColumn("h", F.xxhash64(F.lit(SEED), F.col("key").cast("string"))), "labelled")
+    per = {r["y"]: r["n"] for r in there.groupBy("y").agg(F.count("*").alias("n")).collect()}
     base = per.get(1, 0) / sum(per.values()) if per else 1.0
     if len(per) < 2:
         return {"constant": base}
-    h = F.xxhash64(F.lit(SEED), F.col("key").cast("string"))
-    # pairs of doc_id and label once each; the first of each label by hash: 4 * sample rows of two numbers are sent
-    few = lab.select("key", "y", h.alias("h")).distinct().withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy("h", "key"))).filter(F.col("place") <= 2 * sample)
-    few = d.sparkSession.createDataFrame(few.select("key", "y", "h").collect(), few.select("key", "y", "h").schema)
+    # the first of each label by hash: 2 * sample rows of two numbers are sent
+    few = there.withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy("h", "key"))).filter(F.col("place") <= sample)
+    few = d.sparkSession.createDataFrame(few.select("key", "y", "h").collect(), there.schema)
+    size = max(sample_bytes, 2 * sample * sample_bytes // sum(min(n, sample) for n in per.values()))  # fewer rows give longer excerpts
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [excerpt(t.as_py(), sample_bytes, seed) for t, seed in zip(b["text"], b["h"].to_pylist(), strict=True)]
+            raw = [excerpt(t.as_py(), size, seed) for t, seed in zip(b["text"], b["h"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b["y"], b["h"], pa.array(raw, pa.binary())], names=["y", "h", "raw"])
 
     rows = d.join(F.broadcast(few), "key").select("text", "y", "h").mapInArrow(cut, "y int, h long, raw binary")

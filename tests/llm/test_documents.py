@@ -173,6 +173,17 @@ def test_quality(spark, odd, none):
     assert {r["score"] for r in quality.digest(odd, labels.filter("quality = 1")).collect()} == {1.0}
 
 
+def test_quality_ignores_labels_of_absent_documents(spark):
+    rng = random.Random(9)
+    text = lambda good: " ".join(rng.choice(("clear", "plain", "sound") if good else ("BUY", "!!!", "zzz")) for _ in range(40))
+    docs = documents(spark, [(i, text(i % 2)) for i in range(120)])
+    own = [(i, i % 2) for i in range(120)]
+    absent = spark.range(1000, 60_000).selectExpr("id AS doc_id", "CAST(id % 7 = 0 AS INT) AS quality")
+    d, both = docs, spark.createDataFrame(own, "doc_id long, quality int")
+    alone, among = (quality.train(d, x, F.lit(True), sample=50) for x in (both, both.unionByName(absent)))
+    assert set(alone) == set(among) and "constant" not in among and all((alone[k] == among[k]).all() for k in alone)
+
+
 def test_quality_held_out(spark):
     rng = random.Random(0)
     t = texts(5, 400)
@@ -232,11 +243,16 @@ def test_ids_of_any_text():
 
 def test_word_cache_is_bounded_in_bytes(monkeypatch):
     monkeypatch.setattr(packing, "CACHED_BYTES", 50_000)
+    monkeypatch.setattr(packing, "_tokenizers", {})
     encode = packing.encoder(packing.default_tokenizer())
+    words = packing._tokenizers[packing.default_tokenizer()][1]
+    want = encode("common words, again")
     for i in range(300):
         encode(f"{i:x}" * 300)
-    _, cache, held = packing._tokenizers[packing.default_tokenizer()]
-    assert sum(len(k) + len(v) for k, v in cache.items()) <= held[0] < 60_000
+        assert encode("common words, again") == want and b"again" in words["young"]
+        for g in ("young", "old"):
+            assert sum(len(k) + len(v) for k, v in words[g].items()) < 60_000
+    assert words["old"] and 100 * 300 not in map(len, words["young"])
 
 
 def test_the_bound_decides_what_is_given_up():

@@ -176,11 +176,11 @@ def test_quality(spark, odd, none):
 def test_quality_ignores_labels_of_absent_documents(spark):
     rng = random.Random(9)
     text = lambda good: " ".join(rng.choice(("clear", "plain", "sound") if good else ("BUY", "!!!", "zzz")) for _ in range(40))
-    docs = documents(spark, [(i, text(i % 2)) for i in range(120)])
+    docs = spark.createDataFrame([(i, text(i % 2)) for i in range(120)], "doc_id long, text string")
     own = [(i, i % 2) for i in range(120)]
     absent = spark.range(1000, 60_000).selectExpr("id AS doc_id", "CAST(id % 7 = 0 AS INT) AS quality")
-    d, both = docs, spark.createDataFrame(own, "doc_id long, quality int")
-    alone, among = (quality.train(d, x, F.lit(True), sample=50) for x in (both, both.unionByName(absent)))
+    both = spark.createDataFrame(own, "doc_id long, quality int")
+    alone, among = (quality.train(docs, x, F.lit(True), sample=50) for x in (both, both.unionByName(absent)))
     assert set(alone) == set(among) and "constant" not in among and all((alone[k] == among[k]).all() for k in alone)
 
 

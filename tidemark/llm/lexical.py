@@ -62,19 +62,18 @@ def terms(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_SPLIT).split()
 
 
-def _shard(number: int, docs: list[tuple[int | None, int, Counter]]) -> pa.RecordBatch:
+def _shard(number: int, vocabulary: dict[bytes, int], docs: list[tuple[int | None, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of docs(doc_id, words, numbers of its terms in vocabulary, how often each)."""
     docs.sort(key=lambda d: (d[0] is None, d[0] or 0))
-    vocabulary: dict[bytes, int] = {}
-    held = np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for _, _, c in docs for t in c), np.int32)
-    tfs = np.fromiter((n for _, _, c in docs for n in c.values()), np.int32)
-    owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(c) for _, _, c in docs])
+    held, tfs = np.concatenate([d[2] for d in docs]), np.concatenate([d[3] for d in docs])
+    owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d[2]) for d in docs])
     order = np.argsort(held, kind="stable")
     ends = np.cumsum(np.bincount(held, minlength=len(vocabulary)))
     offsets = pa.array([0, *ends, len(held) + len(docs)], pa.int32())  # the last row is the shard's own: numbers, words and ids of its documents
     lists = lambda x, own: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[order], own]), pa.int32()))
-    rows, lengths = len(vocabulary) + 1, np.array([n for _, n, _ in docs], np.int64)
+    rows, lengths = len(vocabulary) + 1, np.array([d[1] for d in docs], np.int64)
     names = pa.array([*vocabulary, None], pa.binary()).cast(pa.string())
-    ids = pa.array([*[None] * len(vocabulary), [i for i, _, _ in docs]], pa.list_(pa.int64()))
+    ids = pa.array([*[None] * len(vocabulary), [d[0] for d in docs]], pa.list_(pa.int64()))
     n = pa.array(np.diff([0, *ends, ends[-1] + len(docs)]), pa.int32())
     words = pa.array([*[None] * len(vocabulary), int(lengths.sum())], pa.int64())
     columns = [pa.array(np.full(rows, number), pa.int64()), names, n, lists(owner, np.arange(len(docs))), lists(tfs, lengths), ids, words]
@@ -86,18 +85,20 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", shard: int =
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, postings = TaskContext.get().partitionId() << 32, [], 0
+        number, vocabulary, held, postings = TaskContext.get().partitionId() << 32, {}, [], 0
         for b in batches:
             for doc_id, raw in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
-                found = terms(raw.as_py())
+                found = Counter(terms(raw.as_py()))
                 if found:
-                    held.append((doc_id, len(found), Counter(found)))
-                    postings += len(held[-1][2])
+                    own = np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for t in found), np.int32, len(found))
+                    tfs = np.fromiter(found.values(), np.int32, len(found))
+                    held.append((doc_id, int(tfs.sum()), own, tfs))
+                    postings += len(own)
                 if postings >= shard or len(held) >= SHARD_DOCS:
-                    yield _shard(number, held)
-                    number, held, postings = number + 1, [], 0
+                    yield _shard(number, vocabulary, held)
+                    number, vocabulary, held, postings = number + 1, {}, [], 0
         if held:
-            yield _shard(number, held)
+            yield _shard(number, vocabulary, held)
 
     return materialise(rows.mapInArrow(run, _INDEX), "lexical-index")
 

@@ -18,17 +18,20 @@ def _tell_ci(**flags) -> None:
 def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="tidemark")
     sub = top.add_subparsers(dest="command", required=True)
-    s = sub.add_parser("sync", help="read a folder of documents and update the dataset")
+    s = sub.add_parser("sync", help="read the documents of one version and update the dataset")
     s.add_argument("--data", required=True)
-    s.add_argument("--offline", required=True, help="folder that holds the documents")
-    s.add_argument("--sha", default="offline")
+    where = s.add_mutually_exclusive_group(required=True)
+    where.add_argument("--offline", help="folder that holds the documents")
+    where.add_argument("--remote", help="url of a document, with {version} and {path}")
+    s.add_argument("--head", help="url of a JSON document whose sha is the newest version")
+    s.add_argument("--sha", help="the version, in place of the newest one")
     s.add_argument("--today")
     s.add_argument("--changelog")
     s.add_argument("--force", action="store_true")
     s.add_argument("--dry-run", action="store_true")
     o = sub.add_parser("origins", help="match the dataset against a catalogue")
     o.add_argument("--data", required=True)
-    o.add_argument("--catalog", required=True)
+    o.add_argument("--catalog", required=True, help="file or url of the catalogue")
     args = top.parse_args(argv)
 
     from .operators.guards import Abort
@@ -36,6 +39,7 @@ def main(argv: list[str] | None = None) -> int:
     from .plans.sync import UnknownSchema, resolve_origins, sync
     from .session import local_session
     from .sources.files import SourceError
+    from .sources.remote import Remote
 
     spark = local_session()
     try:
@@ -44,7 +48,8 @@ def main(argv: list[str] | None = None) -> int:
             _tell_ci(origins_changed=changed, origins_count=n)
             print(f"{n} origins ({paid} paid), {'written' if changed else 'unchanged'}")
             return 0
-        out = sync(spark, args.data, args.offline, args.today, args.sha, args.force, args.changelog, args.dry_run)
+        source = args.offline or Remote(args.remote, args.head)
+        out = sync(spark, args.data, source, args.today, args.sha, args.force, args.changelog, args.dry_run)
     except (Abort, OriginError, UnknownSchema, SourceError) as e:
         print(f"aborted: {e}", file=sys.stderr)
         return 1

@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.text import source_digest
 from ..operators import guards, match, normalize, search, snapshot, tables, vocab
 from ..schema import PROBLEM
-from ..sources import files, sinks
-
+from ..sources import files, remote, sinks
 
 #: Warnings of a kind that the metadata lists.
 MOST_WARNINGS = 1000
@@ -73,7 +72,12 @@ def build(spark: SparkSession, docs: DataFrame, today: str, keep=DataFrame.persi
     return Dataset(normalize.merged(ids, today), ids, odd, normalize.conflicts(ids), side("readme"), side("formats"))
 
 
-def sync(spark: SparkSession, root: str, folder: str, today: str | None = None, version: str = "offline", force: bool = False, changelog: str | None = None, dry_run: bool = False) -> Outcome:
+def sync(spark: SparkSession, root: str, source: str | remote.Remote, today: str | None = None, version: str | None = None, force: bool = False, changelog: str | None = None, dry_run: bool = False) -> Outcome:
+    """Update the dataset under root from a folder of documents or a remote source, pinned to one version.
+
+    Without a version a remote source's newest one is taken; where the dataset has it already, nothing is read.
+    """
+    version = version or (source.version() if isinstance(source, remote.Remote) else "offline")
     today = today or datetime.datetime.now(datetime.UTC).date().isoformat()
     meta = files.read_meta(spark, f"{root}/meta.json")
     if not force and meta and meta.get("version") == version:
@@ -86,7 +90,7 @@ def sync(spark: SparkSession, root: str, folder: str, today: str | None = None,
         return df
 
     try:
-        return _sync(spark, root, folder, today, version, changelog, dry_run, keep, made)
+        return _sync(spark, root, source, today, version, changelog, dry_run, keep, made)
     finally:  # after an abort too: a later sync must not see this one's documents
         for df in held:
             df.unpersist()
@@ -106,8 +110,8 @@ def _warnings(issues: DataFrame, conflicts: DataFrame) -> list[str]:
     return out
 
 
-def _sync(spark, root: str, folder: str, today: str, version: str, changelog: str | None, dry_run: bool, keep, made: list[str]) -> Outcome:
-    docs = keep(files.read_documents(spark, folder))
+def _sync(spark, root: str, source, today: str, version: str, changelog: str | None, dry_run: bool, keep, made: list[str]) -> Outcome:
+    docs = source.documents(spark, version, made=made) if isinstance(source, remote.Remote) else keep(files.read_documents(spark, source))
     data = build(spark, docs, today, keep)
     current = files.kept(data.current, "current", made)
     previous = files.table_or_empty(spark, f"{root}/problems", PROBLEM)

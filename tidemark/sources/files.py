@@ -218,10 +218,19 @@ def load_bundle(spark: SparkSession, root: str) -> Bundle:
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """The nested catalogue of a JSON file, or of a url."""
     from ..operators.match import OriginError
     from ..schema import CATALOGUE
+    from . import remote
 
-    found = spark.read.schema(CATALOGUE).json(path, multiLine=True)
+    if remote.is_remote(path):
+        try:
+            text = remote.fetch(spark, path, "", [path])
+        except SourceError as e:
+            raise OriginError(str(e)) from None
+        found = text.select(F.from_json("text", CATALOGUE).alias("c")).select("c.*")
+    else:
+        found = spark.read.schema(CATALOGUE).json(path, multiLine=True)
     n = found.agg(F.max(F.size("stat_status_pairs"))).first()[0]
     if not n or n < 1:
         raise OriginError(f"{path} has no list of entries")

@@ -8,7 +8,7 @@ import pytest
 from tidemark.operators.guards import Abort
 from tidemark.operators.match import OriginError
 from tidemark.plans.sync import UnknownSchema, resolve_origins, sync
-from tidemark.sources import files, sinks
+from tidemark.sources import dataset, files, sinks, store
 
 NOW = "| Company | OA / Interview Question | Format | Practice | Updated |\n|---|---|---|---|---|\n"
 PAGE = "| Company | OA / Interview Question | Practice | Updated |\n|---|---|---|---|\n"
@@ -40,7 +40,7 @@ def test_days(spark, tmp_path):
     write(docs, ROWS)
     out = sync(spark, root, docs, "2024-02-01", "version-1")
     assert out.counts["added"] == len(ROWS) and out.changed and not [w for w in out.warnings if "vocabulary" not in w and "expected" not in w]
-    got = {r["key"]: r for r in spark.read.parquet(f"{root}/problems").collect()}
+    got = {r["key"]: r for r in dataset.problems(spark, root).collect()}
     assert got["problems/join"]["companies"] == ["Acme", "Zomato / Eternal"] and got["system-design/cache"]["companies"] == [] and got["problems/join"]["format"] == "SQL"
     assert got["problems/join"]["sources"] == ["README.md", "formats/sql.md"]
     log = open(f"{root}/CHANGELOG.md", encoding="utf-8").read()
@@ -55,8 +55,9 @@ def test_days(spark, tmp_path):
     write(docs, moved)
     out = sync(spark, root, docs, "2024-02-03", "version-3")
     assert out.counts == {"added": 1, "removed": 1, "retitled": 1, "relinked": 1, "recompanied": 0}
-    assert spark.read.parquet(f"{root}/archive").count() == 2 and spark.read.parquet(f"{root}/problems").count() == 15
-    order = lambda name, *by: [tuple(r[c] or "" for c in by) for r in spark.read.parquet(f"{root}/{name}").collect()]
+    assert dataset.archive(spark, root).count() == 2 and dataset.problems(spark, root).count() == 15
+    order = lambda name, *by: [tuple(r[c] or "" for c in by) for r in (dataset.problems(spark, root) if name == "problems" else dataset.archive(spark, root) if name == "archive" else spark.read.parquet(f"{root}/{name}")).collect()]
+    assert {r["last_seen"] for r in dataset.problems(spark, root).filter("state <> 'removed'").collect()} == {"2024-02-03"}
     assert [k for k, *_ in order("changes/date=2024-02-03", "kind", "key", "id")] == ["added", "removed", "retitled", "relinked"] == [k for k, in order("changes/latest", "kind")]
     assert order("archive", "removed_on", "key") == sorted(order("archive", "removed_on", "key")) and order("problems", "key", "id") == sorted(order("problems", "key", "id"))
     assert not [x for x in os.listdir(root) if x.endswith((".old", ".tmp")) or "staged" in x]
@@ -99,13 +100,13 @@ def test_aborts_write_nothing(spark, tmp_path_factory, change, error):
     assert contents(f"{base}/data") == before
 
 
-@pytest.mark.parametrize("stop", ["problems"])
-def test_a_sync_that_stops_is_made_up_for(spark, tmp_path, monkeypatch, stop):
-    """The driver dies within a swap; cached blocks are lost between writes. The next sync ends in the same state."""
+@pytest.mark.parametrize("stop, day", [("problems/manifest.json", "2024-02-04"), ("prefixes/manifest.json", "2024-02-03")])
+def test_a_sync_that_stops_is_made_up_for(spark, tmp_path, monkeypatch, stop, day):
+    """The driver dies within a swap; cached blocks are lost between writes. The next sync, of that day or the next, ends in the same state."""
     root, docs = str(tmp_path / "data"), str(tmp_path / "docs")
     write(docs, ROWS)
     sync(spark, root, docs, "2024-02-01", "version-1")
-    write(docs, [("Acme", "Two Sum II", "problems/two-sum", "Coding"), *ROWS[1:-1], ("Acme", "New", "project-coding/new", "AI coding")])
+    write(docs, [("Acme", "Two Sum II", "problems/two-sum", "Coding"), *ROWS[1:-1], ("Acme", "Gone Again", "project-coding/again", "AI coding")])
     swap = files.swap
 
     def torn(spark, staged, target):
@@ -122,26 +123,39 @@ def test_a_sync_that_stops_is_made_up_for(spark, tmp_path, monkeypatch, stop):
     with pytest.raises(RuntimeError):
         sync(spark, root, docs, "2024-02-03", "version-2")
     monkeypatch.setattr(files, "swap", swap)
-    out = sync(spark, root, docs, "2024-02-03", "version-2")
+    assert dataset.archive(spark, root).count() == 0  # what the stopped sync archived isn't there yet
+    write(docs, [("Acme", "Two Sum II", "problems/two-sum", "Coding"), *ROWS[1:-1], ("Acme", "New", "project-coding/new", "AI coding")])
+    out = sync(spark, root, docs, day, "version-3")
     assert out.counts == {"added": 1, "removed": 1, "retitled": 1, "relinked": 0, "recompanied": 0}
-    assert [r["key"] for r in spark.read.parquet(f"{root}/archive").collect()] == ["project-coding/ai"]
-    assert spark.read.parquet(f"{root}/changes/date=2024-02-03").count() == 3 == spark.read.parquet(f"{root}/changes/latest").count()
-    assert spark.read.parquet(f"{root}/problems").count() == len(ROWS) + 1
+    assert [(r["key"], r["removed_on"]) for r in dataset.archive(spark, root).collect()] == [("project-coding/ai", day)]
+    assert spark.read.parquet(f"{root}/changes/date={day}").count() == 3 == spark.read.parquet(f"{root}/changes/latest").count()
+    assert dataset.problems(spark, root).count() == len(ROWS) + 1
     log = open(f"{root}/CHANGELOG.md", encoding="utf-8").read()
-    assert "## 2024-02-01" in log and log.count("## 2024-02-03") == 1
+    assert "## 2024-02-01" in log and log.count(f"## {day}") == 1
+    assert index_is_rebuilt(spark, root)
+
+
+def index_is_rebuilt(spark, root):
+    """Whether the stored index is the one that the whole snapshot would make."""
+    from tidemark.operators import search
+
+    posted = search.postings(dataset.problems(spark, root))
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+    return same(dataset.postings(spark, root), posted) and same(dataset.prefixes(spark, root), search.prefixes(posted))
 
 
 def test_bundle(spark, tmp_path):
     root, docs = str(tmp_path / "data"), str(tmp_path / "docs")
     with pytest.raises(files.SourceError):
-        files.load_bundle(spark, root)
+        dataset.bundle(spark, root)
     write(docs, ROWS)
     sync(spark, root, docs, "2024-02-01", "version-1")
-    b = files.load_bundle(spark, root)
+    b = dataset.bundle(spark, root)
     assert b.rows.count() == len(ROWS) == b.latest.count() and b.origins.count() == 0 and b.meta["version"] == "version-1" and b.postings.count() > 0
+    assert store.manifest(spark, f"{root}/problems").number == 1 == store.manifest(spark, f"{root}/postings").notes["of"]
     files.write_text(spark, f"{root}/meta.json", "{")
     os.rename(f"{root}/changes", f"{root}/gone")
-    b = files.load_bundle(spark, root)
+    b = dataset.bundle(spark, root)
     assert b.meta is None and b.latest.count() == 0
 
 

@@ -16,9 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import source_digest
-from ..operators import guards, match, normalize, search, snapshot, tables, vocab
-from ..schema import PROBLEM
-from ..sources import files, remote, sinks
+from ..operators import guards, match, normalize, snapshot, tables, vocab
+from ..sources import dataset, files, remote, sinks
 
 #: Warnings of a kind that the metadata lists.
 MOST_WARNINGS = 1000
@@ -114,8 +113,7 @@ def _sync(spark, root: str, source, today: str, version: str, changelog: str | N
     docs = source.documents(spark, version, made=made) if isinstance(source, remote.Remote) else keep(files.read_documents(spark, source))
     data = build(spark, docs, today, keep)
     current = files.kept(data.current, "current", made)
-    previous = files.table_or_empty(spark, f"{root}/problems", PROBLEM)
-    old_archive = files.table_or_empty(spark, f"{root}/archive", PROBLEM)
+    previous, next_ = dataset.problems(spark, root), dataset.number(spark, root) + 1
     warnings = guards.check(previous, current, data.left, data.right)
     warnings += _warnings(data.issues, data.conflicts)
 
@@ -131,18 +129,19 @@ def _sync(spark, root: str, source, today: str, version: str, changelog: str | N
             out.written.append(name)
             out.changed |= counts
 
-    posted = search.postings(d.snapshot)
-    archive = files.kept(snapshot.archive(old_archive, d.archived), "archive", made)
-    record("archive", sinks.write_table(archive, f"{root}/archive", sort=snapshot.archive_order()))
+    plan = dataset.compare_problems(d.snapshot, root)
+    record("archive", dataset.append_archive(d.archived, root, today, next_))
     if any(out.counts.values()) or not d.ambiguous.isEmpty():
         record(f"changes/date={today}", sinks.write_table(d.changes, f"{root}/changes/date={today}", sort=snapshot.change_order()))
         record("changes/latest", sinks.write_table(d.changes, f"{root}/changes/latest", sort=snapshot.change_order()))
         record(f"ambiguous/date={today}", sinks.write_table(d.ambiguous, f"{root}/ambiguous/date={today}", sort=[F.col("title"), F.col("added_ids")]))
         lines = sinks.changelog_lines(d.changes, d.ambiguous, d.snapshot, today)
         record("changelog", sinks.update_changelog(spark, changelog or f"{root}/CHANGELOG.md", today, lines))
-    record("postings", sinks.write_table(posted, f"{root}/postings", sort=[F.col("token"), F.col("id")]))
-    record("prefixes", sinks.write_table(search.prefixes(posted), f"{root}/prefixes", sort=[F.col("prefix"), F.col("token")]))
-    record("problems", sinks.write_table(d.snapshot, f"{root}/problems", sinks.VOLATILE, [F.col("key"), F.col("id")]))
+    # the index names the snapshot that it's of: the next one, if there is to be one
+    posted, prefixed = dataset.update_index(spark, root, previous, d.snapshot, d.changes, next_ if plan else next_ - 1)
+    record("postings", bool(posted.replaced or posted.dropped))
+    record("prefixes", bool(prefixed.replaced or prefixed.dropped))
+    record("problems", bool(plan) and bool(plan.write(seen=today)))
     live, total = d.snapshot.agg(F.count_if(F.col("state") != "removed"), F.count("*")).first()
     digests = {r["source"]: r["d"] for r in docs.select("source", source_digest(F.col("text")).alias("d")).orderBy("source").collect()}
     now = datetime.datetime.now(datetime.UTC).replace(microsecond=0).isoformat()
@@ -153,9 +152,14 @@ def _sync(spark, root: str, source, today: str, version: str, changelog: str | N
 
 def resolve_origins(spark: SparkSession, root: str, catalogue: str) -> tuple[int, int, bool]:
     """Match the stored snapshot against a catalogue; how many rows have an origin, how many of these are paid, and if that's new."""
-    rows = files.table_or_empty(spark, f"{root}/problems", PROBLEM)
+    rows = dataset.problems(spark, root)
     if rows.isEmpty():
         raise match.OriginError(f"{root} holds no snapshot")
-    found = match.origins(rows, match.entries(files.read_catalogue(spark, catalogue))).persist()
-    n, paid = match.totals(found).first()
-    return n, paid, sinks.write_table(found, f"{root}/origins", sort=[F.col("id")])
+    made: list[str] = []
+    try:
+        found = files.kept(match.origins(rows, match.entries(files.read_catalogue(spark, catalogue))), "origins", made)
+        n, paid = match.totals(found).first()
+        return n, paid, sinks.write_table(found, f"{root}/origins", sort=[F.col("id")])
+    finally:
+        for path in made:
+            files.delete(spark, path)

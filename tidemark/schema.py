@@ -51,6 +51,7 @@ PROBLEM = _struct(
 PERSONAL = _struct("id:string status:string difficulty:int notes:string solution_url:string tags:strings updated_at:string migrated_from:string")
 ORIGIN = _struct("id:string site:string url:string title:string difficulty:string paid:boolean")
 POSTING = _struct("id:string token:string")
+PREFIX = _struct("prefix:string token:string")
 _STATE = _struct("title:string companies:strings url:string key:string")
 CHANGE = T.StructType([*_struct("kind:string id:string key:string title:string").fields, T.StructField("before", _STATE), T.StructField("after", _STATE), *_struct("previous_id:string previous_key:string").fields])
 _ENTRY = T.StructType(

@@ -80,8 +80,12 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file's whole text, None where there is none."""
     if not exists(spark, path):
         return None
-    row = spark.read.text(path, wholetext=True).first()
-    return row[0] if row else ""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> bool:
@@ -199,24 +203,6 @@ class Bundle:
     meta: dict | None
 
 
-def load_bundle(spark: SparkSession, root: str) -> Bundle:
-    """The dataset's artifacts: snapshot and postings must be there, the rest degrades to empty."""
-    from ..schema import CHANGE, ORIGIN, POSTING, PROBLEM
-
-    for name in ("problems", "postings"):
-        if not exists(spark, f"{root}/{name}"):
-            raise SourceError(f"{root} holds no {name}")
-
-    def optional(name: str, schema: T.StructType) -> DataFrame:
-        try:
-            return table_or_empty(spark, f"{root}/{name}", schema)
-        except Exception:  # whatever ails an optional artifact, the rest is of use without it
-            return spark.createDataFrame([], schema)
-
-    must = lambda name, schema: table_or_empty(spark, f"{root}/{name}", schema)
-    return Bundle(must("problems", PROBLEM), must("postings", POSTING), optional("changes/latest", CHANGE), optional("origins", ORIGIN), read_meta(spark, f"{root}/meta.json"))
-
-
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """The nested catalogue of a JSON file, or of a url."""
     from ..operators.match import OriginError

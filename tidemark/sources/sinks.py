@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..schema import KINDS
 from . import files
 
-VOLATILE = ("last_seen",)
 CHANGELOG_TITLE = "# Changelog"
 CHANGELOG_MOST = 50
 #: Ambiguous relinks that the changelog lists; all are in their table.

@@ -65,21 +65,56 @@ def select(rows: DataFrame, personal: DataFrame, f: FacetQuery, today: str, post
     return with_overlay(rows, personal).filter(predicate(f, today))
 
 
+def _sort_value(sort: str) -> tuple[Column, bool]:
+    """What rows are sorted by before (key, id), and whether descending."""
+    return {
+        "updated": (F.coalesce("upstream_updated", F.lit("")), True),
+        "first_seen": (F.coalesce("first_seen", F.lit("")), True),
+        "title": (F.collate(F.col("title"), "UNICODE"), False),
+        "company": (F.collate(F.coalesce(F.get("companies", F.lit(0)), F.lit("~")), "UNICODE"), False),
+    }[sort]
+
+
 def sort_keys(sort: str) -> list[Column]:
     """Orders of the list; ties stay in dataset order, (key, id)."""
-    first = {
-        "updated": F.desc(F.coalesce("upstream_updated", F.lit(""))),
-        "first_seen": F.desc(F.coalesce("first_seen", F.lit(""))),
-        "title": F.collate(F.col("title"), "UNICODE").asc(),
-        "company": F.collate(F.coalesce(F.get("companies", F.lit(0)), F.lit("~")), "UNICODE").asc(),
-    }[sort]
-    return [first, F.asc("key"), F.asc("id")]
+    value, falling = _sort_value(sort)
+    return [value.desc() if falling else value.asc(), F.asc("key"), F.asc("id")]
 
 
 def page(rows: DataFrame, sort: str, offset: int, limit: int) -> DataFrame:
+    """A page by its number of rows before it; all of these go through one task, so deep pages are for :func:`page_after`."""
     return rows.orderBy(*sort_keys(sort)).offset(offset).limit(limit)
 
 
+@dataclass(frozen=True)
+class Place:
+    """Where a row stands in a sort order: what a page ends with, and the next one begins after."""
+
+    value: str | None
+    key: str
+    id: str
+
+
+def place_of(row, sort: str) -> Place:
+    """The place of a row of a page, as collected."""
+    value = {"updated": lambda: row["upstream_updated"] or "", "first_seen": lambda: row["first_seen"] or "", "title": lambda: row["title"], "company": lambda: next(iter(row["companies"] or ()), None) or "~"}[sort]()
+    return Place(value, row["key"], row["id"])
+
+
+def page_after(rows: DataFrame, sort: str, place: Place | None, limit: int) -> DataFrame:
+    """The ``limit`` rows behind a place, the first ones without one.
+
+    Rows at or before the place are filtered where they're read; of the rest each task keeps its
+    first ``limit``, however deep the page is.
+    """
+    if place is not None:
+        value, falling = _sort_value(sort)
+        at = F.lit(place.value) if falling else F.collate(F.lit(place.value), "UNICODE")
+        behind = value < at if falling else value > at
+        rows = rows.filter(behind | (value == at) & ((F.col("key") > place.key) | (F.col("key") == place.key) & (F.col("id") > place.id)))
+    return rows.orderBy(*sort_keys(sort)).limit(limit)
+
+
 def company_counts(rows: DataFrame) -> DataFrame:
     return rows.filter("state <> 'removed'").select(F.explode("companies").alias("company")).groupBy("company").agg(F.count("*").alias("n"))
 

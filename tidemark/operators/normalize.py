@@ -1,9 +1,15 @@
-"""Raw rows -> one record for each id, by a windowed form of the newest-wins merge.
+"""Raw rows -> one record for each id, by a grouped form of the newest-wins merge.
 
 Arrival order is (source_ord, line_no). A row that is strictly newer than all before it takes
 over the record's fields; otherwise the first stays. So with the strict prefix maxima latest
 first and the other rows in order behind them, fields come from the first row, the format from
 the first that has one, companies and sources in order of appearance.
+
+Nothing of that needs an id's rows together. The first row is that of the greatest date, the
+earliest of them. A row leads if it's the first of its date and no greater date came before it, so
+the dates' first arrivals tell all leaders; of a company, source or format only the first arrival
+on each date counts. Rows are reduced to these before any shuffle by id, and an id that a third of
+all rows share leaves as many values as it has, not as many as it has rows.
 """
 
 from __future__ import annotations
@@ -28,20 +34,38 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"arrival": F.row_number().over(order), "leads": seen.isNull() | (date > seen)})
 
 
+def _ranked_values(rows: DataFrame) -> DataFrame:
+    """id, kind ("company", "source" or "format"), value, rank: the least place of each value in the order that values are taken in."""
+    arrival = F.struct(F.col("source_ord").cast("long").alias("s"), F.col("line_no").cast("long").alias("l"))
+    value = lambda kind, v, i: F.struct(F.lit(kind).alias("kind"), v.alias("value"), i.cast("int").alias("i"))
+    own = F.concat(
+        F.array(value("source", F.col("source"), F.lit(0))),
+        F.filter(F.array(value("format", F.col("format"), F.lit(0))), lambda x: F.coalesce(x["value"], F.lit("")) != ""),
+        F.coalesce(F.transform("companies", lambda c, i: value("company", c, i)), F.array().cast("array<struct<kind:string,value:string,i:int>>")),
+    )
+    each = rows.select("id", F.coalesce("updated", F.lit("")).alias("date"), arrival.alias("at"), F.explode(own).alias("v"))
+    firsts = each.groupBy("id", "date", "v.kind", "v.value").agg(F.min(F.struct("at", "v.i")).alias("first"))
+    # every row has a source, so sources tell a date's first arrival
+    of_date = F.min(F.when(F.col("kind") == "source", F.col("first.at"))).over(Window.partitionBy("id", "date"))
+    ahead = F.min("came").over(Window.partitionBy("id").orderBy(F.desc("date")))  # of this date and later ones
+    firsts = firsts.withColumn("came", of_date).withColumn("leads", (F.col("came") == ahead) & (F.col("first.at") == F.col("came")))
+    sign = F.when(F.col("leads"), -1).otherwise(1)
+    rank = F.struct((~F.col("leads")).alias("late"), (sign * F.col("first.at.s")).alias("s"), (sign * F.col("first.at.l")).alias("l"), F.col("first.i").alias("i"))
+    return firsts.groupBy("id", "kind", "value").agg(F.min(rank).alias("rank"))
+
+
 def merged(rows: DataFrame, today: str) -> DataFrame:
     """Records of rows(id, key, title, url, companies, format, updated, source, source_ord, line_no)."""
-    p = _placed(rows)
-    rank = F.struct((~F.col("leads")).alias("late"), F.when(F.col("leads"), -F.col("arrival")).otherwise(F.col("arrival")).alias("place"))
-    one = F.struct(rank.alias("rank"), "key", "title", "url", "companies", "format", "updated", "source")
-    groups = p.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    first = F.get("all", F.lit(0))
-    return groups.select(
-        "id", first["key"].alias("key"), F.coalesce(first["title"], F.lit("")).alias("title"), first["url"].alias("url"),
-        F.array_distinct(F.flatten(F.col("all.companies"))).alias("companies"),
-        F.get(F.filter(F.col("all.format"), lambda f: f.isNotNull() & (f != "")), F.lit(0)).alias("format"),
-        first["updated"].alias("upstream_updated"), F.lit(today).alias("first_seen"), F.lit(today).alias("last_seen"), F.lit("active").alias("state"),
-        F.lit(None).cast("string").alias("removed_on"), F.array().cast("array<string>").alias("aliases"), F.array_distinct(F.col("all.source")).alias("sources"),
-        (F.size("all") - 1).alias("merged_rows"),
+    fields = F.struct("key", F.coalesce("title", F.lit("")).alias("title"), "url", F.col("updated").alias("upstream_updated"))
+    newest = F.struct(F.coalesce("updated", F.lit("")), -F.col("source_ord").cast("long"), -F.col("line_no").cast("long"))
+    heads = rows.groupBy("id").agg(F.max_by(fields, newest).alias("f"), (F.count("*") - 1).cast("int").alias("merged_rows"))
+    of = lambda kind: F.when(F.col("kind") == kind, F.struct("rank", "value"))
+    in_order = lambda kind: F.array_sort(F.collect_list(of(kind)))["value"]  # noqa: E731 (distinct values)
+    lists = _ranked_values(rows).groupBy("id").agg(in_order("company").alias("companies"), F.min(of("format"))["value"].alias("format"), in_order("source").alias("sources"))
+    return heads.join(lists, "id").select(
+        "id", "f.key", "f.title", "f.url", "companies", "format", "f.upstream_updated",
+        F.lit(today).alias("first_seen"), F.lit(today).alias("last_seen"), F.lit("active").alias("state"),
+        F.lit(None).cast("string").alias("removed_on"), F.array().cast("array<string>").alias("aliases"), "sources", "merged_rows",
     )
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..schema import MIN_PREFIX
 
+#: Ids in a list of a token's part.
+LIST = 100_000
+
 
 def postings(rows: DataFrame, *texts: Column) -> DataFrame:
     """token, id: each once, of rows with an id each. texts default to title and companies."""
@@ -16,10 +19,21 @@ def postings(rows: DataFrame, *texts: Column) -> DataFrame:
 
 
 def token_index(posted: DataFrame) -> DataFrame:
-    """token -> sorted ids, the shape that is handed out; queries read postings."""
+    """token -> sorted ids, the shape that small catalogs are handed out in; queries read postings, larger ones take the parts."""
     return posted.groupBy("token").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
+def token_index_parts(posted: DataFrame, most: int = LIST) -> DataFrame:
+    """token, part -> sorted ids, in lists of about ``most`` ids.
+
+    A token's ids are dealt by their hash over a power of two parts, so that two tokens' lists are
+    intersected part by part: the parts of the shorter list are unions of the longer one's.
+    """
+    sizes = posted.groupBy("token").agg(F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / most)))).cast("long").alias("parts"))
+    part = F.pmod(F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.col("parts"))
+    return posted.join(sizes, "token").groupBy("token", part.alias("part")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
 def prefixes(posted: DataFrame, shortest: int = MIN_PREFIX) -> DataFrame:
     """prefix, token for the proper prefixes of at least ``shortest`` letters."""
     tokens = posted.select("token").distinct().filter(F.length("token") > shortest)

@@ -19,7 +19,10 @@ FIELDS = PROBLEM.fieldNames()
 
 @dataclass
 class Diff:
-    """Frames of one lineage; persist the inputs where several of them are used."""
+    """Frames of one lineage; persist the inputs where several of them are used.
+
+    ambiguous is in long form, a row an id: see :func:`ambiguous_groups` and :func:`ambiguous_lists`.
+    """
 
     snapshot: DataFrame
     changes: DataFrame
@@ -61,10 +64,29 @@ def _pairs(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
     no_row = F.lit(None).cast(found.schema["o"].dataType)
     ends = F.array(F.struct(F.col("new_id").alias("id"), "o", F.lit(None).cast("string").alias("to_id")), F.struct(F.col("o.id").alias("id"), no_row.alias("o"), F.col("new_id").alias("to_id")))
     links = single.select(F.explode(ends).alias("e")).select("e.*")
-    many = found.filter("n_new > 0 AND n_old > 0 AND n_new + n_old > 2").select("sig")
-    groups = moved.join(many, "sig").groupBy("sig").agg(*(F.array_sort(F.collect_list(F.when(w, F.col("id")))).alias(n) for n, w in (("added_ids", F.col("came")), ("removed_ids", ~F.col("came")))))
-    reason = F.format_string("%d added and %d removed rows share one (title, companies, format) signature", F.size("added_ids"), F.size("removed_ids"))
-    return links, groups.select("added_ids", "removed_ids", F.col("sig.title").alias("title"), reason.alias("reason"))
+    many = found.filter("n_new > 0 AND n_old > 0 AND n_new + n_old > 2").select("sig", "n_new", "n_old")
+    side = F.when(F.col("came"), "added").otherwise("removed")
+    # few of the moved rows share a signature: a hot one is the join's large side, which Spark can split
+    rows = moved.join(many, "sig").select(F.sha2(F.to_json("sig").cast("binary"), 256).alias("group"), side.alias("side"), "id", F.col("sig.title").alias("title"), F.col("n_new").alias("n_added"), F.col("n_old").alias("n_removed"))
+    return links, rows
+
+
+#: Ids of a side that a list of the hand-out holds; beyond, the long form has them.
+LISTED = 100_000
+
+
+def ambiguous_groups(ambiguous: DataFrame) -> DataFrame:
+    """group, title, n_added, n_removed, reason: one row a group, counted and not collected."""
+    reason = F.format_string("%d added and %d removed rows share one (title, companies, format) signature", F.col("n_added"), F.col("n_removed"))
+    return ambiguous.groupBy("group").agg(*(F.first(c).alias(c) for c in ("title", "n_added", "n_removed"))).withColumn("reason", reason)
+
+
+def ambiguous_lists(ambiguous: DataFrame, most: int = LISTED) -> DataFrame:
+    """added_ids, removed_ids, title, reason: the hand-out of groups of up to ``most`` ids a side, ids in order."""
+    ids = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("id"))))
+    small = ambiguous.filter((F.col("n_added") <= most) & (F.col("n_removed") <= most))
+    lists = small.groupBy("group").agg(ids("added").alias("added_ids"), ids("removed").alias("removed_ids"))
+    return lists.join(ambiguous_groups(small), "group").select("added_ids", "removed_ids", "title", "reason")
 
 
 def _state(**members: Column) -> Column:

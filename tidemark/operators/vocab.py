@@ -10,8 +10,6 @@ from ..schema import SENTINELS
 
 SEPARATOR = r"(?U)\s+/\s+"
 MARKER = "(?i)Full company list"
-#: Names that a map literal may hold; larger vocabularies are joined by candidate.
-MAP_LIMIT = 20_000
 
 
 def listed_names(lines: DataFrame) -> DataFrame:
@@ -74,23 +72,19 @@ def split_with(cell: Column, known: Column, longest: Column) -> Column:
     return F.when(empty, F.struct(none.alias("companies"), none.alias("unknown"))).otherwise(folded)
 
 
-def split_cells(rows: DataFrame, vocab: DataFrame, cell: str = "company_cell", limit: int = MAP_LIMIT) -> DataFrame:
+def split_cells(rows: DataFrame, vocab: DataFrame, cell: str = "company_cell") -> DataFrame:
     """rows with companies and unknown.
 
-    A vocabulary of up to ``limit`` names goes along as one map; of a larger one each distinct
-    cell gets the names that its own runs of parts match, by a join.
+    Each distinct cell is split once, by the names that its own runs of parts match: these come by a
+    join on the name's hash, so a vocabulary of any size costs a lookup a run. Spark looks a key of a
+    map up from one end to the other, so a cell's map holds its own matches only.
     """
-    size, longest = vocab.agg(F.count("*"), F.coalesce(F.max("n_parts"), F.lit(1))).first()
-    if size <= limit:
-        one = vocab.agg(F.map_from_entries(F.collect_list(F.struct("norm", "display"))).alias("_known"))
-        out = rows.crossJoin(F.broadcast(one))  # one row, of at most ``limit`` names
-        split = out.withColumn("_split", split_with(F.col(cell), F.col("_known"), F.lit(longest)))
-        return split.withColumns({"companies": F.col("_split.companies"), "unknown": F.col("_split.unknown")}).drop("_split", "_known")
+    longest = vocab.agg(F.coalesce(F.max("n_parts"), F.lit(1))).first()[0]
     cells = rows.select(cell).filter(F.col(cell).isNotNull()).distinct()
     parts = F.split(X.collapsed(F.col(cell)), SEPARATOR)
     runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(parts) - i)), lambda k: X.normed(F.array_join(F.slice(parts, i + 1, k), " / ")))))
     found = cells.select(cell, F.explode(F.array_distinct(runs)).alias("norm")).join(vocab.select("norm", "display"), "norm")
-    known = found.groupBy(cell).agg(F.map_from_entries(F.collect_list(F.struct("norm", "display"))).alias("_known"))
+    known = found.groupBy(cell).agg(F.map_from_entries(F.collect_list(F.struct("norm", "display"))).alias("_known"))  # as many as a cell has runs
     empty = F.create_map().cast("map<string,string>")
     split = cells.join(known, cell, "left").withColumn("_split", split_with(F.col(cell), F.coalesce("_known", empty), F.lit(longest)))
     none = F.array().cast("array<string>")

@@ -134,7 +134,7 @@ def _sync(spark, root: str, source, today: str, version: str, changelog: str | N
     if any(out.counts.values()) or not d.ambiguous.isEmpty():
         record(f"changes/date={today}", sinks.write_table(d.changes, f"{root}/changes/date={today}", sort=snapshot.change_order()))
         record("changes/latest", sinks.write_table(d.changes, f"{root}/changes/latest", sort=snapshot.change_order()))
-        record(f"ambiguous/date={today}", sinks.write_table(d.ambiguous, f"{root}/ambiguous/date={today}", sort=[F.col("title"), F.col("added_ids")]))
+        record(f"ambiguous/date={today}", sinks.write_table(d.ambiguous, f"{root}/ambiguous/date={today}", sort=[F.col("title"), F.col("group"), F.col("side"), F.col("id")]))
         lines = sinks.changelog_lines(d.changes, d.ambiguous, d.snapshot, today)
         record("changelog", sinks.update_changelog(spark, changelog or f"{root}/CHANGELOG.md", today, lines))
     # the index names the snapshot that it's of: the next one, if there is to be one

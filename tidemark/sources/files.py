@@ -58,22 +58,24 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def kept(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
-    """df as a table of the shared folder: it stays whatever becomes of executors or of what it was read from.
-
-    The folder is that of spark.checkpoint.dir; a temporary one is set only where none is. The
-    table's path is added to made.
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, which driver and executors share; a temporary folder only where one machine is all there is."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise SourceError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-kept-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """df as a table of the shared folder: it stays whatever becomes of executors or of what it was read from; its path is added to made."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     if made is not None:
         made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:

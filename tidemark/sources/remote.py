@@ -155,16 +155,16 @@ def is_remote(path: str) -> bool:
 
 
 @contextlib.contextmanager
-def served(spark: SparkSession, folder: str, host: str | None = None) -> Iterator[str]:
+def served(spark: SparkSession, folder: str, name=lambda path: path, host: str | None = None) -> Iterator[str]:
     """The url under which the driver hands out the files below folder, one GET a file; a folder stands for its part files.
 
-    A mirror for clusters without another way out, and for tests.
+    A mirror for clusters without another way out, and for tests. name turns a url's path into a file's.
     """
     jvm = spark._jvm
 
     class Handler(http.server.BaseHTTPRequestHandler):
         def do_GET(self) -> None:  # noqa: N802
-            fs, p = files._fs(spark, f"{folder}/{urllib.parse.unquote(self.path.lstrip('/'))}")
+            fs, p = files._fs(spark, f"{folder}/{name(urllib.parse.unquote(self.path.lstrip('/')))}")
             there = fs.exists(p)
             found = sorted((s.getPath() for s in fs.listStatus(p)), key=str) if there else []
             parts = [f for f in found if not f.getName().startswith(("_", "."))] if there and fs.getFileStatus(p).isDirectory() else found

@@ -63,7 +63,7 @@ def indented(doc: dict) -> str:
 
 def changelog_lines(changes: DataFrame, ambiguous: DataFrame, snapshot: DataFrame, date: str, most: int = CHANGELOG_MOST) -> DataFrame:
     """date, section, place, line of one day's entry."""
-    from ..operators.snapshot import capped, described
+    from ..operators.snapshot import ambiguous_groups, capped, described
 
     first = described(capped(changes, most), snapshot)
     section = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
@@ -73,13 +73,15 @@ def changelog_lines(changes: DataFrame, ambiguous: DataFrame, snapshot: DataFram
     body = first.select(section.alias("section"), F.col("place"), F.concat(F.lit("- "), "line").alias("line"))
     rest = counts.filter(F.col("of") > most).select(section.alias("section"), F.lit(most + 1).alias("place"), F.format_string(f"- …and %d more (see `data/changes/{date}.json`)", F.col("of") - most).alias("line"))
     n = len(KINDS) + 1
-    many = ambiguous.agg(F.count("*").alias("n")).filter("n > 0").select(F.lit(n).alias("section"), F.lit(0).alias("place"), F.format_string("### Needs confirmation (%d)", "n").alias("line"))
-    order = F.row_number().over(_by("title", "added_ids"))
-    said = F.format_string("- %s — %d added / %d removed share one signature; not merged", "title", F.size("added_ids"), F.size("removed_ids"))
-    listed = ambiguous.orderBy("title", "added_ids").limit(AMBIGUOUS_MOST)
-    unsure = listed.select(F.lit(n).alias("section"), order.alias("place"), said.alias("line"))
-    more = ambiguous.agg(F.count("*").alias("n")).filter(F.col("n") > AMBIGUOUS_MOST)
-    more = more.select(F.lit(n).alias("section"), F.lit(AMBIGUOUS_MOST + 1).alias("place"), F.format_string("- …and %d more in the table of ambiguous relinks", F.col("n") - AMBIGUOUS_MOST).alias("line"))
+    groups = ambiguous_groups(ambiguous)
+    many = groups.agg(F.count("*").alias("n")).filter("n > 0").select(F.lit(n).alias("section"), F.lit(0).alias("place"), F.format_string("### Needs confirmation (%d)", "n").alias("line"))
+    # a group's first added id stands for it: ids are in one group only
+    firsts = ambiguous.filter("side = 'added'").groupBy("group").agg(F.min("id").alias("first"))
+    said = F.format_string("- %s — %d added / %d removed share one signature; not merged", "title", "n_added", "n_removed")
+    listed = groups.join(firsts, "group").orderBy("title", "first").limit(AMBIGUOUS_MOST)
+    unsure = listed.select(F.lit(n).alias("section"), F.row_number().over(_by("title", "first")).alias("place"), said.alias("line"))
+    more = groups.agg(F.count("*").alias("n")).filter(F.col("n") > AMBIGUOUS_MOST)
+    more = more.select(F.lit(n).alias("section"), F.lit(AMBIGUOUS_MOST + 1).alias("place"), F.format_string(f"- …and %d more (see the table `ambiguous/date={date}`)", F.col("n") - AMBIGUOUS_MOST).alias("line"))
     unsure = unsure.unionByName(more)
     out = heads.unionByName(body).unionByName(rest).unionByName(many).unionByName(unsure)
     return out.select(F.lit(date).alias("date"), "section", "place", "line")

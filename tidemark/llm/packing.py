@@ -40,7 +40,7 @@ from .common import materialise
 CAPACITY = 2048
 PARTITION = 20_000
 #: Bytes of words and their ids in a generation of a worker's cache.
-CACHED_BYTES = 16 << 20
+CACHED_BYTES = 24 << 20
 #: Shares of the bins that certified partitions with gaps and others give up.
 GIVEN_UP, UNSURE = 0.25, 0.5
 MAX_ROUNDS = 8
@@ -86,7 +86,7 @@ def encoder(path: str):
     def recall(chunks: set[bytes]) -> set[bytes]:
         """Those of chunks that no generation has; what the old one has moves up."""
         missing = chunks.difference(words["young"])
-        for w in missing.intersection(words["old"]):
+        for w in [w for w in missing if w in words["old"]]:
             put(w, words["old"][w])
             missing.discard(w)
         return missing

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DIVERGENCE_FLOOR, DIVERGENCE_FRACTION, ROW_DROP_LIMIT
@@ -46,7 +46,7 @@ def divergence(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def metrics(previous: DataFrame, current: DataFrame) -> DataFrame:
     """previous_live, current_rows, unclassified and up to five unclassified ids, as one row."""
-    empty = (F.col("state") != "removed") & (F.coalesce("format", F.lit("")) == "")
+    empty = is_unclassified()
     ids = F.array_sort(F.collect_list(F.when(F.col("place") <= 5, F.col("id"))))
     bad = current.filter(empty).select("id").orderBy("id").limit(5).withColumn("place", F.lit(1)).agg(ids.alias("sample"))
     counts = previous.select(F.lit("p").alias("side"), "state", "format").unionByName(current.select(F.lit("c").alias("side"), "state", "format")).agg(
@@ -55,6 +55,25 @@ def metrics(previous: DataFrame, current: DataFrame) -> DataFrame:
     return counts.crossJoin(bad)  # one row by one row
 
 
+def is_unclassified() -> Column:
+    """Whether a live row has no format."""
+    return (F.col("state") != "removed") & (F.coalesce("format", F.lit("")) == "")
+
+
+def counts() -> dict[str, Column]:
+    """What is to be observed while the current snapshot is written: rows, unclassified."""
+    return {"rows": F.count("*"), "unclassified": F.count_if(is_unclassified())}
+
+
+def decide(previous_live: int, seen: dict[str, int], current: DataFrame, left: DataFrame, right: DataFrame) -> list[str]:
+    """As :func:`check`, from counts that were observed; current is read only if it's to be refused for its rows."""
+    d = divergence(left, right).first()
+    out = check_row_count(previous_live, seen["rows"])
+    out += check_divergence(d["only_left"], d["only_right"], d["n_left"], d["n_right"])
+    sample = [r["id"] for r in current.filter(is_unclassified()).select("id").orderBy("id").limit(5).collect()] if seen["unclassified"] else []
+    return out + check_unclassified(seen["unclassified"], sample)
+
+
 def check(previous: DataFrame, current: DataFrame, left: DataFrame, right: DataFrame) -> list[str]:
     """Raise Abort or return warnings; left and right are the ids of the two source groups."""
     m, d = metrics(previous, current).first(), divergence(left, right).first()

@@ -940,6 +940,61 @@ def alias_shared(spark, d):
     return facets.migrate(rows, mine).filter("migrated_from IS NOT NULL").select(F.col("id").cast("long").alias("k"), F.col("migrated_from").cast("long").alias("old"))
 
 
+@query("SELECT CAST(i AS INT) AS ord, p_name || '/' || i AS name, count(*) AS n FROM part, range(3) AS t(i) WHERE p_partkey % 4 <> 0 GROUP BY ALL")
+def json_vocabulary_counts(spark, d):
+    """Every name that the operator makes of whole, broken and other JSON texts."""
+    n = F.col("p_name")
+    text = F.concat(F.lit('{"'), n, F.lit('/0": 1, "'), n, F.lit('/1": {"a": []}, "'), n, F.lit('/2": null}'))
+    docs = read(spark, d, "part").select(F.when(F.col("p_partkey") % 8 == 0, "[1, 2]").when(F.col("p_partkey") % 4 == 0, "{not json").otherwise(text).alias("text"))
+    return vocab.json_names(docs).groupBy("ord", "name").agg(F.count("*").alias("n"))
+
+
+@query(DIFF + ", c AS (SELECT count(*) AS n FROM changes WHERE kind = 'added'), r AS (SELECT count(*) AS n FROM b) SELECT 'first' AS day, r.n > 0 AS bootstrap FROM r UNION ALL SELECT 'second', c.n >= r.n FROM c, r")
+def bootstrap_days(spark, d):
+    """The first load, with nothing before it, and the second one."""
+    b = problems(view(spark, d, "snap_b"))
+    days = {"first": snapshot.diff(b.limit(0), b, TODAY), "second": the_diff(spark, d)}
+    first, second = (snapshot.is_bootstrap(x.counts(), b).select(F.lit(day).alias("day"), "bootstrap") for day, x in days.items())
+    return first.unionByName(second)
+
+
+@query(WITH + ", x AS (SELECT title AS company FROM snap_a WHERE state <> 'removed') SELECT company, n, CAST(row_number() OVER (ORDER BY n DESC, company) AS INT) AS place FROM (SELECT company, count(*) AS n FROM x GROUP BY ALL) ORDER BY n DESC, company LIMIT 40")
+def facet_first_names_order(spark, d):
+    """The 40 names with the place at which each comes out."""
+    rows = problems(view(spark, d, "snap_a").withColumn("c1", F.col("title")))
+    shown = facets.shown_companies(facets.company_counts(rows))  # one partition
+    return shown.select("company", "n", (F.monotonically_increasing_id() + 1).cast("int").alias("place"))
+
+
+_GUARDED = """, c AS (SELECT (SELECT count(*) FROM snap_a WHERE state <> 'removed') AS live, (SELECT count(*) FROM snap_b) AS whole, (SELECT count(*) FROM snap_b WHERE k % 3 <> 0) AS part, (SELECT count(*) FROM snap_b WHERE k % 37 = 0) AS odd, (SELECT count(*) FROM snap_b WHERE k % 2 = 0) AS half,
+    (SELECT count(*) FROM snap_b WHERE k % 97 = 0) AS few)"""
+
+
+@query(
+    WITH
+    + _GUARDED
+    + """, x AS (SELECT 'whole' AS name, whole AS n, 0 AS apart, 0 AS odd, live, whole AS side FROM c UNION ALL SELECT 'part', part, 0, 0, live, part FROM c UNION ALL SELECT 'empty', 0, 0, 0, live, 0 FROM c
+    UNION ALL SELECT 'odd', whole, 0, odd, live, whole FROM c UNION ALL SELECT 'apart', whole, whole - half, 0, live, whole FROM c UNION ALL SELECT 'near', whole, few, 0, live, whole FROM c)
+    SELECT name, CASE WHEN n = 0 OR live > 0 AND (live - n) / live > 0.1 OR apart > greatest(25, floor(side * 0.01)) OR odd > 0 THEN 'abort' WHEN apart > 0 THEN 'warning' ELSE 'good' END AS outcome FROM x"""
+)
+def guard_decisions(spark, d):
+    """What the guards say to a whole load, to one that lost a third, to none, to rows without format, and to sources that differ."""
+    live = problems(view(spark, d, "snap_a")).filter("state <> 'removed'").count()
+    b = view(spark, d, "snap_b")
+    odd = b.withColumn("format", F.when(F.col("k") % 37 != 0, F.col("format")))
+    cases = {"whole": (b, b), "part": (b.filter("k % 3 <> 0"),) * 2, "empty": (b.limit(0),) * 2, "odd": (odd, odd), "apart": (b, b.filter("k % 2 = 0")), "near": (b, b.filter("k % 97 <> 0"))}
+    out = []
+    for name, (rows, other) in cases.items():
+        seen = guards.counts()
+        current = files.kept(problems(rows), "guarded", None, seen)
+        try:
+            said = guards.decide(live, seen, current, current, problems(other))
+            out.append((name, "warning" if said else "good"))
+        except guards.Abort:
+            out.append((name, "abort"))
+    return spark.createDataFrame(out, "name string, outcome string")
+
+
 def _page_after(sort: str, order: str):
     def run(spark, d):
         """The 25 rows behind the row in the middle of the order, found by its place and not by its number."""
@@ -1135,8 +1190,21 @@ def sync_problems(spark, d):
 @query(_SYNCED + f" SELECT kind, id, key, title, previous_id, '{TODAY}' AS date FROM changes UNION ALL SELECT 'added', id, key, title, NULL, '2024-06-01' FROM j WHERE first")
 def sync_changes(spark, d):
     """The stored changes of both days."""
-    found = spark.read.option("basePath", f"{synced(spark, d)}/changes").parquet(*(f"{synced(spark, d)}/changes/date={day}" for day in _DAYS.values()))
-    return found.select("kind", "id", "key", "title", "previous_id", F.col("date").cast("string").alias("date"))
+    return dataset.changes(spark, synced(spark, d)).select("kind", "id", "key", "title", "previous_id", "date")
+
+
+@query(
+    _SYNCED
+    + f""" SELECT CAST(row_number() OVER (ORDER BY list_position({list(KINDS)}, kind), key, id) AS INT) AS place, kind, id, title,
+    (SELECT count(*) FROM changes) AS n FROM changes"""
+)
+def sync_document(spark, d):
+    """The day's change document, read back as JSON."""
+    text = spark.read.text(f"{synced(spark, d)}/changes/{TODAY}.json", wholetext=True)
+    kind = "struct<date:string,counts:map<string,long>,changes:array<struct<kind:string,id:string,title:string>>>"
+    doc = text.select(F.from_json("value", kind).alias("x"))
+    n = F.aggregate(F.map_values("x.counts"), F.lit(0).cast("long"), lambda a, b: a + b)
+    return doc.select(F.posexplode("x.changes").alias("i", "c"), n.alias("n")).select((F.col("i") + 1).alias("place"), "c.kind", "c.id", "c.title", "n")
 
 
 @query(_SYNCED + f""" SELECT CAST(row_number() OVER (ORDER BY list_position({list(KINDS)}, kind), key, id) AS INT) AS place, kind, key FROM changes""")

@@ -112,14 +112,17 @@ def _warnings(issues: DataFrame, conflicts: DataFrame) -> list[str]:
 def _sync(spark, root: str, source, today: str, version: str, changelog: str | None, dry_run: bool, keep, made: list[str]) -> Outcome:
     docs = source.documents(spark, version, made=made) if isinstance(source, remote.Remote) else keep(files.read_documents(spark, source))
     data = build(spark, docs, today, keep)
-    current = files.kept(data.current, "current", made)
+    seen = guards.counts()
+    current = files.kept(data.current, "current", made, seen)
     previous, next_ = dataset.problems(spark, root), dataset.number(spark, root) + 1
-    warnings = guards.check(previous, current, data.left, data.right)
+    warnings = guards.decide(dataset.live(spark, root), seen, current, data.left, data.right)
     warnings += _warnings(data.issues, data.conflicts)
 
     # the previous snapshot is about to be replaced: what is derived from it is written first
     d = snapshot.diff(previous, current, today)
-    d = snapshot.Diff(*(files.kept(df, "diff", made) for df in (d.snapshot, d.changes, d.ambiguous, d.archived)))
+    sizes = {"live": F.count_if(F.col("state") != "removed"), "total": F.count("*")}
+    d = snapshot.Diff(files.kept(d.snapshot, "diff", made, sizes), *(files.kept(df, "diff", made) for df in (d.changes, d.ambiguous, d.archived)))
+    live, total = sizes["live"], sizes["total"]
     out = Outcome(version, warnings=warnings, counts={r["kind"]: r["n"] for r in d.counts().collect()})
     if dry_run:
         return out
@@ -135,14 +138,17 @@ def _sync(spark, root: str, source, today: str, version: str, changelog: str | N
         record(f"changes/date={today}", sinks.write_table(d.changes, f"{root}/changes/date={today}", sort=snapshot.change_order()))
         record("changes/latest", sinks.write_table(d.changes, f"{root}/changes/latest", sort=snapshot.change_order()))
         record(f"ambiguous/date={today}", sinks.write_table(d.ambiguous, f"{root}/ambiguous/date={today}", sort=[F.col("title"), F.col("group"), F.col("side"), F.col("id")]))
-        lines = sinks.changelog_lines(d.changes, d.ambiguous, d.snapshot, today)
+        if whole := sum(out.counts.values()) <= sinks.DOCUMENT_MOST:
+            text = files.kept(sinks.change_document(d.changes, d.ambiguous, today, out.counts), "document", made)
+            for name in (today, "latest"):
+                record(f"changes/{name}.json", sinks.write_document(text, f"{root}/changes/{name}.json"))
+        lines = sinks.changelog_lines(d.changes, d.ambiguous, d.snapshot, today, where=None if whole else f"data/changes/date={today}")
         record("changelog", sinks.update_changelog(spark, changelog or f"{root}/CHANGELOG.md", today, lines))
     # the index names the snapshot that it's of: the next one, if there is to be one
     posted, prefixed = dataset.update_index(spark, root, previous, d.snapshot, d.changes, next_ if plan else next_ - 1)
     record("postings", bool(posted.replaced or posted.dropped))
     record("prefixes", bool(prefixed.replaced or prefixed.dropped))
-    record("problems", bool(plan) and bool(plan.write(seen=today)))
-    live, total = d.snapshot.agg(F.count_if(F.col("state") != "removed"), F.count("*")).first()
+    record("problems", bool(plan) and bool(plan.write(seen=today, live=live)))
     digests = {r["source"]: r["d"] for r in docs.select("source", source_digest(F.col("text")).alias("d")).orderBy("source").collect()}
     now = datetime.datetime.now(datetime.UTC).replace(microsecond=0).isoformat()
     doc = {"version": version, "synced_at": now, "sources": digests, "counts": {"live": live, "tombstoned": total - live, "total": total, **out.counts}, "warnings": warnings}

@@ -40,6 +40,23 @@ def problems(spark: SparkSession, root: str) -> DataFrame:
     return rows if seen is None else rows.withColumn("last_seen", F.when(F.col("state") == "removed", F.col("last_seen")).otherwise(F.lit(seen)))
 
 
+def live(spark: SparkSession, root: str) -> int:
+    """How many live rows the snapshot has, as its commit noted."""
+    m = store.manifest(spark, f"{root}/problems")
+    return m.notes.get("live", 0) if m else 0
+
+
+def changes(spark: SparkSession, root: str) -> DataFrame:
+    """The changes of all days, with their date as text."""
+    from ..schema import CHANGE
+
+    days = [d for d in files.versions(spark, f"{root}/changes") if d.startswith("date=")]
+    kind = T.StructType([*CHANGE.fields, T.StructField("date", T.StringType())])
+    if not days:
+        return spark.createDataFrame([], kind)
+    return spark.read.schema(kind).option("basePath", f"{root}/changes").parquet(*(f"{root}/changes/{d}" for d in days))
+
+
 def compare_problems(rows: DataFrame, root: str, size: int = store.ROWS) -> store.Plan:
     return store.compare(rows, f"{root}/problems", store.by_key("id"), VOLATILE, _ORDER, size)
 

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,10 +69,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
-    """df as a table of the shared folder: it stays whatever becomes of executors or of what it was read from; its path is added to made."""
+def kept(df: DataFrame, name: str, made: list[str] | None = None, counts: dict[str, Column] | None = None) -> DataFrame:
+    """df as a table of the shared folder: it stays whatever becomes of executors or of what it was read from.
+
+    Its path is added to made. counts are aggregates that the write observes on its way, in place
+    of a job of their own; their values take the columns' places.
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    if counts:
+        seen = Observation()
+        df.observe(seen, *(c.alias(k) for k, c in counts.items())).write.parquet(path)
+        counts.update(seen.get)
+    else:
+        df.write.parquet(path)
     if made is not None:
         made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -121,6 +130,15 @@ def swap(spark: SparkSession, staged: str, target: str) -> None:
     fs.delete(old, True)
 
 
+def only_part(spark: SparkSession, folder: str) -> str:
+    """The one part file of a folder that Spark wrote."""
+    fs, p = _fs(spark, folder)
+    parts = [str(s.getPath()) for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")]
+    if len(parts) != 1:
+        raise SourceError(f"{folder} holds {len(parts)} part files")
+    return parts[0]
+
+
 def versions(spark: SparkSession, root: str) -> list[str]:
     """Names of the version folders under root, oldest first."""
     fs, p = _fs(spark, root)

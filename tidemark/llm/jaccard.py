@@ -390,6 +390,9 @@ def _linked(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame,
         *(F.when(F.col("size") <= FAMILY, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("family", "gram", "group"), ("size", "m", "m"))), (F.col("size") <= FAMILY).alias("whole"), "cls", "comp"
     ).distinct()
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    # a set goes to as many units as its group has parts, and it's these rows that are dealt
+    rest = materialise(rest, "rest")
+    deals = -(-(rest.agg(F.sum(parts.cast("long"))).first()[0] or 0) // DEAL) or 1
     rest = rest.withColumn("own", F.pmod(F.xxhash64("cls"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rest = rest.select("whole", "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
     by = ["whole", "group", "i", "j"]

@@ -38,6 +38,8 @@ MAX_REPEATS = 3
 KNAPSACK = 1 << 14
 #: Words that the dynamic program gets at most where KNAPSACK doesn't do.
 REACH = 1 << 23
+#: Combinations of half of the lengths that are tried one and all where the dynamic program can't reach.
+FEW = 1 << 20
 SALTS = 8
 SEED = 20240101
 
@@ -105,7 +107,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length make up budget; lengths distinct, budget <= their sum.
 
     Where the last ``KNAPSACK`` words don't come out even, the dynamic program gets more room: all
-    of the budget, or its last ``REACH`` words.
+    of the budget, or its last ``REACH`` words. Beyond that lie budgets of many words in long
+    documents: of few lengths, all combinations are tried, one half's against the other's.
     """
     there = [int(x) for x, n in zip(lengths, counts, strict=True) if n and x]
     goal = budget - budget % (math.gcd(*there) or 1)
@@ -115,9 +118,40 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         out = _fit(lengths, counts, budget, max(0, budget - room), room)
         if (out * lengths).sum() > (best * lengths).sum():
             best = out
+    if (best * lengths).sum() < goal and budget > REACH:
+        out = _few(lengths, counts, budget)
+        best = best if out is None else out
     return best
 
 
+def _few(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = FEW) -> np.ndarray | None:
+    """The best counts of all, if each half of the lengths has up to ``most`` combinations."""
+    kinds = sorted(((min(int(n), budget // int(x)), int(x), i) for i, (x, n) in enumerate(zip(lengths, counts, strict=True)) if 0 < x <= budget and n), reverse=True)
+    halves: list[list] = [[], []]
+    sizes = [1, 1]
+    for kind in kinds:
+        h = sizes[1] < sizes[0]
+        halves[h].append(kind)
+        sizes[h] *= kind[0] + 1
+    if max(sizes) > most:
+        return None
+    sums = []
+    for half in halves:
+        total = np.zeros(1, np.int64)
+        for n, x, _ in half:
+            total = (total[:, None] + np.arange(n + 1, dtype=np.int64) * x).ravel()
+        sums.append(total)
+    order = np.argsort(sums[1], kind="stable")
+    fits = np.flatnonzero(sums[0] <= budget)
+    other = order[np.searchsorted(sums[1][order], budget - sums[0][fits], side="right") - 1]
+    at = int(np.argmax(sums[0][fits] + sums[1][other]))
+    out = np.zeros(len(lengths), dtype=np.int64)
+    for half, rest in zip(halves, (int(fits[at]), int(other[at])), strict=True):
+        for n, _, i in reversed(half):
+            rest, out[i] = divmod(rest, n + 1)
+    return out
+
+
 def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, even: int, room: int) -> np.ndarray:
     """An even share of ``even`` words, the longest that fit, the dynamic program over about room words."""
     out = np.zeros(len(lengths), dtype=np.int64)

@@ -131,6 +131,24 @@ def test_languages_equal_plain_loops(spark, odd):
         assert score == pytest.approx(max(0, cos[best]), abs=1e-5) and lang == model["langs"][model["owner"][best]]
 
 
+def test_long_documents_meet_large_budgets():
+    lengths = np.array([3_000_000, 5_000_001, 7_000_003])
+    got = mixing.fit(lengths, np.array([5, 5, 5]), 40_000_000)
+    assert (got <= 5).all() and (got * lengths).sum() == 39_000_013
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        lengths = rng.choice(np.arange(5, 90), rng.integers(1, 5), replace=False)
+        counts = rng.integers(0, 5, len(lengths))
+        budget = int(rng.integers(0, (lengths * counts).sum() + 1))
+        best = 0
+        for c in np.ndindex(*(counts + 1)):
+            total = int((np.array(c) * lengths).sum())
+            best = total if best < total <= budget else best
+        out = mixing._few(lengths, counts, budget)
+        assert (out <= counts).all() and (out * lengths).sum() == best
+    assert mixing._few(np.arange(1, 200), np.full(199, 9), 5_000) is None
+
+
 # quality ----------------------------------------------------------------------------------
 
 
@@ -201,6 +219,22 @@ def test_windows_cover_the_text():
         assert len(w) == max(1, math.ceil(max(0, n - quality.WIDTH) / quality.STRIDE) + 1)
 
 
+def test_one_large_unlinked_group_is_dealt_evenly(spark, monkeypatch):
+    """Texts over three words share their n-grams and hardly link: every call gets some DEAL rows of the blocks."""
+    rng, seen, dealt = random.Random(12), [], jaccard._dealt
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(14)), "en", "x") for i in range(4000)]
+
+    def spied(rows, by, deals):
+        seen.append(rows.select(F.pmod(F.xxhash64(*by), F.lit(deals)).alias("deal")).groupBy("deal").count().agg(F.max("count"), F.count("*")).first())
+        return dealt(rows, by, deals)
+
+    monkeypatch.setattr(jaccard, "_dealt", spied)
+    monkeypatch.setattr(jaccard, "DEAL", 2000)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.classes(documents(spark, rows)).collect()}
+    assert len(got) == 4000 and len(seen) == 4
+    assert seen[2][1] > 5 and seen[2][0] <= 2 * jaccard.DEAL + 4 * jaccard.BLOCK
+
+
 # packing ----------------------------------------------------------------------------------
 
 

@@ -209,12 +209,27 @@ def test_overlay_files(spark):
 def test_stream(spark, tmp_path):
     from test_catalog import snap
     from tidemark.schema import PROBLEM
-    from tidemark.streaming.snapshots import follow
+    from tidemark.streaming import snapshots
 
-    src = str(tmp_path / "in")
-    days = [[{"id": "a"}, {"id": "b"}], [{"id": "a", "title": "z"}]]
-    for n, rows in enumerate(days):
+    def arrive(n, rows, checkpoint):
+        src = str(tmp_path / f"in-{checkpoint}")
         snap(spark, *rows).coalesce(1).write.mode("append").parquet(src)
-        follow(spark.readStream.schema(PROBLEM).parquet(src), str(tmp_path / "out"), str(tmp_path / "ck"), lambda n: f"2024-01-0{n + 1}").awaitTermination(120)
-    got = sorted((r["batch"], r["kind"], r["id"]) for r in spark.read.parquet(str(tmp_path / "out" / "changes")).collect())
-    assert got == [(0, "added", "a"), (0, "added", "b"), (1, "removed", "b"), (1, "retitled", "a")]
+        snapshots.follow(spark.readStream.schema(PROBLEM).parquet(src), root, str(tmp_path / checkpoint), lambda _: f"2024-01-0{n}").awaitTermination(120)
+
+    root = str(tmp_path / "out")
+    changes = lambda: sorted((r["batch"], r["kind"], r["id"]) for r in spark.read.parquet(f"{root}/changes").collect())
+    arrive(1, [{"id": "a"}, {"id": "b"}], "ck")
+    arrive(2, [{"id": "a", "title": "z"}], "ck")
+    assert changes() == [(0, "added", "a"), (0, "added", "b"), (1, "removed", "b"), (1, "retitled", "a")]
+    # the last batch is replayed: its offset was never committed
+    commits = sorted(os.listdir(tmp_path / "ck" / "commits"))
+    for name in commits:
+        if name.strip(".").startswith("1"):
+            os.remove(tmp_path / "ck" / "commits" / name)
+    snapshots.follow(spark.readStream.schema(PROBLEM).parquet(str(tmp_path / "in-ck")), root, str(tmp_path / "ck"), lambda _: "2024-01-02").awaitTermination(120)
+    assert changes() == [(0, "added", "a"), (0, "added", "b"), (1, "removed", "b"), (1, "retitled", "a")]
+    # a new checkpoint on the old root goes on from the newest state
+    arrive(3, [{"id": "a", "title": "z"}, {"id": "c"}], "ck2")
+    assert changes() == [(0, "added", "a"), (0, "added", "b"), (0, "added", "c"), (1, "removed", "b"), (1, "retitled", "a")]
+    newest = snapshots._states(spark, root)[-1]
+    assert newest["number"] == 3 and sorted((r["id"], r["state"]) for r in spark.read.parquet(f"{root}/state-{newest['slot']}").collect()) == [("a", "active"), ("b", "removed"), ("c", "active")]

@@ -53,10 +53,11 @@ def marks(rows: DataFrame, but: tuple[str, ...] = ()) -> DataFrame:
 
 @dataclass
 class Manifest:
-    """number counts the commits; notes are the writer's; buckets: name -> [folder, n, x1, x2, total]; gone: folders that the last commit replaced."""
+    """number counts the commits; columns are the table's, notes the writer's; buckets: name -> [folder, n, x1, x2, total]; gone: folders that the last commit replaced."""
 
     number: int = 0
     spread: int = 1
+    columns: list[str] = field(default_factory=list)
     notes: dict = field(default_factory=dict)
     buckets: dict[str, list] = field(default_factory=dict)
     gone: list[str] = field(default_factory=list)
@@ -90,11 +91,10 @@ def load(spark: SparkSession, path: str, schema: T.StructType, only: Callable[[s
     folders = [f"{path}/{b[0]}/bucket={name}" for name, b in m.buckets.items() if only is None or only(name)] if m else []
     if not folders:
         return spark.createDataFrame([], schema)
-    found = spark.read.parquet(*folders)
-    lacking = [f.name for f in schema if f.name not in found.columns]
+    lacking = [f.name for f in schema if f.name not in m.columns]
     if lacking:
         raise files.SourceError(f"{path} is no such table: it lacks {', '.join(lacking)}")
-    return found.select(*(F.col(f.name).cast(f.dataType) for f in schema))
+    return spark.read.schema(schema).parquet(*folders)
 
 
 def _staged(rows: DataFrame, path: str, number: int, buckets: int, sort: tuple[str, ...]) -> str:
@@ -133,7 +133,7 @@ class Plan:
         if not self and (not notes or self.old.notes | notes == self.old.notes):
             return Written()
         spark, old = self.df.sparkSession, self.old or Manifest()
-        out = Manifest(old.number + 1, self.spread, old.notes | notes, {k: b for k, b in old.buckets.items() if k in self.new})
+        out = Manifest(old.number + 1, self.spread, self.df.columns, old.notes | notes, {k: b for k, b in old.buckets.items() if k in self.new})
         if self.differ:
             rows = self.df.withColumn("bucket", self.bucket(self.spread))
             if len(self.differ) < len(self.new):
@@ -168,7 +168,7 @@ def merge(path: str, gone: DataFrame, come: DataFrame, schema: T.StructType, buc
         raise files.SourceError(f"{path} has no manifest to merge into")
     gone, come = (x.select(*names).distinct().withColumn("bucket", bucket(m.spread)) for x in (gone, come))
     touched = sorted(r[0] for r in gone.select("bucket").union(come.select("bucket")).distinct().collect())  # names of buckets
-    out = Manifest(m.number + 1, m.spread, m.notes | notes, dict(m.buckets))
+    out = Manifest(m.number + 1, m.spread, m.columns, m.notes | notes, dict(m.buckets))
     differ = dropped = []
     if touched:
         old = load(spark, path, schema, set(touched).__contains__).withColumn("bucket", bucket(m.spread))

@@ -1239,6 +1239,46 @@ def sync_meta(spark, d):
     return text.select(F.get_json_object("text", "$.version").alias("version"), *map(number, ("live", "tombstoned", "total", *KINDS)), F.size(F.json_object_keys(F.get_json_object("text", "$.sources"))).alias("n_sources"))
 
 
+@query(
+    _SYNCED
+    + """, o AS (SELECT rows.id, 'https://leetcode.com/problems/s' || j.k || '/' AS url FROM rows JOIN j ON rows.id IN (j.id, j.id2) AND rows.title = j.title WHERE j.k % 3 = 0 AND rows.format IN ('Coding', 'SQL'))
+    SELECT id, url, CAST(row_number() OVER (ORDER BY id) AS INT) AS place, count(*) OVER () AS n FROM o"""
+)
+def sync_origins(spark, d):
+    """Origins from a catalogue that the driver serves, in the order in which they're stored, and how many the resolver counts."""
+    from .sync import resolve_origins
+    from pyspark.sql import Window
+
+    root, folder = synced(spark, d), files.shared_path(spark, "catalogue")
+    rows = spark.sql(_VERSIONS.replace("FROM part", "FROM {source}"), source=read(spark, d, "part")).filter("k % 3 = 0")
+    stat = F.struct(F.col("title").alias("question__title"), F.concat(F.lit("s"), F.col("k").cast("string")).alias("question__title_slug"))
+    pairs = F.collect_list(F.struct(stat.alias("stat"), F.struct(F.lit(2).alias("level")).alias("difficulty"), (F.col("k") % 2 == 0).alias("paid_only")))
+    rows.agg(F.to_json(F.struct(pairs.alias("stat_status_pairs"))).alias("value")).write.text(folder)
+    with remote.served(spark, folder, lambda _: "") as url:
+        n, _, _ = resolve_origins(spark, root, url + "/catalogue.json")
+    found = spark.read.parquet(f"{root}/origins").select("id", "url", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return found.select("id", "url", F.row_number().over(Window.orderBy("file", "row")).alias("place"), F.lit(n).cast("long").alias("n"))
+
+
+@query(
+    _SYNCED
+    + f""", h AS (SELECT kind, CASE kind WHEN 'recompanied' THEN 'Company changed' ELSE upper(kind[1]) || kind[2:] END || ' (' || count(*) || ')' AS line, list_position({list(KINDS)}, kind) AS o FROM changes GROUP BY kind),
+    l AS (SELECT 1 AS day, 0 AS o, '## {TODAY}' AS line UNION ALL SELECT 1, o, '### ' || line FROM h UNION ALL SELECT 2, 0, '## 2024-06-01' UNION ALL SELECT 2, 1, '### Added (' || count(*) || ')' FROM j WHERE first)
+    SELECT CAST(row_number() OVER (ORDER BY day, o) AS INT) AS place, line FROM l"""
+)
+def sync_changelog(spark, d):
+    """The changelog's headings from top to bottom: the newest day first."""
+    lines = spark.read.text(f"{synced(spark, d)}/CHANGELOG.md", wholetext=True).select(F.filter(F.split("value", "\n"), lambda x: F.startswith(x, F.lit("##"))).alias("x"))
+    return lines.select(F.posexplode("x").alias("i", "line")).select((F.col("i") + 1).alias("place"), "line")
+
+
+@query(f"SELECT unnest({list(KINDS)}) AS kind, 0 AS n")
+def diff_again(spark, d):
+    """A snapshot against itself: the load that made it, once more."""
+    b = problems(view(spark, d, "snap_b"))
+    return snapshot.diff(files.kept(the_diff(spark, d).snapshot, "next"), b, TODAY).counts()
+
+
 def queries() -> dict[str, Callable]:
     return dict(_queries)
 

@@ -120,15 +120,18 @@ def _batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
 def _ranked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Of rows(doc, th, at, lo, hi, known, i, u): those not known that are repeated as a whole, and one of each kind that's left to split.
 
-    i and u are the hashes of the shared and the whole string; a known row is a partner only.
+    i and u are the hashes of the shared and the whole string; a known row is a partner only. What is
+    counted by a hash is written before rows are joined with it: beside its count, a join on a hash
+    that many rows have can't be split.
     """
-    again = rows.groupBy("i").agg(F.count("*").alias("n")).filter("n > 1").select("i")
+    again = materialise(rows.groupBy("i").agg(F.count("*").alias("n")).filter("n > 1").select("i"), f"repeats-{name}-again")
     rows = materialise(rows.join(again, "i", "left_semi"), f"repeats-{name}")
     kinds = rows.groupBy("i", "u").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "at", "lo", "hi", "known")).alias("one"))
     kinds = materialise(kinds, f"repeats-{name}-kinds")
     done = rows.filter(~F.col("known")).join(kinds.filter("n > 1").select("i", "u"), ["i", "u"], "left_semi")
     some = kinds.groupBy("i").agg(F.count("*").alias("m"), F.count_if((F.col("n") == 1) & ~F.col("one.known")).alias("unknown"))
-    rest = kinds.join(some.filter("m > 1 AND unknown > 0").select("i"), "i", "left_semi")
+    some = materialise(some.filter("m > 1 AND unknown > 0").select("i"), f"repeats-{name}-open")
+    rest = kinds.join(some, "i", "left_semi")
     return done, rest.select("one.*", (F.col("n") > 1).alias("many")).withColumn("known", F.col("known") | F.col("many")).drop("many")
 
 
@@ -184,7 +187,8 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
             parts = held
         else:
             parts = rest.join(held.select("doc", "th", "at", "window", "left"), ["doc", "th", "at"]).select(*_WINDOW.names)
-        done, rest = _ranked(parts.mapInArrow(blocks(width), _SQL + ", i long, u long"), str(width))
+        split = materialise(parts.mapInArrow(blocks(width), _SQL + ", i long, u long"), f"repeats-blocks-{width}")
+        done, rest = _ranked(split, str(width))
         out.append(done.withColumn("width", F.lit(width)))
     every = out[0]
     for more in out[1:]:

@@ -81,18 +81,10 @@ def sync(spark: SparkSession, root: str, source: str | remote.Remote, today: str
     meta = files.read_meta(spark, f"{root}/meta.json")
     if not force and meta and meta.get("version") == version:
         return Outcome(version, skipped=True)
-    held: list[DataFrame] = []
     made: list[str] = []
-
-    def keep(df: DataFrame) -> DataFrame:
-        held.append(df.persist())
-        return df
-
     try:
-        return _sync(spark, root, source, today, version, changelog, dry_run, keep, made)
-    finally:  # after an abort too: a later sync must not see this one's documents
-        for df in held:
-            df.unpersist()
+        return _sync(spark, root, source, today, version, changelog, dry_run, made)
+    finally:  # after an abort too
         for path in made:
             files.delete(spark, path)
 
@@ -109,9 +101,10 @@ def _warnings(issues: DataFrame, conflicts: DataFrame) -> list[str]:
     return out
 
 
-def _sync(spark, root: str, source, today: str, version: str, changelog: str | None, dry_run: bool, keep, made: list[str]) -> Outcome:
-    docs = source.documents(spark, version, made=made) if isinstance(source, remote.Remote) else keep(files.read_documents(spark, source))
-    data = build(spark, docs, today, keep)
+def _sync(spark, root: str, source, today: str, version: str, changelog: str | None, dry_run: bool, made: list[str]) -> Outcome:
+    # what several steps read is a table of the shared folder: it's read once, and no lost executor makes it another
+    docs = source.documents(spark, version, made=made) if isinstance(source, remote.Remote) else files.kept(files.read_documents(spark, source), "documents", made)
+    data = build(spark, docs, today, lambda df: files.kept(df, "rows", made))
     seen = guards.counts()
     current = files.kept(data.current, "current", made, seen)
     previous, next_ = dataset.problems(spark, root), dataset.number(spark, root) + 1

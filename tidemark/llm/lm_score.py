@@ -10,13 +10,17 @@ missing and so finds the level, never a lower one. Probabilities are smoothed:
 with C what probes find, N training tokens and V distinct ones. A text's score sums log10 P.
 
 Scale. The filter grows with the corpus: BITS bits for each level of each n-gram, in segments by
-the n-gram's hash, sized so that each is made by one task from counts that were added up before
-the shuffle. Exact counts of words, for the unsmoothed base score, stand beside the words'
+the n-gram's hash, sized so that each is made in one task from counts that were added up before
+the shuffle. There are at most ``MOST_TASKS`` such tasks, whatever the corpus: counts come sorted by
+segment, and a task holds those of one segment at a time. Exact counts of words, for the unsmoothed base score, stand beside the words'
 segments. If all of it takes at most ``MAX_BROADCAST`` bytes, which is read before anything is
 sent, it comes to the driver in slices of ``SLICE`` bytes, is broadcast, and the broadcast is
 destroyed when the scores are written. Otherwise it stays in its table and the probes travel: the
 distinct n-grams of every ``FLUSH`` tokens of text go to their segments, once, and the counts
-found there come back to the texts. Both ways ask the same filter and give the same scores.
+found there come back to the texts. N-grams that nearly every batch holds would all ask the one
+segment that has them, so those of at least one occurrence in ``size / HOT`` bytes of training text,
+of which there are at most ``HOT`` words and as many pairs, are answered by a broadcast of their counts
+instead. Both ways ask the same filter and give the same scores.
 
 Defined results: null and wordless texts are the end token alone; without training texts N and
 V are 0; repeated rows count, and are scored, each for itself; null doc_ids are kept.
@@ -43,6 +47,10 @@ SEGMENT_TEXT = 8 << 20
 MAX_BROADCAST = 192 << 20
 SLICE = 12 << 20
 FLUSH = 2_000_000
+MOST_TASKS = 10_000
+#: Words, and pairs, that are answered by broadcast where the filter is too large for one; 24 bytes each.
+HOT = 1 << 19
+HOT_ENTRY = np.dtype([("key", "<u8"), ("found", "<f8"), ("exact", "<i8")])
 END = np.uint64(0x656E64206F662074)
 MAX_LEVEL = 110  # BASE ** MAX_LEVEL > 2 ** 63
 
@@ -141,10 +149,14 @@ def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def train(texts: DataFrame) -> DataFrame:
-    """Segments of texts(text): kind (1: words, 2: pairs), seg, of, n, filter; words' keys and counts."""
+SEGMENT = "kind int, seg int, of int, n long, total long, filter binary, keys binary, counts binary, hot binary"
+
+
+def train(texts: DataFrame, most_tasks: int = MOST_TASKS, hot: int = HOT) -> DataFrame:
+    """Segments of texts(text): kind (1: words, 2: pairs), seg, of, n, filter; words' keys and counts; frequent n-grams."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     of = max(4, -(-size // SEGMENT_TEXT))
+    often = max(2, -(-size // hot))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -171,23 +183,49 @@ def train(texts: DataFrame) -> DataFrame:
                     n = 0
         yield from flush()
 
+    def segment(kind: int, seg: int, parts: list) -> pa.RecordBatch:
+        keys, c = _added(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+        raw = make_filter(keys, c)
+        exact = (keys.tobytes(), c.tobytes()) if kind == 1 else (b"", b"")
+        row = [kind, seg, of, len(keys), int(c.sum()), raw, *exact, _frequent(keys, c, raw, often)]
+        types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["kind", "seg", "of", "n", "total", "filter", "keys", "counts", "hot"])
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[tuple[int, int], list] = {}
+        own, parts = None, []
         for b in batches:
             kind, seg, key, c = (np.asarray(x) for x in b.columns)
-            group = kind.astype(np.int64) * of + seg
-            for g in np.unique(group):
-                own = group == g
-                parts.setdefault((int(g // of), int(g % of)), []).append((key[own].astype(np.uint64), c[own]))
-        for (kind, seg), got in parts.items():
-            keys, c = _added(np.concatenate([k for k, _ in got]), np.concatenate([n for _, n in got]))
-            exact = (keys.tobytes(), c.tobytes()) if kind == 1 else (b"", b"")
-            row = [kind, seg, of, len(keys), int(c.sum()), make_filter(keys, c), *exact]
-            types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["kind", "seg", "of", "n", "total", "filter", "keys", "counts"])
+            cuts = [0, *(np.flatnonzero((kind[1:] != kind[:-1]) | (seg[1:] != seg[:-1])) + 1).tolist(), len(kind)]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                if at == end:
+                    continue
+                here = int(kind[at]), int(seg[at])
+                if here != own:
+                    if parts:
+                        yield segment(*own, parts)
+                    own, parts = here, []
+                parts.append((key[at:end].astype(np.uint64), c[at:end].copy()))
+        if parts:
+            yield segment(*own, parts)
+
+    counted = texts.select("text").mapInArrow(count, "kind int, seg int, key long, c long")
+    dealt = counted.repartition(min(2 * of, most_tasks), "kind", "seg").sortWithinPartitions("kind", "seg")
+    return materialise(dealt.mapInArrow(build, SEGMENT), "lm")
 
-    counted = texts.select("text").mapInArrow(count, "kind int, seg int, key long, c long").repartition(2 * of, "kind", "seg")
-    return materialise(counted.mapInArrow(build, "kind int, seg int, of int, n long, total long, filter binary, keys binary, counts binary"), "lm")
+
+def _frequent(keys: np.ndarray, counts: np.ndarray, raw: bytes, often: int) -> bytes:
+    """HOT_ENTRY of each key of at least so many occurrences; found is what the segment's filter answers."""
+    own = counts >= often
+    out = np.zeros(int(own.sum()), HOT_ENTRY)
+    out["key"], out["exact"], out["found"] = keys[own], counts[own], _alone(raw).counts(keys[own])
+    return out.tobytes()
+
+
+def _alone(raw: bytes) -> Filter:
+    """A filter of one segment, for keys that are known to be its."""
+    f = Filter({0: len(raw)}, 1)
+    f.put(0, raw)
+    return f
 
 
 class Sorted:
@@ -250,6 +288,11 @@ def _by_broadcast(rows: DataFrame, segments: DataFrame, of: int, n: int, v: int)
 
 
 def _by_probes(rows: DataFrame, segments: DataFrame, of: int, n: int, v: int) -> DataFrame:
+    often: dict[int, list[np.ndarray]] = {1: [], 2: []}
+    for r in segments.filter(F.octet_length("hot") > 0).select("kind", "hot").toLocalIterator():
+        often[r["kind"]].append(np.frombuffer(r["hot"], HOT_ENTRY))
+    hot = rows.sparkSession.sparkContext.broadcast({k: np.sort(np.concatenate([np.zeros(0, HOT_ENTRY), *x]), order="key") for k, x in often.items()})
+
     def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 33, 0
         for b in batches:
@@ -270,6 +313,7 @@ def _by_probes(rows: DataFrame, segments: DataFrame, of: int, n: int, v: int) ->
                     continue
                 toks = list(tokens(b.column(1).slice(at, end - at)))
                 for kind, keys in ((1, np.unique(np.concatenate(toks))), (2, np.unique(np.concatenate([pair_hashes(t) for t in toks])))):
+                    keys = keys[~np.isin(keys, hot.value[kind]["key"])]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(keys), kind, np.int32)), pa.array((keys % np.uint64(of)).astype(np.int32)), pa.array(keys.astype(np.int64)), pa.array(np.full(len(keys), numbers[at]))], names=["kind", "seg", "key", "batch"]
                     )
@@ -278,9 +322,7 @@ def _by_probes(rows: DataFrame, segments: DataFrame, of: int, n: int, v: int) ->
         keys = asked["key"].to_numpy().astype(np.uint64)
         found, exact = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
         for raw, k, c in zip(segment["filter"], segment["keys"], segment["counts"], strict=True):
-            f = Filter({key[1]: len(raw)}, of)
-            f.put(key[1], raw)
-            found = f.counts(keys)
+            found = _alone(raw).counts(keys)
             if key[0] == 1:
                 exact = Sorted(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)).counts(keys)
         return pd.DataFrame({"batch": asked["batch"], "kind": np.int32(key[0]), "key": asked["key"], "found": found, "exact": exact})
@@ -290,7 +332,12 @@ def _by_probes(rows: DataFrame, segments: DataFrame, of: int, n: int, v: int) ->
             return pd.DataFrame({c: [] for c in ("doc_id", "n_tokens", "n_known", "base_score", "score")})
         answers = answers.drop_duplicates(["kind", "key"])
         of_kind = {k: answers[answers["kind"] == k] for k in (1, 2)}
-        lookup = lambda k, c: Sorted(of_kind[k]["key"].to_numpy().astype(np.uint64), of_kind[k][c].to_numpy()).counts
+
+        def lookup(kind: int, c: str):
+            asked = Sorted(of_kind[kind]["key"].to_numpy().astype(np.uint64), of_kind[kind][c].to_numpy())
+            frequent = Sorted(hot.value[kind]["key"], hot.value[kind][c])
+            return lambda keys: asked.counts(keys) + frequent.counts(keys)  # no key is in both
+
         got = _scores(list(tokens(texts["text"])), lookup(1, "found"), lookup(2, "found"), lookup(1, "exact"), n, v)
         return pd.DataFrame(dict(zip(("doc_id", "n_tokens", "n_known", "base_score", "score"), (texts["doc_id"].astype("Int64"), *got), strict=True)))
 
@@ -298,7 +345,9 @@ def _by_probes(rows: DataFrame, segments: DataFrame, of: int, n: int, v: int) ->
     asked = texts.mapInArrow(probes, "kind int, seg int, key long, batch long")
     held = segments.select("kind", "seg", "filter", "keys", "counts")
     answers = asked.groupBy("kind", "seg").cogroup(held.groupBy("kind", "seg")).applyInPandas(answer, "batch long, kind int, key long, found double, exact long")
-    return materialise(texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(scored, OUT), "lm-scores")
+    out = materialise(texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(scored, OUT), "lm-scores")
+    hot.destroy()
+    return out
 
 
 def score(docs: DataFrame, segments: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:

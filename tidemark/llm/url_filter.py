@@ -119,22 +119,26 @@ def is_listed(key: Column, levels: list[bytes]) -> Column:
     return out
 
 
-def judge(pages: DataFrame, rules=RULES, blocklist=BLOCKLIST, key: str = "page_id", max_level_bytes: int = MAX_LEVEL_BYTES) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, blocklist: DataFrame | tuple[str, ...] = BLOCKLIST, key: str = "page_id", max_level_bytes: int = MAX_LEVEL_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict and listed_key (the listed domain, else null) of every row.
 
     The longest fitting rule decides (ties, of which equal rules alone have any: the earlier);
     where none fits, a url is blocked if its host or a parent domain is on the block list, of which
-    listed_key is the longest.
+    listed_key is the longest. The list is a DataFrame whose first column holds the domains, of any
+    number and in any letters' case, nulls and empty ones aside, or a few names; it stays a table.
     Repeated rows are judged each for itself; a null key stays null.
     """
     spark = pages.sparkSession
     split = pages.select(F.col(f"`{key}`").alias("page_id"), F.col("`url`").cast("string").alias("_url")).select(
         "page_id", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path")
     )
-    depth = max((k.count(".") + 1 for k in blocklist), default=1)
+    given = blocklist if isinstance(blocklist, DataFrame) else spark.createDataFrame([(k,) for k in blocklist], "key string")
+    names = given.select(ascii_lower(F.col(f"`{given.columns[0]}`").cast("string")).alias("key")).filter("key <> ''").distinct()
+    listed = materialise(names, "listed")
+    size = listed.agg(F.count("*").alias("n"), F.max(F.size(F.split("key", r"\."))).alias("labels")).first()
+    depth = size["labels"] or 1
     universe = split.select("host").distinct().select(F.explode(suffixes(F.col("host"), depth)).alias("key")).distinct()
-    listed = spark.createDataFrame([(k,) for k in sorted(set(blocklist))], "key string")
-    of = -(-len(set(blocklist)) * BITS_PER_KEY // (8 * max_level_bytes)) or 1
+    of = -(-size["n"] * BITS_PER_KEY // (8 * max_level_bytes)) or 1
     if of > 1:
         universe = materialise(universe, "cascade-keys")
     for s in range(of):

@@ -13,7 +13,9 @@ Fitting. Document frequencies are counted over all training rows, by features of
 are ``FEATURES``: that table is what the driver gets. Centroids and limits are fitted on a sample
 bounded by ``SAMPLE`` texts a language and ``SAMPLE_ALL`` in all: those of the smallest hashes
 of doc_id and text, each distinct one once, so refits agree. They come as sparse vectors. The
-broadcast model has at most ``CENTROIDS`` x ``MAX_LANGUAGES`` vectors of ``FEATURES`` floats.
+broadcast model has at most ``CENTROIDS`` x ``MAX_LANGUAGES`` vectors of ``FEATURES`` floats:
+where training rows name more languages, those of the most distinct texts are learned, ties by code
+point, and texts in the others go to the nearest of these or are rejected.
 
 Defined results: a text that is null, empty or without letters is ``und`` with score 0, and
 rejected; without training rows every text is ``und``; ties go to the language first in code
@@ -154,9 +156,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text:
     rows = labelled.select(
         F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{key}`").cast("string").alias("key")
     ).filter("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("key", "text"))
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(per) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not per:
         return {"langs": [], "owner": np.zeros(0, int), "centroids": np.zeros((0, FEATURES), np.float32), "idf": np.ones(FEATURES), "limits": {}}
     df, docs = document_frequencies(rows.select("text"))

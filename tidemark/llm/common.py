@@ -6,7 +6,8 @@ Conventions that hold for every operator of this subpackage:
   columns of the input, whatever they are called, can't clash with its own;
 * a null text is an empty text; empty tables give empty results of the same schema;
 * nothing is cached on one machine: lineage is cut by Parquet tables in the shared
-  folder that ``spark.checkpoint.dir`` names (:func:`materialise`).
+  folder that ``spark.checkpoint.dir`` names (:func:`materialise`), and are deleted when the
+  application ends, or before, at the end of a :func:`scratch` block.
 """
 
 from __future__ import annotations
@@ -58,6 +59,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -69,6 +71,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def at_exit(spark: SparkSession, path: str) -> None:
+    """The table is deleted when the application ends, if nothing did before."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

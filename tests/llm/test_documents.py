@@ -718,6 +718,17 @@ def test_near_pairs_at_the_bound(spark, threshold, small, large):
     assert [(r["a"], r["b"]) for r in spotsigs.near_pairs(documents(spark, rows), threshold).collect()] == [(1, 2)]
 
 
+def test_more_languages_than_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    letters = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
+    text = lambda k, i: " ".join(letters[k][(i + j) % 5] + letters[k][(i * j) % 5] + letters[k][j % 3] for j in range(30))
+    docs = documents(spark, [(i, text(k, i), k, "s") for k, n in (("aa", 20), ("bb", 12), ("cc", 4)) for i in range(n)])
+    model = langid.train(docs)
+    assert model["langs"] == ["aa", "bb"]
+    got = langid.identify(docs, model, ["lang"]).collect()
+    assert {r["lang_pred"] for r in got} == {"aa", "bb"} and all(r["lang"] == r["lang_pred"] for r in got if r["lang"] != "cc")
+
+
 # language model ---------------------------------------------------------------------------
 
 
@@ -755,10 +766,34 @@ def test_lm_broadcast_and_probes_agree(spark, odd, monkeypatch):
     monkeypatch.setattr(lm_score, "FLUSH", 30)
     assert key(lm_score.score(odd, seg, max_broadcast=0)) == one
     assert lm_score.score(odd.limit(0), seg, max_broadcast=0).count() == 0
+    rare = lm_score.train(odd.select("text"), hot=1)  # none is frequent: every n-gram asks its segment
+    assert key(lm_score.score(odd, rare, max_broadcast=0)) == one
     none = lm_score.train(odd.limit(0).select("text"))
     assert {(r["n_known"], r["train_tokens"]) for r in lm_score.score(odd, none).collect()} == {(0, 0)}
 
 
+def test_lm_segments_by_any_number_of_tasks(spark, odd, monkeypatch):
+    monkeypatch.setattr(lm_score, "SEGMENT_TEXT", 64)
+    rows = lambda df: sorted((r["kind"], r["seg"], r["n"], r["total"], r["filter"], r["keys"], r["counts"]) for r in df.collect())
+    many, one = (lm_score.train(odd.select("text"), most_tasks=k) for k in (lm_score.MOST_TASKS, 1))
+    assert rows(many) == rows(one) and len(rows(one)) > 20
+    assert len({(k, s) for k, s, *_ in rows(one)}) == len(rows(one))
+
+
+def test_lm_frequent_words_ask_no_segment(spark, monkeypatch):
+    """A word of every batch is answered by the broadcast; the rest goes to segments, and scores stay."""
+    monkeypatch.setattr(lm_score, "FLUSH", 10)
+    docs = documents(spark, [(i, f"common word w{i} x{i % 7} common word", "en", "s") for i in range(80)])
+    size = sum(len(f"common word w{i} x{i % 7} common word") for i in range(80))
+    seg = lm_score.train(docs.select("text"), hot=size // 60)
+    word = {w: int(next(lm_score.tokens([w]))[0]) for w in ("common", "word", "w3", "x3")}
+    found = {k: np.concatenate([np.frombuffer(r["hot"], lm_score.HOT_ENTRY) for r in seg.collect() if r["kind"] == k]) for k in (1, 2)}
+    assert dict(zip(found[1]["key"].tolist(), found[1]["exact"].tolist(), strict=True)) == {word["common"]: 160, word["word"]: 160, int(lm_score.END): 80}
+    assert sorted(found[2]["exact"].tolist()) == [80, 160]
+    key = lambda df: sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in df.collect())
+    assert key(lm_score.score(docs, seg, max_broadcast=0)) == key(lm_score.score(docs, seg))
+
+
 def test_lm_score_equals_plain_loops(spark, odd):
     seg = lm_score.train(odd.select("text"))
     words_, pairs, n, v = lm_of(seg)

@@ -274,6 +274,22 @@ def test_listed_key_is_the_longest(spark):
         assert [r["listed_key"] for r in got] == want and [r["verdict"] for r in got] == ["block" if k else "allow" for k in want]
 
 
+def test_list_as_a_table(spark):
+    """A list of any size, with other columns, repeats, upper case, nulls and empty names, in many segments."""
+    rows = spark.range(400).selectExpr("id AS page_id", "concat('http://h', id % 97, '.d', id % 31, '.net/x') AS url")
+    listed = spark.range(5000).selectExpr("concat(IF(id % 2 = 0, 'D', 'H'), id % 40, IF(id % 2 = 0, '', concat('.d', id % 29)), '.net') AS domain", "id AS key")
+    listed = listed.unionByName(spark.createDataFrame([(None, 1), ("", 2)], "domain string, key long"))
+    names = {r["domain"].lower() for r in listed.collect() if r["domain"]}
+    want = {}
+    for r in rows.collect():
+        host = r["url"][7:-2]
+        want[r["page_id"]] = next((k for k in (host, host.split(".", 1)[1], "net") if k in names), None)
+    assert None in want.values() and len(set(want.values())) > 20
+    for level in (url_filter.MAX_LEVEL_BYTES, 64):
+        got = {r["page_id"]: r["listed_key"] for r in url_filter.judge(rows, rules=(), blocklist=listed, max_level_bytes=level).collect()}
+        assert got == want
+
+
 def test_cascade_is_exact(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BITS_PER_KEY", 2)
     monkeypatch.setattr(url_filter, "PROBES", 1)

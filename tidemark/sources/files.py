@@ -72,7 +72,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def kept(df: DataFrame, name: str, made: list[str] | None = None, counts: dict[str, Column] | None = None) -> DataFrame:
     """df as a table of the shared folder: it stays whatever becomes of executors or of what it was read from.
 
-    Its path is added to made. counts are aggregates that the write observes on its way, in place
+    Its path is added to made; it is deleted at the application's end, if nothing did before. counts are aggregates that the write observes on its way, in place
     of a job of their own; their values take the columns' places.
     """
     path = shared_path(df.sparkSession, name)
@@ -82,6 +82,8 @@ def kept(df: DataFrame, name: str, made: list[str] | None = None, counts: dict[s
         counts.update(seen.get)
     else:
         df.write.parquet(path)
+    fs, p = _fs(df.sparkSession, path)
+    fs.deleteOnExit(p)
     if made is not None:
         made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -359,11 +359,35 @@ def exact_bins(items, capacity, bins=()):
 # mixing -----------------------------------------------------------------------------------
 
 
-def test_targets():
-    assert mixing.targets({}) == {}
-    got = mixing.targets({"a": 100, "b": 1000, "c": 5, None: 50})
+def plain_targets(sizes, weights=(1, 2, 3), cap=3):
+    """By the contract's words: shares by weight, what is above the cap dealt again to the others."""
+    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    goal, left = {}, sum(sizes.values())
+    while len(goal) < len(sizes):
+        unit = left / sum(w for s, w in weight.items() if s not in goal)
+        above = [s for s in names if s not in goal and unit * weight[s] > cap * sizes[s]]
+        goal |= {s: float(cap * sizes[s]) for s in above} if above else {s: unit * weight[s] for s in names if s not in goal}
+        left = sum(sizes.values()) - sum(cap * sizes[s] for s in goal) if above else 0
+    return goal
+
+
+def test_targets(spark):
+    def targets(sizes):
+        rows = [("0" if s is None else "1" + s, n) for s, n in sizes.items()]
+        out = mixing.targets(spark.createDataFrame(rows, "skey string, words long").repartition(3)).collect()
+        assert {(r["skey"], r["source_size"]) for r in out} == set(rows)
+        return {r["skey"][1:] if r["skey"] != "0" else None: r["target"] for r in out}
+
+    assert targets({}) == {}
+    got = targets({"a": 100, "b": 1000, "c": 5, None: 50})
     assert got["c"] == 15.0 and got[None] == 150.0 and got["a"] == 300.0 and got["b"] == pytest.approx(690)
-    assert mixing.targets({"a": 0, "b": 0}) == {"a": 0.0, "b": 0.0}
+    assert targets({"a": 0, "b": 0}) == {"a": 0.0, "b": 0.0}
+    assert targets({"": 4, None: 9, "\U0001f600": 70, "\uffee": 3}) == pytest.approx(plain_targets({"": 4, None: 9, "\U0001f600": 70, "\uffee": 3}))
+    rng = random.Random(5)
+    many = {f"s{rng.random()}": int(rng.paretovariate(0.6)) for _ in range(2000)} | {None: 77}
+    got, want = targets(many), plain_targets(many)
+    assert got == pytest.approx(want) and sum(got.values()) == pytest.approx(sum(many.values()))
 
 
 def test_knapsack_is_exact():
@@ -385,7 +409,7 @@ def test_mixing(spark, odd, none):
     size, total = collections.Counter(), 0
     for _, t, _, s in odd.rows:
         size[s] += len(words(t))
-    goal = mixing.targets(dict(size))
+    goal = plain_targets(dict(size))
     taken = collections.Counter()
     for r in got:
         assert r["taken"] == r["times"] * r["size"] and 0 <= r["times"] <= 3

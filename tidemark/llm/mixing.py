@@ -14,8 +14,8 @@ are shuffled once. The histogram is pre-aggregated before its shuffle and has a
 length and hash bucket. Ranking by hash needs only the one bucket in which a length's quota ends,
 so a length or source with a third of all rows is never sorted in one task, and gives the hash up
 to which documents are taken; the join of documents with quotas is salted. Where rows of one
-doc_id and length share that last hash and only some are taken, these alone are numbered. The
-driver holds one row for each source.
+doc_id and length share that last hash and only some are taken, these alone are numbered. Sources
+and their targets are a table, of any number.
 
 Defined results: null text has size 0; null source is a source of its own, last in order; words
 of a source of size 0 are 0; repeated rows count and are taken each for itself (rows of equal
@@ -48,22 +48,34 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict[str | None, int], weights=WEIGHTS, cap: int = MAX_REPEATS) -> dict[str | None, float]:
-    """Shares of all words by weight; none above cap times its source, the excess dealt again."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    out: dict[str | None, float] = {}
-    left, open_ = float(sum(sizes.values())), list(order)
-    while open_:
-        unit = left / sum(weight[s] for s in open_)
-        full = [s for s in open_ if unit * weight[s] > cap * sizes[s]]
-        if not full:
-            return out | {s: unit * weight[s] for s in open_}
-        for s in full:
-            out[s] = float(cap * sizes[s])
-            left -= cap * sizes[s]
-        open_ = [s for s in open_ if s not in out]
-    return out
+def targets(sources: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS) -> DataFrame:
+    """skey, source_size and target of sources(skey, words): shares of all words by weight, none above cap times its source.
+
+    Weights go by place in the order of names. Sources are numbered by ranges of names, and the words
+    that a weight of 1 gets are found by sums over them: a source whose share would exceed cap times
+    its words has just these, which raises what the others get and may make more of them full; the
+    sums repeat until none is added. The driver gets two numbers a round.
+    """
+    order = [F.col("skey") == "0", F.col("skey")]
+    ranged = materialise(sources.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    before = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = before.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    # before has a row a partition
+    placed = materialise(ranged.join(F.broadcast(before), "range").select("skey", "words", weight.alias("weight")), "mix-sources")
+
+    total = placed.agg(F.sum("words")).first()[0] or 0
+    unit, full = None, F.lit(False)
+    while True:
+        got = placed.agg(F.sum(F.when(full, cap * F.col("words"))).alias("taken"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        more = (total - (got["taken"] or 0)) / got["open"] if got["open"] else unit or 0.0
+        if more == unit:
+            break
+        unit = more
+        full = F.lit(unit) * F.col("weight") > cap * F.col("words")
+    target = F.when(full, (cap * F.col("words")).cast("double")).otherwise(F.lit(unit) * F.col("weight"))
+    return placed.select("skey", F.col("words").alias("source_size"), target.alias("target"))
 
 
 def _places(bits: int) -> np.ndarray:
@@ -194,19 +206,17 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, cap: int = MAX_REPEA
 
     thin = materialise(rows.select("skey", "size", "h", "bucket"), "mix-thin")
     hist = materialise(thin.groupBy("skey", "size", "bucket").agg(F.count("*").alias("n")), "mix-hist")
-    sizes = {r["skey"]: r["words"] for r in hist.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()}
-    goal = targets({None if k == "0" else k[1:]: v for k, v in sizes.items()}, weights, cap)
-    plan = {k: (v, goal[None if k == "0" else k[1:]]) for k, v in sizes.items()}
+    goals = targets(hist.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("words")), weights, cap)
 
     def quotas(pdf: pd.DataFrame) -> pd.DataFrame:
-        words, target = plan[pdf["skey"].iloc[0]]
+        words, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
         base = min(cap, int(target // words)) if words else 0
         budget = min(words, round(target) - base * words) if base < cap else 0
         pdf = pdf.sort_values("size")
         pdf["k"] = fit(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), budget)
-        return pdf.assign(base=base, source_size=words, target=target)[["skey", "size", "k", "base", "source_size", "target"]]
+        return pdf.assign(base=base)[["skey", "size", "k", "base", "source_size", "target"]]
 
-    quota = hist.groupBy("skey", "size").agg(F.sum("n").alias("n")).groupBy("skey").applyInPandas(
+    quota = hist.groupBy("skey", "size").agg(F.sum("n").alias("n")).join(goals, "skey").groupBy("skey").applyInPandas(
         quotas, "skey string, size long, k long, base int, source_size long, target double"
     )
     # the bucket in which a quota ends, and how many documents of that bucket it takes

@@ -289,6 +289,32 @@ def test_word_cache_is_bounded_in_bytes(monkeypatch):
     assert words["old"] and 100 * 300 not in map(len, words["young"])
 
 
+def test_words_of_letters_go_to_the_model_at_once(monkeypatch):
+    """They are held without the comma or full stop after them; only others pass the whole tokenizer."""
+    monkeypatch.setattr(packing, "_tokenizers", {})
+    path, passed = packing.default_tokenizer(), []
+    packing.encoder(path)
+    tok, words = packing._tokenizers[path]
+
+    class Noting:
+        encode, model = tok.encode, tok.model
+
+        def encode_batch_fast(self, texts, **options):
+            passed.extend(texts)
+            return tok.encode_batch_fast(texts, **options)
+
+    packing._tokenizers[path] = (Noting(), words)
+    encode = packing.encoder(path)
+
+    def right(text):
+        return list(np.frombuffer(encode(text), "<u4")) == [*tok.encode(text, add_special_tokens=False).ids, 0]
+
+    assert right("Some words, some Words. words., some") and set(words["young"]) == {b"some", b"words", b",", b".", b".,"} and sorted(passed) == [",", ".", ".,"]
+    assert all(right(chr(c) + "a" + chr(c)) and right(f"x{chr(c)}, {chr(c)}") for c in range(0x20, 0x300))
+    assert right("it's, 1,000.5 a,b.c x,'s x.'ll \u00c9\u00df\u01c5, na\u00efve. \u0130, \u2028 \u2028, e.g., a,\u200d.")
+    assert right("\0 new\0er, \0\0 a\0 other\0.") and right("<|endoftext|>, x<|startoftext|>. A,\u0301 b.\u0338 \u00c4Rger")
+
+
 def test_the_bound_decides_what_is_given_up():
     import pandas as pd
 

@@ -2,7 +2,8 @@
 
 1. Tokenise: text -> ids, then id 0; documents above the capacity are cut into pieces of it.
    Words are encoded once per worker: white space separates this tokenizer's words, so the ids
-   of a text are those of its white-space-delimited chunks, one after the other.
+   of a text are those of its white-space-delimited chunks, one after the other. A comma or full
+   stop after a letter is a chunk of its own.
 2. Pieces are dealt evenly over partitions of at most ``PARTITION`` pieces; each runs best-fit
    decreasing and compares its bins with lower bounds from dual feasible functions
    (:func:`lower_bound`). One that meets them is certified: its pieces alone can't take fewer
@@ -25,8 +26,11 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pandas as pd
@@ -48,6 +52,12 @@ MAX_ROUNDS = 8
 _tokenizers: dict[str, tuple] = {}
 #: Bytes of characters from U+0300 on, where combining marks are, but for U+2000 to U+203F: dashes, quotes and the like.
 _MARKS = re.compile(rb"[\xcc-\xe1\xe3-\xff]|\xe2[^\x80]")
+#: Bytes below those that begin such a mark; a text of no others needs no search.
+_LATIN = bytes(range(0xCC))
+#: What byte-level vocabularies write for bytes that aren't printable Latin-1 characters.
+_BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+#: Signs right after a letter: no token holds both, so a space between them changes none.
+_COMMA, _STOP = re.compile(rb",(?<=[a-z],)"), re.compile(rb"\.(?<=[a-z]\.)")
 
 
 def _is_plain(word: bytes) -> bool:
@@ -78,42 +88,59 @@ def encoder(path: str):
         tok.encode_special_tokens = True
         _tokenizers[path] = (tok, {"young": {}, "old": {}, "held": 0})
     tok, words = _tokenizers[path]
+    model = tok.model
 
-    def put(word: bytes, ids: bytes) -> None:
-        words["young"][word] = ids
-        words["held"] += len(word) + len(ids) + 150
+    def put(found: dict[bytes, bytes]) -> None:
+        words["young"].update(found)
+        words["held"] += sum(map(len, found)) + sum(map(len, found.values())) + 150 * len(found)
 
     def recall(chunks: set[bytes]) -> set[bytes]:
         """Those of chunks that no generation has; what the old one has moves up."""
         missing = chunks.difference(words["young"])
-        for w in [w for w in missing if w in words["old"]]:
-            put(w, words["old"][w])
-            missing.discard(w)
-        return missing
+        put(moved := {w: ids for w, ids in zip(missing, map(words["old"].get, missing), strict=True) if ids is not None})
+        return missing.difference(moved)
+
+    def ids_of(new: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words of plain letters go to the model at once: what is before it lowers them and keeps them whole."""
+        other = []
+        for w in new:
+            if w.isalpha() or _is_plain(w):
+                text = w.decode().lower()
+                tokens = model.tokenize(text if w.isascii() else text.encode().decode("latin-1").translate(_BYTE_CHARS))
+                yield w, struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            else:
+                other.append(w)
+        if other:
+            for w, e in zip(other, tok.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
+                yield w, np.array(e.ids, dtype="<u4").tobytes()
 
     def learn(chunks: set[bytes]) -> None:
-        whole, split = set(), []
+        whole, parts, split = [], set(), []
         for c in chunks:
             word = c.rstrip(b".,!*%$&#?;:")
             if len(word) < len(c) and (word.isalpha() or _is_plain(word)):
                 split.append((c, word, c[len(word):]))
-                whole.update(split[-1][1:])
+                parts.update(split[-1][1:])
             else:
-                whole.add(c)
-        new = list(recall(whole))
-        for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            put(w, np.array(e.ids, dtype="<u4").tobytes())
-        for c, word, rest in split:
-            put(c, words["young"][word] + words["young"][rest])
+                whole.append(c)
+        if new := [*whole, *recall(parts.difference(whole))]:
+            put(dict(ids_of(new)))
+        young = words["young"]
+        put({c: young[word] + young[rest] for c, word, rest in split})
 
     def encode(text: str | None) -> bytes:
         raw = (text or "").encode("utf-8", "replace")
-        chunks = (raw if _MARKS.search(raw) else raw.lower()).split()  # T with a mark may compose otherwise than t with it
+        if not raw.translate(None, _LATIN) or not _MARKS.search(raw):  # T with a mark may compose otherwise than t with it
+            raw = _STOP.sub(b" .", _COMMA.sub(b" ,", raw.lower()))
+        chunks = raw.split()
         if words["held"] > CACHED_BYTES:
             words.update(young={}, old=words["young"], held=0)
-        if new := recall(set(chunks)):
-            learn(new)
-        return b"".join(map(words["young"].__getitem__, chunks)) + b"\0\0\0\0"
+        found = list(map(words["young"].get, chunks))
+        if not all(found):
+            if new := recall(set(compress(chunks, map(not_, found)))):
+                learn(new)
+            found = map(words["young"].__getitem__, chunks)
+        return b"".join(found) + b"\0\0\0\0"
 
     return encode
 

@@ -158,6 +158,28 @@ def test_a_passage_in_a_third_of_all_rows(spark):
     assert removed(spark, texts) == wanted(texts)
 
 
+def passage_of(rng, words, size):
+    """As many words as asked, size bytes together."""
+    long, more = divmod(size - words + 1, words)
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(long + (i < more))) for i in range(words))
+
+
+def test_passages_go_by_their_bytes_not_by_their_words(spark):
+    """Passages of over 50 words go from 400 bytes on; shorter ones stay, however many documents hold them."""
+    rng = random.Random(11)
+    noise = lambda: "".join(rng.choice("klmnop ") for _ in range(rng.randint(60, 400)))
+    sizes = [(51, 399), (51, 400), (60, 373), (70, 450), (40, 420)]
+    passages = [passage_of(rng, *x) for x in sizes]
+    assert [(len(p.split()), len(p)) for p in passages] == sizes
+    texts = [f"{noise()}<{i}{p}{i}>{noise()}" for p in passages for i in range(4)] + [noise() + noise() for _ in range(9)]
+    got = removed(spark, texts)
+    assert got == wanted(texts)
+    gone = [size if size >= 400 else 0 for _, size in sizes for _ in range(4)] + [0] * 9
+    by_id = {r[0]: r for r in got}
+    assert [by_id[i][2] for i in range(len(texts))] == gone
+    assert [by_id[i][1] for i in range(len(texts))] == [len(t) for t in texts]
+
+
 # ranked search --------------------------------------------------------------------------------
 
 

@@ -65,25 +65,32 @@ def select(rows: DataFrame, personal: DataFrame, f: FacetQuery, today: str, post
     return with_overlay(rows, personal).filter(predicate(f, today))
 
 
-def _sort_value(sort: str) -> tuple[Column, bool]:
+def _plain_value(sort: str) -> Column:
+    return {"updated": F.coalesce("upstream_updated", F.lit("")), "first_seen": F.coalesce("first_seen", F.lit("")), "title": F.col("title"), "company": F.coalesce(F.get("companies", F.lit(0)), F.lit("~"))}[sort]
+
+
+def _sort_value(sort: str, value: Column | None = None) -> tuple[Column, bool]:
     """What rows are sorted by before (key, id), and whether descending."""
-    return {
-        "updated": (F.coalesce("upstream_updated", F.lit("")), True),
-        "first_seen": (F.coalesce("first_seen", F.lit("")), True),
-        "title": (F.collate(F.col("title"), "UNICODE"), False),
-        "company": (F.collate(F.coalesce(F.get("companies", F.lit(0)), F.lit("~")), "UNICODE"), False),
-    }[sort]
+    value, falling = _plain_value(sort) if value is None else value, sort in ("updated", "first_seen")
+    return value if falling else F.collate(value, "UNICODE"), falling
 
 
-def sort_keys(sort: str) -> list[Column]:
+def sort_keys(sort: str, value: Column | None = None) -> list[Column]:
     """Orders of the list; ties stay in dataset order, (key, id)."""
-    value, falling = _sort_value(sort)
+    value, falling = _sort_value(sort, value)
     return [value.desc() if falling else value.asc(), F.asc("key"), F.asc("id")]
 
 
+#: Rows before a page that a task may hold and send.
+SHALLOW = 1_000
+
+
 def page(rows: DataFrame, sort: str, offset: int, limit: int) -> DataFrame:
-    """A page by its number of rows before it; all of these go through one task, so deep pages are for :func:`page_after`."""
-    return rows.orderBy(*sort_keys(sort)).offset(offset).limit(limit)
+    """A page by its number of rows before it; a deep one is that behind the place of the last of these."""
+    if offset <= SHALLOW:
+        return rows.orderBy(*sort_keys(sort)).offset(offset).limit(limit)
+    place = place_at(rows, sort, offset)
+    return rows.limit(0) if place is None else page_after(rows, sort, place, limit)
 
 
 @dataclass(frozen=True)
@@ -101,6 +108,21 @@ def place_of(row, sort: str) -> Place:
     return Place(value, row["key"], row["id"])
 
 
+def place_at(rows: DataFrame, sort: str, number: int) -> Place | None:
+    """The place of the row of a number, from 1, or None; rows hold an id once.
+
+    What rows are sorted by is sorted by ranges and counted, whatever the number: one row comes to the driver.
+    """
+    made: list[str] = []
+    try:
+        values = rows.select(_plain_value(sort).alias("value"), "key", "id")
+        found = files.numbered(values, sort_keys(sort, F.col("value")), "places", made).filter(F.col("place") == number).first()
+    finally:
+        for path in made:
+            files.delete(rows.sparkSession, path)
+    return Place(found["value"], found["key"], found["id"]) if found else None
+
+
 def page_after(rows: DataFrame, sort: str, place: Place | None, limit: int) -> DataFrame:
     """The ``limit`` rows behind a place, the first ones without one.
 
@@ -110,8 +132,8 @@ def page_after(rows: DataFrame, sort: str, place: Place | None, limit: int) -> D
     if place is not None:
         value, falling = _sort_value(sort)
         at = F.lit(place.value) if falling else F.collate(F.lit(place.value), "UNICODE")
-        behind = value < at if falling else value > at
-        rows = rows.filter(behind | (value == at) & ((F.col("key") > place.key) | (F.col("key") == place.key) & (F.col("id") > place.id)))
+        behind, same = (value.isNotNull(), value.isNull()) if place.value is None else (value < at if falling else value > at, value == at)  # nulls come first
+        rows = rows.filter(behind | same & ((F.col("key") > place.key) | (F.col("key") == place.key) & (F.col("id") > place.id)))
     return rows.orderBy(*sort_keys(sort)).limit(limit)
 
 

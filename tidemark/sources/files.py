@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,6 +89,19 @@ def kept(df: DataFrame, name: str, made: list[str] | None = None, counts: dict[s
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(table: DataFrame) -> DataFrame:
+    """A stored table that was written in order, with ``place`` from 1: files are counted, and rows stand in them as they were written."""
+    at = table.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    counts = at.groupBy("_file").agg(F.count("*").alias("_n")).select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return at.join(F.broadcast(counts), "_file").withColumn("place", F.col("_before") + F.col("_row") + 1).drop("_file", "_row", "_before")  # a row a file
+
+
+def numbered(df: DataFrame, sort: list[Column], name: str, made: list[str] | None = None) -> DataFrame:
+    """df with ``place``, the number from 1 of each row in the order: sorted by ranges into a kept table, so that no task has all rows."""
+    return placed(kept(df.orderBy(*sort), name, made))
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file's whole text, None where there is none."""
     if not exists(spark, path):

@@ -47,20 +47,21 @@ class Dataset:
     right: DataFrame
 
 
-def build(spark: SparkSession, docs: DataFrame, today: str, keep=DataFrame.persist, sources=files.SOURCES) -> Dataset:
-    """Records of the day and what was odd about them, from documents(source, text)."""
+def build(spark: SparkSession, lines: DataFrame, today: str, keep=DataFrame.persist, sources=files.SOURCES) -> Dataset:
+    """Records of the day and what was odd about them, from the documents' lines(source, pos, line)."""
     meta = files.registry(spark, sources)
-    texts = docs.join(F.broadcast(meta.select("source")), "source")
-    found, rows = tables.find_tables(texts)
-    headers = tables.registry(spark)
-    unread = tables.unread_sources(texts, found, headers).collect()  # a row a bad source
+    found, rows = tables.tables_in(lines.join(F.broadcast(meta.select("source")), "source"))
+    found, headers = keep(found), tables.registry(spark)
+    unread = tables.unread_sources(meta, found, headers).collect()  # a row a bad source
     if unread:
         raise UnknownSchema("; ".join(f"{r['source']}: no recognised table header, saw {r['headers']}" for r in unread))
     chosen = tables.question_tables(found, headers)
-    raw = tables.raw_rows(rows, chosen, meta)
-    lines = docs.filter(F.col("source") == sources[0].path).select("source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    names = vocab.json_names(docs.filter(F.col("source") == files.VOCABULARY)).withColumn("authoritative", F.lit(True))
-    names = names.unionByName(vocab.listed_names(lines).select("name", "ord", F.lit(False).alias("authoritative")), allowMissingColumns=True)
+    raw = keep(tables.raw_rows(rows, chosen, meta))
+    main = lines.filter(F.col("source") == sources[0].path).select("source", F.col("pos").alias("line_no"), "line")
+    own = lines.filter(F.col("source") == files.VOCABULARY).groupBy("source")  # one JSON text
+    own = own.agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "line")))["line"], "\n").alias("text"))
+    names = vocab.json_names(own).withColumn("authoritative", F.lit(True))
+    names = names.unionByName(vocab.listed_names(main).select("name", "ord", F.lit(False).alias("authoritative")), allowMissingColumns=True)
     good = vocab.split_cells(raw.filter("problem IS NULL"), vocab.vocabulary(names))
     ids = keep(normalize.with_ids(good))
     group = ids.join(F.broadcast(meta.select("source", "group")), "source")
@@ -103,8 +104,10 @@ def _warnings(issues: DataFrame, conflicts: DataFrame) -> list[str]:
 
 def _sync(spark, root: str, source, today: str, version: str, changelog: str | None, dry_run: bool, made: list[str]) -> Outcome:
     # what several steps read is a table of the shared folder: it's read once, and no lost executor makes it another
-    docs = source.documents(spark, version, made=made) if isinstance(source, remote.Remote) else files.kept(files.read_documents(spark, source), "documents", made)
-    data = build(spark, docs, today, lambda df: files.kept(df, "rows", made))
+    docs = source.documents(spark, version, made=made) if isinstance(source, remote.Remote) else None
+    lines = files.read_documents(spark, source, made=made) if docs is None else tables.text_lines(docs)
+    digests = {s: files.digest(spark, p) for s, p in sorted(files.documents_at(spark, source).items())} if docs is None else {r["source"]: r["d"] for r in docs.select("source", source_digest(F.col("text")).alias("d")).orderBy("source").collect()}
+    data = build(spark, lines, today, lambda df: files.kept(df, "rows", made))
     seen = guards.counts()
     current = files.kept(data.current, "current", made, seen)
     previous, next_ = dataset.problems(spark, root), dataset.number(spark, root) + 1
@@ -135,14 +138,13 @@ def _sync(spark, root: str, source, today: str, version: str, changelog: str | N
             text = files.kept(sinks.change_document(d.changes, d.ambiguous, today, out.counts), "document", made)
             for name in (today, "latest"):
                 record(f"changes/{name}.json", sinks.write_document(text, f"{root}/changes/{name}.json"))
-        lines = sinks.changelog_lines(d.changes, d.ambiguous, d.snapshot, today, where=None if whole else f"data/changes/date={today}")
-        record("changelog", sinks.update_changelog(spark, changelog or f"{root}/CHANGELOG.md", today, lines))
+        log = sinks.changelog_lines(d.changes, d.ambiguous, d.snapshot, today, where=None if whole else f"data/changes/date={today}")
+        record("changelog", sinks.update_changelog(spark, changelog or f"{root}/CHANGELOG.md", today, log))
     # the index names the snapshot that it's of: the next one, if there is to be one
     posted, prefixed = dataset.update_index(spark, root, previous, d.snapshot, d.changes, next_ if plan else next_ - 1)
     record("postings", bool(posted.replaced or posted.dropped))
     record("prefixes", bool(prefixed.replaced or prefixed.dropped))
     record("problems", bool(plan) and bool(plan.write(seen=today, live=live)))
-    digests = {r["source"]: r["d"] for r in docs.select("source", source_digest(F.col("text")).alias("d")).orderBy("source").collect()}
     now = datetime.datetime.now(datetime.UTC).replace(microsecond=0).isoformat()
     doc = {"version": version, "synced_at": now, "sources": digests, "counts": {"live": live, "tombstoned": total - live, "total": total, **out.counts}, "warnings": warnings}
     record("meta.json", files.write_text(spark, f"{root}/meta.json", sinks.compact(doc)), counts=False)

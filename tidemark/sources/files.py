@@ -173,20 +173,71 @@ def registry(spark: SparkSession, sources=SOURCES) -> DataFrame:
     return spark.createDataFrame(rows, "source string, source_ord int, group string, format_hint string")
 
 
-def read_documents(spark: SparkSession, folder: str, sources=SOURCES, vocabulary: str | None = VOCABULARY) -> DataFrame:
-    """source, text of the expected files, looked up by their last name in one folder."""
-    wanted = [s.path for s in sources] + ([vocabulary] if vocabulary else [])
-    by_name = {w.rsplit("/", 1)[-1]: w for w in wanted}
-    missing = [n for n in by_name if not exists(spark, f"{folder}/{n}")]
-    if missing:
+def _parts(spark: SparkSession, path: str) -> list:
+    """The files of a document, in order: itself, or the part files of a folder that Spark wrote."""
+    fs, p = _fs(spark, path)
+    if not fs.getFileStatus(p).isDirectory():
+        return [p]
+    return [f for f in sorted((s.getPath() for s in fs.listStatus(p)), key=lambda f: f.getName()) if not f.getName().startswith(("_", "."))]
+
+
+def _starts_with_mark(spark: SparkSession, path: str) -> bool:
+    """Whether a document starts with a byte order mark, which Spark's lines lack and the text has."""
+    for f in _parts(spark, path)[:1]:
+        stream = f.getFileSystem(spark._jsc.hadoopConfiguration()).open(f)
+        try:
+            return [stream.read() for _ in range(3)] == [0xEF, 0xBB, 0xBF]
+        finally:
+            stream.close()
+    return False
+
+
+def digest(spark: SparkSession, path: str) -> str:
+    """As :func:`~tidemark.functions.text.source_digest` of a document's text. A digest needs all bytes one after the other: they stream through a small buffer."""
+    codec = spark._jvm.org.apache.commons.codec.digest.DigestUtils
+    whole = codec.getSha256Digest()
+    for f in _parts(spark, path):
+        stream = f.getFileSystem(spark._jsc.hadoopConfiguration()).open(f)
+        try:
+            codec.updateDigest(whole, stream)
+        finally:
+            stream.close()
+    return bytes(whole.digest()).hex()
+
+
+def numbered_lines(spark: SparkSession, paths: dict[str, str], made: list[str] | None = None) -> DataFrame:
+    """source, pos (from 0), line of the documents at paths by source, read in blocks by as many tasks.
+
+    A line's number is its place in its block and the lines of the blocks before. An empty last line isn't there.
+    """
+    names = spark.createDataFrame([(str(f.toUri().getPath()), i, source, _starts_with_mark(spark, path)) for source, path in paths.items() for i, f in enumerate(_parts(spark, path))], "path string, part int, source string, mark boolean")
+    path = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+    read = spark.read.text(list(paths.values()), lineSep="\n").select(path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    read = kept(read, "lines", made).join(F.broadcast(names), "path")  # a row a file
+    before = Window.partitionBy("source").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = read.groupBy("source", "part", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    blocks = kept(blocks.select("source", "part", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "blocks", made)
+    pos = F.col("before") + F.col("at") - F.col("first")
+    line = F.when(F.col("mark") & (pos == 0), F.concat(F.lit("\ufeff"), "line")).otherwise(F.col("line"))
+    return read.join(F.broadcast(blocks), ["source", "part", "block"]).select("source", pos.alias("pos"), line.alias("line"))  # a row a block
+
+
+def documents_at(spark: SparkSession, folder: str, sources=SOURCES, vocabulary: str | None = VOCABULARY) -> dict[str, str]:
+    """The paths of the expected documents by source, looked up by their last name in one folder; each is a file or a folder of part files."""
+    by_source = {w: f"{folder}/{w.rsplit('/', 1)[-1]}" for w in [*(s.path for s in sources), *([vocabulary] if vocabulary else [])]}
+    if missing := [p.rsplit("/", 1)[-1] for p in by_source.values() if not exists(spark, p)]:
         raise SourceError(f"{folder} is missing {', '.join(sorted(missing))}")
-    read = spark.read.text([f"{folder}/{n}" for n in by_name], wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
-    names = spark.createDataFrame(list(by_name.items()), "name string, source string")
-    docs = read.join(F.broadcast(names), "name").select("source", "text")
-    empty = [r[0] for r in docs.filter(F.regexp_like("text", F.lit(r"^\s*$"))).select("source").collect()]
-    if empty:
+    return by_source
+
+
+def read_documents(spark: SparkSession, folder: str, sources=SOURCES, vocabulary: str | None = VOCABULARY, made: list[str] | None = None) -> DataFrame:
+    """source, pos, line of the expected documents of one folder, read once into the shared folder."""
+    paths = documents_at(spark, folder, sources, vocabulary)
+    lines = kept(numbered_lines(spark, paths, made), "documents", made)
+    full = {r[0] for r in lines.filter(~F.rlike("line", F.lit(r"^\s*$"))).select("source").distinct().collect()}
+    if empty := set(paths) - full:
         raise SourceError(f"empty: {', '.join(sorted(empty))}")
-    return docs
+    return lines
 
 
 def table_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -239,7 +290,7 @@ class Bundle:
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """The nested catalogue of a JSON file, or of a url."""
+    """The nested catalogue of a JSON file, of a folder of such files, or of a url."""
     from ..operators.match import OriginError
     from ..schema import CATALOGUE
     from . import remote

@@ -1,6 +1,7 @@
 """What must not pass through the driver or one task whole, on small tables."""
 
 import hashlib
+import json
 import os
 import random
 import re
@@ -14,7 +15,7 @@ from tidemark.operators import facets
 from tidemark.operators import tables as T
 from tidemark.plans import queries as Q
 from tidemark.plans.sync import sync
-from tidemark.sources import dataset, files
+from tidemark.sources import dataset, files, sinks
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
@@ -95,6 +96,18 @@ def test_documents_of_both_versions_are_made_by_lines(spark):
     assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_days_document_holds_all_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "DOCUMENT_MOST", 1, raising=False)
+    root, docs = str(tmp_path / "data"), str(tmp_path / "docs")
+    write(docs, ROWS)
+    out = sync(spark, root, docs, "2024-02-01", "version-1")
+    doc = json.loads((tmp_path / "data/changes/2024-02-01.json").read_text(encoding="utf-8"))
+    assert len(doc["changes"]) == len(ROWS) == doc["counts"]["added"] and [x["key"] for x in doc["changes"]] == sorted(x["key"] for x in doc["changes"]) and doc["ambiguous_relinks"] == []
+    assert "changes/latest.json" in out.written and (tmp_path / "data/changes/latest.json").read_text() == (tmp_path / "data/changes/2024-02-01.json").read_text()
+    meta = json.loads((tmp_path / "data/meta.json").read_text())
+    assert meta["sources"] == {s: hashlib.sha256((tmp_path / "docs" / s.rsplit("/", 1)[-1]).read_bytes()).hexdigest() for s in sorted([*(x.path for x in files.SOURCES), files.VOCABULARY])}
+
+
 def test_a_remote_source_and_a_folder_make_the_same(spark, tmp_path):
     """Whole texts, as a remote source gives them, and lines of a folder; no server is needed to tell."""
     docs = str(tmp_path / "docs")

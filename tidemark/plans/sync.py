@@ -134,11 +134,10 @@ def _sync(spark, root: str, source, today: str, version: str, changelog: str | N
         record(f"changes/date={today}", sinks.write_table(d.changes, f"{root}/changes/date={today}", sort=snapshot.change_order()))
         record("changes/latest", sinks.write_table(d.changes, f"{root}/changes/latest", sort=snapshot.change_order()))
         record(f"ambiguous/date={today}", sinks.write_table(d.ambiguous, f"{root}/ambiguous/date={today}", sort=[F.col("title"), F.col("group"), F.col("side"), F.col("id")]))
-        if whole := sum(out.counts.values()) <= sinks.DOCUMENT_MOST:
-            text = files.kept(sinks.change_document(d.changes, d.ambiguous, today, out.counts), "document", made)
-            for name in (today, "latest"):
-                record(f"changes/{name}.json", sinks.write_document(text, f"{root}/changes/{name}.json"))
-        log = sinks.changelog_lines(d.changes, d.ambiguous, d.snapshot, today, where=None if whole else f"data/changes/date={today}")
+        text = files.kept(sinks.change_document(d.changes, d.ambiguous, today, out.counts, made), "document", made)
+        for name in (today, "latest"):
+            record(f"changes/{name}.json", sinks.write_document(text, f"{root}/changes/{name}.json"))
+        log = sinks.changelog_lines(d.changes, d.ambiguous, d.snapshot, today)
         record("changelog", sinks.update_changelog(spark, changelog or f"{root}/CHANGELOG.md", today, log))
     # the index names the snapshot that it's of: the next one, if there is to be one
     posted, prefixed = dataset.update_index(spark, root, previous, d.snapshot, d.changes, next_ if plan else next_ - 1)

@@ -53,10 +53,6 @@ def render(head: dict, key: str, rows: DataFrame) -> str:
     return "\n".join([*out, *(line + "," * (i + 1 < len(lines)) for i, line in enumerate(lines)), "]}"]) + "\n"
 
 
-#: Changes of a day that its document holds; a day of more has its table only.
-DOCUMENT_MOST = 100_000
-
-
 def document_lines(head: dict, **lists: DataFrame) -> DataFrame:
     """place, value: the lines of a JSON document, one record a line; lists are frames of (place, value) with a JSON text a row."""
     names = list(lists)
@@ -71,7 +67,7 @@ def document_lines(head: dict, **lists: DataFrame) -> DataFrame:
 
 
 def write_document(lines: DataFrame, path: str) -> bool:
-    """The lines of document_lines as one file, written by a task, if the one there holds others."""
+    """The lines of document_lines as one file, if the one there holds others: a task sorts and writes them, on disk beyond its memory."""
     spark = lines.sparkSession
     if files.exists(spark, path) and same_rows(lines.select("value"), spark.read.text(path)):
         return False
@@ -82,11 +78,11 @@ def write_document(lines: DataFrame, path: str) -> bool:
     return True
 
 
-def change_document(changes: DataFrame, ambiguous: DataFrame, date: str, counts: dict[str, int]) -> DataFrame:
+def change_document(changes: DataFrame, ambiguous: DataFrame, date: str, counts: dict[str, int], made: list[str] | None = None) -> DataFrame:
     """The lines of a day's change document: counts, changes in order without null members, ambiguous relinks."""
     from ..operators.snapshot import ambiguous_lists, change_order
 
-    numbered = lambda df, *by: df.select(F.row_number().over(_by(*by)).alias("place"), F.to_json(F.struct(*df.columns)).alias("value"))  # noqa: E731 (up to DOCUMENT_MOST rows)
+    numbered = lambda df, *by: files.numbered(df, list(by), "numbered", made).select("place", F.to_json(F.struct(*df.columns)).alias("value"))
     return document_lines({"date": date, "counts": counts}, changes=numbered(changes, *change_order()), ambiguous_relinks=numbered(ambiguous_lists(ambiguous), "title", "added_ids"))
 
 
@@ -98,8 +94,8 @@ def indented(doc: dict) -> str:
     return json.dumps(doc, ensure_ascii=False, indent=2) + "\n"
 
 
-def changelog_lines(changes: DataFrame, ambiguous: DataFrame, snapshot: DataFrame, date: str, most: int = CHANGELOG_MOST, where: str | None = None) -> DataFrame:
-    """date, section, place, line of one day's entry; where the rest is, the day's change document unless said otherwise."""
+def changelog_lines(changes: DataFrame, ambiguous: DataFrame, snapshot: DataFrame, date: str, most: int = CHANGELOG_MOST) -> DataFrame:
+    """date, section, place, line of one day's entry."""
     from ..operators.snapshot import ambiguous_groups, capped, described
 
     first = described(capped(changes, most), snapshot)
@@ -108,7 +104,7 @@ def changelog_lines(changes: DataFrame, ambiguous: DataFrame, snapshot: DataFram
     counts = changes.groupBy("kind").agg(F.count("*").alias("of"))
     heads = counts.select(section.alias("section"), F.lit(0).alias("place"), F.format_string("### %s (%d)", heading, "of").alias("line"))
     body = first.select(section.alias("section"), F.col("place"), F.concat(F.lit("- "), "line").alias("line"))
-    rest = counts.filter(F.col("of") > most).select(section.alias("section"), F.lit(most + 1).alias("place"), F.format_string(f"- …and %d more (see `{where or f'data/changes/{date}.json'}`)", F.col("of") - most).alias("line"))
+    rest = counts.filter(F.col("of") > most).select(section.alias("section"), F.lit(most + 1).alias("place"), F.format_string(f"- …and %d more (see `data/changes/{date}.json`)", F.col("of") - most).alias("line"))
     n = len(KINDS) + 1
     groups = ambiguous_groups(ambiguous)
     many = groups.agg(F.count("*").alias("n")).filter("n > 0").select(F.lit(n).alias("section"), F.lit(0).alias("place"), F.format_string("### Needs confirmation (%d)", "n").alias("line"))

@@ -136,3 +136,12 @@ def test_a_remote_source_and_a_folder_make_the_same(spark, tmp_path):
     metas = [files.read_meta(spark, str(tmp_path / name / "meta.json")) for name in "ab"]
     rows = [sorted(map(str, dataset.problems(spark, str(tmp_path / name)).collect())) for name in "ab"]
     assert outs[0] == outs[1] and metas[0]["sources"] == metas[1]["sources"] and len(metas[0]["sources"]) == 7 and rows[0] == rows[1]
+
+
+def test_small_buckets_share_a_task(spark, tmp_path):
+    """Tasks of a write go by its rows, not by its buckets; each bucket still has one file."""
+    rows = snap(spark, *({"id": f"i{i}", "key": f"k{i}"} for i in range(60)))
+    assert dataset.compare_problems(rows, str(tmp_path), 5).write(seen="2024-01-01").committed
+    files_of = {d: [f for f in fs if f.endswith(".parquet")] for d, _, fs in os.walk(tmp_path) if "bucket=" in d}
+    assert len(files_of) > 5 and all(len(fs) == 1 for fs in files_of.values()) and len({fs[0].split("-")[1] for fs in files_of.values()}) == 1
+    assert dataset.problems(spark, str(tmp_path)).count() == 60

@@ -7,7 +7,7 @@ as they are, byte for byte. The new manifest takes the old one's place in one mo
 the write; a write that stops before it leaves folders that nobody refers to. What a manifest no
 longer refers to is deleted by the commit after the next, so readers of the old state finish.
 
-A bucket's rows go to one task and one file, sorted; ``spread`` says in how many parts keys are
+A bucket's rows go to one task, with those of other small buckets, and one file, sorted; ``spread`` says in how many parts keys are
 dealt, so that a bucket holds some ``rows`` rows, and is raised (and all is written anew) when
 the table has grown to four times that.
 """
@@ -97,10 +97,14 @@ def load(spark: SparkSession, path: str, schema: T.StructType, only: Callable[[s
     return spark.read.schema(schema).parquet(*folders)
 
 
-def _staged(rows: DataFrame, path: str, number: int, buckets: int, sort: tuple[str, ...]) -> str:
-    """rows(bucket, ...) in a new data folder, a file a bucket."""
+#: Rows of small buckets that a task writes.
+EACH = 100_000
+
+
+def _staged(rows: DataFrame, path: str, number: int, buckets: int, n: int, sort: tuple[str, ...]) -> str:
+    """n rows(bucket, ...) or so in a new data folder, a file a bucket; a task writes the files of many small buckets, so that tasks go by rows."""
     folder = f"data/{number}-{uuid.uuid4().hex[:8]}"
-    rows.repartition(max(1, buckets), "bucket").sortWithinPartitions("bucket", *sort).write.partitionBy("bucket").parquet(f"{path}/{folder}")
+    rows.repartition(max(1, min(buckets, -(-n // EACH))), "bucket").sortWithinPartitions("bucket", *sort).write.partitionBy("bucket").parquet(f"{path}/{folder}")
     return folder
 
 
@@ -138,7 +142,7 @@ class Plan:
             rows = self.df.withColumn("bucket", self.bucket(self.spread))
             if len(self.differ) < len(self.new):
                 rows = rows.filter(F.col("bucket").isin(self.differ))
-            folder = _staged(rows, self.path, out.number, len(self.differ), self.sort)
+            folder = _staged(rows, self.path, out.number, len(self.differ), sum(self.new[k][0] for k in self.differ), self.sort)
             out.buckets |= {k: [folder, *self.new[k]] for k in self.differ}
         _commit(spark, self.path, self.old, out)
         return Written(self.differ, self.dropped, True)
@@ -173,7 +177,8 @@ def merge(path: str, gone: DataFrame, come: DataFrame, schema: T.StructType, buc
     if touched:
         old = load(spark, path, schema, set(touched).__contains__).withColumn("bucket", bucket(m.spread))
         rows = old.join(gone.select(*names), names, "left_anti").unionByName(come.join(old.select(*names), names, "left_anti"))
-        folder = _staged(rows, path, out.number, len(touched), sort)
+        held = sum(m.buckets[k][1] for k in touched if k in m.buckets)
+        folder = _staged(rows, path, out.number, len(touched), max(held, come.count()), sort)
         kinds = T.StructType([*schema.fields, T.StructField("bucket", T.StringType())])
         new = {r["bucket"]: [r["n"], r["x1"], r["x2"], r["total"]] for r in marks(spark.read.schema(kinds).parquet(f"{path}/{folder}")).collect()}
         differ = sorted(k for k in new if m.buckets.get(k, [None])[1:] != new[k])
